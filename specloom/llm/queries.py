@@ -5,12 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specloom.llm import bpe, embeddings, quality, sharding, simhash
+from specloom.llm import bpe, embeddings, lengths, lmscore, packing, quality, sharding, simhash, toxicity
 from specloom.llm.common import read
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the same vocabulary and merges as byte_bpe_50k.json
+
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.encode_digests(read(spark, sf_dir, "documents"), RANKS)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,19 +20,35 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), tree, tree.grown())
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), RANKS)
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), RANKS)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.suffix_sums(lengths.histogram(read(spark, sf_dir, "documents"), RANKS))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op4_embeddings, op7_quality, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_lm_scores, op4_embeddings, op5_packing, op6_token_counts, op7_quality, op9_toxicity, op10_simhash)}
 
 ORACLE_SQL = {
     "op7_quality": r"""
