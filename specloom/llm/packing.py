@@ -12,6 +12,7 @@ pattern, its sequence and its place there. Only the histogram ever reaches the d
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +21,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from specloom.llm import bpe
 from specloom.llm.common import materialize
@@ -37,6 +39,35 @@ def rank_encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=bpe.public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+class Ids:
+    """Ids of texts by a tokenizer file, as the tokenizers library gives them without added tokens.
+
+    The file's byte-level vocabulary is handed to tiktoken, which gives the same ids in a fraction of the
+    time; a text that holds one of the file's special strings goes to the tokenizers library itself.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.path, self.special, self.whole = path, [t["content"] for t in spec.get("added_tokens", ())], None
+        raw = {c: b for b, c in enumerate(_byte_letters())}
+        ranks = {bytes(raw[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
+        self.encoding = tiktoken.Encoding("ids", pat_str=bpe.public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> np.ndarray:
+        if any(s in text for s in self.special):
+            self.whole = self.whole or Tokenizer.from_file(self.path)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones stand for themselves."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
 def chunks(documents: DataFrame, path: str, context: int = CONTEXT, end: int = END) -> DataFrame:
     """doc_id, start, length, doc_tokens, crcs: the contexts of every document's ids and the end id.
 
@@ -44,11 +75,11 @@ def chunks(documents: DataFrame, path: str, context: int = CONTEXT, end: int = E
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = rank_encoding(path)
+        encode = Ids(path)
         for batch in batches:
             at, start, length, total, crcs = [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
-                ids = np.append(encoding.encode_to_numpy(text.as_py() or "", disallowed_special=()), end).astype("<u4")
+                ids = np.append(encode(text.as_py() or ""), end).astype("<u4")
                 for s in range(0, len(ids), context):
                     part = ids[s : s + context]
                     at.append(row)
@@ -110,6 +141,20 @@ def best_pattern(prices: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+def inverted(basis: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots; a few hundred rows, so plain array steps do."""
+    m = len(basis)
+    a = np.hstack([basis.astype(float), np.eye(m)])
+    for i in range(m):
+        k = i + int(np.abs(a[i:, i]).argmax())
+        a[[i, k]] = a[[k, i]]
+        a[i] /= a[i, i]
+        factor = a[:, i].copy()
+        factor[i] = 0
+        a -= factor[:, None] * a[i]
+    return a[:, m:]
+
+
 def solve(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
     """(pattern, times) of the linear program that covers ``demand`` (by class) with fewest sequences.
 
@@ -123,12 +168,15 @@ def solve(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
     basis = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / (capacity // sizes))
     x = inverse @ demand[used].astype(float)
+    bound = 0.0
     for step in range(MAX_COLUMNS):
         duals = inverse.sum(0)
         prices = np.zeros(used[-1] + 1)
         prices[used] = np.maximum(duals, 0)
         column = best_pattern(prices, capacity)[used].astype(float)
-        if duals @ column <= 1 + GAP:
+        worth = float(duals @ column)
+        bound = max(bound, float(x.sum()) / max(worth, 1.0))  # no solution has fewer sequences
+        if worth <= 1 + 1e-9 or x.sum() <= bound * (1 + GAP):
             break
         direction = inverse @ column
         able = direction > 1e-9
@@ -145,7 +193,7 @@ def solve(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
         x = x - theta * direction
         x[out] = theta
         if step % 500 == 499:
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
             x = inverse @ demand[used].astype(float)
     found = []
     for i in range(m):

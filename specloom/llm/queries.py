@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specloom.llm import bpe, embeddings, lengths, lmscore, packing, quality, sharding, simhash, toxicity
+from specloom.llm import bpe, embeddings, lengths, lmscore, packing, pii, quality, sharding, simhash, toxicity
 from specloom.llm.common import read
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the same vocabulary and merges as byte_bpe_50k.json
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")  # the same vocabulary and merges, with a special token
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), RANKS)
+    return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -48,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_lm_scores, op4_embeddings, op5_packing, op6_token_counts, op7_quality, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_lm_scores, op4_embeddings, op5_packing, op6_token_counts, op7_quality, op8_pii, op9_toxicity, op10_simhash)}
 
 ORACLE_SQL = {
     "op7_quality": r"""
