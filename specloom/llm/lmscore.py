@@ -5,9 +5,9 @@ trained on the documents that ``labels`` calls good, the background model on all
 of the same order, smoothing and size. A document's score is the mean over its tokens of the
 background's loss less the target's: high for documents that look like the target.
 
-The bigram counts of all documents are summed in a hashed table of ``CELLS`` cells; the contexts'
-and tokens' own counts are exact. The models' size is fixed by the vocabulary and ``CELLS``, so they
-can be broadcast whatever the corpus.
+Counts are exact. Documents are gathered in blocks of bounded size; each block counts its own bigrams,
+the blocks' counts are summed over the corpus, and every block gets back the counts of its own bigrams
+and no others. So the models grow with the corpus, and no task or driver ever holds one whole.
 """
 
 from __future__ import annotations
@@ -15,106 +15,120 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from specloom.llm.common import materialize
 from specloom.llm.packing import rank_encoding
 
-CELLS = 1 << 20
 WEIGHT = 0.7  # of the bigram estimate; the rest goes to the token's own frequency
 FLOOR = 1.0  # added to every token's count, so that no probability is zero
+BLOCK_TOKENS = 1_500_000  # tokens after which a block is closed; a longer document is a block by itself
+SHIFT = 20  # a bigram's key is context << SHIFT | token; tokens' and contexts' own counts stand under other keys
+OWN, CONTEXT = 1 << 41, 1 << 42
 
 
-def _cell(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Cell of each (context, token); a multiplicative hash of the pair."""
-    key = before.astype(np.uint64) * np.uint64(1 << 32) + token.astype(np.uint64)
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+def _keys(ids: np.ndarray, vocabulary: int) -> np.ndarray:
+    """The bigram key of each token; the first one's context is a start symbol."""
+    before = np.concatenate([[vocabulary], ids[:-1]])
+    return (before << SHIFT) | ids
 
 
-def _bigrams(ids: np.ndarray, vocabulary: int) -> np.ndarray:
-    """The context of each token: the one before it, and for the first a start symbol."""
-    return np.concatenate([[vocabulary], ids[:-1]]).astype(np.int64)
+def encoded(documents: DataFrame, labels: DataFrame, path: str) -> DataFrame:
+    """block, doc_ids, good, sizes, ids: the documents of each block and their token ids, end to end.
 
-
-def count(documents: DataFrame, labels: DataFrame, path: str, vocabulary: int) -> DataFrame:
-    """i, background, target: counts by index; cells first, then tokens, then contexts.
-
-    A document counts for the target if any row of ``labels`` gives its id quality 1. Each task sums
-    its documents in arrays of the models' size and hands on what is not zero.
+    A document counts for the target if any row of ``labels`` gives its id quality 1.
     """
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"))
-    rows = documents.select(F.col("doc_id").cast("long"), "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    width = CELLS + 2 * vocabulary + 1
+    rows = documents.select(F.col("doc_id").cast("long"), "text").join(good, "doc_id", "left").select("doc_id", F.coalesce("good", F.lit(False)).alias("good"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, n = rank_encoding(path), np.zeros((2, width), np.int64)
+        encoding = rank_encoding(path)
+        held: list[tuple[int, bool, np.ndarray]] = []
+        size = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            at = np.flatnonzero(n[0])
-            for k in range(0, len(at), 100_000):
-                i = at[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n[0, i]), pa.array(n[1, i])], ["i", "background", "target"])
+        def out() -> pa.RecordBatch:
+            ids = [x.astype("<u4").tobytes() for _, _, x in held]
+            values = [[[d for d, _, _ in held]], [[g for _, g, _ in held]], [[len(x) for _, _, x in held]], [b"".join(ids)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()), strict=True)], ["doc_ids", "good", "sizes", "ids"])
 
         for batch in batches:
-            for text, is_good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                ids = encoding.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype(np.int64)
-                if not len(ids):
-                    continue
-                before = _bigrams(ids, vocabulary)
-                index = np.concatenate([_cell(before, ids), CELLS + ids, CELLS + vocabulary + before])
-                where, times = np.unique(index, return_counts=True)
-                n[0, where] += times
-                if is_good:
-                    n[1, where] += times
-        yield from out()
+            for doc, is_good, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                ids = encoding.encode_to_numpy(text.as_py() or "", disallowed_special=())
+                if held and size + len(ids) > BLOCK_TOKENS:
+                    yield out()
+                    held, size = [], 0
+                held.append((doc, is_good, ids))
+                size += len(ids)
+        if held:
+            yield out()
 
-    return rows.mapInArrow(run, "i long, background long, target long").groupBy("i").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    blocks = rows.mapInArrow(run, "doc_ids array<long>, good array<boolean>, sizes array<long>, ids binary")
+    return materialize(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
-def losses(counts: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bigram counts, token probabilities and context counts of one model."""
-    tokens = counts[CELLS : CELLS + vocabulary] + FLOOR
-    return counts[:CELLS].astype(np.float32), (tokens / tokens.sum()).astype(np.float32), counts[CELLS + vocabulary :].astype(np.float32)
+def counts(blocks: DataFrame, vocabulary: int) -> DataFrame:
+    """block, key, background, target: how often each block's documents hold each bigram and token."""
 
-
-def token_losses(model: tuple[np.ndarray, ...], ids: np.ndarray, before: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """-log2 of each token's probability: an interpolation of the bigram and the token's frequency."""
-    bigrams, tokens, contexts = model
-    n = contexts[before].astype(np.float64)
-    share = np.divide(np.minimum(bigrams[cells], n), n, out=np.zeros(len(ids)), where=n > 0)
-    weight = np.where(n > 0, WEIGHT, 0.0)
-    return -np.log2(weight * share + (1 - weight) * tokens[ids])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, good, sizes, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.frombuffer(raw, "<u4").astype(np.int64)
+                first = np.cumsum([0, *sizes[:-1]])
+                key = _keys(ids, vocabulary)
+                key[first[np.array(sizes) > 0]] = (vocabulary << SHIFT) | ids[first[np.array(sizes) > 0]]
+                mine = np.repeat(np.array(good, bool), sizes)
+                x = np.concatenate([key, OWN | ids, CONTEXT | key >> SHIFT])
+                keys, at = np.unique(x, return_inverse=True)
+                n = np.bincount(at, minlength=len(keys))
+                t = np.bincount(at, weights=np.tile(mine, 3), minlength=len(keys)).astype(np.int64)
+                for k in range(0, len(keys), 100_000):
+                    part = slice(k, k + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), block)), pa.array(keys[part]), pa.array(n[part].astype(np.int64)), pa.array(t[part])], ["block", "key", "background", "target"])
+
+    return materialize(blocks.select("block", "good", "sizes", "ids").mapInArrow(run, "block long, key long, background long, target long"), "counts")
 
 
 def score(documents: DataFrame, labels: DataFrame, path: str, vocabulary: int = 50_256) -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss, score (bits per token).
 
     A null or empty text has no tokens, null losses and score 0. Without target documents the target
-    model is flat. The counts of all documents are gathered in a table of fixed width.
+    model is flat. Repeated rows are documents of their own; other columns are not read. A frequent
+    bigram has one row for each block at most, so no key is hot.
     """
-    found = count(documents, labels, path, vocabulary).toPandas()  # CELLS + 2 x vocabulary + 1 rows at most
-    counts = np.zeros((2, CELLS + 2 * vocabulary + 1))
-    counts[0, found["i"]], counts[1, found["i"]] = found["background"], found["target"]
-    shared = documents.sparkSession.sparkContext.broadcast([losses(c, vocabulary) for c in counts])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = rank_encoding(path)
-        background, target = shared.value
-        for batch in batches:
-            n, t, b = [], [], []
-            for text in batch.column(1):
-                ids = encoding.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype(np.int64)
-                n.append(len(ids))
-                if not len(ids):
-                    t.append(None)
-                    b.append(None)
-                    continue
-                before = _bigrams(ids, vocabulary)
-                cells = _cell(before, ids)
-                t.append(float(token_losses(target, ids, before, cells).mean()))
-                b.append(float(token_losses(background, ids, before, cells).mean()))
-            s = [0.0 if x is None else y - x for x, y in zip(t, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64()), pa.array(s, pa.float64())], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    blocks = encoded(documents, labels, path)
+    by_block = counts(blocks, vocabulary)
+    model = by_block.groupBy("key").agg(F.sum("background").alias("b"), F.sum("target").alias("t"))
+    total = model.filter(F.col("key").bitwiseAND(F.lit(OWN)) > 0).agg(F.sum("b").alias("b"), F.sum("t").alias("t")).first()
+    tokens = np.array([total["b"] or 0, total["t"] or 0], float) + FLOOR * vocabulary
+    own = by_block.select("block", "key").join(model, "key")
+
+    def run(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        key = right["key"].to_numpy()
+        order = np.argsort(key)
+        key, n = key[order], right[["b", "t"]].to_numpy(np.float64)[order]
+        find = lambda k: n[np.searchsorted(key, k)] if len(key) else np.zeros((len(k), 2))
+        out = []
+        for docs, sizes, raw in zip(left["doc_ids"], left["sizes"], left["ids"], strict=True):
+            sizes = np.asarray(sizes, np.int64)
+            ids = np.frombuffer(raw, "<u4").astype(np.int64)
+            first = np.cumsum(np.append(0, sizes[:-1]))
+            k = _keys(ids, vocabulary)
+            begins = first[sizes > 0]
+            k[begins] = (vocabulary << SHIFT) | ids[begins]
+            bigrams, contexts = find(k), find(CONTEXT | k >> SHIFT)
+            share = np.divide(bigrams, contexts, out=np.zeros_like(bigrams), where=contexts > 0)
+            weight = np.where(contexts > 0, WEIGHT, 0.0)
+            loss = -np.log2(weight * share + (1 - weight) * (find(OWN | ids) + FLOOR) / tokens)
+            sums = np.zeros((len(sizes), 2))
+            if len(begins):
+                sums[sizes > 0] = np.add.reduceat(loss, begins, axis=0)
+            mean = np.divide(sums, sizes[:, None], out=np.full_like(sums, np.nan), where=sizes[:, None] > 0)
+            out.append(pd.DataFrame({"doc_id": pd.array([None if d is None or d != d else int(d) for d in docs], "Int64"), "n_tokens": sizes, "target_loss": mean[:, 1], "background_loss": mean[:, 0]}))
+        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_tokens": [], "target_loss": [], "background_loss": []})
+
+    scored = blocks.select("block", "doc_ids", "sizes", "ids").groupBy("block").cogroup(own.groupBy("block")).applyInPandas(run, "doc_id long, n_tokens long, target_loss double, background_loss double")
+    losses = [F.when(F.col("n_tokens") > 0, F.col(c)).alias(c) for c in ("target_loss", "background_loss")]
+    return scored.select("doc_id", "n_tokens", *losses, F.when(F.col("n_tokens") > 0, F.col("background_loss") - F.col("target_loss")).otherwise(0.0).alias("score"))
