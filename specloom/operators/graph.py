@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from specloom.functions import text as T
 from specloom.functions.vocabulary import Domain
-from specloom.operators import terms as term_ops
 
 TERM_EDGES = ("REFERENCES", "CONSTRAINS", "RECOMMENDS", "PERMITS")
 
@@ -123,11 +122,3 @@ def refined(edges_: DataFrame, changes: DataFrame, strict: bool = False) -> Data
     able = ~F.col("type").isin("CONTAINS", "CONFLICTS_WITH") & F.startswith("source", F.lit("REQ-")) & (F.startswith("target", F.lit("REQ-")) | F.startswith("target", F.lit("SEC-")))
     new = F.when(able, F.col("_new")) if strict else F.col("_new")
     return edges_.join(c, ["doc_id", "source", "target"], "left").withColumn("type", F.coalesce(new, "type")).drop("_new")
-
-
-def build(blocks: DataFrame, rules: DataFrame, domain: Domain) -> dict[str, DataFrame]:
-    """terms, mentions, sections, nodes, edges of all documents; hand in written or persisted tables, they are read several times."""
-    terms = term_ops.merged(rules, domain)
-    mentions = term_ops.mentions(rules, terms, domain)
-    sections = section_nodes(blocks, rules)
-    return {"terms": terms, "mentions": mentions, "sections": sections, "nodes": nodes(sections, rules, terms), "edges": edges(sections, rules, mentions, domain)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from specloom.functions import text as T
 from specloom.functions.vocabulary import Domain
 from specloom.operators.graph import TERM_EDGES
+from specloom.sources.artifacts import settled
 
 TARGETS = 3
 
@@ -85,6 +86,8 @@ def expand(nodes: DataFrame, edges: DataFrame, targets_: DataFrame, keep: bool =
     not entered. Conflicts are listed for every target. Peers of a term are as many as its rules.
     """
     key = ["doc_id", "query"]
+    targets_ = settled(targets_)
+    ranks = targets_.agg(F.max("rank")).first()[0] or 1
     e = edges.select("doc_id", "edge_ord", "source", "target", "type")
     known = nodes.select("doc_id", "id", "label")
     role = {"Requirement": "requirement", "Section": "section", "Term": "term"}
@@ -92,8 +95,9 @@ def expand(nodes: DataFrame, edges: DataFrame, targets_: DataFrame, keep: bool =
     visited = targets_.select(*key, "id").distinct()
     found, clashes = [], []
     down = _paths_down(nodes, edges)
+    down = down if down is None else settled(down)
     tag = lambda *xs: F.array(*[x.cast("long") if isinstance(x, Column) else F.lit(x).cast("long") for x in xs])
-    for rank in range(1, TARGETS + 1):
+    for rank in range(1, ranks + 1):
         t = targets_.filter(F.col("rank") == rank).select(*key, F.col("id").alias("me"), "label")
         req, term, sec = (t.filter(F.col("label") == k).drop("label") for k in ("Requirement", "Term", "Section"))
         out = req.join(e, (req["doc_id"] == e["doc_id"]) & (req["me"] == e["source"])).select(req["doc_id"], "query", "me", "edge_ord", F.col("target").alias("id"), "type")
@@ -121,6 +125,7 @@ def expand(nodes: DataFrame, edges: DataFrame, targets_: DataFrame, keep: bool =
             walls = below.select(*key, "id", "tag", F.explode("through").alias("wall")).join(visited.select(*key, F.col("id").alias("wall")), [*key, "wall"], "left_semi").select(*key, "id", "tag").distinct()
             cands = cands.unionByName(below.drop("through").join(walls, [*key, "id", "tag"], "left_anti"))
         new = cands.join(visited, [*key, "id"], "left_anti").join(known, ["doc_id", "id"]).groupBy(*key, "id", "label").agg(F.min("tag").alias("tag"))
+        new = settled(new)
         found.append(new.withColumn("rank", F.lit(rank)))
         visited = visited.unionByName(new.select(*key, "id"))
     rows, pairs = found[0], clashes[0]

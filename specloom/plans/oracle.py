@@ -104,7 +104,7 @@ UNION ALL SELECT doc_id, query, me, source, {_tag('2', 'edge_ord', '0')} FROM i
 UNION ALL SELECT t.doc_id, {_literal(term)}, t.target, c.source, {_tag('t.edge_ord', 'c.edge_ord')} FROM term_links t JOIN edges c ON c.doc_id = t.doc_id AND c.target = t.source AND c.type = 'CONTAINS' WHERE t.target = 'TERM-' || {_literal(term)}"""
     walk = f""", walk AS (SELECT doc_id, substr(id, 5) AS query, id AS me, id, '' AS path, 0 AS level FROM nodes WHERE id IN ({listed(['SEC-' + s for s in sections])})
 UNION ALL SELECT w.doc_id, w.query, w.me, e.target, w.path || lpad(CAST(e.edge_ord AS VARCHAR), 8, '0'), w.level + 1 FROM walk w JOIN edges e ON e.doc_id = w.doc_id AND e.source = w.id AND e.type = 'CONTAINS')"""
-    chain_up = "climb AS (SELECT doc_id, id, section AS at, 0 AS step FROM homes UNION ALL SELECT c.doc_id, c.id, u.parent, c.step + 1 FROM climb c JOIN up u ON u.doc_id = c.doc_id AND u.id = c.at)"
+    chain_up = "climb AS (SELECT doc_id, id, section AS place, 0 AS step FROM homes UNION ALL SELECT c.doc_id, c.id, u.parent, c.step + 1 FROM climb c JOIN up u ON u.doc_id = c.doc_id AND u.id = c.place)"
     q = _literal(text_query.lower())
     hit = f"contains(lower(coalesce(name, '')), {q}) OR contains(lower(coalesce(title, '')), {q}) OR contains(lower(coalesce(text, '')), {q}) OR contains(lower(id), {q}) OR contains(lower(coalesce(section_number, '')), {q})"
     grid = " + ".join([f"CASE WHEN contains(t, {_literal(w)}) THEN 1.5 ELSE 0 END" for w in _grid()[0]] + [f"CASE WHEN regexp_matches(t, {_literal(p)}) THEN 1 ELSE 0 END" for p in _grid()[1]])
@@ -146,7 +146,7 @@ UNION ALL SELECT w.doc_id, w.query, w.me, e.target, w.path || lpad(CAST(e.edge_o
         "context_requirement": _context(req_cands, f", o AS ({of_req} = e.source), i AS ({of_req} = e.target)"),
         "context_term": _context(term_cands),
         "context_section": _context("SELECT doc_id, query, me, id, CAST(level AS VARCHAR) || path AS tag FROM walk WHERE level > 0", walk),
-        "section_path": f", {chain_up} SELECT doc_id, id, string_agg(at, ' > ' ORDER BY step DESC) AS path FROM climb GROUP BY ALL",
+        "section_path": f", {chain_up} SELECT doc_id, id, string_agg(place, ' > ' ORDER BY step DESC) AS path FROM climb GROUP BY ALL",
         "relationship_buckets": "SELECT doc_id, id, bucket, count(*) AS n FROM (SELECT e.doc_id, source AS id, CASE WHEN n.label = 'Term' THEN 'terms' WHEN type = 'DEPENDS_ON' THEN 'dependsOn' WHEN type = 'IMPLEMENTS' THEN 'implements' WHEN type = 'CONFLICTS_WITH' THEN 'conflicts' ELSE 'references' END AS bucket FROM edges e JOIN nodes n ON n.doc_id = e.doc_id AND n.id = e.target UNION ALL SELECT e.doc_id, target, CASE type WHEN 'DEPENDS_ON' THEN 'requiredBy' WHEN 'IMPLEMENTS' THEN 'implementedBy' WHEN 'CONFLICTS_WITH' THEN 'conflicts' ELSE 'referencedBy' END FROM edges e WHERE starts_with(source, 'REQ-')) GROUP BY ALL",
         "section_children": "SELECT doc_id, id, kind, child, CAST(row_number() OVER (PARTITION BY doc_id, id, kind ORDER BY s, r) AS INT) AS pos FROM (SELECT e.doc_id, e.source AS id, CASE WHEN starts_with(e.target, 'SEC-') THEN 'section' ELSE 'requirement' END AS kind, e.target AS child, s.sec_ord AS s, r.rule_ord AS r FROM edges e LEFT JOIN secs s ON s.doc_id = e.doc_id AND s.id = e.target LEFT JOIN ledger r ON r.doc_id = e.doc_id AND r.id = e.target WHERE type = 'CONTAINS')",
         "term_by_section": "SELECT t.doc_id, t.target AS term, coalesce(h.section, 'unknown') AS section, count(DISTINCT t.source) AS n FROM term_links t LEFT JOIN homes h ON h.doc_id = t.doc_id AND h.id = t.source GROUP BY ALL",

@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from specloom.functions.vocabulary import Domain, detect_domain, domain
 from specloom.operators import assist, blocks, graph, lines, rules, search
+from specloom.operators import terms as term_ops
+from specloom.sources.artifacts import settled
 
 
 @dataclass
 class Analysis:
     """All tables of a set of documents, made when asked for.
 
-    Rules, blocks and the graph's tables are each read several times, so they are persisted; the
-    partitioning is by doc_id throughout and every step keeps it. model is any function from prompts to replies.
+    Blocks, rules and the graph's tables are each read several times, so each is written once in the
+    shared folder. Everything is dealt out by doc_id. model is any function from prompts to replies.
     """
 
     pages: DataFrame
@@ -34,7 +36,7 @@ class Analysis:
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return blocks.with_sections(self.plain_blocks).persist()
+        return settled(blocks.with_sections(self.plain_blocks))
 
     @cached_property
     def mined(self) -> DataFrame:
@@ -47,11 +49,15 @@ class Analysis:
             asked = assist.batched(rules.implicit_candidates(self.blocks, found), assist.IMPLICIT, ["block_no"])
             replies = assist.ask(assist.prompts(asked, ["id", "section_number", "text"], ["block_no"]), self.model)
             found = found.unionByName(assist.new_rules(replies, asked, found), allowMissingColumns=True)
-        return found.persist()
+        return settled(found)
 
     @cached_property
     def graph(self) -> dict[str, DataFrame]:
-        return {k: v.persist() for k, v in graph.build(self.blocks, self.rules, self.domain).items()}
+        terms = settled(term_ops.merged(self.rules, self.domain))
+        mentions = settled(term_ops.mentions(self.rules, terms, self.domain))
+        sections = settled(graph.section_nodes(self.blocks, self.rules))
+        edges = settled(graph.edges(sections, self.rules, mentions, self.domain))
+        return {"terms": terms, "mentions": mentions, "sections": sections, "nodes": settled(graph.nodes(sections, self.rules, terms)), "edges": edges}
 
     @property
     def nodes(self) -> DataFrame:
@@ -69,13 +75,6 @@ class Analysis:
     def audit(self, questions: list[str]) -> DataFrame:
         return search.payload(self.nodes, self.edges, questions, self.domain)
 
-    def unpersist(self) -> None:
-        for name in ("blocks", "rules"):
-            if name in self.__dict__:
-                self.__dict__[name].unpersist()
-        for df in self.__dict__.get("graph", {}).values():
-            df.unpersist()
-
 
 def parse_documents(pages: DataFrame, preset: str = "generic", model: assist.Model | None = None, **more) -> Analysis:
     """The tables of ``pages`` under a preset with additions (terms, stopwords, headers, actors, info)."""

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -17,6 +15,7 @@ from specloom.operators import assist, blocks, explore, graph, lines, rules, sea
 from specloom.plans import oracle
 from specloom.plans.pipeline import Analysis
 from specloom.sources.corpus import corpus_pages, document_pages
+from specloom.sources.artifacts import shared_folder
 from specloom.streaming import ingest
 
 DOMAIN = domain("smartGrid")
@@ -25,14 +24,6 @@ NAMED = ["REQ-001", "req-003", "Timeout", "1.0", "A", "Annex A", "REQ-999", "pay
 REQUIREMENT, TERM, SECTIONS, TEXT = "REQ-003", "timeout", ["1", "2", "3", "4", "5", "6", "A"], "heartbeat"
 
 
-def _shared(spark: SparkSession) -> str:
-    """A folder of the one that all executors share; a temporary one only for a local master."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/') if base else 'file://' + tempfile.mkdtemp(prefix='specloom-')}/{uuid.uuid4().hex}"
-
-
 @lru_cache(maxsize=2)
 def _analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     return Analysis(corpus_pages(spark, sf_dir), DOMAIN)
@@ -160,7 +151,7 @@ def stride_sample(spark, d):
 
 def _sections(spark, d):
     a = analysis(spark, d)
-    return a, graph.section_nodes(a.blocks, a.rules)
+    return a, a.graph["sections"]
 
 
 def section_nodes(spark, d):
@@ -168,7 +159,7 @@ def section_nodes(spark, d):
 
 
 def section_contains(spark, d):
-    return graph.section_contains(_sections(spark, d)[1].persist()).select("doc_id", "source", "target")
+    return graph.section_contains(_sections(spark, d)[1]).select("doc_id", "source", "target")
 
 
 def requirement_contains(spark, d):
@@ -177,8 +168,8 @@ def requirement_contains(spark, d):
 
 
 def _mentions(spark, d):
-    r = analysis(spark, d).rules
-    return r, terms.mentions(r, terms.merged(r, DOMAIN), DOMAIN)
+    a = analysis(spark, d)
+    return a.rules, a.graph["mentions"]
 
 
 def term_edges(spark, d):
@@ -196,7 +187,7 @@ def req_refs(spark, d):
 
 def conflict_pairs(spark, d):
     r, m = _mentions(spark, d)
-    return graph.conflicts(r, m.persist(), DOMAIN).select("doc_id", "source", "target", "shared_term")
+    return graph.conflicts(r, m, DOMAIN).select("doc_id", "source", "target", "shared_term")
 
 
 def graph_edges(spark, d):
@@ -233,7 +224,7 @@ def search_top3(spark, d):
 def _context(questions: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark, d):
         a = analysis(spark, d)
-        return search.expand(a.nodes, a.edges, search.targets(a.nodes, questions, DOMAIN).persist())[0]
+        return search.expand(a.nodes, a.edges, search.targets(a.nodes, questions, DOMAIN))[0]
 
     return run
 
@@ -283,7 +274,7 @@ def domain_detect(spark, d):
 
 def stream_rules(spark, d):
     """Pages are written as files by document and ingested as a stream."""
-    base = _shared(spark)
+    base = shared_folder(spark)
     pages = corpus_pages(spark, d)
     pages.repartition(4, "doc_id").write.parquet(f"{base}/pages")
     ingest.ingest_rules(ingest.page_stream(spark, f"{base}/pages", 1), f"{base}/rules", f"{base}/state", DOMAIN).awaitTermination()
@@ -291,7 +282,7 @@ def stream_rules(spark, d):
 
 
 def stream_events(spark, d):
-    base = _shared(spark)
+    base = shared_folder(spark)
     ingest.event_counts(spark, f"{d}/events.parquet", f"{base}/counts", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/counts").withColumn("total", F.round("total", 4))
 

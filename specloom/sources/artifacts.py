@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,21 @@ from pyspark.sql import functions as F
 GRAPH = "doc_id long, nodes array<struct<id:string,label:string,properties:map<string,string>>>, edges array<struct<source:string,target:string,type:string,properties:map<string,string>>>"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder inside the one that the driver and all executors share; a temporary one only for a local master."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/') if base else 'file://' + tempfile.mkdtemp(prefix='specloom-')}/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written once in the shared folder and read again: its lineage ends there, and a lost executor costs nothing of it."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def inside(base: str, target: str) -> Path:
     """``target`` under ``base``; anything that leads outside is refused."""
     root, path = Path(base).resolve(), (Path(base) / target).resolve()

@@ -22,9 +22,7 @@ def ingest_rules(pages: DataFrame, out: str, checkpoint: str, domain: Domain) ->
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        found = Analysis(batch, domain)
-        found.rules.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        found.unpersist()
+        Analysis(batch, domain).mined.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -39,7 +37,7 @@ def event_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours
 def event_counts(spark: SparkSession, path: str, out: str, checkpoint: str, width: str = "1 day") -> StreamingQuery:
     """Stream the events under ``path`` into complete windowed counts at ``out``."""
     schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(path.rsplit("/", 1)[0])
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(path.rsplit("/", 1)[0]).withColumn("ts", F.col("ts").cast("timestamp"))
 
     def one(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out)
