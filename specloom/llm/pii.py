@@ -386,6 +386,8 @@ def train(labelled: DataFrame | None = None) -> Field:
 
 
 def _trimmed(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
+    if kind == "secret":  # what stands before a value belongs to its name
+        a = text.rfind("=", a, len(text[:b].rstrip("=\"' "))) + 1 or a
     while a < b and not (text[a].isalnum() or kind == "phone" and text[a] in "+("):
         a += 1
     while b > a and not text[b - 1].isalnum():

@@ -281,6 +281,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     row = F.min_by(F.struct(*documents.columns), F.coalesce("text", F.lit(""))).alias("row")
     kept = docs.join(by_fp, "fp").filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     named = documents.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").groupBy("doc_id").agg(row)
-    columns = tuple(documents.columns)
-    unnamed = fingerprints(documents.filter("doc_id IS NULL"), columns).join(by_fp.filter("component_id IS NULL"), "fp").groupBy("root").agg(row)
+    loose = documents.filter("doc_id IS NULL").select(F.struct(*documents.columns).alias("_row"), "text")
+    loose = fingerprints(loose, ("_row",)).join(by_fp.filter("component_id IS NULL"), "fp")
+    unnamed = loose.groupBy("root").agg(F.min_by("_row", F.coalesce("_row.text", F.lit(""))).alias("row"))
     return named.select("row.*").unionByName(unnamed.select("row.*"))
