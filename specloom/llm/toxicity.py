@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 MAX_EXAMPLES = 16_384  # labelled documents used: the bound of the sample, those with the smallest hashed ids
 MAX_TERMS = 4_096
-MIN_DOCS, MIN_CHI2 = 3, 10.83
+MIN_DOCS, CHANCE = 3, 0.05  # a term must go with toxic labels beyond chance, at this level over all words that are tested
 NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.5
+FIRST_BLOCKS = 8  # blocks scored before the bounds of the rest are looked at
+MAX_CALIBRATION = 4_096  # examples whose votes the curve is fitted to: the bound of that sample, every k-th
 CACHE = 100_000
 WORD = re.compile(r"\w+")
 
@@ -34,7 +36,7 @@ def held_out() -> Column:
 
 def counts_of(text: str | None, terms: dict[str, int]) -> tuple[tuple[int, int], ...]:
     """(term, occurrences) of the known terms in a text, by term."""
-    found = Counter(filter(None.__ne__, map(terms.get, WORD.findall((text or "").lower()))))
+    found = Counter([terms[w] for w in WORD.findall((text or "").lower()) if w in terms])
     return tuple(sorted(found.items()))
 
 
@@ -69,23 +71,32 @@ class Index:
         """Rows and cosines of the k nearest examples with a cosine over 0, ties by id."""
         at, weight = self.vector(counts)
         bound = weight @ self.highest[at]
-        rows, cosines, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < floor - 1e-12:
-                break
-            first, last = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
-            score = np.zeros(last - first)
-            for t, w in zip(at, weight, strict=True):
-                lo, hi = np.searchsorted(self.rows[t], (first, last))
-                score[self.rows[t][lo:hi] - first] += w * self.weights[t][lo:hi]
-            if skip is not None and first <= skip < last:
-                score[skip - first] = 0
-            here = np.flatnonzero(score > 0)
-            rows, cosines = np.append(rows, here + first), np.append(cosines, score[here])
+        order = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())]
+        posted = np.concatenate([self.rows[t] for t in at.tolist()])
+        share = np.concatenate([w * self.weights[t] for t, w in zip(at.tolist(), weight.tolist(), strict=True)])
+        block, within = posted // BLOCK, posted % BLOCK
+        rows, cosines, floor, done = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
+        step = FIRST_BLOCKS
+        chosen = np.full(self.n_blocks, -1, np.int64)
+        while done < len(order) and bound[order[done]] >= floor - 1e-12:
+            now = order[done : done + step]
+            now = now[bound[now] >= floor - 1e-12]
+            chosen[now] = np.arange(len(now))
+            place = chosen[block]
+            inside = place >= 0
+            score = np.bincount(place[inside] * BLOCK + within[inside], share[inside], len(now) * BLOCK)
+            chosen[now] = -1
+            hit = np.flatnonzero(score)
+            here = now[hit // BLOCK] * BLOCK + hit % BLOCK
+            if skip is not None:
+                hit, here = hit[here != skip], here[here != skip]
+            rows, cosines = np.append(rows, here), np.append(cosines, score[hit])
             if len(rows) > k:
                 best = np.lexsort((self.ids[rows], -cosines.round(12)))[:k]
                 rows, cosines = rows[best], cosines[best]
+            if len(rows) == k:
                 floor = cosines.min()
+            done, step = done + step, 8 * step
         best = np.lexsort((self.ids[rows], -cosines.round(12)))[:k]
         return rows[best], cosines[best]
 
@@ -99,6 +110,7 @@ class Index:
     def calibrate(self, examples: list[tuple[int, int, tuple[tuple[int, int], ...]]]) -> None:
         """Fit the logistic curve over each example's vote without itself (Newton steps, a weak pull to the identity)."""
         row_of = {int(i): r for r, i in enumerate(self.ids)}
+        examples = examples[:: -(-len(examples) // MAX_CALIBRATION)]
         y = np.array([label for _, label, _ in examples], float)
         votes = np.array([self.vote(c, row_of.get(doc))[0] for doc, _, c in examples])
         x = _logit(votes)
@@ -173,9 +185,11 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
         by_word = each.filter("word <> ''").groupBy("word").agg(F.count("*").alias("d"), F.sum("toxic").alias("a"))
         chi2 = "{n} * pow(CAST(a AS DOUBLE) * ({n} - d - {t} + a) - CAST(d - a AS DOUBLE) * ({t} - a), 2) / (CAST(d AS DOUBLE) * ({n} - d) * {t} * ({n} - {t}))"
         terms: list[str] = []
+        tested = by_word.filter(f"d >= {MIN_DOCS}").count()
+        least = 2 * np.log(max(tested, 1) / CHANCE)  # bounds the chi-squared value that one of so many words reaches by chance
         if 0 < t < n:
             chosen = by_word.filter(f"d >= {MIN_DOCS} AND d < {n} AND a * {n} > CAST(d AS BIGINT) * {t}").withColumn("chi2", F.expr(chi2.format(n=f"{n}D", t=f"{t}D")))
-            terms = [r["word"] for r in chosen.filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "word").limit(MAX_TERMS).collect()]
+            terms = [r["word"] for r in chosen.filter(F.col("chi2") >= float(least)).orderBy(F.desc("chi2"), "word").limit(MAX_TERMS).collect()]
         known = documents.sparkSession.createDataFrame([(w, i) for i, w in enumerate(terms)], "word string, term int")
         kept = each.join(F.broadcast(known), "word").groupBy("doc_id", "toxic").agg(F.collect_list(F.struct("term", "n")).alias("terms"))
         rows = each.select("doc_id", "toxic").distinct().join(kept, ["doc_id", "toxic"], "left").collect()  # max_examples rows at most
