@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +26,20 @@ from specloom.llm.packing import rank_encoding
 
 WEIGHT = 0.7  # of the bigram estimate; the rest goes to the token's own frequency
 FLOOR = 1.0  # added to every token's count, so that no probability is zero
-BLOCK_TOKENS = 1_500_000  # tokens after which a block is closed; a longer document is a block by itself
+BLOCK_TOKENS = 1_000_000  # tokens after which a block is closed; a longer document is a block by itself
 SHIFT = 20  # a bigram's key is context << SHIFT | token; tokens' and contexts' own counts stand under other keys
 OWN, CONTEXT = 1 << 41, 1 << 42
+FEW_GOOD = 1_000_000  # target ids up to which they are broadcast; more of them are joined by a shuffle
+
+
+def _packed(ids: np.ndarray) -> bytes:
+    """Token ids in few bytes: 16 bits each where that holds them, compressed."""
+    return zstandard.ZstdCompressor().compress(ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4").tobytes())
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.int64)
 
 
 def _keys(ids: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -41,7 +53,8 @@ def encoded(documents: DataFrame, labels: DataFrame, path: str) -> DataFrame:
 
     A document counts for the target if any row of ``labels`` gives its id quality 1.
     """
-    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"))
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.lit(True).alias("good")).distinct()
+    good = F.broadcast(good) if good.count() <= FEW_GOOD else good
     rows = documents.select(F.col("doc_id").cast("long"), "text").join(good, "doc_id", "left").select("doc_id", F.coalesce("good", F.lit(False)).alias("good"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,8 +63,7 @@ def encoded(documents: DataFrame, labels: DataFrame, path: str) -> DataFrame:
         size = 0
 
         def out() -> pa.RecordBatch:
-            ids = [x.astype("<u4").tobytes() for _, _, x in held]
-            values = [[[d for d, _, _ in held]], [[g for _, g, _ in held]], [[len(x) for _, _, x in held]], [b"".join(ids)]]
+            values = [[[d for d, _, _ in held]], [[g for _, g, _ in held]], [[len(x) for _, _, x in held]], [_packed(np.concatenate([x for _, _, x in held]))]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()), strict=True)], ["doc_ids", "good", "sizes", "ids"])
 
         for batch in batches:
@@ -75,7 +87,7 @@ def counts(blocks: DataFrame, vocabulary: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, good, sizes, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.frombuffer(raw, "<u4").astype(np.int64)
+                ids = _unpacked(raw, sum(sizes))
                 first = np.cumsum([0, *sizes[:-1]])
                 key = _keys(ids, vocabulary)
                 key[first[np.array(sizes) > 0]] = (vocabulary << SHIFT) | ids[first[np.array(sizes) > 0]]
@@ -113,7 +125,7 @@ def score(documents: DataFrame, labels: DataFrame, path: str, vocabulary: int =
         out = []
         for docs, sizes, raw in zip(left["doc_ids"], left["sizes"], left["ids"], strict=True):
             sizes = np.asarray(sizes, np.int64)
-            ids = np.frombuffer(raw, "<u4").astype(np.int64)
+            ids = _unpacked(raw, int(sizes.sum()))
             first = np.cumsum(np.append(0, sizes[:-1]))
             k = _keys(ids, vocabulary)
             begins = first[sizes > 0]

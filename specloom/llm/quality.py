@@ -18,6 +18,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 HOST_LIMIT, STRIKES = 0.5, 2
+FEW_HOSTS, SALTS = 100_000, 32
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -103,10 +104,19 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     return by.join(F.broadcast(total)).selectExpr("host", "n AS n_docs", "f AS n_fails", "(f + strength * m) / (n + strength) AS rate")
 
 
-def judge(measured: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT, strikes: int = STRIKES) -> DataFrame:
-    """``measured`` with ``kept``; ``measured`` is read twice, so hand in a written table."""
-    bad = host_rates(measured, host).filter(F.col("rate") > host_limit).select(F.col("host").alias("_host"), F.lit(True).alias("_bad"))
-    joined = measured.join(bad, F.col(host).eqNullSafe(F.col("_host")), "left")
+def judge(measured: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT, strikes: int = STRIKES, few_hosts: int = FEW_HOSTS) -> DataFrame:
+    """``measured`` with ``kept``; ``measured`` is read twice, so hand in a written table.
+
+    Distrusted hosts are broadcast if there are at most ``few_hosts``; more of them are joined with salts,
+    so a host with very many rows is spread over ``SALTS`` tasks.
+    """
+    bad = materialize(host_rates(measured, host).filter(F.col("rate") > host_limit).select(F.col("host").alias("_host"), F.lit(True).alias("_bad")), "hosts")
+    same = F.col(host).eqNullSafe(F.col("_host"))
+    if bad.count() <= few_hosts:
+        joined = measured.join(F.broadcast(bad), same, "left")
+    else:
+        salted = bad.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_there"))
+        joined = measured.withColumn("_here", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, same & (F.col("_here") == F.col("_there")), "left").drop("_here", "_there")
     kept = ~F.col("base_failed") & (n_failed() < F.when(F.col("_bad"), 1).otherwise(strikes))
     return joined.withColumn("kept", kept).drop("_host", "_bad")
 

@@ -185,6 +185,9 @@ def test_token_counts(spark, odd_documents, no_documents, encoding):
 
 def test_quality(spark, odd_documents, no_documents):
     assert difference(queries.op7_quality(spark, SMALL), database(SMALL), queries.ORACLE_SQL["op7_quality"]) == ""
+    measured = common.materialize(quality.measures(spark.read.parquet(f"{SMALL}/documents.parquet")), "m")
+    few, many = (sorted((r["doc_id"], r["kept"]) for r in quality.judge(measured, host_limit=0.05, few_hosts=n).collect()) for n in (10**6, 0))
+    assert few == many
     rows = {(r["doc_id"], r["n_words"]): r for r in quality.quality_verdicts(odd_documents).collect()}
     assert rows[5, 20_000]["n_repeat_words"] == 20_000 and rows[5, 20_000]["base_failed"] and rows[3, 0]["base_failed"]
     assert quality.keep_good(odd_documents).columns == odd_documents.columns
