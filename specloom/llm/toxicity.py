@@ -1,11 +1,14 @@
 """Toxicity by the nearest labelled examples.
 
-Labelled documents become TF-IDF vectors over the words that go with toxic labels; document
-frequencies count all documents. Every document is compared with the examples by exact cosine through
-a block-max inverted index: examples are stored in blocks, each term keeps its largest weight in each
-block, and only blocks whose upper bound can still reach the nearest neighbours are scored. The
-neighbours vote with the square of their cosine against a prior of the base rate, and a logistic curve
-fitted to leave-one-out votes turns the vote into a calibrated score. The neighbours are the evidence.
+Documents and labelled examples are TF-IDF vectors over all their words; document frequencies count all
+documents. Every document is compared with every example by exact cosine: the words that most examples
+hold by a dense product, all others by an inverted index, both in single precision; what can still be
+among the nearest is computed again in double precision. The neighbours vote with the square of their
+cosine against a prior of the base rate, and a logistic curve fitted to leave-one-out votes turns the
+vote into a calibrated score. The neighbours are the evidence.
+
+Words that neither an example nor a large share of the documents holds lower a cosine only by the length
+of the vector. Their frequencies are too many for one task, so they are joined to the documents' words.
 """
 
 from __future__ import annotations
@@ -16,16 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specloom.llm.common import materialize
+
 MAX_EXAMPLES = 16_384  # labelled documents used: the bound of the sample, those with the smallest hashed ids
-MAX_TERMS = 4_096
-MIN_DOCS, CHANCE = 3, 0.05  # a term must go with toxic labels beyond chance, at this level over all words that are tested
-NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.5
-FIRST_BLOCKS = 8  # blocks scored before the bounds of the rest are looked at
+NEIGHBOURS, PRIOR = 15, 0.5
+DENSE = 512  # words of the dense product, those with the longest postings
+GROUP = 32  # documents that are compared at once
+SLACK = 1e-4  # above the rounding errors of a cosine in single precision
+WIDE = 1_000  # a word of more than one in so many documents is known to every task, so no join has a hot word
+FLUSH = 1_000_000  # words that a task counts before it hands the counts on
 MAX_CALIBRATION = 4_096  # examples whose votes the curve is fitted to: the bound of that sample, every k-th
-CACHE = 100_000
 WORD = re.compile(r"\w+")
 
 
@@ -34,85 +41,124 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def words_of(text: str | None) -> Counter:
+    return Counter(WORD.findall((text or "").lower()))
+
+
 def counts_of(text: str | None, terms: dict[str, int]) -> tuple[tuple[int, int], ...]:
     """(term, occurrences) of the known terms in a text, by term."""
-    found = Counter([terms[w] for w in WORD.findall((text or "").lower()) if w in terms])
-    return tuple(sorted(found.items()))
+    return tuple(sorted((terms[w], n) for w, n in words_of(text).items() if w in terms))
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of all runs, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Index:
-    """Examples' unit vectors in blocks, with every term's largest weight in each block."""
+    """All examples' vectors, by example and by term. An example without words is in it, but near to nothing."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, tuple[tuple[int, int], ...]]]):
+    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, tuple[tuple[int, int], ...] | np.ndarray]]):
         self.terms, self.idf = {t: i for i, t in enumerate(terms)}, idf
-        vectors = [(self.vector(c), doc, label) for doc, label, c in examples if c]
-        # neighbours in this order share their heaviest terms, which keeps the blocks' bounds tight
-        vectors.sort(key=lambda v: (int(v[0][0][v[0][1].argmax()]), -float(v[0][1].max()), v[1]))
-        self.ids = np.array([v[1] for v in vectors], np.int64)
-        self.labels = np.array([v[2] for v in vectors], np.float64)
-        self.n_blocks = -(-len(vectors) // BLOCK)
-        self.highest = np.zeros((len(terms), max(1, self.n_blocks)), np.float64)
-        postings: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for row, ((at, weight), _, _) in enumerate(vectors):
-            for t, w in zip(at.tolist(), weight.tolist(), strict=True):
-                postings[t].append((row, w))
-                self.highest[t, row // BLOCK] = max(self.highest[t, row // BLOCK], w)
-        self.rows = [np.array([r for r, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
+        self.ids = np.array([doc for doc, _, _ in examples], np.int64)
+        self.labels = np.array([label for _, label, _ in examples], np.float64)
+        sizes = np.array([len(c) for _, _, c in examples], np.int64)
+        self.starts = np.append(0, np.cumsum(sizes))
+        pairs = np.concatenate([np.asarray(c, np.int32).reshape(-1, 2) for _, _, c in examples]) if examples else np.zeros((0, 2), np.int32)
+        self.term, self.n = pairs[:, 0].copy(), pairs[:, 1].copy()
+        squares = np.bincount(np.repeat(np.arange(len(sizes)), sizes), self._raw(self.term, self.n) ** 2, len(sizes))
+        self.lengths = np.where(squares > 0, np.sqrt(squares), 1.0)
+        by_term = np.argsort(self.term, kind="stable")
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by_term]
+        self.weight = (self._raw(self.term, self.n)[by_term] / self.lengths[self.row]).astype(np.float32)
+        holders = np.bincount(self.term, minlength=len(terms))
+        self.first = np.append(0, np.cumsum(holders))
+        dense = np.argsort(-holders, kind="stable")[:DENSE]
+        self.column = np.full(len(terms), -1, np.int32)
+        self.column[dense] = np.arange(len(dense))
+        self.dense: np.ndarray | None = None  # made anew in each process
         self.base, self.slope, self.shift = 0.0, 1.0, 0.0
-        self.cache: dict[tuple, tuple[float, list[int]]] = {}
+
+    def _raw(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (1 + np.log(n)) * self.idf[at]
+
+    @property
+    def rows(self) -> list[np.ndarray]:
+        """For each term, the examples that hold it."""
+        return np.split(self.row, self.first[1:-1])
+
+    @property
+    def weights(self) -> list[np.ndarray]:
+        """For each term, its weights in those examples."""
+        order = np.argsort(self.term, kind="stable")
+        return np.split(self._raw(self.term, self.n)[order] / self.lengths[self.row], self.first[1:-1])
+
+    def raw(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights, not yet divided by the vector's length."""
+        pairs = np.array(counts, np.int64).reshape(-1, 2)
+        return pairs[:, 0], self._raw(pairs[:, 0], pairs[:, 1])
 
     def vector(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array([t for t, _ in counts], np.int64)
-        weight = (1 + np.log([n for _, n in counts])) * self.idf[at]
-        return at, weight / np.sqrt((weight * weight).sum())
+        at, weight = self.raw(counts)
+        return at, weight / (np.sqrt((weight * weight).sum()) or 1.0)
+
+    def _rough(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The products of queries and examples in single precision."""
+        width = len(self.ids)
+        if self.dense is None:
+            self.dense = np.zeros((int((self.column >= 0).sum()), width), np.float32)
+            for t in np.flatnonzero(self.column >= 0):
+                part = slice(self.first[t], self.first[t + 1])
+                self.dense[self.column[t], self.row[part]] = self.weight[part]
+        which = np.repeat(np.arange(len(queries)), [len(at) for at, _ in queries])
+        at, weight = (np.concatenate(x) for x in zip(*queries, strict=True))
+        column = self.column[at]
+        often = column >= 0
+        q = np.zeros((len(queries), len(self.dense)), np.float32)
+        q[which[often], column[often]] = weight[often]
+        out = q @ self.dense
+        which, at, weight = which[~often], at[~often], weight[~often]
+        sizes = self.first[at + 1] - self.first[at]
+        posted = _spans(self.first[at], sizes)
+        if len(posted):
+            out += np.bincount(np.repeat(which * width, sizes) + self.row[posted], np.repeat(weight, sizes) * self.weight[posted], out.size).reshape(out.shape)
+        return out
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each unit vector, rows and cosines of the k nearest examples with a cosine over 0, ties by id."""
+        if not len(self.ids) or not queries:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        found, q = [], np.zeros(len(self.terms))
+        for i, ((at, weight), rough) in enumerate(zip(queries, self._rough(queries), strict=True)):
+            if skip and skip[i] is not None:
+                rough[skip[i]] = 0
+            least = np.partition(rough, -k)[-k] - SLACK if len(rough) > k else 0.0
+            rows = np.flatnonzero((rough >= least) & (rough > 0))
+            sizes = self.starts[rows + 1] - self.starts[rows]
+            held = _spans(self.starts[rows], sizes)
+            q[at] = weight
+            term = self.term[held]
+            products = q[term] * self._raw(term, self.n[held])
+            q[at] = 0
+            cosines = np.add.reduceat(products, np.cumsum(sizes) - sizes) / self.lengths[rows] if len(rows) else np.zeros(0)
+            best = np.lexsort((self.ids[rows], -cosines.round(12)))[:k]
+            found.append((rows[best], cosines[best]))
+        return found
 
     def nearest(self, counts: tuple[tuple[int, int], ...], k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples with a cosine over 0, ties by id."""
-        at, weight = self.vector(counts)
-        bound = weight @ self.highest[at]
-        order = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())]
-        posted = np.concatenate([self.rows[t] for t in at.tolist()])
-        share = np.concatenate([w * self.weights[t] for t, w in zip(at.tolist(), weight.tolist(), strict=True)])
-        block, within = posted // BLOCK, posted % BLOCK
-        rows, cosines, floor, done = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        step = FIRST_BLOCKS
-        chosen = np.full(self.n_blocks, -1, np.int64)
-        while done < len(order) and bound[order[done]] >= floor - 1e-12:
-            now = order[done : done + step]
-            now = now[bound[now] >= floor - 1e-12]
-            chosen[now] = np.arange(len(now))
-            place = chosen[block]
-            inside = place >= 0
-            score = np.bincount(place[inside] * BLOCK + within[inside], share[inside], len(now) * BLOCK)
-            chosen[now] = -1
-            hit = np.flatnonzero(score)
-            here = now[hit // BLOCK] * BLOCK + hit % BLOCK
-            if skip is not None:
-                hit, here = hit[here != skip], here[here != skip]
-            rows, cosines = np.append(rows, here), np.append(cosines, score[hit])
-            if len(rows) > k:
-                best = np.lexsort((self.ids[rows], -cosines.round(12)))[:k]
-                rows, cosines = rows[best], cosines[best]
-            if len(rows) == k:
-                floor = cosines.min()
-            done, step = done + step, 8 * step
-        best = np.lexsort((self.ids[rows], -cosines.round(12)))[:k]
-        return rows[best], cosines[best]
-
-    def vote(self, counts: tuple[tuple[int, int], ...], skip: int | None = None) -> tuple[float, np.ndarray]:
-        if not counts or not len(self.ids):
-            return self.base, np.zeros(0, np.int64)
-        rows, cosines = self.nearest(counts, NEIGHBOURS, skip)
-        w = cosines * cosines
-        return float((w @ self.labels[rows] + PRIOR * self.base) / (w.sum() + PRIOR)), rows
-
-    def calibrate(self, examples: list[tuple[int, int, tuple[tuple[int, int], ...]]]) -> None:
+        return self.search([self.vector(counts)], k, [skip])[0]
+
+    def calibrate(self, examples: list[tuple[int, int, tuple[tuple[int, int], ...] | np.ndarray]]) -> None:
         """Fit the logistic curve over each example's vote without itself (Newton steps, a weak pull to the identity)."""
-        row_of = {int(i): r for r, i in enumerate(self.ids)}
-        examples = examples[:: -(-len(examples) // MAX_CALIBRATION)]
-        y = np.array([label for _, label, _ in examples], float)
-        votes = np.array([self.vote(c, row_of.get(doc))[0] for doc, _, c in examples])
+        rows = list(range(0, len(examples), -(-len(examples) // MAX_CALIBRATION)))
+        y, votes = self.labels[rows], []
+        for i in range(0, len(rows), GROUP):
+            some = rows[i : i + GROUP]
+            for near, cosines in self.search([self.vector(examples[r][2]) for r in some], NEIGHBOURS, some):
+                w = cosines * cosines
+                votes.append(float((w @ self.labels[near] + PRIOR * self.base) / (w.sum() + PRIOR)))
+        votes = np.array(votes)
         x = _logit(votes)
         theta, pull = np.array([1.0, 0.0]), np.array([1.0, 1.0])
         for _ in range(50):
@@ -124,46 +170,42 @@ class Index:
             theta = theta - step / max(1.0, np.abs(step).max())
         self.slope, self.shift = max(float(theta[0]), 1e-3), float(theta[1])
 
-    def score(self, counts: tuple[tuple[int, int], ...]) -> tuple[float, list[int]]:
-        found = self.cache.get(counts)
-        if found is None:
-            vote, rows = self.vote(counts)
-            found = (float(1 / (1 + np.exp(-(self.slope * _logit(vote) + self.shift)))), self.ids[rows].tolist())
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[counts] = found
-        return found
-
 
 def _logit(p):
     p = np.clip(p, 1e-6, 1 - 1e-6)
     return np.log(p / (1 - p))
 
 
-def _document_frequencies(documents: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
-    """Documents that hold each term, and all documents: summed by task, then over the tasks (len(terms) + 1 rows)."""
-    shared = documents.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-    width = len(terms) + 1
+def word_counts(documents: DataFrame) -> DataFrame:
+    """word, n: the documents that hold each word, and under a null word all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(width, np.int64)
-        known = shared.value.keys()
+        n: Counter = Counter()
+        rows = 0
+
+        def handed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([*n, None], pa.string()), pa.array([*n.values(), rows], pa.int64())], ["word", "n"])
+
         for batch in batches:
             for text in batch.column(0):
-                for w in known & set(WORD.findall((text.as_py() or "").lower())):
-                    n[shared.value[w]] += 1
-            n[-1] += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(n)], ["i", "n"])
+                n.update(set(WORD.findall((text.as_py() or "").lower())))
+                if len(n) > FLUSH:
+                    yield handed()
+                    n.clear()
+                    rows = 0
+                rows += 1
+        yield handed()
 
-    rows = documents.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(width, np.int64)
-    for r in rows:
-        out[r["i"]] = r["n"]
-    return out[:-1], int(out[-1])
+    return documents.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
-    """The index of labelled examples. Null labels and null ids teach nothing; an id is toxic if any of its rows says so."""
+def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, counts: DataFrame | None = None) -> Index:
+    """The index of labelled examples. Null labels and null ids teach nothing; an id is toxic if any of its rows says so.
+
+    ``counts`` is the written table of :func:`word_counts`. The examples' words are gathered on the driver,
+    at most max_examples documents' worth.
+    """
+    counts = materialize(word_counts(documents), "words") if counts is None else counts
     ids = labels.select(F.col("doc_id").cast("long"), "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
     ids = ids.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)  # its size is bounded, so it may be broadcast
@@ -172,65 +214,100 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(batch.column(1)):
-                found = Counter(WORD.findall((text.as_py() or "").lower())) or {"": 1}
+                found = words_of(text.as_py()) or {"": 1}
                 n = pa.array([i] * len(found), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(n), batch.column(2).take(n), pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["doc_id", "toxic", "word", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(n), batch.column(2).take(n), pa.array(list(found)), pa.array(list(found.values()), pa.int32())], ["doc_id", "toxic", "word", "n"])
 
     # repeated rows of a document count once, with their largest counts
-    each = texts.mapInArrow(words, "doc_id long, toxic int, word string, n long").groupBy("doc_id", "toxic", "word").agg(F.max("n").alias("n"))
+    each = texts.mapInArrow(words, "doc_id long, toxic int, word string, n int").groupBy("doc_id", "toxic", "word").agg(F.max("n").alias("n"))
     each = each.persist()
-    try:
-        total = each.select("doc_id", "toxic").distinct().agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-        n, t = total["n"], total["t"] or 0
-        by_word = each.filter("word <> ''").groupBy("word").agg(F.count("*").alias("d"), F.sum("toxic").alias("a"))
-        chi2 = "{n} * pow(CAST(a AS DOUBLE) * ({n} - d - {t} + a) - CAST(d - a AS DOUBLE) * ({t} - a), 2) / (CAST(d AS DOUBLE) * ({n} - d) * {t} * ({n} - {t}))"
-        terms: list[str] = []
-        tested = by_word.filter(f"d >= {MIN_DOCS}").count()
-        least = 2 * np.log(max(tested, 1) / CHANCE)  # bounds the chi-squared value that one of so many words reaches by chance
-        if 0 < t < n:
-            chosen = by_word.filter(f"d >= {MIN_DOCS} AND d < {n} AND a * {n} > CAST(d AS BIGINT) * {t}").withColumn("chi2", F.expr(chi2.format(n=f"{n}D", t=f"{t}D")))
-            terms = [r["word"] for r in chosen.filter(F.col("chi2") >= float(least)).orderBy(F.desc("chi2"), "word").limit(MAX_TERMS).collect()]
-        known = documents.sparkSession.createDataFrame([(w, i) for i, w in enumerate(terms)], "word string, term int")
-        kept = each.join(F.broadcast(known), "word").groupBy("doc_id", "toxic").agg(F.collect_list(F.struct("term", "n")).alias("terms"))
-        rows = each.select("doc_id", "toxic").distinct().join(kept, ["doc_id", "toxic"], "left").collect()  # max_examples rows at most
-    finally:
-        each.unpersist()
-    examples = [(r["doc_id"], r["toxic"], tuple(sorted((x["term"], x["n"]) for x in r["terms"] or ()))) for r in rows]
-    examples.sort()
-    df, all_docs = _document_frequencies(documents, terms)
-    index = Index(terms, np.log((1 + all_docs) / (1 + df)) + 1, examples)
-    index.base = (t + 0.5) / (n + 1)
+    all_docs = _all_documents(counts)
+    own = each.filter("word <> ''").select("word").distinct().withColumn("own", F.lit(True))
+    known = counts.filter("word IS NOT NULL").join(own, "word", "left").filter(f"own OR n * {WIDE} > {all_docs}").select("word", "n").toArrow()
+    terms = known.column("word").combine_chunks()
+    order = pa.compute.array_sort_indices(terms)
+    terms, df = terms.take(order), known.column("n").combine_chunks().take(order).to_numpy()
+    docs = sorted((r["doc_id"], r["toxic"]) for r in each.select("doc_id", "toxic").distinct().collect())
+    held = each.filter("word <> ''").select("doc_id", "word", "n").toArrow()
+    each.unpersist()
+    at = np.concatenate([pa.compute.index_in(c, terms).to_numpy() for c in held.column("word").chunks] or [np.zeros(0, np.int32)])
+    doc, n = held.column("doc_id").to_numpy(), held.column("n").to_numpy()
+    del held
+    order = np.lexsort((at, doc))
+    doc, pairs = doc[order], np.stack([at[order], n[order]], 1).astype(np.int32)
+    wanted = np.array([i for i, _ in docs], np.int64)
+    low, high = np.searchsorted(doc, wanted), np.searchsorted(doc, wanted, "right")
+    examples = [(i, label, pairs[a:b]) for (i, label), a, b in zip(docs, low, high, strict=True)]
+    index = Index(terms.to_pylist(), np.log((1 + all_docs) / (1 + df)) + 1, examples)
+    index.base = (sum(label for _, label in docs) + 0.5) / (len(docs) + 1)
     index.calibrate(examples) if examples else None
-    index.cache.clear()
+    index.dense = None
     return index
 
 
+def _all_documents(counts: DataFrame) -> int:
+    return counts.filter("word IS NULL").agg(F.sum("n")).first()[0] or 0
+
+
 def toxicity(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, evidence, then the columns ``carry``.
 
     evidence lists the ids of the nearest examples, nearest first. Null and empty texts, and texts
-    without a known word, take the calibrated base rate. Without labels of both kinds all scores are
+    without a word of an example, take the calibrated base rate. Without labels of both kinds all scores are
     near the smoothed base rate. Repeated rows give repeated results. Labels, language, source and id
-    are no inputs of a score. No shuffle of the documents; the index is bounded and broadcast.
+    are no inputs of a score. The index is bounded and broadcast; the order of the neighbours does not
+    depend on the length of a document's vector, so only the lengths are joined afterwards.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, max_examples))
+    counts = materialize(word_counts(documents), "words")
+    all_docs = _all_documents(counts)
+    index = fit(documents, labels, max_examples, counts)
+    shared = documents.sparkSession.sparkContext.broadcast(index)
     own = documents.select(*carry)
     rows = documents.select(F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("_id"), held_out().alias("_held_out"), *carry)
-    schema = documents.sparkSession.createDataFrame([], "doc_id long, held_out boolean, score double, predicted int, evidence array<long>").schema
+    schema = documents.sparkSession.createDataFrame([], "_task long, _row long, doc_id long, held_out boolean, _square double, _w double, _toxic double, evidence array<long>, _other array<struct<word: string, n: int>>").schema
     for f in own.schema.fields if carry else ():
         schema = schema.add(f"_{f.name}", f.dataType, True)
+    other_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
-            found = [index.score(counts_of(t.as_py(), index.terms)) for t in batch.column(0)]
-            score = [f[0] for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.int64())), *batch.columns[3:]],
-                schema.names,
-            )
-
-    return rows.mapInArrow(run, schema)
+        known = index.terms
+        task, done = int(np.random.default_rng().integers(2**63)), 0  # names the rows of this task; they are written once
+        for whole in batches:
+            for start in range(0, whole.num_rows, GROUP):
+                batch = whole.slice(start, GROUP)
+                vectors, squares, others = [], [], []
+                for text in batch.column(0):
+                    found = words_of(text.as_py())
+                    at, weight = index.raw(tuple(sorted((known[w], n) for w, n in found.items() if w in known)))
+                    square = float((weight * weight).sum())
+                    vectors.append((at, weight / (np.sqrt(square) or 1.0)))
+                    squares.append(square)
+                    others.append([{"word": w, "n": n} for w, n in found.items() if w not in known])
+                near = index.search(vectors, NEIGHBOURS)
+                # sums of squared products, with the document's vector still at its own length
+                sums = [s * float(c @ c) for s, (_, c) in zip(squares, near, strict=True)]
+                toxic = [s * float((c * c) @ index.labels[r]) for s, (r, c) in zip(squares, near, strict=True)]
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([task] * n, pa.int64()), pa.array(range(done, done + n), pa.int64()), batch.column(1), batch.column(2), pa.array(squares, pa.float64()), pa.array(sums, pa.float64()), pa.array(toxic, pa.float64()),
+                        pa.array([index.ids[r].tolist() for r, _ in near], pa.list_(pa.int64())), pa.array(others, other_type), *batch.columns[3:],
+                    ],
+                    schema.names,
+                )
+                done += n
+
+    near = materialize(rows.mapInArrow(run, schema), "neighbours")
+    rest = near.select("_task", "_row", F.explode("_other").alias("o")).select("_task", "_row", F.col("o.word").alias("word"), F.col("o.n").alias("_n"))
+    rest = rest.join(counts, "word").groupBy("_task", "_row").agg(F.sum(F.expr(f"pow((1 + ln(_n)) * (ln((1 + {all_docs}D) / (1 + n)) + 1), 2)")).alias("_rest"))
+    scored = near.drop("_other").join(rest, ["_task", "_row"], "left").withColumn("_all", F.col("_square"))
+    share = F.when(F.col("_all") > 0, 1 / F.col("_all")).otherwise(0.0)
+    vote = (F.col("_toxic") * share + PRIOR * index.base) / (F.col("_w") * share + PRIOR)
+    vote = F.least(F.greatest(vote, F.lit(1e-6)), F.lit(1 - 1e-6))
+    score = 1 / (1 + F.exp(-(index.slope * F.ln(vote / (1 - vote)) + index.shift)))
+    out = scored.withColumn("score", score)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", *[f"_{c}" for c in carry])
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:

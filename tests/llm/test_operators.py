@@ -266,6 +266,24 @@ def test_toxicity_rows(spark, odd_documents, no_documents, labels):
     assert sum(r["predicted"] == r["toxic"] for r in held) > 0.9 * len(held)
 
 
+def test_toxicity_uses_all_words_of_all_examples(spark):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha gamma"), (3, "delta"), (4, "beta gamma delta"), (6, "alpha beta")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i == 3)) for i in (1, 2, 3, 4)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, marks)
+    assert index.ids.tolist() == [1, 2, 3, 4] and set(index.terms) == {"alpha", "beta", "gamma", "delta"}
+    df = {"alpha": 3, "beta": 3, "gamma": 2, "delta": 2}
+
+    def vector(text):
+        v = {w: (1 + np.log(text.split().count(w))) * (np.log(6 / (1 + df[w])) + 1) for w in text.split()}
+        return {w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.toxicity(docs, marks).collect():
+        own = vector(texts[r["doc_id"]])
+        cosines = {i: sum(own.get(w, 0) * x for w, x in vector(texts[i]).items()) for i in (1, 2, 3, 4)}
+        assert r["evidence"] == sorted((i for i in cosines if cosines[i] > 0), key=lambda i: (-round(cosines[i], 12), i))
+
+
 def test_simhash_by_brute_force(spark, odd_documents, no_documents):
     def slow(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
