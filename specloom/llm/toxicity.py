@@ -301,7 +301,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EX
     near = materialize(rows.mapInArrow(run, schema), "neighbours")
     rest = near.select("_task", "_row", F.explode("_other").alias("o")).select("_task", "_row", F.col("o.word").alias("word"), F.col("o.n").alias("_n"))
     rest = rest.join(counts, "word").groupBy("_task", "_row").agg(F.sum(F.expr(f"pow((1 + ln(_n)) * (ln((1 + {all_docs}D) / (1 + n)) + 1), 2)")).alias("_rest"))
-    scored = near.drop("_other").join(rest, ["_task", "_row"], "left").withColumn("_all", F.col("_square"))
+    scored = near.drop("_other").join(rest, ["_task", "_row"], "left").withColumn("_all", F.col("_square") + F.coalesce("_rest", F.lit(0.0)))
     share = F.when(F.col("_all") > 0, 1 / F.col("_all")).otherwise(0.0)
     vote = (F.col("_toxic") * share + PRIOR * index.base) / (F.col("_w") * share + PRIOR)
     vote = F.least(F.greatest(vote, F.lit(1e-6)), F.lit(1 - 1e-6))

@@ -284,6 +284,17 @@ def test_toxicity_uses_all_words_of_all_examples(spark):
         assert r["evidence"] == sorted((i for i in cosines if cosines[i] > 0), key=lambda i: (-round(cosines[i], 12), i))
 
 
+def test_toxicity_of_one_word_in_a_long_text(spark):
+    long = " ".join(f"plain{i}" for i in range(3_000)) + " vile"
+    rows = [(i, "vile") for i in range(1, 40)] + [(i, f"calm words number{i}") for i in range(40, 80)] + [(100, long), (101, "vile"), (102, "nothing known")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 40)) for i in range(1, 70)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, marks)
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, marks).collect()}
+    assert got[101]["score"] > 0.9 and len(got[100]["evidence"]) == toxicity.NEIGHBOURS
+    assert abs(got[100]["score"] - got[102]["score"]) < 0.05 and abs(index.base - 0.5) < 0.2
+
+
 def test_simhash_by_brute_force(spark, odd_documents, no_documents):
     def slow(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
