@@ -239,7 +239,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     low, high = np.searchsorted(doc, wanted), np.searchsorted(doc, wanted, "right")
     examples = [(i, label, pairs[a:b]) for (i, label), a, b in zip(docs, low, high, strict=True)]
     index = Index(terms.to_pylist(), np.log((1 + all_docs) / (1 + df)) + 1, examples)
-    index.base = (sum(label for _, label in docs) + 0.5) / (len(docs) + 1)
+    index.base = (sum(label for _, label in docs) + 0.5) / (len(docs) + 1) if docs else 0.0
     index.calibrate(examples) if examples else None
     index.dense = None
     return index
@@ -254,7 +254,8 @@ def toxicity(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EX
 
     evidence lists the ids of the nearest examples, nearest first. Null and empty texts, and texts
     without a word of an example, take the calibrated base rate. Without labels of both kinds all scores are
-    near the smoothed base rate. Repeated rows give repeated results. Labels, language, source and id
+    near the smoothed base rate. Without any usable labelled document nothing can be learnt: scores are near 0
+    and nothing is predicted toxic. Repeated rows give repeated results. Labels, language, source and id
     are no inputs of a score. The index is bounded and broadcast; the order of the neighbours does not
     depend on the length of a document's vector, so only the lengths are joined afterwards.
     """

@@ -295,6 +295,13 @@ def test_toxicity_of_one_word_in_a_long_text(spark):
     assert abs(got[100]["score"] - got[102]["score"]) < 0.05 and abs(index.base - 0.5) < 0.2
 
 
+def test_nothing_is_dropped_when_nothing_can_be_learnt(spark, odd_documents):
+    held = next(i for i in range(1, 100) if zlib.crc32(str(i).encode()) % 5 == 0)
+    for rows in ([], [(1, None), (2, None)], [(held, 1)], [(99_999, 1)]):
+        kept = toxicity.keep_clean(odd_documents, spark.createDataFrame(rows, "doc_id long, toxic int"))
+        assert sorted(map(repr, kept.collect())) == sorted(map(repr, odd_documents.collect()))
+
+
 def test_simhash_by_brute_force(spark, odd_documents, no_documents):
     def slow(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
