@@ -274,14 +274,15 @@ def simhash_components(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that stay when each component keeps the document with its smallest id.
 
-    Of repeated rows with that id, the one with the smallest text stays; of a component in which no
-    document has an id, likewise. The texts are shuffled once, by doc_id.
+    Of repeated rows with that id in one component, the one with the smallest text stays; of a component
+    in which no document has an id, likewise. An id that stands on rows of several components is kept
+    once for each. Only rows whose id names a component are fingerprinted again and shuffled, by root.
     """
     docs, by_fp = _components(documents)
-    row = F.min_by(F.struct(*documents.columns), F.coalesce("text", F.lit(""))).alias("row")
-    kept = docs.join(by_fp, "fp").filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = documents.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").groupBy("doc_id").agg(row)
-    loose = documents.filter("doc_id IS NULL").select(F.struct(*documents.columns).alias("_row"), "text")
-    loose = fingerprints(loose, ("_row",)).join(by_fp.filter("component_id IS NULL"), "fp")
-    unnamed = loose.groupBy("root").agg(F.min_by("_row", F.coalesce("_row.text", F.lit(""))).alias("row"))
-    return named.select("row.*").unionByName(unnamed.select("row.*"))
+    own = F.struct(*documents.columns).alias("_row")
+    names = by_fp.select("component_id").filter("component_id IS NOT NULL").distinct()
+    able = documents.join(names, F.col("doc_id").cast("long") == F.col("component_id"), "left_semi").select(own, "text")
+    able = able.unionByName(documents.filter("doc_id IS NULL").select(own, "text"))
+    rows = fingerprints(able, ("_row",)).join(by_fp, "fp").filter(F.col("_row.doc_id").cast("long").eqNullSafe(F.col("component_id")))
+    kept = rows.groupBy("root").agg(F.min_by("_row", F.coalesce("_row.text", F.lit(""))).alias("row"))
+    return kept.select("row.*")

@@ -327,6 +327,13 @@ def test_simhash_by_brute_force(spark, odd_documents, no_documents):
     assert simhash.simhash_components(no_documents).collect() == []
 
 
+def test_simhash_keeps_one_of_each_component_when_ids_repeat(spark):
+    a, b, c = "one two three four five", "red green blue black white", "north south east west middle"
+    for rows, want in (([(5, None), (5, a)], [(5, None), (5, a)]), ([(5, a), (5, b), (3, b)], [(3, b), (5, a)]), ([(5, b), (5, a), (3, b), (None, c), (None, c)], [(3, b), (5, a), (None, c)]), ([(5, a), (5, a)], [(5, a)])):
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(1_000, 1_000 + i) for i in range(1, 50)] + [(None, 3), (5, 5)], "a long, b long")
     roots = {r["node"]: r["root"] for r in common.connected_components(edges, "a", "b").collect()}
