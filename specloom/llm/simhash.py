@@ -26,8 +26,9 @@ from specloom.llm.common import connected_components, group_bounds, materialize,
 BITS, LIMIT, SEED = 64, 3, 42
 PARTITIONS = (2, 3, 4, 5)  # numbers of partitions that are weighed against each other
 PROBE_COST = 20.0  # of writing one probe, in verified pairs
-HOT = 20_000  # members from which a bucket is split again by the rest of its bits
+HOT = 20_000  # members from which a bucket is split again by the rest of its bits, and then dealt out in pairs of chunks
 TILE = 1024
+KEYS = ["part", "key", "sub", "subkey", "low", "high"]  # of a group of fingerprints to be compared
 
 
 def fingerprint(text: str | None) -> int:
@@ -206,9 +207,8 @@ def links_in_bucket(fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys = ["part", "key", "sub", "subkey"]
-    for table in sorted_groups(batches, keys):
-        bounds = group_bounds(table, keys)
+    for table in sorted_groups(batches, KEYS):
+        bounds = group_bounds(table, KEYS)
         fp, home = table.column("fp").to_numpy(), table.column("home").to_numpy(zero_copy_only=False)
         sizes = np.diff(bounds)
         a, b = [], []
@@ -228,24 +228,38 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a[differ]), pa.array(b[differ])], ["a", "b"])
 
 
-def fingerprint_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
-    """Links (a, b) among distinct fingerprints that connect all and only those within LIMIT bits of each other.
+def dealt(distinct: DataFrame, parts: list[tuple[int, int]], hot: int) -> DataFrame:
+    """fp and home under the keys of the groups to be compared, none much larger than two times ``hot``.
 
     Buckets of more than ``hot`` members are split once more: each member goes under its values on
-    LIMIT + 1 parts of the remaining bits, which again loses no link.
+    LIMIT + 1 parts of the remaining bits, which loses no link. Sub-buckets that still have more are
+    dealt out as pairs of chunks (low, high), so each two of their members meet in some group.
     """
-    parts = plan(distinct)
     placed = materialize(_placed(distinct, parts), "probes")
     full = placed.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("part", "key", F.lit(True).alias("is_hot"))
-    rows = placed.join(full, ["part", "key"], "left")
+    full = F.broadcast(materialize(full, "hot"))  # a row for more than ``hot`` probes
     subs = F.lit(None)
     for i, (mask, _) in enumerate(parts):
         one = F.array(*[F.struct(F.lit(k + 1).alias("sub"), F.col("fp").bitwiseAND(F.lit(m)).alias("subkey")) for k, m in enumerate(_rest_masks(mask))])
         subs = F.when(F.col("part") == i, one).otherwise(subs)
     whole = F.array(F.struct(F.lit(0).alias("sub"), F.lit(0).cast("long").alias("subkey")))
-    rows = rows.withColumn("s", F.explode(F.when(F.col("is_hot"), subs).otherwise(whole))).select("part", "key", "s.sub", "s.subkey", "fp", "home")
     keys = ["part", "key", "sub", "subkey"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_verify, "a long, b long")
+
+    def split(how: str) -> DataFrame:
+        rows = placed.join(full, ["part", "key"], how)
+        return rows.withColumn("s", F.explode(F.when(F.col("is_hot"), subs).otherwise(whole))).select("part", "key", "s.sub", "s.subkey", "fp", "home")
+
+    again = split("inner").groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > hot).select(*keys, F.ceil(F.col("n") / hot).cast("int").alias("chunks"))
+    rows = split("left").join(F.broadcast(materialize(again, "hot-parts")), keys, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).filter("chunks = 1 OR chunk <> other")
+    return rows.select(*keys, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "fp", "home")
+
+
+def fingerprint_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
+    """Links (a, b) among distinct fingerprints that connect all and only those within LIMIT bits of each other."""
+    rows = dealt(distinct, plan(distinct), hot)
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "fp").mapInArrow(_verify, "a long, b long")
 
 
 def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:

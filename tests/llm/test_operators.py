@@ -334,6 +334,22 @@ def test_simhash_keeps_one_of_each_component_when_ids_repeat(spark):
         assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
 
 
+def test_simhash_deals_out_a_large_close_family(spark):
+    spread = [0, 5, 11, 16, 22, 27, 33, 38, 44, 49, 55, 60]
+    fps = [sum((i >> k & 1) << b for k, b in enumerate(spread)) for i in range(0, 4096, 2)]
+    lone = [sum(1 << b for b in range(k, 64, 7)) for k in range(1, 5)]
+    distinct = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps + lone], "fp long")
+    hot = 100
+    rows = simhash.dealt(distinct, simhash.plan(distinct), hot)
+    assert rows.groupBy(*simhash.KEYS).count().agg(F.max("count")).first()[0] <= 3 * hot
+    links = simhash.fingerprint_links(distinct, hot=hot).collect()
+    at = {f - (f >> 63 << 64): i for i, f in enumerate(fps + lone)}
+    roots = _components(len(at), {(at[r["a"]], at[r["b"]]) for r in links})
+    everything = fps + lone
+    want = _components(len(at), [(i, j) for i, j in itertools.combinations(range(len(at)), 2) if (everything[i] ^ everything[j]).bit_count() <= simhash.LIMIT])
+    assert roots == want
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(1_000, 1_000 + i) for i in range(1, 50)] + [(None, 3), (5, 5)], "a long, b long")
     roots = {r["node"]: r["root"] for r in common.connected_components(edges, "a", "b").collect()}
