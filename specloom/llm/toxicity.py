@@ -1,14 +1,21 @@
 """Toxicity by the nearest labelled examples.
 
-Documents and labelled examples are TF-IDF vectors over all their words; document frequencies count all
-documents. Every document is compared with every example by exact cosine: the words that most examples
-hold by a dense product, all others by an inverted index, both in single precision; what can still be
-among the nearest is computed again in double precision. The neighbours vote with the square of their
-cosine against a prior of the base rate, and a logistic curve fitted to leave-one-out votes turns the
-vote into a calibrated score. The neighbours are the evidence.
+Documents and labelled examples are TF-IDF vectors over all their words: (1 + ln n) * idf * rf. The
+document frequencies behind idf count all documents; rf = log2(2 + toxic / max(1, clean)) is the relevance
+frequency of supervised term weighting, from the examples that hold the word, and 1 for any other word.
+
+The examples stand in blocks of similar ones, in an inverted index with block maxima. A query first
+traverses the postings of its rarer words whole; the best sum in a block and the block's largest weight of
+each common word bound every cosine in it. A few blocks of the highest bounds are scored, and then only
+those whose bound reaches the k-th best cosine so far; no neighbour is lost. What can be among the nearest
+in single precision is computed again in double precision.
+
+The neighbours vote with the square of their cosine against a prior of the base rate, and a logistic curve
+fitted to leave-one-out votes turns the vote into a calibrated score. The neighbours are the evidence.
 
 Words that neither an example nor a large share of the documents holds lower a cosine only by the length
 of the vector. Their frequencies are too many for one task, so they are joined to the documents' words.
+Words are known by a hash of 64 bits.
 """
 
 from __future__ import annotations
@@ -19,20 +26,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import materialize
+from specloom.llm.common import materialize, release
 
 MAX_EXAMPLES = 16_384  # labelled documents used: the bound of the sample, those with the smallest hashed ids
+MAX_WORDS = 40_000_000  # distinct words of the examples, summed over them: the sample ends before it has more
 NEIGHBOURS, PRIOR = 15, 0.5
-DENSE = 512  # words of the dense product, those with the longest postings
-GROUP = 32  # documents that are compared at once
+BLOCK = 64  # examples of a block
+COMMON = 1_024  # words with the longest postings, which are skipped by blocks
+SEEDS = 4  # blocks that are scored first, for a threshold
+GROUP = 128  # documents that are compared at once
 SLACK = 1e-4  # above the rounding errors of a cosine in single precision
 WIDE = 1_000  # a word of more than one in so many documents is known to every task, so no join has a hot word
 FLUSH = 1_000_000  # words that a task counts before it hands the counts on
 MAX_CALIBRATION = 4_096  # examples whose votes the curve is fitted to: the bound of that sample, every k-th
+FEW_TOXIC = 1_000_000  # keys of rejected rows (16 bytes each) up to which they are broadcast; more are joined by a shuffle
 WORD = re.compile(r"\w+")
 
 
@@ -45,9 +57,16 @@ def words_of(text: str | None) -> Counter:
     return Counter(WORD.findall((text or "").lower()))
 
 
-def counts_of(text: str | None, terms: dict[str, int]) -> tuple[tuple[int, int], ...]:
-    """(term, occurrences) of the known terms in a text, by term."""
-    return tuple(sorted((terms[w], n) for w, n in words_of(text).items() if w in terms))
+def hash_of(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def hashed(found: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes in ascending order, and their counts."""
+    h = np.fromiter(map(hash_of, found), np.uint64, len(found))
+    n = np.fromiter(found.values(), np.int64, len(found))
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -56,86 +75,159 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor().compress(x.tobytes())
+
+
+def _unpacked(raw: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
+def halved(x: np.ndarray, rows: np.ndarray, block: int) -> list[np.ndarray]:
+    """``rows`` of x in blocks of similar ones: cut in two along the direction of greatest spread, again and again."""
+    if len(rows) <= block:
+        return [rows]
+    own = x[rows] - x[rows].mean(0)
+    direction = 1 + np.arange(x.shape[1], dtype=x.dtype) / x.shape[1]
+    for _ in range(8):
+        direction = own.T @ (own @ direction)
+        direction /= np.linalg.norm(direction) or 1.0
+    order = rows[np.argsort(own @ direction, kind="stable")]
+    middle = -(-len(rows) // (2 * block)) * block  # all blocks but the last are full
+    return halved(x, order[:middle], block) + halved(x, order[middle:], block)
+
+
 class Index:
-    """All examples' vectors, by example and by term. An example without words is in it, but near to nothing."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, tuple[tuple[int, int], ...] | np.ndarray]]):
-        self.terms, self.idf = {t: i for i, t in enumerate(terms)}, idf
-        self.ids = np.array([doc for doc, _, _ in examples], np.int64)
-        self.labels = np.array([label for _, label, _ in examples], np.float64)
-        sizes = np.array([len(c) for _, _, c in examples], np.int64)
-        self.starts = np.append(0, np.cumsum(sizes))
-        pairs = np.concatenate([np.asarray(c, np.int32).reshape(-1, 2) for _, _, c in examples]) if examples else np.zeros((0, 2), np.int32)
-        self.term, self.n = pairs[:, 0].copy(), pairs[:, 1].copy()
-        squares = np.bincount(np.repeat(np.arange(len(sizes)), sizes), self._raw(self.term, self.n) ** 2, len(sizes))
-        self.lengths = np.where(squares > 0, np.sqrt(squares), 1.0)
-        by_term = np.argsort(self.term, kind="stable")
-        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by_term]
-        self.weight = (self._raw(self.term, self.n)[by_term] / self.lengths[self.row]).astype(np.float32)
-        holders = np.bincount(self.term, minlength=len(terms))
-        self.first = np.append(0, np.cumsum(holders))
-        dense = np.argsort(-holders, kind="stable")[:DENSE]
-        self.column = np.full(len(terms), -1, np.int32)
-        self.column[dense] = np.arange(len(dense))
-        self.dense: np.ndarray | None = None  # made anew in each process
-        self.base, self.slope, self.shift = 0.0, 1.0, 0.0
+    """All examples' vectors, by example and by term, in blocks. An example without words is in it, but near to nothing.
 
-    def _raw(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (1 + np.log(n)) * self.idf[at]
-
-    @property
-    def rows(self) -> list[np.ndarray]:
-        """For each term, the examples that hold it."""
-        return np.split(self.row, self.first[1:-1])
-
-    @property
-    def weights(self) -> list[np.ndarray]:
-        """For each term, its weights in those examples."""
-        order = np.argsort(self.term, kind="stable")
-        return np.split(self._raw(self.term, self.n)[order] / self.lengths[self.row], self.first[1:-1])
-
-    def raw(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights, not yet divided by the vector's length."""
-        pairs = np.array(counts, np.int64).reshape(-1, 2)
-        return pairs[:, 0], self._raw(pairs[:, 0], pairs[:, 1])
-
-    def vector(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        at, weight = self.raw(counts)
-        return at, weight / (np.sqrt((weight * weight).sum()) or 1.0)
-
-    def _rough(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The products of queries and examples in single precision."""
-        width = len(self.ids)
-        if self.dense is None:
-            self.dense = np.zeros((int((self.column >= 0).sum()), width), np.float32)
-            for t in np.flatnonzero(self.column >= 0):
-                part = slice(self.first[t], self.first[t + 1])
-                self.dense[self.column[t], self.row[part]] = self.weight[part]
-        which = np.repeat(np.arange(len(queries)), [len(at) for at, _ in queries])
-        at, weight = (np.concatenate(x) for x in zip(*queries, strict=True))
-        column = self.column[at]
+    terms: ascending hashes; factor: idf times rf of each; examples: (id, label, terms' positions, counts).
+    """
+
+    def __init__(self, terms: np.ndarray, factor: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
+        self.terms, self.factor = terms, factor
+        self._fill(examples)
+        lengths, term, weight = self._weights()
+        holders = np.bincount(term, minlength=len(terms))
+        common = np.argsort(-holders, kind="stable")[:256]
+        column = np.full(len(terms), -1)
+        column[common] = np.arange(len(common))
+        x = np.zeros((len(examples), len(common)), np.float32)
+        often = column[term] >= 0
+        x[np.repeat(np.arange(len(examples)), self.sizes)[often], column[term[often]]] = weight[often]
+        order = np.concatenate(halved(x, np.arange(len(examples)), BLOCK)) if examples and len(common) else range(len(examples))
+        self._fill([examples[i] for i in order])
+        self.ready = False
+
+    def _fill(self, examples: list) -> None:
+        self.ids = np.array([e[0] for e in examples], np.int64)
+        self.labels = np.array([e[1] for e in examples], np.float64)
+        self.sizes = np.array([len(e[2]) for e in examples], np.int64)
+        self.term = np.concatenate([np.zeros(0, np.int32), *[np.asarray(e[2], np.int32) for e in examples]])
+        self.n = np.concatenate([np.zeros(0, np.int32), *[np.asarray(e[3], np.int32) for e in examples]])
+
+    def _weights(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each example's length, and each posting's term and weight in the unit vector, by example."""
+        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        raw = self._raw(self.term, self.n)
+        squares = np.bincount(row, raw * raw, len(self.sizes))
+        lengths = np.where(squares > 0, np.sqrt(squares), 1.0)
+        return lengths, self.term, raw / lengths[row]
+
+    def __getstate__(self) -> dict:
+        """What is broadcast: postings by example, as compressed differences; the rest is made anew in each process."""
+        own = {k: getattr(self, k) for k in ("terms", "factor", "ids", "labels", "sizes")}
+        return own | {"term": _packed(np.diff(self.term, prepend=np.int32(0))), "n": _packed(self.n)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.term = np.cumsum(_unpacked(state["term"], np.int32), dtype=np.int32)
+        self.n, self.ready = _unpacked(state["n"], np.int32), False
+
+    def open(self) -> None:
+        """Make postings by term, dense blocks of the common words, and block maxima."""
+        self.lengths, term, weight = self._weights()
+        self.starts = np.append(0, np.cumsum(self.sizes))
+        holders = np.bincount(term, minlength=len(self.terms))
+        common = np.argsort(-holders, kind="stable")[:COMMON]
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        row = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.blocks = -(-len(self.ids) // BLOCK)
+        column = self.column[term]
         often = column >= 0
-        q = np.zeros((len(queries), len(self.dense)), np.float32)
-        q[which[often], column[often]] = weight[often]
-        out = q @ self.dense
-        which, at, weight = which[~often], at[~often], weight[~often]
-        sizes = self.first[at + 1] - self.first[at]
-        posted = _spans(self.first[at], sizes)
-        if len(posted):
-            out += np.bincount(np.repeat(which * width, sizes) + self.row[posted], np.repeat(weight, sizes) * self.weight[posted], out.size).reshape(out.shape)
+        self.dense = np.zeros((self.blocks, len(common), BLOCK), np.float32)
+        self.dense[row[often] // BLOCK, column[often], row[often] % BLOCK] = weight[often]
+        self.most = np.ascontiguousarray(self.dense.max(2).T) if self.blocks else np.zeros((len(common), 0), np.float32)
+        term, row, weight = term[~often], row[~often], weight[~often]
+        order = np.argsort(term, kind="stable")
+        self.row, self.weight = row[order], weight[order].astype(np.float32)
+        self.first = np.append(0, np.cumsum(np.bincount(term, minlength=len(self.terms))))
+        self.scratch = np.zeros(len(self.terms))
+        self.ready = True
+
+    def _raw(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (1 + np.log(n)) * self.factor[at]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Positions of hashes among the terms, -1 for unknown ones."""
+        if not len(self.terms):
+            return np.full(len(h), -1)
+        at = np.searchsorted(self.terms, h).clip(max=len(self.terms) - 1)
+        return np.where(self.terms[at] == h, at, -1)
+
+    def raw(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms and weights of the known words, not yet divided by the vector's length; and which words are known."""
+        at = self.find(h)
+        known = at >= 0
+        return at[known], self._raw(at[known], n[known]), known
+
+    def unit(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.starts[row], self.starts[row + 1])
+        return self.term[part], self._raw(self.term[part], self.n[part]) / self.lengths[row]
+
+    def _rough(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int | None]) -> np.ndarray:
+        """Cosines in single precision of each query with the examples of the blocks that it needs, else minus infinity."""
+        width = self.blocks * BLOCK
+        rare = np.zeros((len(queries), width), np.float32)
+        q = np.zeros((len(queries), self.dense.shape[1]), np.float32)
+        for i, (at, weight) in enumerate(queries):
+            column = self.column[at]
+            often = column >= 0
+            q[i, column[often]] = weight[often]
+            at, weight = at[~often], weight[~often]
+            sizes = self.first[at + 1] - self.first[at]
+            posted = _spans(self.first[at], sizes)
+            if len(posted):
+                rare[i] = np.bincount(self.row[posted], np.repeat(weight, sizes) * self.weight[posted], width)
+            if skip[i] is not None:
+                rare[i, skip[i]] = -np.inf
+        bound = rare.reshape(len(queries), self.blocks, BLOCK).max(2) + q @ self.most
+        out = np.full_like(rare, -np.inf)
+
+        def score(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)):
+                own, part = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                out[own, part] = rare[own, part] + q[own] @ self.dense[b]
+
+        seeds = np.zeros(bound.shape, bool)
+        np.put_along_axis(seeds, np.argsort(-bound, 1, kind="stable")[:, :SEEDS], True, 1)
+        score(seeds)
+        least = np.partition(out, -k, 1)[:, -k] if width > k else np.zeros(len(queries))
+        score(~seeds & (bound >= np.maximum(least, 0)[:, None] - SLACK) & (bound > 0))
         return out
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each unit vector, rows and cosines of the k nearest examples with a cosine over 0, ties by id."""
         if not len(self.ids) or not queries:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
-        found, q = [], np.zeros(len(self.terms))
-        for i, ((at, weight), rough) in enumerate(zip(queries, self._rough(queries), strict=True)):
-            if skip and skip[i] is not None:
-                rough[skip[i]] = 0
-            least = np.partition(rough, -k)[-k] - SLACK if len(rough) > k else 0.0
-            rows = np.flatnonzero((rough >= least) & (rough > 0))
-            sizes = self.starts[rows + 1] - self.starts[rows]
+        if not self.ready:
+            self.open()
+        found, q = [], self.scratch
+        rough = self._rough(queries, k, skip or [None] * len(queries))
+        most = np.partition(rough, -k, 1)[:, -k] if rough.shape[1] > k else np.full(len(queries), -np.inf)
+        for (at, weight), own, least in zip(queries, rough, most - SLACK, strict=True):
+            rows = np.flatnonzero((own >= least) & (own > 0))
+            sizes = self.sizes[rows]
             held = _spans(self.starts[rows], sizes)
             q[at] = weight
             term = self.term[held]
@@ -146,173 +238,218 @@ class Index:
             found.append((rows[best], cosines[best]))
         return found
 
-    def nearest(self, counts: tuple[tuple[int, int], ...], k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        return self.search([self.vector(counts)], k, [skip])[0]
-
-    def calibrate(self, examples: list[tuple[int, int, tuple[tuple[int, int], ...] | np.ndarray]]) -> None:
-        """Fit the logistic curve over each example's vote without itself (Newton steps, a weak pull to the identity)."""
-        rows = list(range(0, len(examples), -(-len(examples) // MAX_CALIBRATION)))
-        y, votes = self.labels[rows], []
-        for i in range(0, len(rows), GROUP):
-            some = rows[i : i + GROUP]
-            for near, cosines in self.search([self.vector(examples[r][2]) for r in some], NEIGHBOURS, some):
-                w = cosines * cosines
-                votes.append(float((w @ self.labels[near] + PRIOR * self.base) / (w.sum() + PRIOR)))
-        votes = np.array(votes)
-        x = _logit(votes)
-        theta, pull = np.array([1.0, 0.0]), np.array([1.0, 1.0])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-(theta[0] * x + theta[1])))
-            g = np.array([((p - y) * x).sum(), (p - y).sum()]) + pull * (theta - [1.0, 0.0])
-            q = p * (1 - p)
-            h = np.array([[(q * x * x).sum(), (q * x).sum()], [(q * x).sum(), q.sum()]]) + np.diag(pull)
-            step = np.linalg.solve(h, g)
-            theta = theta - step / max(1.0, np.abs(step).max())
-        self.slope, self.shift = max(float(theta[0]), 1e-3), float(theta[1])
-
 
 def _logit(p):
     p = np.clip(p, 1e-6, 1 - 1e-6)
     return np.log(p / (1 - p))
 
 
+def curve(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from votes to labels (Newton steps, a weak pull to the identity)."""
+    x = _logit(votes)
+    theta, pull = np.array([1.0, 0.0]), np.array([1.0, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(theta[0] * x + theta[1])))
+        g = np.array([((p - y) * x).sum(), (p - y).sum()]) + pull * (theta - [1.0, 0.0])
+        q = p * (1 - p)
+        h = np.array([[(q * x * x).sum(), (q * x).sum()], [(q * x).sum(), q.sum()]]) + np.diag(pull)
+        step = np.linalg.solve(h, g)
+        theta = theta - step / max(1.0, np.abs(step).max())
+    return max(float(theta[0]), 1e-3), float(theta[1])
+
+
 def word_counts(documents: DataFrame) -> DataFrame:
-    """word, n: the documents that hold each word, and under a null word all documents."""
+    """h, n: the documents that hold each word, by its hash, and under a null hash all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         rows = 0
 
         def handed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([*n, None], pa.string()), pa.array([*n.values(), rows], pa.int64())], ["word", "n"])
+            h, times = hashed(n)
+            return pa.RecordBatch.from_arrays([pa.array([*h.view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(times, rows))], ["h", "n"])
 
         for batch in batches:
             for text in batch.column(0):
                 n.update(set(WORD.findall((text.as_py() or "").lower())))
+                rows += 1
                 if len(n) > FLUSH:
                     yield handed()
                     n.clear()
                     rows = 0
-                rows += 1
         yield handed()
 
-    return documents.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return documents.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _all_documents(counts: DataFrame) -> int:
+    return counts.filter("h IS NULL").agg(F.sum("n")).first()[0] or 0
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, counts: DataFrame | None = None) -> Index:
-    """The index of labelled examples. Null labels and null ids teach nothing; an id is toxic if any of its rows says so.
+def example_words(documents: DataFrame, labels: DataFrame, max_examples: int) -> DataFrame:
+    """doc_id, toxic, size, words, times: the labelled documents used, with their words' hashes and counts.
 
-    ``counts`` is the written table of :func:`word_counts`. The examples' words are gathered on the driver,
-    at most max_examples documents' worth.
+    Null labels and null ids teach nothing; an id is toxic if any of its rows says so. Of an id's rows
+    with different texts the smallest text counts.
     """
-    counts = materialize(word_counts(documents), "words") if counts is None else counts
     ids = labels.select(F.col("doc_id").cast("long"), "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
     ids = ids.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)  # its size is bounded, so it may be broadcast
-    texts = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
+    texts = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column(1)):
-                found = words_of(text.as_py()) or {"": 1}
-                n = pa.array([i] * len(found), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(n), batch.column(2).take(n), pa.array(list(found)), pa.array(list(found.values()), pa.int32())], ["doc_id", "toxic", "word", "n"])
-
-    # repeated rows of a document count once, with their largest counts
-    each = texts.mapInArrow(words, "doc_id long, toxic int, word string, n int").groupBy("doc_id", "toxic", "word").agg(F.max("n").alias("n"))
-    each = each.persist()
+            each = [hashed(words_of(text.as_py())) for text in batch.column(2)]
+            columns = [pa.array([len(h) for h, _ in each], pa.int64()), pa.array([_packed(h) for h, _ in each], pa.binary()), pa.array([_packed(n.astype(np.int32)) for _, n in each], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "toxic", "size", "words", "times"])
+
+    each = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "toxic", "text")
+    return each.mapInArrow(words, "doc_id long, toxic int, size long, words binary, times binary")
+
+
+def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, counts: DataFrame | None = None, max_words: int = MAX_WORDS) -> Index:
+    """The index of labelled examples.
+
+    ``counts`` is the written table of :func:`word_counts`. The examples' hashed words are gathered on the
+    driver: of at most max_examples documents, in the order of their hashed ids, with at most max_words words.
+    """
+    counts = materialize(word_counts(documents), "words") if counts is None else counts
     all_docs = _all_documents(counts)
-    own = each.filter("word <> ''").select("word").distinct().withColumn("own", F.lit(True))
-    known = counts.filter("word IS NOT NULL").join(own, "word", "left").filter(f"own OR n * {WIDE} > {all_docs}").select("word", "n").toArrow()
-    terms = known.column("word").combine_chunks()
-    order = pa.compute.array_sort_indices(terms)
-    terms, df = terms.take(order), known.column("n").combine_chunks().take(order).to_numpy()
-    docs = sorted((r["doc_id"], r["toxic"]) for r in each.select("doc_id", "toxic").distinct().collect())
-    held = each.filter("word <> ''").select("doc_id", "word", "n").toArrow()
-    each.unpersist()
-    at = np.concatenate([pa.compute.index_in(c, terms).to_numpy() for c in held.column("word").chunks] or [np.zeros(0, np.int32)])
-    doc, n = held.column("doc_id").to_numpy(), held.column("n").to_numpy()
-    del held
-    order = np.lexsort((at, doc))
-    doc, pairs = doc[order], np.stack([at[order], n[order]], 1).astype(np.int32)
-    wanted = np.array([i for i, _ in docs], np.int64)
-    low, high = np.searchsorted(doc, wanted), np.searchsorted(doc, wanted, "right")
-    examples = [(i, label, pairs[a:b]) for (i, label), a, b in zip(docs, low, high, strict=True)]
-    index = Index(terms.to_pylist(), np.log((1 + all_docs) / (1 + df)) + 1, examples)
-    index.base = (sum(label for _, label in docs) + 0.5) / (len(docs) + 1) if docs else 0.0
-    index.calibrate(examples) if examples else None
-    index.dense = None
-    return index
+    each = materialize(example_words(documents, labels, max_examples), "examples")
+    sizes = each.select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()  # max_examples rows at most
+    fitting = sizes["doc_id"][sizes["size"].cumsum() <= max_words].to_numpy()
+    used = each if len(fitting) == len(sizes) else each.filter(F.col("doc_id").isin(fitting.tolist()))
+    rows = sorted(((r["doc_id"], r["toxic"], _unpacked(r["words"], np.uint64), _unpacked(r["times"], np.int32)) for r in used.select("doc_id", "toxic", "words", "times").toLocalIterator()), key=lambda r: r[0])
+    release(each)
+    own = np.unique(np.concatenate([np.zeros(0, np.uint64), *[r[2] for r in rows]]))
+    shared = documents.sparkSession.sparkContext.broadcast(own)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            h, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            held = n * WIDE > all_docs
+            if len(own):
+                held |= own[np.searchsorted(own, h).clip(max=len(own) - 1)] == h
+            yield batch.filter(pa.array(held))
 
+    df = counts.filter("h IS NOT NULL").mapInArrow(known, "h long, n long").toArrow()
+    shared.unpersist()
+    h, n = df.column("h").to_numpy().view(np.uint64), df.column("n").to_numpy()
+    order = np.argsort(h)
+    terms, idf = h[order], np.log((1 + all_docs) / (1 + n[order])) + 1
+    examples = [(i, label, np.searchsorted(terms, words).astype(np.int32), times) for i, label, words, times in rows]
+    at = np.concatenate([np.zeros(0, np.int32), *[e[2] for e in examples]])
+    toxic = np.bincount(at, np.repeat([float(e[1]) for e in examples], [len(e[2]) for e in examples]), len(terms))
+    clean = np.bincount(at, minlength=len(terms)) - toxic
+    return Index(terms, idf * np.log2(2 + toxic / np.maximum(1, clean)), examples)
 
-def _all_documents(counts: DataFrame) -> int:
-    return counts.filter("word IS NULL").agg(F.sum("n")).first()[0] or 0
 
+def base_rate(index: Index) -> float:
+    """The smoothed share of toxic examples; 0 without any."""
+    return (index.labels.sum() + 0.5) / (len(index.labels) + 1) if len(index.labels) else 0.0
 
-def toxicity(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, evidence, then the columns ``carry``.
 
-    evidence lists the ids of the nearest examples, nearest first. Null and empty texts, and texts
-    without a word of an example, take the calibrated base rate. Without labels of both kinds all scores are
-    near the smoothed base rate. Without any usable labelled document nothing can be learnt: scores are near 0
-    and nothing is predicted toxic. Repeated rows give repeated results. Labels, language, source and id
-    are no inputs of a score. The index is bounded and broadcast; the order of the neighbours does not
-    depend on the length of a document's vector, so only the lengths are joined afterwards.
+def calibrated(spark, shared, base: float, labels: np.ndarray) -> tuple[float, float]:
+    """The curve over each example's vote without itself; the votes are taken in Spark tasks."""
+    step = max(1, -(-len(labels) // MAX_CALIBRATION))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        if not index.ready:
+            index.open()
+        for batch in batches:
+            rows, votes = batch.column(0).to_pylist(), []
+            for i in range(0, len(rows), GROUP):
+                some = rows[i : i + GROUP]
+                for near, cosines in index.search([index.unit(r) for r in some], NEIGHBOURS, some):
+                    w = cosines * cosines
+                    votes.append(float((w @ index.labels[near] + PRIOR * base) / (w.sum() + PRIOR)))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(votes)], ["row", "vote"])
+
+    rows = spark.range(0, len(labels), step, numPartitions=6).mapInArrow(run, "row long, vote double").toPandas()
+    return curve(rows["vote"].to_numpy(), labels[rows["row"].to_numpy()])
+
+
+KEYS = ["_task", "_row"]
+
+
+def _neighbours(documents: DataFrame, labels: DataFrame, max_examples: int, own: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What the nearest examples say of every document, and (_task, _row, score); both read written tables.
+
+    The order of the neighbours does not depend on the length of a document's vector, so only the lengths
+    are joined afterwards.
     """
+    spark = documents.sparkSession
     counts = materialize(word_counts(documents), "words")
     all_docs = _all_documents(counts)
     index = fit(documents, labels, max_examples, counts)
-    shared = documents.sparkSession.sparkContext.broadcast(index)
-    own = documents.select(*carry)
-    rows = documents.select(F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("_id"), held_out().alias("_held_out"), *carry)
-    schema = documents.sparkSession.createDataFrame([], "_task long, _row long, doc_id long, held_out boolean, _square double, _w double, _toxic double, evidence array<long>, _other array<struct<word: string, n: int>>").schema
-    for f in own.schema.fields if carry else ():
-        schema = schema.add(f"_{f.name}", f.dataType, True)
-    other_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
+    base, marks = base_rate(index), index.labels
+    shared = spark.sparkContext.broadcast(index)
+    del index
+    slope, shift = calibrated(spark, shared, base, marks) if len(marks) else (1.0, 0.0)
+    rows = documents.select(F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), *([F.struct(*own).alias("_own")] if own else []))
+    inner = "_task long, _row long, _square double, _w double, _toxic double, evidence array<long>, _h array<long>, _n array<int>"
+    schema = spark.createDataFrame([], inner).schema
+    for f in rows.drop("_text").schema.fields:
+        schema = schema.add(f.name, f.dataType, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        known = index.terms
         task, done = int(np.random.default_rng().integers(2**63)), 0  # names the rows of this task; they are written once
         for whole in batches:
             for start in range(0, whole.num_rows, GROUP):
                 batch = whole.slice(start, GROUP)
-                vectors, squares, others = [], [], []
+                vectors, squares, others, times = [], [], [], []
                 for text in batch.column(0):
-                    found = words_of(text.as_py())
-                    at, weight = index.raw(tuple(sorted((known[w], n) for w, n in found.items() if w in known)))
+                    h, n = hashed(words_of(text.as_py()))
+                    at, weight, known = index.raw(h, n)
                     square = float((weight * weight).sum())
                     vectors.append((at, weight / (np.sqrt(square) or 1.0)))
                     squares.append(square)
-                    others.append([{"word": w, "n": n} for w, n in found.items() if w not in known])
+                    others.append(h[~known].view(np.int64))
+                    times.append(n[~known].astype(np.int32))
                 near = index.search(vectors, NEIGHBOURS)
                 # sums of squared products, with the document's vector still at its own length
                 sums = [s * float(c @ c) for s, (_, c) in zip(squares, near, strict=True)]
                 toxic = [s * float((c * c) @ index.labels[r]) for s, (r, c) in zip(squares, near, strict=True)]
                 n = batch.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([task] * n, pa.int64()), pa.array(range(done, done + n), pa.int64()), batch.column(1), batch.column(2), pa.array(squares, pa.float64()), pa.array(sums, pa.float64()), pa.array(toxic, pa.float64()),
-                        pa.array([index.ids[r].tolist() for r, _ in near], pa.list_(pa.int64())), pa.array(others, other_type), *batch.columns[3:],
-                    ],
-                    schema.names,
-                )
+                ends = pa.array(np.append(0, np.cumsum([len(x) for x in others])).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (others, times)]
+                named = [pa.array(np.full(n, task)), pa.array(np.arange(done, done + n)), *(pa.array(x, pa.float64()) for x in (squares, sums, toxic)), pa.array([index.ids[r].tolist() for r, _ in near], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*named, *lists, *batch.columns[1:]], schema.names)
                 done += n
 
     near = materialize(rows.mapInArrow(run, schema), "neighbours")
-    rest = near.select("_task", "_row", F.explode("_other").alias("o")).select("_task", "_row", F.col("o.word").alias("word"), F.col("o.n").alias("_n"))
-    rest = rest.join(counts, "word").groupBy("_task", "_row").agg(F.sum(F.expr(f"pow((1 + ln(_n)) * (ln((1 + {all_docs}D) / (1 + n)) + 1), 2)")).alias("_rest"))
-    scored = near.drop("_other").join(rest, ["_task", "_row"], "left").withColumn("_all", F.col("_square") + F.coalesce("_rest", F.lit(0.0)))
+    rest = near.select(*KEYS, F.explode(F.arrays_zip("_h", "_n")).alias("o")).select(*KEYS, F.col("o._h").alias("h"), F.col("o._n").alias("_n"))
+    rest = rest.join(counts, "h").groupBy(*KEYS).agg(F.sum(F.expr(f"pow((1 + ln(_n)) * (ln((1 + {all_docs}D) / (1 + n)) + 1), 2)")).alias("_rest"))
+    scored = near.select(*KEYS, "_square", "_w", "_toxic").join(rest, KEYS, "left").withColumn("_all", F.col("_square") + F.coalesce("_rest", F.lit(0.0)))
     share = F.when(F.col("_all") > 0, 1 / F.col("_all")).otherwise(0.0)
-    vote = (F.col("_toxic") * share + PRIOR * index.base) / (F.col("_w") * share + PRIOR)
+    vote = (F.col("_toxic") * share + PRIOR * base) / (F.col("_w") * share + PRIOR)
     vote = F.least(F.greatest(vote, F.lit(1e-6)), F.lit(1 - 1e-6))
-    score = 1 / (1 + F.exp(-(index.slope * F.ln(vote / (1 - vote)) + index.shift)))
-    out = scored.withColumn("score", score)
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", *[f"_{c}" for c in carry])
+    return near, scored.select(*KEYS, (1 / (1 + F.exp(-(slope * F.ln(vote / (1 - vote)) + shift)))).alias("score"))
+
+
+def toxicity(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted, evidence.
+
+    evidence lists the ids of the nearest examples, nearest first. Null and empty texts, and texts
+    without a word of an example, take the calibrated base rate. Without labels of both kinds all scores are
+    near the smoothed base rate. Without any usable labelled document nothing can be learnt: scores are near 0
+    and nothing is predicted toxic. Repeated rows give repeated results. Labels, language, source and id
+    are no inputs of a score. The index is bounded and broadcast; extra columns are not read.
+    """
+    near, scores = _neighbours(documents, labels, max_examples, [])
+    out = near.select(*KEYS, "doc_id", "held_out", "evidence").join(scores, KEYS)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that are not predicted toxic, with their own columns."""
-    columns = tuple(documents.columns)
-    scored = toxicity(documents, labels, carry=columns).filter("predicted = 0")
-    return scored.select(*[F.col(f"_{c}").alias(c) for c in columns])
+    """The rows of ``documents`` that are not predicted toxic, with their own columns.
+
+    Only the keys of the rejected rows are joined back to the rows, so no text is shuffled while they are few.
+    """
+    near, scores = _neighbours(documents, labels, MAX_EXAMPLES, documents.columns)
+    toxic = materialize(scores.filter("score >= 0.5").select(*KEYS), "toxic")
+    toxic = F.broadcast(toxic) if toxic.count() <= FEW_TOXIC else toxic
+    return near.select(*KEYS, "_own").join(toxic, KEYS, "left_anti").select("_own.*")
