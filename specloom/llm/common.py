@@ -52,6 +52,21 @@ def release(df: DataFrame | None) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def join_by_class(rows: DataFrame, classes: DataFrame, keys: list[str], copies: str, hot: int = 1_000_000) -> DataFrame:
+    """Inner join of ``rows`` with the one row of ``classes`` for their keys, which are not null.
+
+    ``copies`` counts the rows of a class. Classes of more than ``hot`` rows are broadcast, so no task gets
+    all rows of one; there are at most (rows / hot) of them. ``rows`` is read twice if there are any.
+    """
+    big = materialize(classes.filter(F.col(copies) > hot), "hot")
+    if big.isEmpty():
+        release(big)
+        return rows.join(classes, keys)
+    few = big.select(*keys, F.lit(True).alias("_hot"))
+    plain = rows.join(F.broadcast(few), keys, "left_anti").join(classes.filter(F.col(copies) <= hot), keys)
+    return plain.unionByName(rows.join(F.broadcast(big), keys))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch of ``df``."""
 
@@ -126,8 +141,8 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, root) for every node of ``edges``; root is the smallest node of its component.
 
     Alternating large-star and small-star rounds: every round is two grouped minima (combined
-    before the shuffle) joined back to the edges, so a hub with very many links is never gathered
-    in one task. Rounds grow with the logarithm of the longest path. Each round is a written table.
+    before the shuffle) joined back to the edges; the minima of hubs are broadcast, so no task gets all
+    links of one. Rounds grow with the logarithm of the longest path. Each round is a written table.
     Edges with a null end are ignored; self loops give no row.
     """
     e = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"))
@@ -137,16 +152,18 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     while True:
         before = mark
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lows, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        lows = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_by_class(both.filter("v > u"), lows, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        lows = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_by_class(large, lows, ["u"], "n").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         new, mark = _round(small, e)
         e = new
         if mark == before:
             break
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out._specloom_path = e._specloom_path  # so that release() deletes the last round
+    return out
 
 
 def _round(e: DataFrame, old: DataFrame | None) -> tuple[DataFrame, tuple]:

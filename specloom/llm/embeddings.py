@@ -1,12 +1,16 @@
 """Near-duplicate vectors by a subspace pigeonhole join.
 
 For unit vectors cosine >= c means a squared distance of at most 2 - 2c. The vectors are turned by one
-fixed random rotation and cut into blocks of dimensions; a pair within the squared distance D is within
-D * (size of the block / all dimensions) in at least one block. Each block is range-joined under that
-budget: a grid over the first few of its dimensions, with cells twice as wide as the block's radius;
-a vector goes to its own cell and to every upper neighbour that its radius reaches, so any two vectors
-in range meet in exactly one cell, the larger of their cells in every dimension. Pairs that meet are
-verified exactly, and counted in the first block in which they are within budget.
+fixed random rotation and cut into blocks of ``BLOCK_DIMS`` dimensions; a pair within the squared distance D
+is within D * (size of the block / all dimensions) in at least one block. Each block is range-joined under
+that budget: the vectors of a label stand together, or, where they are many, in a grid over as many of the
+block's dimensions as it takes, with cells twice as wide as the block's radius. A vector goes to its own cell
+and to every upper neighbour that its radius reaches, so any two vectors in range meet in exactly one cell,
+the larger of their cells in every dimension.
+
+The join moves ids and the block's coordinates only. Vectors are fetched for the members of a cell that have
+another one within the block's budget, and for no others; these few are verified exactly, and each pair is
+counted in the first block in which it is within budget.
 """
 
 from __future__ import annotations
@@ -20,12 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import connected_components, group_bounds, materialize, merge_labels, sorted_groups
+from specloom.llm.common import connected_components, group_bounds, join_by_class, materialize, merge_labels, release, sorted_groups
 
 COSINE = 0.98
-BLOCKS, GRID_DIMS, CELL_RADII = 4, 3, 2.0
-TILE_ROWS = 4096  # members of a cell from which it is dealt out in pairs of chunks
+BLOCK_DIMS, GRID_DIMS, CELL_RADII = 8, 4, 2.0
+TILE_ROWS = 8192  # members of a cell from which it is dealt out in pairs of chunks
+SHRINK = 3.0  # a grid dimension more for each time that a label has so many times TILE_ROWS vectors
+FEW_FULL = 100_000  # full cells up to which they are broadcast (40 bytes each)
+SIDE = 512  # rows and columns of the tables of distances inside a cell
 SLACK = 1e-9  # widens the ranges beyond rounding errors; verification is exact
+SINGLE = 1e-5  # the same for squared distances in single precision
 
 
 def rotation(d: int) -> np.ndarray:
@@ -35,7 +43,7 @@ def rotation(d: int) -> np.ndarray:
 
 
 def blocks_of(d: int) -> list[slice]:
-    edges = np.linspace(0, d, min(BLOCKS, d) + 1).astype(int)
+    edges = np.linspace(0, d, max(1, d // BLOCK_DIMS) + 1).astype(int)
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
@@ -46,58 +54,78 @@ def rotated_units(x: np.ndarray) -> np.ndarray:
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
-    """vec_id, label, vkey, vec: the vectors as doubles, and a key that equal vectors share.
+    """vec_id, label, vkey, dims, vec: the vectors' bytes as they are stored, and a key that equal vectors share.
 
-    vkey and vec are null in rows that can't be compared: null id or label, null or zero vector, null
-    or non-finite components. Vectors are scaled by a power of two, which changes no cosine.
+    vkey, dims and vec are null in rows that can't be compared: null id or label, null or zero vector, null
+    or non-finite components. Vectors that differ by a power of two, which changes no cosine, have one key.
     """
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, raw = [], []
+            keys, dims, raw = [], [], []
             for v, usable in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                v = v.as_py() if usable else None
-                key = data = None
-                if v and None not in v:
-                    x = np.array(v, "<f8") + 0.0
+                key = size = data = None
+                if usable and v.is_valid and v.values.null_count == 0:
+                    x = v.values.to_numpy().astype("<f8") + 0.0
                     if np.isfinite(x).all() and x.any():
-                        data = np.ldexp(x, -np.frexp(np.abs(x).max())[1]).tobytes()
-                        key = hashlib.blake2b(data, digest_size=16).digest()
+                        key = hashlib.blake2b(_scaled(x[None])[0].tobytes(), digest_size=16).digest()
+                        size, data = len(x), x.astype("<f4").tobytes() if single else x.tobytes()
                 keys.append(key)
+                dims.append(size)
                 raw.append(data)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "label", "vkey", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], ["vec_id", "label", "vkey", "dims", "vec"])
 
-    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
-    return rows.withColumn("usable", F.expr("vec_id IS NOT NULL AND label IS NOT NULL")).mapInArrow(run, "vec_id long, label long, vkey binary, vec binary")
+    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding") if single else F.col("embedding").cast("array<double>"))
+    return rows.withColumn("usable", F.expr("vec_id IS NOT NULL AND label IS NOT NULL")).mapInArrow(run, "vec_id long, label long, vkey binary, dims int, vec binary")
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that squares neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, d)
+    raw = column.to_pylist()
+    return _scaled(np.stack([np.frombuffer(v, "<f4" if len(v) == 4 * d else "<f8").astype("<f8") for v in raw]))
+
+
+def budget(cut: slice, d: int, cosine: float) -> float:
+    """The block's share of the squared distance."""
+    return (2 - 2 * cosine) * (cut.stop - cut.start) / d
 
 
 def _cells(cosine: float):
+    """Every vector under its own cell (home) and the cells that it reaches, in each block, with its coordinates there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(3).to_numpy()
+            dims = batch.column(2).to_numpy()
             for d in np.unique(dims):
                 part = pa.Table.from_batches([batch]).filter(pa.array(dims == d))
                 x = rotated_units(_matrix(part.column("vec"), int(d)))
-                rows, cells, homes, blocks = [], [], [], []
+                used = np.arange(GRID_DIMS)[None] < part.column("grid").to_numpy()[:, None]
+                rows, cells, homes, blocks, coords = [], [], [], [], []
                 for b, cut in enumerate(blocks_of(int(d))):
-                    y = x[:, cut][:, :GRID_DIMS]
-                    radius = np.sqrt((2 - 2 * cosine) * (cut.stop - cut.start) / d) + SLACK
-                    low = np.floor(y / (CELL_RADII * radius)).astype(np.int64)
-                    high = np.floor((y + radius) / (CELL_RADII * radius)).astype(np.int64)
+                    y = np.zeros((len(x), GRID_DIMS))
+                    own = x[:, cut]
+                    y[:, : own.shape[1]] = own[:, :GRID_DIMS]
+                    radius = np.sqrt(budget(cut, int(d), cosine)) + SLACK
+                    low = np.where(used, np.floor(y / (CELL_RADII * radius)), 0).astype(np.int64)
+                    high = np.where(used, np.floor((y + radius) / (CELL_RADII * radius)), 0).astype(np.int64)
                     home = _pack(low)
-                    for up in product((0, 1), repeat=y.shape[1]):
-                        there = ((high > low) | (np.array(up) == 0)).all(1)
-                        rows.append(np.flatnonzero(there))
+                    raw = np.ascontiguousarray(own, "<f4")
+                    raw = [r.tobytes() for r in raw]
+                    for up in product((0, 1), repeat=GRID_DIMS):
+                        there = np.flatnonzero(((high > low) | (np.array(up) == 0)).all(1))
+                        rows.append(there)
                         cells.append(_pack(low[there] + np.array(up)))
                         homes.append(home[there])
-                        blocks.append(np.full(there.sum(), b, np.int32))
+                        blocks.append(np.full(len(there), b, np.int32))
+                        coords += [raw[i] for i in there]
                 at = pa.array(np.concatenate(rows))
-                own = {k: part.column(k).take(at) for k in ("label", "node", "copies", "dims", "vec")}
-                out = pa.table({**own, "block": pa.array(np.concatenate(blocks)), "cell": pa.array(np.concatenate(cells)), "home": pa.array(np.concatenate(homes))})
+                own = {k: part.column(k).take(at) for k in ("label", "node", "dims")}
+                out = pa.table({**own, "block": pa.array(np.concatenate(blocks)), "cell": pa.array(np.concatenate(cells)), "home": pa.array(np.concatenate(homes)), "coords": pa.array(coords, pa.binary())})
                 yield from out.to_batches(max_chunksize=8192)
 
     return run
@@ -115,6 +143,58 @@ def _unpack(packed: np.ndarray, k: int) -> np.ndarray:
     return np.stack([(packed >> (16 * (k - 1 - i))) & 0xFFFF for i in range(k)], 1)
 
 
+def near_members(x: np.ndarray, chunk: np.ndarray, crossing: bool, within: float) -> tuple[np.ndarray, int]:
+    """Which rows of x have another one at a squared distance of at most ``within``, and the number of such pairs.
+
+    Rows are taken in the order of their first coordinate, and tables of distances whose rows and columns lie
+    further apart in it than the radius are left out. ``crossing``: only pairs of different chunks count.
+    """
+    order = np.argsort(x[:, 0], kind="stable")
+    x, chunk = x[order], chunk[order]
+    squares, found, pairs = np.einsum("ij,ij->i", x, x), np.zeros(len(x), bool), 0
+    last = np.searchsorted(x[:, 0], x[:, 0] + np.float32(np.sqrt(within)), side="right")
+    for a in range(0, len(x), SIDE):
+        rows = slice(a, a + SIDE)
+        for b in range(a, int(last[rows][-1]), SIDE):
+            columns = slice(b, b + SIDE)
+            near = squares[rows, None] + squares[None, columns] - 2 * (x[rows] @ x[columns].T) <= within
+            if a == b:
+                near = np.triu(near, 1)
+            if crossing:
+                near &= chunk[rows, None] != chunk[None, columns]
+            if near.any():
+                pairs += int(near.sum())
+                found[rows] |= near.any(1)
+                found[columns] |= near.any(0)
+    out = np.zeros(len(x), bool)
+    out[order] = found
+    return out, pairs
+
+
+TILE = ["label", "dims", "block", "cell", "low", "high"]
+
+
+def _within_budget(cosine: float):
+    """The rows of every tile that have another one within the block's budget, without their coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, TILE):
+            bounds = group_bounds(table, TILE)
+            kept = []
+            for at, n in zip(bounds[:-1], np.diff(bounds), strict=True):
+                if n < 2:
+                    continue
+                part = table.slice(at, n)
+                d, block, low, high = (part.column(k)[0].as_py() for k in ("dims", "block", "low", "high"))
+                cut = blocks_of(d)[block]
+                x = np.frombuffer(b"".join(part.column("coords").to_pylist()), "<f4").reshape(n, -1)
+                kept.append(at + np.flatnonzero(near_members(x, part.column("chunk").to_numpy(), low != high, budget(cut, d, cosine) + SINGLE)[0]))
+            if kept and sum(map(len, kept)):
+                yield from table.drop_columns(["coords"]).take(pa.array(np.concatenate(kept))).to_batches(max_chunksize=8192)
+
+    return run
+
+
 def cell_links(vec: np.ndarray, home: np.ndarray, chunk: np.ndarray, block: int, cell: int, crossing: bool, cosine: float):
     """Links of one tile, as (i, j) in batches.
 
@@ -123,10 +203,10 @@ def cell_links(vec: np.ndarray, home: np.ndarray, chunk: np.ndarray, block: int,
     """
     n, d = vec.shape
     cuts = blocks_of(d)
+    limits = [budget(cut, d, cosine) + SLACK for cut in cuts]
     norm = np.sqrt(np.einsum("ij,ij->i", vec, vec))
     unit, turned = vec / norm[:, None], rotated_units(vec)
-    k = min(GRID_DIMS, cuts[block].stop - cuts[block].start)
-    homes, here = _unpack(home, k), _unpack(np.array([cell]), k)[0]
+    homes, here = _unpack(home, GRID_DIMS), _unpack(np.array([cell]), GRID_DIMS)[0]
     for a in range(0, n, 1024):
         for b in range(a, n, 1024):
             near = unit[a : a + 1024] @ unit[b : b + 1024].T >= cosine - SLACK
@@ -140,17 +220,15 @@ def cell_links(vec: np.ndarray, home: np.ndarray, chunk: np.ndarray, block: int,
                 ok &= (np.maximum(homes[p], homes[q]) == here).all(1)
                 gap = (turned[p] - turned[q]) ** 2
                 for e, cut in enumerate(cuts[: block + 1]):
-                    within = gap[:, cut].sum(1) <= (2 - 2 * cosine) * (cut.stop - cut.start) / d + SLACK
+                    within = gap[:, cut].sum(1) <= limits[e]
                     ok &= within if e == block else ~within
                 yield p[ok], q[ok]
 
 
 def _verify(cosine: float):
-    keys = ["label", "dims", "block", "cell", "low", "high"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, keys):
-            bounds = group_bounds(table, keys)
+        for table in sorted_groups(batches, TILE):
+            bounds = group_bounds(table, TILE)
             out_node, out_n, out_root = [], [], []
             for at, n in zip(bounds[:-1], np.diff(bounds), strict=True):
                 if n < 2:
@@ -182,30 +260,45 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tile_rows: in
     vec_id as component; a null id gives a null component and kept false. Repeated ids are vectors of
     their own that share a name.
 
-    A cell with more than ``tile_rows`` members is dealt out as pairs of chunks, so no task holds it whole.
+    A label of many vectors takes the finer a grid, the more it has; a cell that still has more than
+    ``tile_rows`` members is dealt out as pairs of chunks, so no task holds it whole.
     """
-    rows = materialize(vectors(embeddings), "vectors")
-    usable = rows.filter("vkey IS NOT NULL")
-    classes = usable.groupBy("label", "vkey").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("vec").alias("vec"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    placed = classes.select("label", "node", "copies", (F.octet_length("vec") / 8).cast("int").alias("dims"), "vec")
-    placed = materialize(placed.mapInArrow(_cells(cosine), "label long, node long, copies long, dims int, vec binary, block int, cell long, home long"), "cells")
-    cell = ["label", "dims", "block", "cell"]
-    full = placed.groupBy(*cell).agg(F.count("*").alias("n")).filter(F.col("n") > tile_rows).select(*cell, F.ceil(F.col("n") / tile_rows).cast("int").alias("chunks"))
-    tiled = placed.join(full, cell, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    tiled = tiled.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    tiled = tiled.select(*cell, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "copies", "home", "vec")
-    keys = [*cell, "low", "high"]
-    found = tiled.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(_verify(cosine), "node long, n long, root long")
+    rows = vectors(embeddings)
+    ids = materialize(rows.select("vec_id", "label", "vkey"), "vectors")
+    classes = rows.filter("vkey IS NOT NULL").groupBy("label", "vkey").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("vec", "dims")).alias("v"))
+    classes = materialize(classes.select("label", "vkey", "rep", "copies", "v.vec", "v.dims", F.monotonically_increasing_id().alias("node")), "classes")
+    tiles = tiled(classes, cosine, tile_rows)
+    near = tiles.repartition(*TILE).sortWithinPartitions(*TILE, "node").mapInArrow(_within_budget(cosine), tiles.drop("coords").schema)
+    near = materialize(near, "near")  # the members of tiles that have a candidate there
+    fetched = near.join(classes.select("node", "copies", "vec"), "node")
+    found = fetched.repartition(*TILE).sortWithinPartitions(*TILE, "node").mapInArrow(_verify(cosine), "node long, n long, root long")
     found = materialize(found, "links")
+    release(near)
     degree = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = connected_components(found, "node", "root")
     named = classes.select("label", "vkey", "node", "rep", "copies").join(degree, "node", "left").join(roots, "node", "left")
-    named = named.select("label", "vkey", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    named = named.select("label", "vkey", "rep", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     named = materialize(named, "named")
+    for done in (found, classes, roots):
+        release(done)
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(names, "root").select("label", "vkey", "n_links", "component_id")
-    linked = usable.select("vec_id", "label", "vkey").join(by_class, ["label", "vkey"]).select("vec_id", "n_links", "component_id")
-    lone = rows.filter("vkey IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    by_class = named.join(names, "root").select("label", "vkey", "copies", "n_links", "component_id")
+    linked = join_by_class(ids.filter("vkey IS NOT NULL"), by_class, ["label", "vkey"], "copies").select("vec_id", "n_links", "component_id")
+    lone = ids.filter("vkey IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def tiled(classes: DataFrame, cosine: float, tile_rows: int) -> DataFrame:
+    """Every class of ``classes`` under the tiles in which it is compared, with its coordinates in the tile's block."""
+    size = F.log(F.col("n") / tile_rows) / float(np.log(SHRINK))
+    grids = classes.groupBy("label", "dims").agg(F.count("*").alias("n")).select("label", "dims", F.least(F.greatest(F.ceil(size), F.lit(0)), F.lit(GRID_DIMS)).cast("int").alias("grid"), "n")
+    placed = join_by_class(classes.select("label", "node", "dims", "vec"), grids, ["label", "dims"], "n").select("label", "node", "dims", "grid", "vec")
+    placed = placed.mapInArrow(_cells(cosine), "label long, node long, dims int, block int, cell long, home long, coords binary")
+    cell = ["label", "dims", "block", "cell"]
+    full = placed.groupBy(*cell).agg(F.count("*").alias("n")).filter(F.col("n") > tile_rows).select(*cell, F.ceil(F.col("n") / tile_rows).cast("int").alias("chunks"))
+    full = materialize(full, "full")
+    full = F.broadcast(full) if full.count() <= FEW_FULL else full
+    out = placed.join(full, cell, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    out = out.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    out = out.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    return out.select(*cell, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "home", "coords")
