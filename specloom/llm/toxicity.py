@@ -39,7 +39,7 @@ NEIGHBOURS, PRIOR = 15, 0.5
 BLOCK = 64  # examples of a block
 COMMON = 1_024  # words with the longest postings, which are skipped by blocks
 SEEDS = 4  # blocks that are scored first, for a threshold
-GROUP = 128  # documents that are compared at once
+GROUP = 256  # documents that are compared at once
 SLACK = 1e-4  # above the rounding errors of a cosine in single precision
 WIDE = 1_000  # a word of more than one in so many documents is known to every task, so no join has a hot word
 FLUSH = 1_000_000  # words that a task counts before it hands the counts on
@@ -106,7 +106,7 @@ class Index:
     def __init__(self, terms: np.ndarray, factor: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
         self.terms, self.factor = terms, factor
         self._fill(examples)
-        lengths, term, weight = self._weights()
+        term, weight = self._weights()
         holders = np.bincount(term, minlength=len(terms))
         common = np.argsort(-holders, kind="stable")[:256]
         column = np.full(len(terms), -1)
@@ -125,13 +125,13 @@ class Index:
         self.term = np.concatenate([np.zeros(0, np.int32), *[np.asarray(e[2], np.int32) for e in examples]])
         self.n = np.concatenate([np.zeros(0, np.int32), *[np.asarray(e[3], np.int32) for e in examples]])
 
-    def _weights(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each example's length, and each posting's term and weight in the unit vector, by example."""
+    def _weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each posting's term and weight in the unit vector, by example."""
         row = np.repeat(np.arange(len(self.sizes)), self.sizes)
         raw = self._raw(self.term, self.n)
         squares = np.bincount(row, raw * raw, len(self.sizes))
         lengths = np.where(squares > 0, np.sqrt(squares), 1.0)
-        return lengths, self.term, raw / lengths[row]
+        return self.term, raw / lengths[row]
 
     def __getstate__(self) -> dict:
         """What is broadcast: postings by example, as compressed differences; the rest is made anew in each process."""
@@ -145,7 +145,8 @@ class Index:
 
     def open(self) -> None:
         """Make postings by term, dense blocks of the common words, and block maxima."""
-        self.lengths, term, weight = self._weights()
+        term, self.value = self._weights()
+        weight = self.value
         self.starts = np.append(0, np.cumsum(self.sizes))
         holders = np.bincount(term, minlength=len(self.terms))
         common = np.argsort(-holders, kind="stable")[:COMMON]
@@ -183,10 +184,11 @@ class Index:
 
     def unit(self, row: int) -> tuple[np.ndarray, np.ndarray]:
         part = slice(self.starts[row], self.starts[row + 1])
-        return self.term[part], self._raw(self.term[part], self.n[part]) / self.lengths[row]
+        return self.term[part], self.value[part]
 
-    def _rough(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int | None]) -> np.ndarray:
-        """Cosines in single precision of each query with the examples of the blocks that it needs, else minus infinity."""
+    def _rough(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines in single precision of each query with the examples of the blocks that it needs, else minus
+        infinity; and a threshold that its k nearest reach."""
         width = self.blocks * BLOCK
         rare = np.zeros((len(queries), width), np.float32)
         q = np.zeros((len(queries), self.dense.shape[1]), np.float32)
@@ -201,20 +203,23 @@ class Index:
                 rare[i] = np.bincount(self.row[posted], np.repeat(weight, sizes) * self.weight[posted], width)
             if skip[i] is not None:
                 rare[i, skip[i]] = -np.inf
-        bound = rare.reshape(len(queries), self.blocks, BLOCK).max(2) + q @ self.most
+        rare = rare.reshape(len(queries), self.blocks, BLOCK)
+        bound = rare.max(2) + q @ self.most
         out = np.full_like(rare, -np.inf)
 
         def score(wanted: np.ndarray) -> None:
             for b in np.flatnonzero(wanted.any(0)):
-                own, part = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-                out[own, part] = rare[own, part] + q[own] @ self.dense[b]
+                own = np.flatnonzero(wanted[:, b])
+                out[own, b] = rare[own, b] + q[own] @ self.dense[b]
 
+        first = np.argsort(-bound, 1, kind="stable")[:, :SEEDS]
         seeds = np.zeros(bound.shape, bool)
-        np.put_along_axis(seeds, np.argsort(-bound, 1, kind="stable")[:, :SEEDS], True, 1)
+        np.put_along_axis(seeds, first, True, 1)
         score(seeds)
-        least = np.partition(out, -k, 1)[:, -k] if width > k else np.zeros(len(queries))
-        score(~seeds & (bound >= np.maximum(least, 0)[:, None] - SLACK) & (bound > 0))
-        return out
+        best = np.take_along_axis(out, first[:, :, None], 1).reshape(len(queries), -1)
+        least = np.maximum(np.partition(best, -k, 1)[:, -k], 0) if best.shape[1] > k else np.zeros(len(queries))
+        score(~seeds & (bound >= least[:, None] - SLACK) & (bound > 0))
+        return out.reshape(len(queries), width), least
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each unit vector, rows and cosines of the k nearest examples with a cosine over 0, ties by id."""
@@ -223,17 +228,17 @@ class Index:
         if not self.ready:
             self.open()
         found, q = [], self.scratch
-        rough = self._rough(queries, k, skip or [None] * len(queries))
-        most = np.partition(rough, -k, 1)[:, -k] if rough.shape[1] > k else np.full(len(queries), -np.inf)
-        for (at, weight), own, least in zip(queries, rough, most - SLACK, strict=True):
-            rows = np.flatnonzero((own >= least) & (own > 0))
+        for (at, weight), own, least in zip(queries, *self._rough(queries, k, skip or [None] * len(queries)), strict=True):
+            rows = np.flatnonzero((own >= least - SLACK) & (own > 0))
+            if len(rows) > k:
+                rough = own[rows]
+                rows = rows[rough >= np.partition(rough, -k)[-k] - SLACK]
             sizes = self.sizes[rows]
             held = _spans(self.starts[rows], sizes)
             q[at] = weight
-            term = self.term[held]
-            products = q[term] * self._raw(term, self.n[held])
+            products = q[self.term[held]] * self.value[held]
             q[at] = 0
-            cosines = np.add.reduceat(products, np.cumsum(sizes) - sizes) / self.lengths[rows] if len(rows) else np.zeros(0)
+            cosines = np.add.reduceat(products, np.cumsum(sizes) - sizes) if len(rows) else np.zeros(0)
             best = np.lexsort((self.ids[rows], -cosines.round(12)))[:k]
             found.append((rows[best], cosines[best]))
         return found
