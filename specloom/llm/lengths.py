@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from specloom.llm.bpe import load_ranks
 from specloom.llm.common import materialize
 from specloom.llm.packing import rank_encoding
 
@@ -23,8 +24,10 @@ SPAN = 1024  # lengths whose sums are made in one group
 def token_lengths(documents: DataFrame, path: str) -> DataFrame:
     """doc_id and n_tokens of every document; a null text has none."""
 
+    shared = documents.sparkSession.sparkContext.broadcast(load_ranks(path))  # of fixed size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = rank_encoding(path)
+        encoding = rank_encoding(shared.value)
         for batch in batches:
             n = [len(encoding.encode_to_numpy(t.as_py() or "", disallowed_special=())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(n, np.int64))], ["doc_id", "n_tokens"])
@@ -55,10 +58,18 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """limit and tokens: the total when every document is cut at the limit, for any limits."""
-    spark = sums.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "limit long")
-    # the shortest length at or above the limit has the suffix that the limit cuts
-    at = asked.join(sums, F.col("n_tokens") >= F.col("limit"), "left").groupBy("limit").agg(F.min_by(F.struct("docs_from", "tokens_from"), "n_tokens").alias("s"))
-    total = sums.agg(F.max("tokens_total").alias("tokens_total"))
-    return at.join(F.broadcast(total)).selectExpr("limit", "coalesce(tokens_total - coalesce(s.tokens_from, 0) + limit * coalesce(s.docs_from, 0), 0) AS tokens")
+    """limit and tokens: the total when every document is cut at the limit, for any limits.
+
+    The shortest length at or above a limit has the suffix that the limit cuts. The limits (a short list)
+    are held against the histogram's rows in one aggregation, without a join.
+    """
+    least = [F.min_by(F.struct("docs_from", "tokens_from"), F.when(F.col("n_tokens") >= x, F.col("n_tokens"))).alias(f"s{i}") for i, x in enumerate(limits)]
+    one = sums.agg(F.max("tokens_total").alias("total"), *least)
+    each = F.explode(F.array(*[F.struct(F.lit(int(x)).cast("long").alias("limit"), F.when(F.col(f"s{i}.docs_from") > 0, F.col(f"s{i}")).alias("s")) for i, x in enumerate(limits)]))
+    return one.select("total", each.alias("e")).selectExpr("e.limit AS limit", "coalesce(total - coalesce(e.s.tokens_from, 0) + e.limit * coalesce(e.s.docs_from, 0), 0) AS tokens")
+
+
+def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
+    """share and n_tokens: the least length that at least so large a share of the documents does not exceed. Null without documents."""
+    one = sums.agg(*[F.min(F.when(F.col("quantile") >= x, F.col("n_tokens"))).alias(f"q{i}") for i, x in enumerate(shares)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(float(x)).alias("share"), F.col(f"q{i}").alias("n_tokens")) for i, x in enumerate(shares)])).alias("e")).select("e.*")

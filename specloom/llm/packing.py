@@ -31,11 +31,11 @@ BUCKETS = 256  # parts in which each class is numbered
 CUTS = (1, 2, 4, 8)  # an item may be cut at every context / CUTS tokens
 PADDING = 0.015  # the coarsest cut with no more padding than this is taken
 GAP = 4e-3  # the linear program ends when its patterns are proven to be this near the fewest
-MAX_COLUMNS = 20_000  # guards against cycling; the program is solved long before
+MAX_COLUMNS = 20_000  # guards against cycling; the program is solved long before, and fails if it is not
 
 
-def rank_encoding(path: str) -> tiktoken.Encoding:
-    ranks = {t: i for i, t in enumerate(bpe.load_ranks(path))}
+def rank_encoding(tokens: list[bytes]) -> tiktoken.Encoding:
+    ranks = {t: i for i, t in enumerate(tokens)}
     return tiktoken.Encoding("ranks", pat_str=bpe.public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -46,17 +46,17 @@ class Ids:
     time; a text that holds one of the file's special strings goes to the tokenizers library itself.
     """
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.path, self.special, self.whole = path, [t["content"] for t in spec.get("added_tokens", ())], None
+    def __init__(self, file: str):
+        """``file`` is the text of the tokenizer file."""
+        spec = json.loads(file)
+        self.file, self.special, self.whole = file, [t["content"] for t in spec.get("added_tokens", ())], None
         raw = {c: b for b, c in enumerate(_byte_letters())}
         ranks = {bytes(raw[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.encoding = tiktoken.Encoding("ids", pat_str=bpe.public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
-            self.whole = self.whole or Tokenizer.from_file(self.path)
+            self.whole = self.whole or Tokenizer.from_str(self.file)
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.encoding.encode_to_numpy(text, disallowed_special=())
 
@@ -74,8 +74,11 @@ def chunks(documents: DataFrame, path: str, context: int = CONTEXT, end: int = E
     crcs[k] holds the checksums of the pieces that the k-th cut makes of the chunk (whole chunks are never cut).
     """
 
+    with open(path, encoding="utf-8") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())  # of fixed size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Ids(path)
+        encode = Ids(shared.value)
         for batch in batches:
             at, start, length, total, crcs = [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
@@ -195,6 +198,8 @@ def solve(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
         if step % 500 == 499:
             inverse = inverted(basis)
             x = inverse @ demand[used].astype(float)
+    else:
+        raise RuntimeError(f"the linear program is not solved after {MAX_COLUMNS} columns")
     found = []
     for i in range(m):
         pattern = np.zeros(len(demand), np.int64)

@@ -5,6 +5,7 @@ import itertools
 import pickle
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -71,30 +72,72 @@ def test_sharding(odd_documents, no_documents, spark):
     assert sharding.shard(no_documents, tree).collect() == []
 
 
+def test_sharding_by_a_plain_descent(spark, odd_documents):
+    """Every row of the query against a descent in Python; the draws' uniforms come from Spark's own hash."""
+    tree = sharding.Tree.balanced(24)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").limit(80).unionByName(odd_documents.select("doc_id", "text"))
+    names = {(a,) for r in range(4) for a in [f"'region', {r}"]} | {(f"'rack', {r}, {c}",) for r in range(4) for c in range(2)} | {(f"'shard', {s}",) for s in range(25)}
+    names = sorted(n[0] for n in names)
+    rows = docs.selectExpr("doc_id", "text", *[f"xxhash64(doc_id, {n}) AS `{n}`" for n in names]).collect()
+
+    def down(row, t):
+        def first(children):
+            draws = [(-np.log(((row[name] & (1 << 64) - 1) >> 11) + 0.5) + 53 * np.log(2)) / weight for name, weight, _ in children]
+            return children[int(np.argmin(draws))][2]
+
+        r = first([(f"'region', {i}", sum(w for rack in region for _, w in rack), i) for i, region in enumerate(t.regions)])
+        c = first([(f"'rack', {r}, {i}", sum(w for _, w in rack), i) for i, rack in enumerate(t.regions[r])])
+        return first([(f"'shard', {s}", w, s) for s, w in t.regions[r][c]])
+
+    want = sorted(((r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode()), "key", down(r, tree), down(r, tree.grown())) for r in rows), key=str)
+    got = sharding.shard(docs.withColumn("shard", F.lit(1)).withColumn("slot", F.lit(1)), tree, tree.grown()).collect()
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) for r in got), key=str) == want
+    for n in (24, 25, 30, 31, 40):
+        assert sharding.Tree.balanced(n).grown() == sharding.Tree.balanced(n + 1) and sharding.Tree.balanced(n).shards == list(range(n))
+    assert sharding.Tree.balanced(11).shards == list(range(11))
+
+
 def test_lm_scores_by_brute_force(spark, encoding):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("doc_id < 60").unionByName(spark.createDataFrame([(900, None), (901, "")], "doc_id long, text string"), allowMissingColumns=True)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("doc_id < 60").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "only here zxqj"), (7, "again 7")], "doc_id long, text string"), allowMissingColumns=True)
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
-    ids = {r["doc_id"]: encoding.encode_ordinary(r["text"] or "") for r in docs.collect()}
-    counts = [[{}, {}, {}], [{}, {}, {}]]
-    for doc, x in ids.items():
-        for m in (0, 1) if doc in good else (0,):
-            for a, b in zip([50_256, *x], x, strict=False):
-                for table, key in zip(counts[m], ((a, b), b, a), strict=True):
-                    table[key] = table.get(key, 0) + 1
+    rows = [(r["doc_id"], encoding.encode_ordinary(r["text"] or "")) for r in docs.collect()]
 
-    def loss(m, a, b):
-        pairs, own, context = counts[m]
-        w = lmscore.WEIGHT if context.get(a) else 0.0
-        return -np.log2(w * pairs.get((a, b), 0) / max(1, context.get(a, 0)) + (1 - w) * (own.get(b, 0) + 1) / (sum(own.values()) + 50_256))
+    def counted(x):
+        pairs = list(zip([50_256, *x], x, strict=False))
+        return [Counter(pairs), Counter(b for _, b in pairs), Counter(a for a, _ in pairs)]
 
-    for r in lmscore.score(docs, labels, queries.RANKS).collect():
-        x = ids[r["doc_id"]]
-        if x:
-            want = np.mean([loss(0, a, b) - loss(1, a, b) for a, b in zip([50_256, *x], x, strict=False)])
-            assert r["score"] == pytest.approx(want, abs=1e-9)
-        else:
-            assert (r["n_tokens"], r["target_loss"], r["score"]) == (0, None, 0.0)
+    totals = [[Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]]
+    for doc, x in rows:
+        for m in (0, 1) if doc in good else (0,):
+            for table, own in zip(totals[m], counted(x), strict=True):
+                table.update(own)
+
+    def loss(doc, x, m):
+        own = counted(x) if m == 0 or doc in good else [Counter()] * 3
+        others = sum(totals[m][1].values()) - sum(own[1].values())
+        out = 0.0
+        for a, b in zip([50_256, *x], x, strict=False):
+            pair, single, context = (totals[m][k][key] - own[k][key] for k, key in enumerate(((a, b), b, a)))
+            w = lmscore.WEIGHT if context > 0 else 0.0
+            plain = single / others if others > 0 else 1 / 50_256
+            out -= np.log2(w * pair / max(1, context) + (1 - w) * ((1 - lmscore.FLOOR) * plain + lmscore.FLOOR / 50_256))
+        return out / len(x)
+
+    want = sorted((doc, len(x), *((loss(doc, x, 1), loss(doc, x, 0)) if x else (0.0, 0.0))) for doc, x in rows)
+    got = sorted((r["doc_id"], r["n_tokens"], r["target_loss"] or 0.0, r["background_loss"] or 0.0, r["score"]) for r in lmscore.score(docs.repartition(3), labels, queries.RANKS).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2:4] for r in got], [r[2:] for r in want], atol=1e-9) and np.allclose([r[4] for r in got], [r[3] - r[2] for r in want], atol=1e-9)
+
+
+def test_lm_scores_tell_copies_apart(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(60))
+    texts = [text() for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), *((100 + i, texts[i]) for i in range(10))], "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in lmscore.score(docs, spark.createDataFrame([(i, 1) for i in range(20, 60)], "doc_id long, quality int"), queries.RANKS).collect()}
+    copied = [scores[i] for i in (*range(10), *range(100, 110))]
+    assert max(copied) < min(scores[i] for i in range(10, 20))
 
 
 def test_lm_scores_of_odd_rows(odd_documents, no_documents, labels):
@@ -194,10 +237,10 @@ def test_packing(odd_documents, no_documents, spark):
     rows = packing.pack(docs, queries.TOKENIZER).collect()
     whole = Tokenizer.from_file(queries.TOKENIZER)
     ids = [[*whole.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in docs.collect()]
-    assert sum(r["length"] for r in rows) == sum(map(len, ids))
-    by = {}
+    by, pieces_of = {}, {}
     for r in rows:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        pieces_of.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
     for pieces in by.values():
         at = 0
         for offset, length in sorted(pieces):
@@ -205,11 +248,18 @@ def test_packing(odd_documents, no_documents, spark):
             at += length
         assert at <= 2048
     assert sorted(by) == list(range(len(by))) and 2048 * len(by) < 1.05 * sum(map(len, ids)) + 2048
-    crcs = {(r["doc_id"], r["start"]): r for r in rows}
+    # every piece has the checksum of its document's ids there, and the pieces of each id's documents cover all of them once
+    wanted = {}
     for d, x in zip(docs.collect(), ids, strict=True):
-        if d["doc_id"] == 7 and "endoftext" in (d["text"] or ""):
-            r = crcs[7, 0]
-            assert r["ids_crc32"] == zlib.crc32(np.array(x[: r["length"]], "<u4").tobytes()) and 50_256 in x
+        wanted.setdefault(d["doc_id"], []).append(x)
+    assert sorted(pieces_of, key=str) == sorted(wanted, key=str)
+    for doc, pieces in pieces_of.items():
+        assert sum(length for _, length, _, _ in pieces) == sum(map(len, wanted[doc]))
+        for start, length, crc, total in pieces:
+            assert any(len(x) == total and zlib.crc32(np.array(x[start : start + length], "<u4").tobytes()) == crc and start + length <= total for x in wanted[doc])
+        if len(wanted[doc]) == 1:
+            ends = sorted((start, start + length) for start, length, _, _ in pieces)
+            assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False)) and ends[-1][1] == len(wanted[doc][0])
     assert packing.pack(no_documents, queries.TOKENIZER).collect() == []
 
 
@@ -231,7 +281,19 @@ def test_token_counts(spark, odd_documents, no_documents, encoding):
         assert (r["docs_from"], r["tokens_from"], r["truncated"]) == (sum(x >= k for x in n), sum(x for x in n if x >= k), sum(min(x, k) for x in n))
     for r in lengths.truncated_totals(sums, [0, 1, 7, 30, 10**6]).collect():
         assert r["tokens"] == sum(min(x, r["limit"]) for x in n)
-    assert lengths.suffix_sums(lengths.histogram(no_documents, queries.RANKS)).collect() == []
+    for r in lengths.quantiles(sums, [0.0, 0.1, 0.5, 0.99, 1.0]).collect():
+        assert r["n_tokens"] == next(x for x in n if sum(y <= x for y in n) >= r["share"] * len(n))
+    none = lengths.suffix_sums(lengths.histogram(no_documents, queries.RANKS))
+    assert none.collect() == [] and [tuple(r) for r in lengths.truncated_totals(none, [5]).collect()] == [(5, 0)] and lengths.quantiles(none, [0.5]).first()["n_tokens"] is None
+
+
+def test_token_counts_of_a_whole_table(spark, encoding):
+    n = Counter(len(encoding.encode_ordinary(t)) for t in texts(10**9))
+    sums = common.materialize(lengths.suffix_sums(lengths.histogram(spark.read.parquet(f"{SMALL}/documents.parquet"), queries.RANKS)), "sums")
+    rows = sums.collect()
+    assert {r["n_tokens"]: r["n_docs"] for r in rows} == n and all(r["quantile"] == pytest.approx(sum(m for k, m in n.items() if k <= r["n_tokens"]) / n.total()) for r in rows)
+    for r in lengths.truncated_totals(sums, list(range(0, 3_000, 97))).collect():
+        assert r["tokens"] == sum(min(k, r["limit"]) * m for k, m in n.items())
 
 
 def test_quality(spark, odd_documents, no_documents):
@@ -280,6 +342,44 @@ def test_pii_held_out_rows():
     assert hit / found > 0.9 and hit / real > 0.9
 
 
+def test_pii_sentences_of_other_shapes():
+    """Sentences written by hand, unlike the templates of the labelled table; [kind:...] marks what is to be found."""
+    marked = [
+        "If anything breaks over the weekend, text me at [phone:(212) 555-0198] and I'll call back.", "Customer support can be reached under [phone:+44 20 7946 0958] from nine to five.",
+        "Our new fax is [phone:555-201-8834], the old one no longer works.", "Ich bin unter [phone:+49 (301) 555-7788] zu erreichen, meistens abends.",
+        "Please forward the signed copy to [email:anna.meier@lab.example.org] before Friday.", "Questions? [email:help_desk@tools.example.com] answers within a day!",
+        "The gateway answered from [ip:10.42.7.19] with a timeout, so we moved on.", "Blocked hosts so far: [ip:203.0.113.77] and [ip:198.51.100.4].",
+        "She paid with [card:4539 1488 0343 6467] and left.", "Refund to the card ending in 6467, number [card:4539148803436467], was approved.",
+        'export token = "[secret:sk_9fKq2LmZ81xPaWvT0bYcRu7DsGhE4n]"', "secret: '[secret:3f786850e387550fdab836ed7e6dc881de23001b]'",
+        "The meeting on 2019-04-12 had 4500 visitors and cost $12,300.", "Version 3.11.2 fixes 17 bugs; see chapter 10.4 for details.",
+        "In 1914 the population was 1200345, in 1950 it was 2400981.", "He said: call me maybe, then hung up the phone.", "commit 9fceb02 and commit 1a2b3c4d fix the token parser",
+        "The key to success = hard work and patience.", "Row 12 | 34 | 56 | 78 sums to 180.", "Le total est de 12 500 euros pour 2021-2022.",
+    ]
+    field, hit, found, real = pii.train(), 0, 0, 0
+    for m in marked:
+        text, want = "", set()
+        for part in re.split(r"(\[[a-z]+:[^\]]*\])", m):
+            kind, _, value = part[1:-1].partition(":") if re.fullmatch(r"\[[a-z]+:[^\]]*\]", part) else ("", "", part)
+            if kind:
+                want.add((kind, len(text), len(text) + len(value)))
+            text += value
+        got = {(k, a, b) for k, a, b in pii.spans_of([text], field)[0][1]}
+        hit, found, real = hit + len(got & want), found + len(got), real + len(want)
+    print(f"precision {hit / found:.2f}, recall {hit / real:.2f}")
+    assert hit / found > 0.7 and hit / real > 0.7
+
+
+def test_pii_time_is_linear_in_spans():
+    field, one = pii.train(), 'Ä call (212) 555-0198 or a.b@c.de now.\ntoken = "sk_9fKq2LmZ81xPaWvT0bYcRu7DsGhE4n"\n'
+    few = pii.spans_of([one], field)[0][1]
+    began = time.monotonic()
+    base, every = pii.spans_of([one * 35_000], field)[0]
+    assert time.monotonic() - began < 60 and len(base) == 35_000 and len(every) == 35_000 * len(few) >= 100_000
+    assert sorted((k, a % len(one), b - a) for k, a, b in every[:: len(few)])[0][0] in pii.KINDS
+    spans = [("x", a, a + n) for a in range(30) for n in (1, 3)]
+    assert pii.overlapping(spans, [("y", 4, 9), ("y", 6, 7), ("z", 20, 21)]) == [any(s[1] < b and a < s[2] for a, b in ((4, 9), (6, 7), (20, 21))) for s in spans]
+
+
 def test_pii_rows(odd_documents, no_documents, spark):
     rows = {r["doc_id"]: r for r in pii.find(odd_documents).collect()}
     assert (rows[6]["n_email"], rows[6]["n_phone"]) == (1, 1) and rows[3]["spans"] == "" and rows[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
