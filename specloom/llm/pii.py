@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ KINDS = (*BASE, "secret")
 LABELS = ("O", *(f"{at}-{kind}" for kind in KINDS for at in "BI"))
 MAX_ROWS = 2_000  # labelled rows that are learnt from: the first by row_id
 ROUNDS, RATE, DECAY, MIN_COUNT = 120, 0.12, 1e-3, 3
-CHARS = 1_000_000  # texts are worked on in runs of so many bytes; a longer text by itself
+CHARS = 1_000_000  # texts are worked on in runs of so many characters; a longer text by itself
 
 # --- base spans: each pattern starts at the start of a run, so it never rescans one ---
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -387,7 +389,7 @@ def train(labelled: DataFrame | None = None) -> Field:
 
 def _trimmed(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
     if kind == "secret":  # what stands before a value belongs to its name
-        a = text.rfind("=", a, len(text[:b].rstrip("=\"' "))) + 1 or a
+        a += text[a:b].rstrip("=\"' ").rfind("=") + 1
     while a < b and not (text[a].isalnum() or kind == "phone" and text[a] in "+("):
         a += 1
     while b > a and not text[b - 1].isalnum():
@@ -409,7 +411,8 @@ def _accepts(kind: str, found: str) -> bool:
 def added_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) in characters that the random field finds in each text."""
     raw = [t.encode() for t in texts]
-    w = words_of(b"\n".join(raw))
+    joined = b"\n".join(raw)
+    w = words_of(joined)
     labels = field.decode(w)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     hits = np.flatnonzero(labels)
@@ -421,11 +424,12 @@ def added_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
     starts = np.ones(len(hits), bool)  # inside labels carry on a span of their kind, else they begin one
     starts[1:] = (labels[hits[1:]] % 2 == 1) | (np.diff(hits) != 1) | (np.diff(kind) != 0) | (np.diff(w.sentence[hits]) != 0)
     at = np.flatnonzero(starts)
+    # characters before each byte: all bytes but those that carry on a character
+    before = np.append(0, np.cumsum(np.frombuffer(joined, np.uint8) & 0xC0 != 0x80, dtype=np.int32))
+    begins = before[ends - [len(r) + 1 for r in raw]]
     for a, b in zip(at, np.append(at[1:], len(hits)), strict=True):
         i, k = int(doc[a]), KINDS[kind[a]]
-        data, from_ = raw[i], int(ends[i]) - len(raw[i]) - 1
-        x = len(data[: int(w.start[hits[a]]) - from_].decode())
-        y = x + len(data[int(w.start[hits[a]]) - from_ : int(w.end[hits[b - 1]]) - from_].decode())
+        x, y = (int(before[byte] - begins[i]) for byte in (w.start[hits[a]], w.end[hits[b - 1]]))
         x, y = _trimmed(k, texts[i], x, y)
         if _accepts(k, texts[i][x:y]):
             out[i].append((k, x, y))
@@ -446,11 +450,19 @@ def spans_of(texts: list[str], field: Field) -> list[tuple[list[tuple[str, int,
         at = end
     out = []
     for own, more in zip(base, added, strict=True):
-        new = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in own)] if own else more
+        new = [s for s, over in zip(more, overlapping(more, own), strict=True) if not over] if own else more
         out.append((own, sorted([*own, *new], key=lambda s: (KINDS.index(s[0]), s[1]))))
     return out
 
 
+def overlapping(spans: list[tuple[str, int, int]], others: list[tuple[str, int, int]]) -> list[bool]:
+    """Whether each span overlaps one of the others: of those that begin before its end, the furthest end decides."""
+    by_start = sorted((a, b) for _, a, b in others)
+    begins, furthest = [a for a, _ in by_start], list(accumulate((b for _, b in by_start), max))
+    before = [bisect_left(begins, b) for _, _, b in spans]
+    return [k > 0 and furthest[k - 1] > a for (_, a, _), k in zip(spans, before, strict=True)]
+
+
 def spelled(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in spans)
 
