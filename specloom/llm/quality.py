@@ -116,7 +116,7 @@ def judge(measured: DataFrame, host: str = "source", host_limit: float = HOST_LI
         joined = measured.join(F.broadcast(bad), same, "left")
     else:
         salted = bad.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_there"))
-        joined = measured.withColumn("_here", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, same & (F.col("_here") == F.col("_there")), "left").drop("_here", "_there")
+        joined = measured.withColumn("_here", F.pmod(F.xxhash64(*MEASURES), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_here") == F.col("_there")), "left").drop("_here", "_there")
     kept = ~F.col("base_failed") & (n_failed() < F.when(F.col("_bad"), 1).otherwise(strikes))
     return joined.withColumn("kept", kept).drop("_host", "_bad")
 

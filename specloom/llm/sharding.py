@@ -27,13 +27,19 @@ class Tree:
     regions: tuple[tuple[tuple[tuple[int, float], ...], ...], ...]
 
     @staticmethod
-    def balanced(shards: int, racks: int = 2, per_rack: int = 4) -> Tree:
-        """Shards 0 to shards - 1 of weight 1, filled rack by rack."""
+    def balanced(shards: int, racks: int = 2, per_rack: int = 4, founded: int = 24) -> Tree:
+        """Shards 0 to shards - 1 of weight 1: the first ``founded`` filled rack by rack, each later one as grown.
+
+        So the number of shards alone decides, and from ``founded`` shards on one more takes rows only into itself.
+        """
         if shards < 1:
             raise ValueError("a tree needs a shard")
-        ids = list(range(shards))
-        filled = [tuple((s, 1.0) for s in ids[i : i + per_rack]) for i in range(0, shards, per_rack)]
-        return Tree(tuple(tuple(filled[i : i + racks]) for i in range(0, len(filled), racks)))
+        filled = min(shards, founded)
+        racked = [tuple((s, 1.0) for s in range(i, min(i + per_rack, filled))) for i in range(0, filled, per_rack)]
+        tree = Tree(tuple(tuple(racked[i : i + racks]) for i in range(0, len(racked), racks)))
+        for _ in range(filled, shards):
+            tree = tree.grown()
+        return tree
 
     @property
     def shards(self) -> list[int]:
