@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import connected_components, group_bounds, materialize, merge_labels, sorted_groups
+from specloom.llm.common import connected_components, group_bounds, join_by_class, materialize, merge_labels, release, sorted_groups
 
 BITS, LIMIT, SEED = 64, 3, 42
 PARTITIONS = (2, 3, 4, 5)  # numbers of partitions that are weighed against each other
@@ -263,14 +263,16 @@ def fingerprint_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every document, and (fp, root, component_id) of every distinct fingerprint."""
+    """(doc_id, fp) of every document, and (fp, root, component_id, copies) of every distinct fingerprint."""
     docs = materialize(fingerprints(documents.select(F.col("doc_id").cast("long"), "text")), "fingerprints")
-    firsts = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    firsts = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "distinct")
     links = materialize(fingerprint_links(firsts.select("fp")), "links")
-    roots = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
-    named = materialize(firsts.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id"), "roots")
+    roots = connected_components(links, "a", "b")
+    named = materialize(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "copies"), "roots")
+    for done in (firsts, links, roots):
+        release(done)
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return docs, named.join(names, "root").select("fp", "root", "component_id")
+    return docs, named.join(names, "root").select("fp", "root", "component_id", "copies")
 
 
 def simhash_components(documents: DataFrame) -> DataFrame:
@@ -279,10 +281,11 @@ def simhash_components(documents: DataFrame) -> DataFrame:
     component_id is the smallest doc_id that links of at most LIMIT differing bits reach, itself
     included. Null texts and texts without words have fingerprint zero and are linked like any other.
     A null doc_id joins a component but never names one; a component with no other id has a null name.
-    Only (doc_id, fingerprint) rows are shuffled, and equal fingerprints meet once, whatever their number.
+    Only (doc_id, fingerprint) rows are shuffled; equal fingerprints are compared once, and those of very many
+    documents are joined back by broadcast.
     """
     docs, by_fp = _components(documents)
-    return docs.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_by_class(docs, by_fp, ["fp"], "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
@@ -297,6 +300,6 @@ def keep_one(documents: DataFrame) -> DataFrame:
     names = by_fp.select("component_id").filter("component_id IS NOT NULL").distinct()
     able = documents.join(names, F.col("doc_id").cast("long") == F.col("component_id"), "left_semi").select(own, "text")
     able = able.unionByName(documents.filter("doc_id IS NULL").select(own, "text"))
-    rows = fingerprints(able, ("_row",)).join(by_fp, "fp").filter(F.col("_row.doc_id").cast("long").eqNullSafe(F.col("component_id")))
+    rows = join_by_class(fingerprints(able, ("_row",)), by_fp, ["fp"], "copies").filter(F.col("_row.doc_id").cast("long").eqNullSafe(F.col("component_id")))
     kept = rows.groupBy("root").agg(F.min_by("_row", F.coalesce("_row.text", F.lit(""))).alias("row"))
     return kept.select("row.*")
