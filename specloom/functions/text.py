@@ -11,25 +11,27 @@ from pyspark.sql import functions as F
 WS = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 B = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"  # an ASCII word boundary
 
+BEGIN, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"  # the same before and after a word character
+
 # The patterns that decide what a line, a sentence or a reference is.
 HEADING = rf"(?i)^{WS}*(Annex{WS}+[A-Z](?:\.[0-9]+)*|[0-9]+(?:\.[0-9]+)*|[A-Z](?:\.[0-9]+)*)\.?{WS}+([a-zA-Z0-9_()\"'“‘].*)\z"
 LIST = rf"^{WS}*(•|[*+-]|[0-9]+[.)]|[a-zA-Z][.)]|\([0-9]+\)|\([a-zA-Z]\)){WS}+(.*)\z"
 PAGE_NUMBER = r"^(?:[0-9]+|[ivxldcmIVXLDCM]+)\z"
 BOUNDARY = rf"([.!?][\"'”’)]?)({WS}+)([\"'“‘(]?[A-Z])"
-ABBREVIATION = rf"(?i){B}(?:e\.g|i\.e|vs|std|fig|no|approx|ref|et{WS}+al){WS}*[.!?][\"'”’)]?{WS}*\z"
-SECTION_REF = rf"(?i){B}(?:Section|Clause|Annex){WS}+((?:Annex{WS}+[A-Z]|[A-Z]|[0-9]+)(?:\.[0-9]+)*){B}"
-REQUIREMENT_REF = rf"{B}(REQ-[0-9]+){B}"
-OBLIGATION = rf"(?i){B}(?:required|mandatory|ensure|strictly|necessary|obligation|responsible|is{WS}+to|are{WS}+to|has{WS}+to|have{WS}+to){B}"
+ABBREVIATION = rf"((?i:{BEGIN}(?:e\.g|i\.e|vs|std|fig|no|approx|ref|et{WS}+al)){WS}*[.!?][\"'”’)]?{WS}*)\n"
+SECTION_REF = rf"(?i){BEGIN}(?:Section|Clause|Annex){WS}+((?:Annex{WS}+[A-Z]|[A-Z]|[0-9]+)(?:\.[0-9]+)*){END}"
+REQUIREMENT_REF = rf"{BEGIN}(REQ-[0-9]+){END}"
+OBLIGATION = rf"(?i){BEGIN}(?:required|mandatory|ensure|strictly|necessary|obligation|responsible|is{WS}+to|are{WS}+to|has{WS}+to|have{WS}+to){END}"
 MODALS = {
-    "Prohibition": rf"(?i){B}(?:shall|must|should){WS}+not{B}",
-    "Mandatory": rf"(?i){B}(?:shall|must){B}",
-    "Recommendation": rf"(?i){B}should{B}",
-    "Permission": rf"(?i){B}may{B}",
+    "Prohibition": rf"(?i){BEGIN}(?:shall|must|should){WS}+not{END}",
+    "Mandatory": rf"(?i){BEGIN}(?:shall|must){END}",
+    "Recommendation": rf"(?i){BEGIN}should{END}",
+    "Permission": rf"(?i){BEGIN}may{END}",
 }
-IMPLEMENTS_CUE = rf"(?i){B}(?:comply|conform|implement|according to|defined in){B}"
-DEPENDS_CUE = rf"(?i){B}(?:require|depend|prerequisite|rely|relies){B}"
-REQ_DEPENDS_CUE = rf"(?i){B}(?:depend|require|prerequisite|conditional|rely|relies){B}"
-SUPERSEDES_CUE = rf"(?i){B}(?:supersede|replace|obsolete|deprecated){B}"
+IMPLEMENTS_CUE = rf"(?i){BEGIN}(?:comply|conform|implement|according to|defined in){END}"
+DEPENDS_CUE = rf"(?i){BEGIN}(?:require|depend|prerequisite|rely|relies){END}"
+REQ_DEPENDS_CUE = rf"(?i){BEGIN}(?:depend|require|prerequisite|conditional|rely|relies){END}"
+SUPERSEDES_CUE = rf"(?i){BEGIN}(?:supersede|replace|obsolete|deprecated){END}"
 DEFAULT_HEADERS = ["energy services interface", "ieee std", "prepared by"]
 
 
@@ -71,14 +73,12 @@ def section_key(c: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Array of sentences: cut after . ! or ? (and a closing quote) before white space and a capital, but not after an abbreviation."""
-    marked = F.regexp_replace(F.regexp_replace(text, "\n", " "), BOUNDARY, "$1$2\u0001$3")
-    none = F.array().cast("array<string>")
-    joined = F.aggregate(F.split(marked, "\u0001"), none, lambda acc, p: F.when(
-        F.coalesce(F.try_element_at(acc, F.lit(-1)).rlike(ABBREVIATION), F.lit(False)),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.try_element_at(acc, F.lit(-1)), p))),
-    ).otherwise(F.concat(acc, F.array(p))))
-    return F.filter(F.transform(joined, strip), lambda s: s != "")
+    """Array of sentences: cut after . ! or ? (and a closing quote) before white space and a capital, but not after an abbreviation.
+
+    Line ends become blanks first, so a line end can mark the cuts; the marks after abbreviations are taken out again.
+    """
+    marked = F.regexp_replace(F.replace(text, F.lit("\n"), F.lit(" ")), BOUNDARY, "$1$2\n$3")
+    return F.filter(F.transform(F.split(F.regexp_replace(marked, ABBREVIATION, "$1"), "\n"), strip), lambda s: s != "")
 
 
 def modal_types(sentence: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from specloom.functions.text import B, WS
+from specloom.functions.text import B, BEGIN, END, WS
 
 # Common words that are never terms.
 STOPWORDS = (
@@ -69,6 +70,8 @@ POSSIBLE CONFLICTS
 
 def java(pattern: str) -> str:
     """A pattern with ASCII word boundaries and Unicode spaces, without regard to case."""
+    if re.fullmatch(r"\\b\w(?:\w|\\[sd]|[ |()?:]|(?<=\\[sd])[+*])*\\b", pattern):  # a word character at either end
+        pattern = BEGIN + pattern[2:-2] + END
     return "(?i)" + pattern.replace(r"\b", B).replace(r"\s", WS).replace(r"\d", "[0-9]")
 
 
@@ -94,12 +97,18 @@ def domain(name: str = "generic", terms: dict[str, str] | None = None, stopwords
     return replace(Domain(name), terms=own, stopwords=once(STOPWORDS, MORE_STOPWORDS[name], stopwords), headers=once(HEADERS[name], headers), actors=once(ACTORS[name], actors), role=ROLES[name], info=info)
 
 
+def inferred_domain(name: str, terms, headers, role: str, more_terms: dict[str, str] | None = None, stopwords=(), more_headers=(), info: str = "") -> Domain:
+    """A domain that a model has described: its terms by their own words, the general stop words, and no actors."""
+    own = {t: rf"\b{re.escape(t)}s?\b" for t in terms} | {t: rf"\b{p}s?\b" for t, p in (more_terms or {}).items()}
+    return Domain(name, own, tuple(dict.fromkeys((*STOPWORDS, *stopwords))), tuple(dict.fromkeys((*headers, *more_headers))), role=role, info=info)
+
+
 def domain_scores(text: Column) -> tuple[Column, Column]:
-    """Points of the grid and the security domain: 1.5 for a word anywhere in the text, 1 for a pattern."""
+    """Points of the grid and the security domain: 1.5 for a word anywhere in the text, 1 for a pattern, which begins with a plain word."""
     low = F.lower(text)
 
     def points(words: list[str], patterns: list[str]) -> Column:
-        parts = [F.when(F.contains(low, F.lit(w)), 1.5).otherwise(0.0) for w in words] + [F.when(low.rlike(java(p)), 1.0).otherwise(0.0) for p in patterns]
+        parts = [F.when(F.contains(low, F.lit(w)), 1.5).otherwise(0.0) for w in words] + [F.when(F.contains(low, F.lit(re.match(r"\\b(\w+)", p)[1])) & low.rlike(java(p)), 1.0).otherwise(0.0) for p in patterns]
         out = parts[0]
         for p in parts[1:]:
             out = out + p

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 Model = Callable[[list[str]], list[str | None]]
 TYPES = ("Mandatory", "Prohibition", "Recommendation", "Permission")
-HEADINGS, IMPLICIT, TABULAR, BOILERPLATE, EDGES, CONFLICTS = 100, 8, 5, 100, 15, 15  # rows of a document in one prompt
+HEADINGS, IMPLICIT, TABULAR, BOILERPLATE, TERMS, EDGES, CONFLICTS = 100, 8, 5, 100, 120, 15, 15  # rows of a document in one prompt
 
 
 def batched(rows: DataFrame, size: int, order: list[str]) -> DataFrame:
@@ -70,20 +70,48 @@ def new_rules(replies: DataFrame, asked: DataFrame, rules: DataFrame, stop_at_nu
     return rows.select("doc_id", "rule_ord", F.format_string("REQ-%03d", "rule_ord").alias("id"), "section_number", "constraint_type", F.trim("text").alias("text"), "source_block_id", "page_number")
 
 
+def tabular_rules(replies: DataFrame, asked: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules that replies about tables name, numbered on from the document's last; a batch without a reply is passed over.
+
+    asked: doc_id, batch, id, section_number, parent_hierarchy, heading_context, page_number. Elements are
+    {blockId, constraintType, requirementText}; a block of the same batch, a known type and a text are asked for.
+    """
+    got = items(replies, "struct<blockId:string,constraintType:string,requirementText:string>").select("doc_id", "batch", "pos", "item.*")
+    good = got.filter(F.col("constraintType").isin(*TYPES) & (F.col("requirementText") != ""))
+    home = asked.select("doc_id", "batch", F.col("id").alias("blockId"), F.coalesce(F.nullif("section_number", F.lit("")), F.lit("UNKNOWN")).alias("section_number"), "parent_hierarchy", "heading_context", "page_number")
+    last = rules.groupBy("doc_id").agg(F.max("rule_ord").alias("_last"))
+    order = Window.partitionBy("doc_id").orderBy("batch", "pos")
+    rows = good.join(home, ["doc_id", "batch", "blockId"]).join(last, "doc_id", "left").withColumn("rule_ord", F.coalesce("_last", F.lit(0)) + F.row_number().over(order))
+    return rows.select("doc_id", "rule_ord", F.format_string("REQ-%03d", "rule_ord").alias("id"), "section_number", "parent_hierarchy", "heading_context", F.col("constraintType").alias("constraint_type"), F.array(F.lit("LLM_TABULAR_EXTRACTED")).alias("all_matched_constraints"), F.col("requirementText").alias("text"), F.col("blockId").alias("source_block_id"), "page_number")
+
+
+def false_headings(replies: DataFrame) -> DataFrame:
+    """doc_id, cid: the numbers of heading candidates that replies list."""
+    return items(replies, "int").filter("item IS NOT NULL").select("doc_id", F.col("item").alias("cid")).distinct()
+
+
+def inferred_domains(replies: DataFrame) -> DataFrame:
+    """doc_id, name, terms, headers, role: the domain that a reply describes; a reply without a name and a list of terms gives none."""
+    reply = F.from_json(unfenced(F.col("reply")), "domainName string, curatedTerms array<string>, cleanHeaders array<string>, roleDescription string")
+    rows = replies.select("doc_id", reply.alias("r")).select("doc_id", "r.*").filter("domainName IS NOT NULL AND domainName <> '' AND curatedTerms IS NOT NULL")
+    words = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))), lambda t: t != "")
+    return rows.select("doc_id", F.col("domainName").alias("name"), F.array_distinct(words(F.col("curatedTerms"))).alias("terms"), F.coalesce("cleanHeaders", F.array().cast("array<string>")).alias("headers"), F.coalesce("roleDescription", F.lit("")).alias("role"))
+
+
 def named_ids(replies: DataFrame) -> DataFrame:
     """doc_id, id: the ids that replies list (boilerplate rules, false headings)."""
     return items(replies, "string").select("doc_id", F.col("item").alias("id")).distinct()
 
 
 def model_terms(replies: DataFrame, actors: list[str]) -> DataFrame:
-    """doc_id, term: terms of three letters or more that replies list, lower case, without actors."""
-    rows = items(replies, "string").select("doc_id", F.lower(F.trim("item")).alias("term"))
-    return rows.filter((F.length("term") >= 3) & ~F.col("term").isin(actors)).distinct()
+    """doc_id, term, pos: terms of three letters or more that replies list, lower case, without actors, each at its first place."""
+    rows = items(replies, "string").select("doc_id", F.lower(F.trim("item")).alias("term"), F.struct("batch", "pos").alias("pos"))
+    return rows.filter((F.length("term") >= 3) & ~F.col("term").isin(actors)).groupBy("doc_id", "term").agg(F.min("pos").alias("pos"))
 
 
 def edge_changes(replies: DataFrame, allowed: tuple[str, ...] = ("REFERENCES", "IMPLEMENTS", "DEPENDS_ON", "SUPERSEDES")) -> DataFrame:
-    """doc_id, source, target, new_type from replies of {source, target, type}."""
-    rows = items(replies, "struct<source:string,target:string,type:string>").select("doc_id", "item.source", "item.target", F.col("item.type").alias("new_type"))
+    """doc_id, batch, pos, source, target, new_type from replies of {source, target, type}."""
+    rows = items(replies, "struct<source:string,target:string,type:string>").select("doc_id", "batch", "pos", "item.source", "item.target", F.col("item.type").alias("new_type"))
     return rows.filter(F.col("new_type").isin(*allowed))
 
 

@@ -99,7 +99,8 @@ def outline_paths(tree: DataFrame) -> DataFrame:
 
 
 def markdown(blocks: DataFrame) -> DataFrame:
-    """doc_id and markdown: depth first, a section's own blocks before its subsections; blocks before the first heading are left out."""
+    """doc_id and markdown: depth first, a section's own blocks before its subsections, an empty part after each section of the
+    first level; blocks before the first heading are left out."""
     tree = outline_paths(outline(blocks))
     nodes = tree.select("doc_id", F.col("sec_ord").alias("heading_no"), "path", "title", "section")
     level = F.least(F.size("path"), F.lit(6))
@@ -108,4 +109,5 @@ def markdown(blocks: DataFrame) -> DataFrame:
     piece = F.when(F.col("type") == "list_item", F.concat(F.coalesce("prefix", F.lit("-")), F.lit(" "), "text", F.lit("\n"))).when(F.col("type") == "table", F.concat(F.lit("```\n"), "text", F.lit("\n```\n"))).otherwise(F.concat("text", F.lit("\n")))
     content = rows.select("doc_id", F.concat("path", F.array(F.lit(0), F.col("block_no"))).alias("key"), piece.alias("piece"))
     pieces = F.array_sort(F.collect_list(F.struct("key", "piece")))
-    return own.unionByName(content).groupBy("doc_id").agg(F.array_join(F.transform(pieces, lambda p: p["piece"]), "\n").alias("markdown"))
+    apart = nodes.filter(F.size("path") == 1).select("doc_id", F.concat("path", F.array(F.lit(2**31 - 1))).alias("key"), F.lit("\n").alias("piece"))
+    return own.unionByName(content).unionByName(apart).groupBy("doc_id").agg(T.strip(F.array_join(F.transform(pieces, lambda p: p["piece"]), "\n")).alias("markdown"))

@@ -70,6 +70,7 @@ def conflicts(rules: DataFrame, mentions: DataFrame, domain: Domain) -> DataFram
     """doc_id, source, target, shared_term, term_ord, a, b: one pair of a mandatory and a prohibiting rule for the first term that both mention.
 
     The two kinds are split before they are joined, so pairs of one kind are never made; actors are left out first.
+    By definition there are as many pairs as mandatory times prohibiting rules of a term inside a document.
     """
     kinds = rules.select("doc_id", "rule_ord", "constraint_type")
     m = mentions.filter(~F.col("term").isin(list(domain.actors))).join(kinds, ["doc_id", "rule_ord"])
@@ -89,7 +90,7 @@ def edges(sections: DataFrame, rules: DataFrame, mentions: DataFrame, domain: Do
     ``pairs`` stands in for :func:`conflicts` when something else has judged them.
     """
     def row(df: DataFrame, phase: int, a: Column, sub: int, b: Column, kind: Column, context: str) -> DataFrame:
-        return df.select("doc_id", F.lit(phase).alias("p"), a.cast("long").alias("q"), F.lit(sub).alias("r"), b.cast("long").alias("s"), "source", "target", kind.alias("type"), F.lit(context).alias("context"))
+        return df.select("doc_id", F.lit(phase).alias("p"), a.cast("long").alias("q"), F.lit(sub).cast("long").alias("r"), b.cast("long").alias("s"), "source", "target", kind.alias("type"), F.lit(context).alias("context"))
 
     zero, contains, kind = F.lit(0), F.lit("CONTAINS"), F.col("type")
     rows = row(section_contains(sections), 0, F.col("ord"), 0, zero, contains, "hierarchy")
@@ -97,9 +98,9 @@ def edges(sections: DataFrame, rules: DataFrame, mentions: DataFrame, domain: Do
     rows = rows.unionByName(row(term_edges(rules, mentions), 1, F.col("rule_ord"), 1, F.col("pos"), kind, "text_mention"))
     rows = rows.unionByName(row(section_refs(rules, sections), 1, F.col("rule_ord"), 2, F.col("pos"), kind, "explicit_section_ref"))
     rows = rows.unionByName(row(requirement_refs(rules), 1, F.col("rule_ord"), 3, F.col("pos"), kind, "explicit_requirement_ref"))
-    found = (pairs if pairs is not None else conflicts(rules, mentions, domain)).withColumn("s", F.col("a") * 1_000_000 + F.col("b"))
+    found = pairs if pairs is not None else conflicts(rules, mentions, domain)
     reason = F.concat(F.lit("Opposing constraints on '"), "shared_term", F.lit("'"))
-    last = found.select("doc_id", F.lit(2).alias("p"), F.col("term_ord").cast("long").alias("q"), F.lit(0).alias("r"), F.col("s").cast("long").alias("s"), "source", "target", F.lit("CONFLICTS_WITH").alias("type"), F.lit("conflict").alias("context"), reason.alias("reason"), "shared_term")
+    last = found.select("doc_id", F.lit(2).alias("p"), F.col("term_ord").cast("long").alias("q"), F.col("a").cast("long").alias("r"), F.col("b").cast("long").alias("s"), "source", "target", F.lit("CONFLICTS_WITH").alias("type"), F.lit("conflict").alias("context"), reason.alias("reason"), "shared_term")
     rows = rows.unionByName(last, allowMissingColumns=True)
     return rows.withColumn("edge_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("p", "q", "r", "s"))).select("doc_id", "edge_ord", "source", "target", "type", "context", "reason", "shared_term")
 
@@ -113,12 +114,18 @@ def nodes(sections: DataFrame, rules: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.withColumn("node_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("p", "q"))).drop("p", "q")
 
 
+def refinable(edges_: DataFrame) -> DataFrame:
+    """The edges between requirements or from one to a section that are neither containment nor conflict."""
+    able = ~F.col("type").isin("CONTAINS", "CONFLICTS_WITH") & F.startswith("source", F.lit("REQ-"))
+    return edges_.filter(able & (F.startswith("target", F.lit("REQ-")) | F.startswith("target", F.lit("SEC-"))))
+
+
 def refined(edges_: DataFrame, changes: DataFrame, strict: bool = False) -> DataFrame:
-    """``edges_`` with the types of ``changes`` (doc_id, source, target, new_type) set on every edge between the same ends.
+    """``edges_`` with the types of ``changes`` (doc_id, batch, pos, source, target, new_type) set on every edge between the same ends; the last change wins.
 
     strict: only on the edges that may be refined, between requirements or from one to a section, neither containment nor conflict.
     """
-    c = changes.groupBy("doc_id", "source", "target").agg(F.max("new_type").alias("_new"))
+    c = changes.groupBy("doc_id", "source", "target").agg(F.max_by("new_type", F.struct("batch", "pos")).alias("_new"))
     able = ~F.col("type").isin("CONTAINS", "CONFLICTS_WITH") & F.startswith("source", F.lit("REQ-")) & (F.startswith("target", F.lit("REQ-")) | F.startswith("target", F.lit("SEC-")))
     new = F.when(able, F.col("_new")) if strict else F.col("_new")
     return edges_.join(c, ["doc_id", "source", "target"], "left").withColumn("type", F.coalesce(new, "type")).drop("_new")

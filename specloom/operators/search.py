@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from specloom.operators.graph import TERM_EDGES
 from specloom.sources.artifacts import settled
 
 TARGETS = 3
+SLOTS = {"target_requirements": "target", "structural_context": "section", "linked_rules": "requirement", "referenced_terms": "term", "potential_conflicts": "conflict"}
 
 
 def ask(nodes: DataFrame, questions: Sequence[str]) -> DataFrame:
@@ -156,9 +158,13 @@ def payload(nodes: DataFrame, edges: DataFrame, questions: Sequence[str], domain
     by = rows.groupBy(*key, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"]), "\n").alias("lines"))
     wide = by.groupBy(*key).pivot("part", ["target", "section", "requirement", "term", "conflict"]).agg(F.first("lines"))
     info = f"ADDITIONAL DOMAIN INFORMATION\n{domain.info}\n" if domain.info else ""
-    out = F.replace(F.replace(F.lit(domain.template), F.lit("{role_description}"), F.lit(domain.role)), F.lit("{additional_domain_info_section}"), F.lit(info))
-    for slot, column, none in (("target_requirements", "target", ""), ("structural_context", "section", "No direct structural context linked."), ("linked_rules", "requirement", "No semantically or structurally linked requirements found."), ("referenced_terms", "term", "No specific technical terms mapped."), ("potential_conflicts", "conflict", "No explicit conflicts detected in this context segment.")):
-        out = F.replace(out, F.lit(f"{{{slot}}}"), F.coalesce(F.col(column), F.lit(none)))
+    # What stands in a part without lines.
+    nothing = {"target": "", "section": "No direct structural context linked.", "requirement": "No semantically or structurally linked requirements found.", "term": "No specific technical terms mapped.", "conflict": "No explicit conflicts detected in this context segment."}
+    slots = {"{role_description}": F.lit(domain.role), "{additional_domain_info_section}": F.lit(info)}
+    slots |= {f"{{{slot}}}": F.coalesce(F.col(part), F.lit(nothing[part])) for slot, part in SLOTS.items()}
+    # the template is cut once, so what is put in is never looked at again
+    pieces = re.split("(" + "|".join(map(re.escape, slots)) + ")", domain.template)
+    out = F.concat(*[slots[x] if x in slots else F.lit(x) for x in pieces])
     every = ask(nodes.select("doc_id").distinct(), questions)
     failed = F.concat(F.lit("Error: No matching node found for query '"), "query", F.lit("' in the Knowledge Graph."))
     return every.join(wide.select(*key, out.alias("payload")), key, "left").select(*key, F.coalesce("payload", failed).alias("payload"))

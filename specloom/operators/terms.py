@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from specloom.functions.text import B
 from specloom.functions.vocabulary import Domain, java
 
 TOP = 20
@@ -68,3 +69,18 @@ def stride_sample(rules: DataFrame, most: int = 120) -> DataFrame:
     doc = Window.partitionBy("doc_id")
     rows = rules.withColumn("_i", F.row_number().over(doc.orderBy("rule_ord")) - 1).withColumn("_step", F.greatest(F.lit(1), F.floor(F.count("*").over(doc) / most)).cast("int"))
     return rows.filter((F.col("_i") % F.col("_step") == 0) & (F.col("_i") / F.col("_step") < most)).drop("_i", "_step")
+
+
+def named(rules: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(terms, mentions) for the terms of ``found`` (doc_id, term, pos), like :func:`merged` and :func:`mentions`.
+
+    freq counts the rules that hold a term, with or without an s. A document's terms are as many as one
+    reply lists, so each of its rules is held against all of them.
+    """
+    word = F.concat(F.lit("(?i)" + B), F.regexp_replace("term", r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit("s?" + B))
+    held = rules.select("doc_id", "rule_ord", "text").join(found.select("doc_id", "term", word.alias("_word")), "doc_id").filter(F.regexp_like("text", F.col("_word"))).select("doc_id", "rule_ord", "term")
+    n = held.groupBy("doc_id", "term").agg(F.count("*").alias("freq"))
+    rows = found.join(n, ["doc_id", "term"], "left").withColumn("freq", F.coalesce("freq", F.lit(0)).cast("long"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("freq"), "pos")
+    terms = rows.select("doc_id", "term", "freq", F.lit(False).alias("curated"), F.row_number().over(order).alias("term_ord"))
+    return terms, held.join(terms.select("doc_id", "term", "term_ord"), ["doc_id", "term"])

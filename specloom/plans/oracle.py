@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from specloom.functions.vocabulary import Domain
+from dataclasses import replace
+
+from specloom.functions.vocabulary import Domain, domain
 from specloom.sources.corpus import CORPUS_SQL
 
 HEADING = r"""(?i)^\s*(Annex\s+[A-Z](?:\.[0-9]+)*|[0-9]+(?:\.[0-9]+)*|[A-Z](?:\.[0-9]+)*)\.?\s+([a-zA-Z0-9_()"''“‘].*)$"""
@@ -90,7 +92,72 @@ def _tag(*xs: str) -> str:
     return " || '-' || ".join(f"lpad(CAST({x} AS VARCHAR), 8, '0')" for x in xs)
 
 
-def queries(d: Domain, search: list[str], named: list[str], req: str, term: str, sections: list[str], text_query: str) -> dict[str, str]:
+TERM_KINDS = "('REFERENCES', 'CONSTRAINS', 'RECOMMENDS', 'PERMITS')"
+
+
+def _blend(d: Domain, questions: list[str], points: str) -> str:
+    """Common tables for questions with up to three targets: tg (targets), ctx (context by role and place) and clash (conflicts).
+
+    Each rank's step sees what the steps before it have visited.
+    """
+    listed = lambda xs: ", ".join(map(_literal, xs))
+    q = f"(SELECT unnest([{listed(questions)}]) AS query)"
+    seen = lambda r, t, i="id": f"EXISTS (FROM v{r} v WHERE v.doc_id = {t}.doc_id AND v.query = {t}.query AND v.id = {t}.{i})"
+    known = lambda t: f"EXISTS (FROM nodes k WHERE k.doc_id = {t}.doc_id AND k.id = {t}.id)"
+    tag = lambda *xs: "[" + ", ".join(f"CAST({x} AS BIGINT)" for x in xs) + "]"
+    tables = {
+        "asked": f"SELECT n.*, query FROM nodes n, {q}",
+        "toks": f"SELECT query, t FROM (SELECT query, unnest(regexp_split_to_array(lower(query), '[^a-zA-Z0-9_.-]+')) AS t FROM {q}) WHERE length(t) > 1 AND t NOT IN ({listed(d.stopwords)})",
+        "res": f"SELECT doc_id, query, id AS me, label FROM (SELECT *, CASE WHEN id = upper(query) THEN 0 WHEN id = 'TERM-' || lower(query) THEN 1 WHEN id = 'SEC-' || {NORM.format('query')} THEN 2 END AS p FROM asked) WHERE p IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, query ORDER BY p, node_ord) = 1",
+        "tops": f"SELECT doc_id, query, id AS me, label, row_number() OVER (PARTITION BY doc_id, query ORDER BY score DESC, node_ord) AS rank FROM (SELECT a.doc_id, a.query, a.id, a.label, a.node_ord, sum({points}) AS score FROM asked a JOIN toks USING (query) GROUP BY ALL) WHERE score > 0 QUALIFY rank <= 3",
+        "tg": "SELECT doc_id, query, me, label, 1 AS rank FROM res UNION ALL SELECT doc_id, query, me, label, rank FROM tops ANTI JOIN res USING (doc_id, query)",
+        "walked": "SELECT doc_id, id AS me, id, CAST([] AS BIGINT[]) AS path, CAST([] AS VARCHAR[]) AS through FROM nodes WHERE label = 'Section' UNION ALL SELECT w.doc_id, w.me, e.target, list_append(w.path, e.edge_ord), list_append(w.through, e.target) FROM walked w JOIN edges e ON e.doc_id = w.doc_id AND e.source = w.id AND e.type = 'CONTAINS'",
+        "v1": "SELECT DISTINCT doc_id, query, me AS id FROM tg",
+    }
+    for r in (1, 2, 3):
+        tables |= {
+            f"t{r}": f"SELECT * FROM tg WHERE rank = {r}",
+            f"o{r}": f"SELECT t.doc_id, t.query, me, edge_ord, target AS id, type FROM t{r} t JOIN edges e ON e.doc_id = t.doc_id AND e.source = me WHERE label = 'Requirement'",
+            f"i{r}": f"SELECT t.doc_id, t.query, me, edge_ord, source AS id, type FROM t{r} t JOIN edges e ON e.doc_id = t.doc_id AND e.target = me WHERE label = 'Requirement'",
+            f"f{r}": f"SELECT doc_id, query, me, id, min(edge_ord) AS via FROM o{r} o WHERE type IN {TERM_KINDS} AND starts_with(id, 'TERM-') AND NOT {seen(r, 'o')} AND {known('o')} GROUP BY ALL",
+            f"u{r}": f"SELECT t.doc_id, t.query, source AS id, min(edge_ord) AS via FROM t{r} t JOIN edges e ON e.doc_id = t.doc_id AND e.target = me WHERE label = 'Term' AND type IN {TERM_KINDS} AND starts_with(source, 'REQ-') GROUP BY ALL",
+            f"c{r}": f"""SELECT doc_id, query, id, {tag(0, 'edge_ord', 0)} AS tag FROM i{r} WHERE type = 'CONTAINS' AND starts_with(id, 'SEC-')
+UNION ALL SELECT doc_id, query, id, {tag(1, 'edge_ord', 0)} FROM o{r} WHERE (type IN {TERM_KINDS} AND starts_with(id, 'TERM-')) OR (type IN ('REFERENCES', 'IMPLEMENTS', 'DEPENDS_ON') AND starts_with(id, 'SEC-')) OR (type IN ('REFERENCES', 'DEPENDS_ON', 'SUPERSEDES') AND starts_with(id, 'REQ-')) OR type = 'CONFLICTS_WITH'
+UNION ALL SELECT f.doc_id, f.query, e.source, {tag(1, 'via', 'e.edge_ord')} FROM f{r} f JOIN edges e ON e.doc_id = f.doc_id AND e.target = f.id WHERE starts_with(e.source, 'REQ-') AND e.source <> f.me
+UNION ALL SELECT doc_id, query, id, {tag(2, 'edge_ord', 0)} FROM i{r} WHERE type = 'CONFLICTS_WITH'
+UNION ALL SELECT doc_id, query, id, {tag('via', 0)} FROM u{r}
+UNION ALL SELECT u.doc_id, u.query, e.source, {tag('via', 'e.edge_ord')} FROM u{r} u JOIN edges e ON e.doc_id = u.doc_id AND e.target = u.id AND e.type = 'CONTAINS' AND starts_with(e.source, 'SEC-') WHERE NOT {seen(r, 'u')} AND {known('u')}
+UNION ALL SELECT t.doc_id, t.query, w.id, list_prepend(CAST(len(path) AS BIGINT), path) FROM t{r} t JOIN walked w ON w.doc_id = t.doc_id AND w.me = t.me WHERE t.label = 'Section' AND len(path) > 0 AND NOT EXISTS (FROM v{r} v WHERE v.doc_id = t.doc_id AND v.query = t.query AND list_contains(w.through, v.id))""",
+            f"n{r}": f"SELECT c.doc_id, c.query, c.id, n.label, min(tag) AS tag, {r} AS rank FROM c{r} c JOIN nodes n ON n.doc_id = c.doc_id AND n.id = c.id WHERE NOT {seen(r, 'c')} GROUP BY ALL",
+            f"v{r + 1}": f"SELECT * FROM v{r} UNION ALL SELECT doc_id, query, id FROM n{r}",
+        }
+    tables["ctx"] = "SELECT doc_id, query, CASE label WHEN 'Requirement' THEN 'requirement' WHEN 'Section' THEN 'section' ELSE 'term' END AS role, CAST(row_number() OVER (PARTITION BY doc_id, query, label ORDER BY rank, tag) AS INT) AS pos, id FROM (FROM n1 UNION ALL FROM n2 UNION ALL FROM n3)"
+    both = " UNION ALL ".join(f"SELECT doc_id, query, edge_ord, {side} AS side, {r} AS rank FROM {t}{r} WHERE type = 'CONFLICTS_WITH'" for r in (1, 2, 3) for side, t in enumerate("oi"))
+    tables["clash"] = f"SELECT doc_id, query, edge_ord, row_number() OVER (PARTITION BY doc_id, query ORDER BY rank, side, edge_ord) AS pos FROM ({both})"
+    return "".join(f",\n{k} AS MATERIALIZED ({v})" if k != "walked" else f",\n{k} AS ({v})" for k, v in tables.items())
+
+
+def _payload(d: Domain, questions: list[str]) -> str:
+    """The template cut at its slots; each part's lines from ctx, tg and clash."""
+    nothing = {"target": "", "section": "No direct structural context linked.", "requirement": "No semantically or structurally linked requirements found.", "term": "No specific technical terms mapped.", "conflict": "No explicit conflicts detected in this context segment."}
+    slots = {"target_requirements": "target", "structural_context": "section", "linked_rules": "requirement", "referenced_terms": "term", "potential_conflicts": "conflict"}
+    text, at = [], d.template.replace("{role_description}", d.role).replace("{additional_domain_info_section}", d.info and f"ADDITIONAL DOMAIN INFORMATION\n{d.info}\n")
+    while "{" in at:
+        before, _, rest = at.partition("{")
+        slot, _, at = rest.partition("}")
+        text += [_literal(before), f"coalesce(max(lines) FILTER (part = '{slots[slot]}'), {_literal(nothing[slots[slot]])})"]
+    text.append(_literal(at))
+    asked = ", ".join(map(_literal, questions))
+    return rf""", nx AS (SELECT n.*, t.freq, l.constraint_type, l.page_number FROM nodes n LEFT JOIN terms t ON t.doc_id = n.doc_id AND n.id = 'TERM-' || t.term LEFT JOIN ledger l ON l.doc_id = n.doc_id AND l.id = n.id),
+rows AS (SELECT t.doc_id, query, 'target' AS part, rank AS pos, CASE x.label WHEN 'Requirement' THEN '- **' || x.id || '** [' || constraint_type || ' in Section ' || section_number || ', Page ' || page_number || ']:' || chr(10) || '  "' || text || '"' WHEN 'Term' THEN '- **Term ''' || name || '''**: Mentions frequency = ' || freq ELSE '- **Section ' || section_number || '**: "' || title || '"' END AS line FROM tg t JOIN nx x ON x.doc_id = t.doc_id AND x.id = t.me
+UNION ALL SELECT c.doc_id, query, role, pos, CASE role WHEN 'section' THEN '- Section ' || section_number || ': "' || title || '"' WHEN 'requirement' THEN '- **' || x.id || '** [Section ' || section_number || ' - ' || constraint_type || ']: "' || text || '"' ELSE '- **' || name || '** (Frequency: ' || freq || ')' END FROM ctx c JOIN nx x ON x.doc_id = c.doc_id AND x.id = c.id
+UNION ALL SELECT c.doc_id, query, 'conflict', c.pos, '- Conflict between **' || e.source || '** and **' || e.target || '** on term **''' || shared_term || '''**:' || chr(10) || '  *Reason: Opposing constraints on ''' || shared_term || '''*' FROM clash c JOIN edges e ON e.doc_id = c.doc_id AND e.edge_ord = c.edge_ord JOIN pairs p ON p.doc_id = e.doc_id AND p.source = e.source AND p.target = e.target),
+parts AS (SELECT doc_id, query, part, string_agg(line, chr(10) ORDER BY pos) AS lines FROM rows GROUP BY ALL)
+SELECT d.doc_id, d.query, CASE WHEN count(part) = 0 THEN 'Error: No matching node found for query ''' || d.query || ''' in the Knowledge Graph.' ELSE {' || '.join(text)} END AS payload
+FROM (SELECT DISTINCT doc_id, query FROM nodes, (SELECT unnest([{asked}]) AS query)) d LEFT JOIN parts p ON p.doc_id = d.doc_id AND p.query = d.query GROUP BY d.doc_id, d.query"""
+
+
+def queries(d: Domain, search: list[str], named: list[str], req: str, term: str, sections: list[str], text_query: str, audited: list[str]) -> dict[str, str]:
     listed = lambda xs: ", ".join(map(_literal, xs))
     doc_lines = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_idx FROM documents WHERE text <> ''), s AS (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM l)"
     asked = f"asked AS (SELECT n.*, query FROM nodes n, (SELECT unnest([{listed(search)}]) AS query)), toks AS (SELECT query, t FROM (SELECT query, unnest(regexp_split_to_array(lower(query), '[^a-zA-Z0-9_.-]+')) AS t FROM (SELECT unnest([{listed(search)}]) AS query)) WHERE length(t) > 1 AND t NOT IN ({listed(d.stopwords)}))"
@@ -153,9 +220,27 @@ UNION ALL SELECT w.doc_id, w.query, w.me, e.target, w.path || lpad(CAST(e.edge_o
         "substring_search": f"SELECT doc_id, id FROM nodes WHERE {hit}",
         "neighborhood": f", m AS (SELECT doc_id, id FROM nodes WHERE {hit}), near AS (SELECT e.doc_id, e.target AS id FROM edges e SEMI JOIN m ON m.doc_id = e.doc_id AND m.id = e.source UNION SELECT e.doc_id, e.source FROM edges e SEMI JOIN m ON m.doc_id = e.doc_id AND m.id = e.target) SELECT doc_id, id, CASE WHEN (doc_id, id) IN (FROM m) THEN 'selected' WHEN (doc_id, id) IN (FROM near) THEN 'near' ELSE 'dimmed' END AS state FROM nodes",
         "search_tree": f", m AS (SELECT doc_id, id FROM nodes WHERE {hit}), links AS (SELECT * FROM up UNION ALL SELECT * FROM homes), tree AS (SELECT doc_id, id FROM m UNION SELECT t.doc_id, l.parent FROM tree t JOIN links l ON l.doc_id = t.doc_id AND l.id = t.id) SELECT t.doc_id, t.id, CASE WHEN (t.doc_id, l.parent) IN (SELECT (doc_id, id) FROM tree) THEN l.parent END AS parent, (t.doc_id, t.id) IN (SELECT (doc_id, id) FROM m) AS matched FROM tree t LEFT JOIN links l ON l.doc_id = t.doc_id AND l.id = t.id",
+        "markdown": rf""", mdw AS (SELECT doc_id, sec_ord, section, title, lpad(CAST(sec_ord AS VARCHAR), 8, '0') AS path, 1 AS depth FROM ({{outline}}) WHERE parent_ord IS NULL
+UNION ALL SELECT o.doc_id, o.sec_ord, o.section, o.title, w.path || '.' || lpad(CAST(o.sec_ord AS VARCHAR), 8, '0'), w.depth + 1 FROM ({{outline}}) o JOIN mdw w ON o.doc_id = w.doc_id AND o.parent_ord = w.sec_ord),
+held AS (SELECT b.*, h.block_no AS home FROM blk b ASOF JOIN heads h ON b.doc_id = h.doc_id AND b.block_no >= h.block_no WHERE b.type <> 'heading'),
+pieces AS (SELECT doc_id, path AS k, repeat('#', least(depth, 6)) || ' ' || section || ' ' || title || chr(10) AS piece FROM mdw UNION ALL SELECT doc_id, path || '~', chr(10) FROM mdw WHERE depth = 1
+UNION ALL SELECT b.doc_id, w.path || '!' || lpad(CAST(b.block_no AS VARCHAR), 8, '0'), CASE b.type WHEN 'list_item' THEN coalesce(b.prefix, '-') || ' ' || b.text || chr(10) WHEN 'table' THEN '```' || chr(10) || b.text || chr(10) || '```' || chr(10) ELSE b.text || chr(10) END FROM held b JOIN mdw w ON w.doc_id = b.doc_id AND w.sec_ord = b.home)
+SELECT doc_id, regexp_replace(string_agg(piece, chr(10) ORDER BY k), '^\s+|\s+$', '', 'g') AS markdown FROM pieces GROUP BY doc_id""",
+        "context_blend": _blend(d, search, points) + " SELECT doc_id, query, role, pos, id FROM ctx",
+        "audit_payload": _blend(d, audited, points) + _payload(d, audited),
+        "heading_candidates": "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INT) AS cid, page_number, line_idx, line FROM kinds WHERE kind = 'heading'",
+        "heading_demotion": r"SELECT doc_id, page_number, line_idx, CASE WHEN cid > 0 AND cid % 3 = 0 THEN CASE WHEN contains(line, '|') OR regexp_matches(line, '\S\s{3,}\S') THEN 'table_row' ELSE 'text' END ELSE kind END AS kind, cid FROM (SELECT *, CAST(CASE WHEN kind = 'heading' THEN count(*) FILTER (kind = 'heading') OVER (PARTITION BY doc_id ORDER BY line_no) ELSE 0 END AS INT) AS cid FROM kinds)",
+        "tabular_rules": "SELECT doc_id, CAST(n AS INT) AS rule_ord, format('REQ-{:03d}', n) AS id, section_number, 'Mandatory' AS constraint_type, 'Limit of ' || id || ' on page ' || page_number AS text, id AS source_block_id, page_number FROM (SELECT b.*, coalesce(last, 0) + row_number() OVER (PARTITION BY b.doc_id ORDER BY block_no) AS n FROM placed b LEFT JOIN (SELECT doc_id, max(rule_ord) AS last FROM ledger GROUP BY doc_id) l ON l.doc_id = b.doc_id WHERE type = 'table' AND right(id, 1) IN ('0', '2', '4', '6', '8'))",
+        "conflict_validation": "SELECT doc_id, source, target, shared_term FROM pairs WHERE right(source, 1) IN ('1', '3', '5')",
+        "model_terms": r"SELECT doc_id, term, freq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, pos) AS INT) AS term_ord FROM (SELECT doc_id, term, pos, count(*) FILTER (regexp_matches(text, '(?i)\b' || term || 's?\b')) AS freq FROM ledger, (VALUES ('payload', 0), ('response time', 1), ('heartbeat', 2), ('timeout', 3)) v(term, pos) GROUP BY ALL)",
+        "node_projection": "SELECT doc_id, id, label AS grp, CASE WHEN label = 'Requirement' THEN id ELSE coalesce(nullif(title, ''), nullif(name, ''), id) END AS label, coalesce(nullif(text, ''), nullif(title, ''), nullif(name, ''), id) AS tooltip FROM nodes",
         "stream_rules": "SELECT doc_id, constraint_type, count(*) AS n_rules FROM ledger GROUP BY ALL",
     }
+    out["markdown"] = out["markdown"].replace("{outline}", out["outline_tree"])
     found = {k: f"{c}\n{v}" for k, v in out.items()}
+    for other in ("generic", "security"):  # other curated terms and stop words over the same rules
+        mixed = replace(d, terms=domain(other).terms, stopwords=domain(other).stopwords)
+        found[f"{other}_terms"] = f"{chain(mixed)}\n{out['term_merge']}"
     found |= {
         "line_kinds": f"{doc_lines}, k AS (SELECT *, {_kind('line')} AS kind FROM s) SELECT doc_id, CAST(line_idx AS INT) AS line_idx, kind, {_groups('kind', 'line')} FROM k",
         "sentence_split": f"SELECT doc_id, CAST(i - 1 AS INT) AS sent_idx, s AS sentence FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {_split('text')} AS l FROM documents))",

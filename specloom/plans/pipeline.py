@@ -2,37 +2,53 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.functions.vocabulary import Domain, detect_domain, domain
+from specloom.functions.vocabulary import Domain, detect_domain, domain, inferred_domain
 from specloom.operators import assist, blocks, graph, lines, rules, search
 from specloom.operators import terms as term_ops
 from specloom.sources.artifacts import settled
 
 
+STEPS = ("headings", "implicit", "tabular", "boilerplate", "terms", "edges", "conflicts")
+
+
 @dataclass
 class Analysis:
     """All tables of a set of documents, made when asked for.
 
     Blocks, rules and the graph's tables are each read several times, so each is written once in the
-    shared folder. Everything is dealt out by doc_id. model is any function from prompts to replies.
+    shared folder. Everything is dealt out by doc_id, so a document is the largest unit of a task. models
+    holds, for any of STEPS, a function from prompts to replies; a step without one is left out. Each step
+    is a method of the replies' validation in ``assist``, and what a reply gets wrong is passed over.
     """
 
     pages: DataFrame
     domain: Domain
-    model: assist.Model | None = None
+    models: Mapping[str, assist.Model] = field(default_factory=dict)
+
+    def _replies(self, step: str, rows: DataFrame, size: int, columns: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+        asked = assist.batched(rows, size, order)
+        return asked, settled(assist.ask(assist.prompts(asked, columns, order), self.models[step]))
 
     @cached_property
     def lines(self) -> DataFrame:
-        return lines.classify_lines(lines.clean_lines(lines.explode_pages(self.pages), self.domain.headers))
+        clean = lines.clean_lines(lines.explode_pages(self.pages), self.domain.headers)
+        rows = lines.classify_lines(clean)
+        if "headings" not in self.models:
+            return rows
+        candidates = rows.filter("kind = 'heading'").select("doc_id", F.col("cid").alias("id"), "line")
+        _, replies = self._replies("headings", candidates, assist.HEADINGS, ["id", "line"], ["id"])
+        return lines.classify_lines(clean, assist.false_headings(replies))
 
     @cached_property
     def plain_blocks(self) -> DataFrame:
-        return blocks.assemble(self.lines)
+        return settled(blocks.assemble(self.lines))
 
     @cached_property
     def blocks(self) -> DataFrame:
@@ -44,19 +60,45 @@ class Analysis:
 
     @cached_property
     def rules(self) -> DataFrame:
-        found = self.mined
-        if self.model is not None:
-            asked = assist.batched(rules.implicit_candidates(self.blocks, found), assist.IMPLICIT, ["block_no"])
-            replies = assist.ask(assist.prompts(asked, ["id", "section_number", "text"], ["block_no"]), self.model)
-            found = found.unionByName(assist.new_rules(replies, asked, found), allowMissingColumns=True)
-        return settled(found)
+        """The ledger: sentences with a modal word, then what models find in other blocks and in tables, less boilerplate."""
+        found = settled(self.mined)
+        if "implicit" in self.models:
+            asked, replies = self._replies("implicit", rules.implicit_candidates(self.blocks, found), assist.IMPLICIT, ["id", "section_number", "text"], ["block_no"])
+            found = settled(found.unionByName(assist.new_rules(replies, asked, found), allowMissingColumns=True))
+        if "tabular" in self.models:
+            tables = self.blocks.filter("type = 'table'").withColumns({"section": F.col("section_number"), "page": F.col("page_number")})
+            asked, replies = self._replies("tabular", tables, assist.TABULAR, ["id", "section", "page", "text"], ["block_no"])
+            found = settled(found.unionByName(assist.tabular_rules(replies, asked, found)))
+        if "boilerplate" in self.models:
+            _, replies = self._replies("boilerplate", found, assist.BOILERPLATE, ["id", "text"], ["rule_ord"])
+            found = settled(rules.without(found, assist.named_ids(replies)))
+        return found
+
+    @cached_property
+    def terms(self) -> tuple[DataFrame, DataFrame]:
+        """(terms, mentions). Where a model names terms of a document, they take the place of its counted and curated ones."""
+        terms = term_ops.merged(self.rules, self.domain)
+        if "terms" not in self.models:
+            terms = settled(terms)
+            return terms, settled(term_ops.mentions(self.rules, terms, self.domain))
+        _, replies = self._replies("terms", term_ops.stride_sample(self.rules), assist.TERMS, ["id", "text"], ["rule_ord"])
+        named, by_name = (settled(x) for x in term_ops.named(self.rules, assist.model_terms(replies, list(self.domain.actors))))
+        others = settled(terms.join(named.select("doc_id").distinct(), "doc_id", "left_anti"))
+        return others.unionByName(named), settled(term_ops.mentions(self.rules, others, self.domain).unionByName(by_name))
 
     @cached_property
     def graph(self) -> dict[str, DataFrame]:
-        terms = settled(term_ops.merged(self.rules, self.domain))
-        mentions = settled(term_ops.mentions(self.rules, terms, self.domain))
+        terms, mentions = self.terms
         sections = settled(graph.section_nodes(self.blocks, self.rules))
-        edges = settled(graph.edges(sections, self.rules, mentions, self.domain))
+        pairs = None
+        if "conflicts" in self.models:
+            pairs = settled(graph.conflicts(self.rules, mentions, self.domain))
+            _, replies = self._replies("conflicts", pairs, assist.CONFLICTS, ["source", "target", "shared_term"], ["term_ord", "a", "b"])
+            pairs = assist.judged_conflicts(pairs, replies)
+        edges = settled(graph.edges(sections, self.rules, mentions, self.domain, pairs))
+        if "edges" in self.models:
+            _, replies = self._replies("edges", graph.refinable(edges), assist.EDGES, ["source", "target", "type"], ["edge_ord"])
+            edges = settled(graph.refined(edges, assist.edge_changes(replies)))
         return {"terms": terms, "mentions": mentions, "sections": sections, "nodes": settled(graph.nodes(sections, self.rules, terms)), "edges": edges}
 
     @property
@@ -76,15 +118,43 @@ class Analysis:
         return search.payload(self.nodes, self.edges, questions, self.domain)
 
 
-def parse_documents(pages: DataFrame, preset: str = "generic", model: assist.Model | None = None, **more) -> Analysis:
-    """The tables of ``pages`` under a preset with additions (terms, stopwords, headers, actors, info)."""
-    return Analysis(pages, domain(preset, **more), model)
-
-
 def domains_of(pages: DataFrame) -> DataFrame:
     """doc_id and the preset that the first pages' text suggests."""
     return lines.sample_text(pages).select("doc_id", detect_domain(F.col("sample")).alias("preset"))
 
 
+def inferred(pages: DataFrame, model: assist.Model) -> DataFrame:
+    """doc_id, name, terms, headers, role: what a model takes each document's domain to be, from its first pages."""
+    asked = lines.sample_text(pages).select("doc_id", F.lit(0).alias("batch"), F.col("sample").alias("prompt"))
+    return assist.inferred_domains(assist.ask(asked, model))
+
+
+def parse_documents(pages: DataFrame, preset: str = "generic", models: Mapping[str, assist.Model] | None = None, **more) -> Analysis:
+    """The tables of ``pages`` under a preset with additions (terms, stopwords, headers, actors, info)."""
+    return Analysis(pages, domain(preset, **more), models or {})
+
+
+def parse_each(pages: DataFrame, models: Mapping[str, assist.Model] | None = None, **more) -> dict[str, Analysis]:
+    """The tables of ``pages`` by domain, each document under its own: what the model of the step "domain" infers, else the detected preset.
+
+    There are three presets. Inferred domains are gathered on the driver, so this is for collections with few
+    of them; documents with the same inferred domain are worked on together.
+    """
+    models, base = dict(models or {}), settled(domains_of(pages))
+    ask = models.pop("domain", None)
+    out: dict[str, Analysis] = {}
+    if ask:
+        found = settled(inferred(pages, ask))
+        base = settled(base.join(found, "doc_id", "left_anti"))
+        for r in found.select("name", "terms", "headers", "role").distinct().orderBy("name", "role", "terms", "headers").collect():
+            own = found.filter((F.col("name") == r["name"]) & (F.col("role") == r["role"]) & (F.col("terms") == F.array(*map(F.lit, r["terms"])).cast("array<string>")) & (F.col("headers") == F.array(*map(F.lit, r["headers"])).cast("array<string>")))
+            name = r["name"] if r["name"] not in out else f"{r['name']} {len(out)}"
+            out[name] = Analysis(pages.join(own.select("doc_id"), "doc_id", "left_semi"), inferred_domain(r["name"], r["terms"], r["headers"], r["role"], **more), models)
+    for preset in sorted(r["preset"] for r in base.select("preset").distinct().collect()):  # three at most
+        own = base.filter(F.col("preset") == preset).select("doc_id")
+        out[preset] = Analysis(pages.join(own, "doc_id", "left_semi"), domain(preset, **more), models)
+    return out
+
+
 def audit(analysis: Analysis, query: str) -> DataFrame:
     return analysis.audit([query])

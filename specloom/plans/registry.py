@@ -23,6 +23,8 @@ SEARCH = ["how is communication latency or timeout handled", "gateway payload in
 NAMED = ["REQ-001", "req-003", "Timeout", "1.0", "A", "Annex A", "REQ-999", "payload"]
 REQUIREMENT, TERM, SECTIONS, TEXT = "REQ-003", "timeout", ["1", "2", "3", "4", "5", "6", "A"], "heartbeat"
 
+AUDITED = [REQUIREMENT, SEARCH[0], "zzz"]
+
 
 @lru_cache(maxsize=2)
 def _analysis(spark: SparkSession, sf_dir: str) -> Analysis:
@@ -230,7 +232,7 @@ def _context(questions: list[str]) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def audit_payload(spark, d):
-    return analysis(spark, d).audit([REQUIREMENT, SEARCH[0], "zzz"])
+    return analysis(spark, d).audit(AUDITED)
 
 
 def section_path(spark, d):
@@ -284,16 +286,80 @@ def stream_rules(spark, d):
 def stream_events(spark, d):
     base = shared_folder(spark)
     ingest.event_counts(spark, f"{d}/events.parquet", f"{base}/counts", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/counts").withColumn("total", F.round("total", 4))
+    return ingest.latest_counts(spark, f"{base}/counts").withColumn("total", F.round("total", 4))
+
+
+def generic_terms(spark, d):
+    return terms.merged(analysis(spark, d).rules, domain("generic")).select("doc_id", "term_ord", "term", "freq")
+
+
+def security_terms(spark, d):
+    return terms.merged(analysis(spark, d).rules, domain("security")).select("doc_id", "term_ord", "term", "freq")
+
+
+def heading_candidates(spark, d):
+    return analysis(spark, d).lines.filter("cid > 0").select("doc_id", "cid", "page_number", "line_idx", "line")
+
+
+def _canned_headings(prompts: list[str]) -> list[str | None]:
+    return ["```json\n" + json.dumps([x["id"] for x in json.loads(p) if x["id"] % 3 == 0]) + "\n```" for p in prompts]
+
+
+def heading_demotion(spark, d):
+    a = Analysis(corpus_pages(spark, d), DOMAIN, {"headings": _canned_headings})
+    return a.lines.select("doc_id", "page_number", "line_idx", "kind", "cid")
+
+
+def _canned_tables(prompts: list[str]) -> list[str | None]:
+    """A stand-in model: a limit for every other table, an unknown type for the rest."""
+    out = []
+    for p in prompts:
+        rows = json.loads(p)
+        out.append(json.dumps([{"blockId": x["id"], "constraintType": "Mandatory" if int(x["id"][-1]) % 2 == 0 else "Wish", "requirementText": f"Limit of {x['id']} on page {x['page']}"} for x in rows]))
+    return out
+
+
+def tabular_rules(spark, d):
+    a = analysis(spark, d)
+    tables = a.blocks.filter("type = 'table'").withColumns({"section": F.col("section_number"), "page": F.col("page_number")})
+    asked = assist.batched(tables, assist.TABULAR, ["block_no"])
+    replies = assist.ask(assist.prompts(asked, ["id", "section", "page", "text"], ["block_no"]), _canned_tables)
+    return assist.tabular_rules(replies, asked, a.rules).select("doc_id", "rule_ord", "id", "section_number", "constraint_type", "text", "source_block_id", "page_number")
+
+
+def _canned_conflicts(prompts: list[str]) -> list[str | None]:
+    return [json.dumps([{"source": x["source"], "target": x["target"]} for x in json.loads(p) if x["source"].endswith(("1", "3", "5"))]) for p in prompts]
+
+
+def conflict_validation(spark, d):
+    a = analysis(spark, d)
+    pairs = graph.conflicts(a.rules, a.graph["mentions"], DOMAIN)
+    asked = assist.batched(pairs, assist.CONFLICTS, ["term_ord", "a", "b"])
+    return assist.judged_conflicts(pairs, assist.ask(assist.prompts(asked, ["source", "target", "shared_term"], ["term_ord", "a", "b"]), _canned_conflicts)).select("doc_id", "source", "target", "shared_term")
+
+
+def _canned_terms(prompts: list[str]) -> list[str | None]:
+    return ["```\n" + json.dumps(["Payload", "response time", "client", "ms", "Heartbeat ", "timeout", "payload"]) + "\n```" if "REQ-001" in p else "[]" for p in prompts]
+
+
+def model_terms(spark, d):
+    r = analysis(spark, d).rules
+    asked = assist.prompts(assist.batched(terms.stride_sample(r), assist.TERMS, ["rule_ord"]), ["id", "text"], ["rule_ord"])
+    found = terms.named(r, assist.model_terms(assist.ask(asked, _canned_terms), list(DOMAIN.actors)))[0]
+    return found.select("doc_id", "term", "freq", "term_ord")
+
+
+def node_projection(spark, d):
+    return explore.projected(analysis(spark, d).nodes)
 
 
 _FUNCTIONS = (
     line_kinds, page_edge_clean, section_normalise, block_islands, block_text, section_propagation, heading_hierarchy, outline_tree, markdown, sentence_split, rule_types, rule_ledger, rollup_constraints,
     implicit_candidates, llm_reply_validate, boilerplate_filter, term_frequency, top_terms, curated_frequency, term_merge, stride_sample, section_nodes, section_contains, requirement_contains, term_edges,
     section_refs, req_refs, conflict_pairs, graph_edges, node_counts, edge_counts, refine_edges, resolve_exact, search_top3, audit_payload, section_path, relationship_buckets, section_children,
-    term_by_section, substring_search, neighborhood, search_tree, domain_detect, stream_rules, stream_events,
+    generic_terms, security_terms, heading_candidates, heading_demotion, tabular_rules, conflict_validation, model_terms, node_projection, term_by_section, substring_search, neighborhood, search_tree, domain_detect, stream_rules, stream_events,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _FUNCTIONS} | {
     "context_requirement": _context([REQUIREMENT]), "context_term": _context([TERM]), "context_section": _context(SECTIONS), "context_blend": _context(SEARCH),
 }
-ORACLE_SQL: dict[str, str] = oracle.queries(DOMAIN, SEARCH, NAMED, REQUIREMENT, TERM, SECTIONS, TEXT)
+ORACLE_SQL: dict[str, str] = oracle.queries(DOMAIN, SEARCH, NAMED, REQUIREMENT, TERM, SECTIONS, TEXT, AUDITED)

@@ -76,3 +76,23 @@ def explorer_html(graph: str) -> str:
         " for (const n of graph.nodes) if (JSON.stringify(n).toLowerCase().includes(q)) { const li = document.createElement('li'); li.textContent = n.id + ' ' + (n.properties.title || n.properties.text || n.properties.name || ''); list.append(li); } };"
         "document.getElementById('q').oninput = show; show();</script>"
     )
+
+
+def write_text(rows: DataFrame, column: str, path: str) -> None:
+    """A text file for each document under path/doc_id=N."""
+    rows.select("doc_id", F.col(column).alias("value")).repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
+def write_payloads(payloads: DataFrame, path: str) -> None:
+    """Each query's payloads as text files, one for each document, in a folder with the query's safe name."""
+    for r in payloads.select("query").distinct().collect():  # the questions that were asked
+        write_text(payloads.filter(F.col("query") == r["query"]), "payload", f"{path}/{payload_name(r['query'])}")
+
+
+def html_pages(graphs: DataFrame) -> DataFrame:
+    """doc_id, html: the explorer of each graph of :func:`graph_json`."""
+    safe = F.to_json(F.struct("nodes", "edges"))
+    for c, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
+        safe = F.replace(safe, F.lit(c), F.lit(code))
+    before, after = explorer_html("\x00").split("\x00")
+    return graphs.select("doc_id", F.concat(F.lit(before), safe, F.lit(after)).alias("html"))

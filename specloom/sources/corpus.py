@@ -81,20 +81,25 @@ def read_pages(spark: SparkSession, path: str, kind: str = "parquet") -> DataFra
 
 
 def extract_pages(files: DataFrame, extract) -> DataFrame:
-    """Pages of binary files (path, content) by any function from bytes to a list of page texts; a file that fails gives one page with a null text."""
+    """Pages of binary files (path, content) by any function from bytes to a list of page texts.
+
+    A file that fails gives one page with a null text and the failure in the column error.
+    """
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            ids, numbers, texts = [], [], []
+            ids, numbers, texts, errors = [], [], [], []
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                failure = None
                 try:
                     pages = list(extract(content.as_py()))
-                except Exception:  # noqa: BLE001  one unreadable file must not stop the others
-                    pages = [None]
+                except Exception as e:  # noqa: BLE001  one unreadable file must not stop the others
+                    pages, failure = [None], f"{type(e).__name__}: {e}"
                 ids += [doc] * len(pages)
                 numbers += range(1, len(pages) + 1)
                 texts += pages
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], ["doc_id", "page_number", "text"])
+                errors += [failure] * len(pages)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["doc_id", "page_number", "text", "error"])
 
-    return files.select(F.xxhash64("path").alias("doc_id"), "content").mapInArrow(run, PAGES)
+    return files.select(F.xxhash64("path").alias("doc_id"), "content").mapInArrow(run, PAGES + ", error string")

@@ -18,10 +18,17 @@ def page_stream(spark: SparkSession, path: str, per_trigger: int = 4) -> DataFra
 def ingest_rules(pages: DataFrame, out: str, checkpoint: str, domain: Domain) -> StreamingQuery:
     """Mine each micro-batch's documents into ``out``, one folder for each batch id, so a batch that is run again replaces itself.
 
-    A document arrives with all its pages.
+    A document arrives with all its pages in one batch: its ids are written beside ``out``, and a batch that
+    brings more pages of a document of an earlier one fails, rather than mining two halves.
     """
+    spark, seen = pages.sparkSession, f"{out}-documents"
 
     def one(batch: DataFrame, batch_id: int) -> None:
+        batch.select("doc_id").distinct().write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
+        ids = spark.read.schema("doc_id long, batch long").parquet(seen)
+        twice = ids.filter(F.col("batch") < batch_id).join(ids.filter(F.col("batch") == batch_id).select("doc_id"), "doc_id", "left_semi").first()
+        if twice:
+            raise ValueError(f"document {twice['doc_id']} came in batches {twice['batch']} and {batch_id}")
         Analysis(batch, domain).mined.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -35,11 +42,21 @@ def event_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours
 
 
 def event_counts(spark: SparkSession, path: str, out: str, checkpoint: str, width: str = "1 day") -> StreamingQuery:
-    """Stream the events under ``path`` into complete windowed counts at ``out``."""
+    """Stream the events under ``path`` into windowed counts at ``out``, one folder of changed windows for each batch.
+
+    Windows older than the watermark leave the state. A batch that is run again replaces itself; :func:`latest_counts`
+    reads the last state of every window.
+    """
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(path.rsplit("/", 1)[0]).withColumn("ts", F.col("ts").cast("timestamp"))
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return event_windows(events, width).writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return event_windows(events, width).writeStream.outputMode("complete").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def latest_counts(spark: SparkSession, out: str) -> DataFrame:
+    """window_start, event_type, n, total: the last state of every window written by :func:`event_counts`."""
+    rows = spark.read.parquet(out).groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("s"))
+    return rows.select("window_start", "event_type", "s.n", "s.total")

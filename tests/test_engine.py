@@ -1,17 +1,20 @@
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from specloom import tools
 from specloom.functions import text as T
-from specloom.functions.vocabulary import domain
-from specloom.operators import assist, blocks, lines, rules, terms
+from specloom.functions.vocabulary import domain, java
+from specloom.operators import assist, blocks, graph, lines, rules, terms
 from specloom.plans import registry
-from specloom.plans.pipeline import parse_documents
+from specloom.plans.pipeline import parse_documents, parse_each
 from specloom.sources import artifacts
-from specloom.sources.corpus import read_pages
+from specloom.sources.corpus import extract_pages, read_pages
+from specloom.streaming import ingest
 from tests.compare import database, difference
 
 SMALL = "/root/testdata/sf0.001"
@@ -120,3 +123,101 @@ def test_an_empty_table_gives_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, page_number int, text string")
     a = parse_documents(none)
     assert a.rules.count() == 0 and a.edges.count() == 0 and rules.implicit_candidates(a.blocks, a.rules).count() == 0
+
+
+def _rows(spark, schema, *rows):
+    return spark.createDataFrame(list(rows), schema)
+
+
+def test_edges_of_a_document_with_very_many_rules(spark):
+    rules = _rows(spark, "doc_id long, rule_ord int, id string, section_number string, text string, constraint_type string", (1, 2_200, "REQ-2200", "1", "a widget shall", "Mandatory"), (1, 3_000_000, "REQ-3000000", "1", "a widget shall not", "Prohibition"), (1, 2_300, "REQ-2300", "1", "a widget shall not", "Prohibition"))
+    mentions = _rows(spark, "doc_id long, rule_ord int, term string, term_ord int", *[(1, n, "widget", 1) for n in (2_200, 2_300, 3_000_000)])
+    sections = _rows(spark, "doc_id long, sec_ord int, section string, id string, title string", (1, 1, "1", "SEC-1", "One")).withColumn("ord", F.col("sec_ord"))
+    found = graph.edges(sections, rules, mentions, domain("generic")).filter("type = 'CONFLICTS_WITH'").orderBy("edge_ord").collect()
+    assert [(r["source"], r["target"]) for r in found] == [("REQ-2200", "REQ-2300"), ("REQ-2200", "REQ-3000000")]
+
+
+def test_sentences_keep_control_characters(spark):
+    df = _rows(spark, "t string", ("One two\x01three. Four e.g. Five no. Six et al. Seven. Eight.\nNine",))
+    assert df.select(T.sentences(F.col("t")).alias("s")).first()["s"] == ["One two\x01three.", "Four e.g. Five no. Six et al. Seven.", "Eight.", "Nine"]
+
+
+def test_domain_patterns_keep_their_boundaries(spark):
+    for pattern, text, want in ((r"\bc\+\+s?\b", "c++x", True), (r"\bc\+\+s?\b", "c++ ", False), (r"\btimeouts?\b", "a Timeouts.", True), (r"\btimeouts?\b", "timeouts_", False), (r"\bieee\s+\d+\b", "IEEE  2030", True), (r"\bieee\s+\d+\b", "IEEE 2030a", False)):
+        assert _rows(spark, "t string", (text,)).select(F.col("t").rlike(java(pattern))).first()[0] == want
+
+
+def test_the_last_reply_about_an_edge_wins(spark):
+    edges = _rows(spark, "doc_id long, edge_ord int, source string, target string, type string", (1, 1, "REQ-001", "REQ-002", "REFERENCES"), (1, 2, "REQ-001", "SEC-1", "CONTAINS"))
+    replies = _rows(spark, "doc_id long, batch int, reply string", (1, 0, '[{"source":"REQ-001","target":"REQ-002","type":"SUPERSEDES"},{"source":"REQ-001","target":"REQ-002","type":"IMPLEMENTS"}]'), (1, 1, '[{"source":"REQ-001","target":"REQ-002","type":"DEPENDS_ON"},{"source":"REQ-001","target":"REQ-002","type":"Wish"}]'))
+    assert graph.refined(edges, assist.edge_changes(replies)).orderBy("edge_ord").first()["type"] == "DEPENDS_ON"
+    assert [r["edge_ord"] for r in graph.refinable(edges).collect()] == [1]
+
+
+def test_slots_in_texts_are_not_filled(spark):
+    page = "1 Scope\nThe gateway shall show {linked_rules} and {role_description} at once.\nThe gateway shall not wait."
+    a = parse_documents(_rows(spark, "doc_id long, page_number int, text string", (1, 1, page)))
+    assert "show {linked_rules} and {role_description} at once" in a.audit(["REQ-001"]).first()["payload"]
+
+
+def test_markdown_sets_top_sections_apart(spark):
+    page = "1 One\nText.\n1.1 Sub\n- item\n2 Two\n| a | b |\n"
+    a = parse_documents(_rows(spark, "doc_id long, page_number int, text string", (1, 1, page)))
+    assert blocks.markdown(a.plain_blocks).first()["markdown"] == "# 1 One\n\nText.\n\n## 1.1 Sub\n\n- item\n\n\n\n# 2 Two\n\n```\n| a | b |\n```"
+
+
+def test_a_document_in_two_batches_fails(spark, tmp_path):
+    for i in (1, 2):
+        _rows(spark, "doc_id long, page_number int, text string", (7, i, "1 One\nIt shall.")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages")
+    with pytest.raises(Exception, match="came in batches 0 and 1"):
+        ingest.ingest_rules(ingest.page_stream(spark, f"{tmp_path}/pages", 1), f"{tmp_path}/rules", f"{tmp_path}/state", domain("generic")).awaitTermination()
+
+
+def test_model_steps_of_the_pipeline(spark):
+    page = "1 Scope\nOne heartbeat shall be sent. The heartbeat shall not stop.\n\n2 False one\nThe operator is responsible for logs.\n3 Limits\na | b\nc | d"
+    say = lambda *x: lambda prompts: [json.dumps(list(x)) if "[" in p else None for p in prompts]
+    models = {
+        "headings": say(2), "implicit": say({"block_id": "BLK-0002", "constraint_type": "Mandatory", "text": "Logs."}, {"block_id": "BLK-0003", "constraint_type": "Mandatory", "text": "Keep logs."}),
+        "tabular": lambda prompts: [json.dumps([{"blockId": x["id"], "constraintType": "Permission", "requirementText": "a may be c"} for x in json.loads(p)]) for p in prompts],
+        "boilerplate": say("REQ-002"), "terms": say("Heartbeat", "client", "xy", "log"), "conflicts": say(), "edges": say(),
+    }
+    a = parse_documents(_rows(spark, "doc_id long, page_number int, text string", (1, 1, page)), "smartGrid", models)
+    assert [r["line"] for r in a.lines.filter("kind = 'heading'").orderBy("line_no").collect()] == ["1 Scope", "3 Limits"]
+    got = a.rules.orderBy("rule_ord").collect()
+    assert "REQ-002" not in [r["id"] for r in got] and got[0]["text"] == "One heartbeat shall be sent." and "Keep logs." in [r["text"] for r in got] and (got[-1]["text"], got[-1]["all_matched_constraints"], got[-1]["section_number"]) == ("a may be c", ["LLM_TABULAR_EXTRACTED"], "3")
+    terms = {r["term"]: r["freq"] for r in a.graph["terms"].collect()}
+    assert terms["heartbeat"] == 1 and set(terms) == {"heartbeat", "log"} and a.edges.filter("type = 'CONFLICTS_WITH'").isEmpty()
+
+
+def test_domains_are_inferred_or_detected(spark):
+    pages = _rows(spark, "doc_id long, page_number int, text string", (1, 1, "1 Scope\nThe reactor shall cool. Coolants must flow."), (2, 1, "1 Scope\nVoltage and inverter telemetry shall be logged."))
+    ask = lambda prompts: [json.dumps({"domainName": "nuclear", "curatedTerms": ["Reactor", "coolant", " "], "cleanHeaders": ["draft"], "roleDescription": "Judge safety."}) if "reactor" in p else "no" for p in prompts]
+    found = parse_each(pages, {"domain": ask}, info="Plant 3")
+    assert sorted(found) == ["nuclear", "smartGrid"] and found["nuclear"].domain.actors == () and found["nuclear"].domain.info == "Plant 3"
+    assert {r["name"]: r["frequency"] for r in found["nuclear"].nodes.filter("label = 'Term'").collect()}["coolant"] == 1
+    assert sorted(parse_each(pages)) == ["generic", "smartGrid"]
+
+
+def test_tools_parse_and_audit(spark, tmp_path):
+    base = str(tmp_path)
+    _rows(spark, "doc_id long, page_number int, text string", (1, 1, "1 Scope\nThe gateway shall log a timeout.\nThe timeout must not pass."), (2, 1, "1 Other\nNothing </script> here may fail.")).write.parquet(f"{base}/pages in")
+    said = tools.command(spark, "parse 'pages in' out smartGrid --info 'About \"it\"'", base)
+    assert "Detected domains: smartGrid" in said and "mined 3 requirements" in said and "  - Requirement: 3" in said
+    shown = tools.command(spark, ["audit", "REQ-001", "out"], base)
+    assert "Document 1" in shown and "The gateway shall log a timeout." in shown and 'About "it"' in shown
+    files = {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("out/**/*") if p.is_file() and not p.name.startswith((".", "_"))}
+    assert any(f.startswith("out/document_cleaned/doc_id=1/") for f in files) and any(f.startswith("out/audit_payload_REQ-001.md/doc_id=2/") for f in files) and any(f.startswith("out/knowledge_graph/") for f in files)
+    html = next(tmp_path.glob("out/graph_explorer/doc_id=2/*.txt")).read_text()
+    assert "\\u003c/script\\u003e" in html and html.count("</script>") == 1
+    assert next(tmp_path.glob("out/document_cleaned/doc_id=1/*.txt")).read_text().startswith("# 1 Scope\n\nThe gateway")
+    for line, what in (("parse '' out", "Invalid parameters: pages"), ("parse pages out tea", "domain"), ("parse ../x out", "outside"), ("audit '' out", "query"), ("audit REQ-001 nowhere", "parse the pages first")):
+        with pytest.raises(ValueError, match=what):
+            tools.command(spark, line, base)
+
+
+def test_unreadable_files_name_their_error(spark):
+    def extract(content: bytes) -> list[str]:
+        return content.decode().split("\f")
+
+    rows = extract_pages(_rows(spark, "path string, content binary", ("a", bytearray(b"one\ftwo")), ("b", bytearray(b"\xff"))), extract).collect()
+    assert sorted((r["page_number"], r["text"], (r["error"] or "")[:18]) for r in rows if r["text"]) == [(1, "one", ""), (2, "two", "")] and [r["error"][:18] for r in rows if not r["text"]] == ["UnicodeDecodeError"]
