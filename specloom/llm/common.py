@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._specloom_path = path
+    for made in _scopes:
+        made.append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def tables_made() -> Iterator[list[DataFrame]]:
+    """Gathers the tables that :func:`materialize` makes inside, so that they can be released when their readers are done."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete the files of a table made by :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_specloom_path", None)

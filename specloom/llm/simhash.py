@@ -262,9 +262,11 @@ def fingerprint_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "fp").mapInArrow(_verify, "a long, b long")
 
 
-def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every document, and (fp, root, component_id, copies) of every distinct fingerprint."""
-    docs = materialize(fingerprints(documents.select(F.col("doc_id").cast("long"), "text")), "fingerprints")
+def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, th, fp) of every document, th a hash of its text; (fp, root, component_id, copies) of every distinct
+    fingerprint; and the written table that the latter is read from."""
+    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
+    docs = materialize(fingerprints(rows, ("doc_id", "th")), "fingerprints")
     firsts = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "distinct")
     links = materialize(fingerprint_links(firsts.select("fp")), "links")
     roots = connected_components(links, "a", "b")
@@ -272,7 +274,7 @@ def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     for done in (firsts, links, roots):
         release(done)
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return docs, named.join(names, "root").select("fp", "root", "component_id", "copies")
+    return docs, named.join(names, "root").select("fp", "root", "component_id", "copies"), named
 
 
 def simhash_components(documents: DataFrame) -> DataFrame:
@@ -284,22 +286,29 @@ def simhash_components(documents: DataFrame) -> DataFrame:
     Only (doc_id, fingerprint) rows are shuffled; equal fingerprints are compared once, and those of very many
     documents are joined back by broadcast.
     """
-    docs, by_fp = _components(documents)
+    docs, by_fp, _ = _components(documents)
     return join_by_class(docs, by_fp, ["fp"], "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that stay when each component keeps the document with its smallest id.
 
-    Of repeated rows with that id in one component, the one with the smallest text stays; of a component
-    in which no document has an id, likewise. An id that stands on rows of several components is kept
-    once for each. Only rows whose id names a component are fingerprinted again and shuffled, by root.
+    Of rows with that id in one component, the one whose text has the smallest hash stays, and one of those equal
+    in id and text; of a component in which no document has an id, likewise. An id that stands on rows of several
+    components is kept once for each. The choice is made on ids and hashes; the rows themselves are shuffled once.
     """
-    docs, by_fp = _components(documents)
-    own = F.struct(*documents.columns).alias("_row")
-    names = by_fp.select("component_id").filter("component_id IS NOT NULL").distinct()
-    able = documents.join(names, F.col("doc_id").cast("long") == F.col("component_id"), "left_semi").select(own, "text")
-    able = able.unionByName(documents.filter("doc_id IS NULL").select(own, "text"))
-    rows = join_by_class(fingerprints(able, ("_row",)), by_fp, ["fp"], "copies").filter(F.col("_row.doc_id").cast("long").eqNullSafe(F.col("component_id")))
-    kept = rows.groupBy("root").agg(F.min_by("_row", F.coalesce("_row.text", F.lit(""))).alias("row"))
-    return kept.select("row.*")
+    docs, by_fp, named = _components(documents)
+    each = docs.groupBy("doc_id", "th", "fp").agg(F.count("*").alias("_n"))
+    able = join_by_class(each, by_fp, ["fp"], "copies").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = able.groupBy("root").agg(F.min(F.struct("th", "doc_id", "_n")).alias("k")).select("k.*")
+    keys = ["_id", "_none", "_th"]
+    named_rows = lambda id_, th: [F.coalesce(id_, F.lit(0)).alias("_id"), id_.isNull().alias("_none"), th.alias("_th")]
+    kept = materialize(kept.select(*named_rows(F.col("doc_id"), F.col("th")), "_n"), "survivors")
+    release(docs)
+    release(named)
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), *named_rows(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    out = rows.join(kept.filter("_n = 1"), keys).select("_row.*")
+    if kept.filter("_n > 1").isEmpty():
+        return out
+    several = join_by_class(rows, kept.filter("_n > 1"), keys, "_n")
+    return out.unionByName(several.groupBy(*keys).agg(F.first("_row").alias("_row")).select("_row.*"))
