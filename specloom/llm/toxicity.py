@@ -37,12 +37,12 @@ MAX_EXAMPLES = 16_384  # labelled documents used: the bound of the sample, those
 MAX_WORDS = 40_000_000  # distinct words of the examples, summed over them: the sample ends before it has more
 NEIGHBOURS, PRIOR = 15, 0.5
 BLOCK = 64  # examples of a block
-COMMON = 1_024  # words with the longest postings, which are skipped by blocks
+COMMON = 512  # words with the longest postings, which are skipped by blocks
 SEEDS = 4  # blocks that are scored first, for a threshold
-GROUP = 256  # documents that are compared at once
+GROUP = 128  # documents that are compared at once
 SLACK = 1e-4  # above the rounding errors of a cosine in single precision
 WIDE = 1_000  # a word of more than one in so many documents is known to every task, so no join has a hot word
-FLUSH = 1_000_000  # words that a task counts before it hands the counts on
+FLUSH = 200_000  # words that a task counts before it hands the counts on
 MAX_CALIBRATION = 4_096  # examples whose votes the curve is fitted to: the bound of that sample, every k-th
 FEW_TOXIC = 1_000_000  # keys of rejected rows (16 bytes each) up to which they are broadcast; more are joined by a shuffle
 WORD = re.compile(r"\w+")
@@ -104,70 +104,82 @@ class Index:
     """
 
     def __init__(self, terms: np.ndarray, factor: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
-        self.terms, self.factor = terms, factor
+        self.terms, self.factor, self.ready = terms, factor, False
         self._fill(examples)
-        term, weight = self._weights()
-        holders = np.bincount(term, minlength=len(terms))
-        common = np.argsort(-holders, kind="stable")[:256]
+        common = np.argsort(-np.bincount(self.term, minlength=len(terms)), kind="stable")[:256]
         column = np.full(len(terms), -1)
         column[common] = np.arange(len(common))
         x = np.zeros((len(examples), len(common)), np.float32)
-        often = column[term] >= 0
-        x[np.repeat(np.arange(len(examples)), self.sizes)[often], column[term[often]]] = weight[often]
-        order = np.concatenate(halved(x, np.arange(len(examples)), BLOCK)) if examples and len(common) else range(len(examples))
-        self._fill([examples[i] for i in order])
-        self.ready = False
+        for row, term, weight in self._parts():
+            often = column[term] >= 0
+            x[row[often], column[term[often]]] = weight[often]
+        if examples and len(common):
+            self._fill([examples[i] for i in np.concatenate(halved(x, np.arange(len(examples)), BLOCK))])
 
     def _fill(self, examples: list) -> None:
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[1] for e in examples], np.float64)
         self.sizes = np.array([len(e[2]) for e in examples], np.int64)
+        self.starts = np.append(0, np.cumsum(self.sizes))
         self.term = np.concatenate([np.zeros(0, np.int32), *[np.asarray(e[2], np.int32) for e in examples]])
-        self.n = np.concatenate([np.zeros(0, np.int32), *[np.asarray(e[3], np.int32) for e in examples]])
-
-    def _weights(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each posting's term and weight in the unit vector, by example."""
-        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        raw = self._raw(self.term, self.n)
-        squares = np.bincount(row, raw * raw, len(self.sizes))
-        lengths = np.where(squares > 0, np.sqrt(squares), 1.0)
-        return self.term, raw / lengths[row]
+        n = np.concatenate([np.zeros(0, np.int32), *[np.asarray(e[3], np.int32) for e in examples]])
+        self.n = n.astype(np.uint16) if not len(n) or n.max() < 1 << 16 else n
+        self.lengths = np.ones(len(examples))
+        squares = np.zeros(len(examples))
+        for row, _, weight in self._parts():
+            squares += np.bincount(row, weight * weight, len(examples))
+        self.lengths = np.where(squares > 0, np.sqrt(squares), 1.0)
+
+    def _parts(self, step: int = 1_024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, terms and weights of the postings, ``step`` examples at a time, so that little is held beside the index."""
+        for a in range(0, len(self.sizes), step):
+            sizes = self.sizes[a : a + step]
+            part = slice(self.starts[a], self.starts[a + len(sizes)])
+            row = np.repeat(np.arange(a, a + len(sizes)), sizes)
+            yield row, self.term[part], self._raw(self.term[part], self.n[part]) / self.lengths[row]
 
     def __getstate__(self) -> dict:
         """What is broadcast: postings by example, as compressed differences; the rest is made anew in each process."""
-        own = {k: getattr(self, k) for k in ("terms", "factor", "ids", "labels", "sizes")}
-        return own | {"term": _packed(np.diff(self.term, prepend=np.int32(0))), "n": _packed(self.n)}
+        own = {k: getattr(self, k) for k in ("terms", "factor", "ids", "labels", "sizes", "starts", "lengths")}
+        return own | {"term": _packed(np.diff(self.term, prepend=np.int32(0))), "n": (self.n.dtype.str, _packed(self.n))}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.term = np.cumsum(_unpacked(state["term"], np.int32), dtype=np.int32)
-        self.n, self.ready = _unpacked(state["n"], np.int32), False
+        self.n, self.ready = _unpacked(state["n"][1], state["n"][0]), False
 
     def open(self) -> None:
         """Make postings by term, dense blocks of the common words, and block maxima."""
-        term, self.value = self._weights()
-        weight = self.value
-        self.starts = np.append(0, np.cumsum(self.sizes))
-        holders = np.bincount(term, minlength=len(self.terms))
+        holders = np.bincount(self.term, minlength=len(self.terms))
         common = np.argsort(-holders, kind="stable")[:COMMON]
         self.column = np.full(len(self.terms), -1, np.int32)
         self.column[common] = np.arange(len(common))
-        row = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.blocks = -(-len(self.ids) // BLOCK)
-        column = self.column[term]
-        often = column >= 0
         self.dense = np.zeros((self.blocks, len(common), BLOCK), np.float32)
-        self.dense[row[often] // BLOCK, column[often], row[often] % BLOCK] = weight[often]
+        holders[common] = 0
+        self.first = np.append(0, np.cumsum(holders))
+        self.row = np.zeros(self.first[-1], np.uint16 if len(self.ids) <= 1 << 16 else np.int32)
+        self.weight = np.zeros(self.first[-1], np.float32)
+        free = self.first[:-1].copy()  # where each term's next posting goes
+        for row, term, weight in self._parts():
+            column = self.column[term]
+            often = column >= 0
+            self.dense[row[often] // BLOCK, column[often], row[often] % BLOCK] = weight[often]
+            row, term, weight = row[~often], term[~often], weight[~often]
+            order = np.argsort(term, kind="stable")
+            held, sizes = np.unique(term[order], return_counts=True)
+            at = _spans(free[held], sizes)
+            self.row[at], self.weight[at] = row[order], weight[order]
+            free[held] += sizes
         self.most = np.ascontiguousarray(self.dense.max(2).T) if self.blocks else np.zeros((len(common), 0), np.float32)
-        term, row, weight = term[~often], row[~often], weight[~often]
-        order = np.argsort(term, kind="stable")
-        self.row, self.weight = row[order], weight[order].astype(np.float32)
-        self.first = np.append(0, np.cumsum(np.bincount(term, minlength=len(self.terms))))
         self.scratch = np.zeros(len(self.terms))
         self.ready = True
 
     def _raw(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (1 + np.log(n)) * self.factor[at]
+        out = np.log(n, dtype=np.float64)
+        out += 1
+        out *= self.factor[at]
+        return out
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Positions of hashes among the terms, -1 for unknown ones."""
@@ -184,7 +196,7 @@ class Index:
 
     def unit(self, row: int) -> tuple[np.ndarray, np.ndarray]:
         part = slice(self.starts[row], self.starts[row + 1])
-        return self.term[part], self.value[part]
+        return self.term[part], self._raw(self.term[part], self.n[part]) / self.lengths[row]
 
     def _rough(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cosines in single precision of each query with the examples of the blocks that it needs, else minus
@@ -236,9 +248,10 @@ class Index:
             sizes = self.sizes[rows]
             held = _spans(self.starts[rows], sizes)
             q[at] = weight
-            products = q[self.term[held]] * self.value[held]
+            term = self.term[held]
+            products = q[term] * self._raw(term, self.n[held])
             q[at] = 0
-            cosines = np.add.reduceat(products, np.cumsum(sizes) - sizes) if len(rows) else np.zeros(0)
+            cosines = np.add.reduceat(products, np.cumsum(sizes) - sizes) / self.lengths[rows] if len(rows) else np.zeros(0)
             best = np.lexsort((self.ids[rows], -cosines.round(12)))[:k]
             found.append((rows[best], cosines[best]))
         return found
@@ -393,10 +406,12 @@ def _neighbours(documents: DataFrame, labels: DataFrame, max_examples: int, own:
     shared = spark.sparkContext.broadcast(index)
     del index
     slope, shift = calibrated(spark, shared, base, marks) if len(marks) else (1.0, 0.0)
-    rows = documents.select(F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), *([F.struct(*own).alias("_own")] if own else []))
+    # the text comes first, by itself or inside the row's own columns
+    rows = documents.select((F.struct(*own) if own else F.col("text")).alias("_own"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"))
+    place = own.index("text") if own else None
     inner = "_task long, _row long, _square double, _w double, _toxic double, evidence array<long>, _h array<long>, _n array<int>"
     schema = spark.createDataFrame([], inner).schema
-    for f in rows.drop("_text").schema.fields:
+    for f in (rows if own else rows.drop("_own")).schema.fields:
         schema = schema.add(f.name, f.dataType, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +421,7 @@ def _neighbours(documents: DataFrame, labels: DataFrame, max_examples: int, own:
             for start in range(0, whole.num_rows, GROUP):
                 batch = whole.slice(start, GROUP)
                 vectors, squares, others, times = [], [], [], []
-                for text in batch.column(0):
+                for text in batch.column(0) if place is None else batch.column(0).field(place):
                     h, n = hashed(words_of(text.as_py()))
                     at, weight, known = index.raw(h, n)
                     square = float((weight * weight).sum())
@@ -422,7 +437,7 @@ def _neighbours(documents: DataFrame, labels: DataFrame, max_examples: int, own:
                 ends = pa.array(np.append(0, np.cumsum([len(x) for x in others])).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (others, times)]
                 named = [pa.array(np.full(n, task)), pa.array(np.arange(done, done + n)), *(pa.array(x, pa.float64()) for x in (squares, sums, toxic)), pa.array([index.ids[r].tolist() for r, _ in near], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*named, *lists, *batch.columns[1:]], schema.names)
+                yield pa.RecordBatch.from_arrays([*named, *lists, *batch.columns[place is None :]], schema.names)
                 done += n
 
     near = materialize(rows.mapInArrow(run, schema), "neighbours")
