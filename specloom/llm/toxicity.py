@@ -46,6 +46,7 @@ FLUSH = 200_000  # words that a task counts before it hands the counts on
 MAX_CALIBRATION = 4_096  # examples whose votes the curve is fitted to: the bound of that sample, every k-th
 FEW_TOXIC = 1_000_000  # keys of rejected rows (16 bytes each) up to which they are broadcast; more are joined by a shuffle
 WORD = re.compile(r"\w+")
+DAMPED = 1 + np.log(np.maximum(1, np.arange(4_096)))  # 1 + ln n of the usual counts
 
 
 def held_out() -> Column:
@@ -57,13 +58,9 @@ def words_of(text: str | None) -> Counter:
     return Counter(WORD.findall((text or "").lower()))
 
 
-def hash_of(word: str) -> int:
-    return xxhash.xxh64_intdigest(word)
-
-
 def hashed(found: Counter) -> tuple[np.ndarray, np.ndarray]:
     """The words' hashes in ascending order, and their counts."""
-    h = np.fromiter(map(hash_of, found), np.uint64, len(found))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
     n = np.fromiter(found.values(), np.int64, len(found))
     order = np.argsort(h)
     return h[order], n[order]
@@ -75,6 +72,20 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _runs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The parts of x from each start to its end, one after another."""
+    return np.concatenate([x[:0], *(x[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))])
+
+
+def damped(n: np.ndarray) -> np.ndarray:
+    """1 + ln n of each count."""
+    out = DAMPED.take(n, mode="clip")
+    many = n >= len(DAMPED)
+    if many.any():
+        out[many] = 1 + np.log(n[many], dtype=np.float64)
+    return out
+
+
 def _packed(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor().compress(x.tobytes())
 
@@ -176,10 +187,7 @@ class Index:
         self.ready = True
 
     def _raw(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        out = np.log(n, dtype=np.float64)
-        out += 1
-        out *= self.factor[at]
-        return out
+        return damped(n) * self.factor[at]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Positions of hashes among the terms, -1 for unknown ones."""
@@ -212,7 +220,7 @@ class Index:
             sizes = self.first[at + 1] - self.first[at]
             posted = _spans(self.first[at], sizes)
             if len(posted):
-                rare[i] = np.bincount(self.row[posted], np.repeat(weight, sizes) * self.weight[posted], width)
+                rare[i] = np.bincount(self.row.take(posted), np.repeat(weight, sizes) * self.weight.take(posted), width)
             if skip[i] is not None:
                 rare[i, skip[i]] = -np.inf
         rare = rare.reshape(len(queries), self.blocks, BLOCK)
@@ -245,11 +253,9 @@ class Index:
             if len(rows) > k:
                 rough = own[rows]
                 rows = rows[rough >= np.partition(rough, -k)[-k] - SLACK]
-            sizes = self.sizes[rows]
-            held = _spans(self.starts[rows], sizes)
-            q[at] = weight
-            term = self.term[held]
-            products = q[term] * self._raw(term, self.n[held])
+            starts, sizes = self.starts[rows], self.sizes[rows]
+            q[at] = weight * self.factor[at]  # the factors of both vectors
+            products = q.take(_runs(self.term, starts, starts + sizes)) * damped(_runs(self.n, starts, starts + sizes))
             q[at] = 0
             cosines = np.add.reduceat(products, np.cumsum(sizes) - sizes) / self.lengths[rows] if len(rows) else np.zeros(0)
             best = np.lexsort((self.ids[rows], -cosines.round(12)))[:k]
