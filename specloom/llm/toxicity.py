@@ -133,7 +133,7 @@ class Index:
         self.sizes = np.array([len(e[2]) for e in examples], np.int64)
         self.starts = np.append(0, np.cumsum(self.sizes))
         self.term = np.concatenate([np.zeros(0, np.int32), *[np.asarray(e[2], np.int32) for e in examples]])
-        n = np.concatenate([np.zeros(0, np.int32), *[np.asarray(e[3], np.int32) for e in examples]])
+        n = np.concatenate([np.zeros(0, np.uint16), *[e[3] for e in examples]])
         self.n = n.astype(np.uint16) if not len(n) or n.max() < 1 << 16 else n
         self.lengths = np.ones(len(examples))
         squares = np.zeros(len(examples))
@@ -340,12 +340,16 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     counts = materialize(word_counts(documents), "words") if counts is None else counts
     all_docs = _all_documents(counts)
     each = materialize(example_words(documents, labels, max_examples), "examples")
-    sizes = each.select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()  # max_examples rows at most
-    fitting = sizes["doc_id"][sizes["size"].cumsum() <= max_words].to_numpy()
-    used = each if len(fitting) == len(sizes) else each.filter(F.col("doc_id").isin(fitting.tolist()))
-    rows = sorted(((r["doc_id"], r["toxic"], _unpacked(r["words"], np.uint64), _unpacked(r["times"], np.int32)) for r in used.select("doc_id", "toxic", "words", "times").toLocalIterator()), key=lambda r: r[0])
-    release(each)
-    own = np.unique(np.concatenate([np.zeros(0, np.uint64), *[r[2] for r in rows]]))
+    sizes = each.select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # max_examples rows at most
+    fitting = sizes.column("doc_id").to_numpy()[np.cumsum(sizes.column("size").to_numpy()) <= max_words]
+    used = each if len(fitting) == sizes.num_rows else each.filter(F.col("doc_id").isin(fitting.tolist()))
+    own, some, held = np.zeros(0, np.uint64), [], 0
+    for r in used.select("words", "size").toLocalIterator():
+        some.append(_unpacked(r["words"], np.uint64))
+        held += r["size"]
+        if held > 4 * FLUSH:
+            own, some, held = np.unique(np.concatenate([own, *some])), [], 0
+    own = np.unique(np.concatenate([own, *some]))
     shared = documents.sparkSession.sparkContext.broadcast(own)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,10 +366,15 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     h, n = df.column("h").to_numpy().view(np.uint64), df.column("n").to_numpy()
     order = np.argsort(h)
     terms, idf = h[order], np.log((1 + all_docs) / (1 + n[order])) + 1
-    examples = [(i, label, np.searchsorted(terms, words).astype(np.int32), times) for i, label, words, times in rows]
-    at = np.concatenate([np.zeros(0, np.int32), *[e[2] for e in examples]])
-    toxic = np.bincount(at, np.repeat([float(e[1]) for e in examples], [len(e[2]) for e in examples]), len(terms))
-    clean = np.bincount(at, minlength=len(terms)) - toxic
+    # read again, so that the hashes are never all held
+    examples, holders = [], np.zeros((2, len(terms)), np.int64)
+    for r in used.select("doc_id", "toxic", "words", "times").toLocalIterator():
+        at, times = np.searchsorted(terms, _unpacked(r["words"], np.uint64)).astype(np.int32), _unpacked(r["times"], np.int32)
+        holders[r["toxic"], at] += 1
+        examples.append((r["doc_id"], r["toxic"], at, times.astype(np.uint16) if not len(times) or times.max() < 1 << 16 else times))
+    release(each)
+    examples.sort(key=lambda e: e[0])
+    clean, toxic = holders
     return Index(terms, idf * np.log2(2 + toxic / np.maximum(1, clean)), examples)
 
 
@@ -391,8 +400,8 @@ def calibrated(spark, shared, base: float, labels: np.ndarray) -> tuple[float, f
                     votes.append(float((w @ index.labels[near] + PRIOR * base) / (w.sum() + PRIOR)))
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(votes)], ["row", "vote"])
 
-    rows = spark.range(0, len(labels), step, numPartitions=6).mapInArrow(run, "row long, vote double").toPandas()
-    return curve(rows["vote"].to_numpy(), labels[rows["row"].to_numpy()])
+    rows = spark.range(0, len(labels), step, numPartitions=6).mapInArrow(run, "row long, vote double").toArrow()
+    return curve(rows.column("vote").to_numpy(), labels[rows.column("row").to_numpy()])
 
 
 KEYS = ["_task", "_row"]
