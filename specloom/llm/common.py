@@ -31,14 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return a reader of it.
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and return a reader of it. ``by`` names a column with a folder for each value.
 
     This cuts the lineage without depending on any executor: a lost executor costs
     nothing that was written here.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._specloom_path = path
     for made in _scopes:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specloom.llm import bpe, embeddings, lengths, lmscore, packing, pii, quality, sharding, simhash, toxicity
+from specloom.llm import bpe, embeddings, lengths, lmscore, packing, pieces, pii, quality, ranked, repair, sharding, simhash, toxicity
 from specloom.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")  # the same vocabulary and merges, with a special token
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_lm_scores, op4_embeddings, op5_packing, op6_token_counts, op7_quality, op8_pii, op9_toxicity, op10_simhash)}
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(read(spark, sf_dir, "conversations"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digests(read(spark, sf_dir, "documents"), PIECES)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_lm_scores, op4_embeddings, op5_packing, op6_token_counts, op7_quality, op8_pii, op9_toxicity, op10_simhash, op11_ranked, op12_repair, op13_sentencepiece)}
 
 ORACLE_SQL = {
     "op7_quality": r"""
@@ -87,5 +100,15 @@ r AS (SELECT host, (f + strength * m) / (n + strength) AS rate FROM h, s)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND fails < CASE WHEN rate > 0.5 THEN 1 ELSE 2 END AS kept
 FROM f JOIN r ON r.host IS NOT DISTINCT FROM f.source
+""",
+    "op11_ranked": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+s AS (SELECT count(*) FILTER (len(ts) > 0) AS docs, CAST(sum(len(ts)) AS BIGINT) AS words FROM d),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY t, docs),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+i AS (SELECT p.r, p.doc_id, p.t, w.w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // words))) AS points FROM p JOIN w USING (t), s),
+c AS (SELECT item_id, r, doc_id, CAST(sum(times * points) AS BIGINT) AS score FROM q JOIN i USING (t) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS INT) AS rank, doc_id, score FROM c WHERE score > 0 QUALIFY rank <= 20
 """,
 }
