@@ -2,37 +2,32 @@
 
 A text's blanks become markers, with one more marker in front. Where no piece of the vocabulary has a
 marker after another character, merging never crosses the border before a run of markers, so a text is
-the sequence of its chunks: a run of markers and what follows up to the next one. Every distinct chunk of
-the collection is segmented once, in a table of its own, and its ids are joined back to the places where
-the chunk stands.
+the sequence of its chunks: a run of markers and what follows up to the next one. A task takes its
+documents in blocks of a few megabytes of text. A block is its distinct chunks and, for every document, the
+codes of its chunks in order; every distinct chunk is segmented once, and its ids are joined back to the places
+where the chunk stands. What was segmented stays known for the task's next blocks.
 
-The texts are cut up once. Each block of a few megabytes of text is written as its distinct chunks and, for
-every document, the codes of its chunks in order. Only (block, code, chunk) rows are dealt out by chunk,
-so the most frequent chunk has one row for each block and not for each of its places.
+One table of chunks for all tasks would have to deal out the distinct chunks of every block and the codes, which
+is more than the texts themselves, to save less than half of a segmentation that is cheap.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import arrow_map, materialize
-
 MARK = "▁"
 BLOCK_CHARS = 4_000_000  # text of a block; a longer document is a block by itself
+KNOWN, KNOWN_CHARS = 500_000, 64  # chunks that a task remembers, and their length; beyond that number it begins anew with the next block
 PROBE = " a  bé ﬁ "  # a text that any normalisation but marking blanks would change
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-_CUTS, _IDS = "block long, doc_ids array<long>, sizes array<long>, codes binary, chunks array<string>", "chunk string, ids binary"
-
 
 def load(model: bytes) -> sentencepiece.SentencePieceProcessor:
     return sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -66,36 +61,6 @@ class _Codes(dict):
         return found
 
 
-def _cut(documents: DataFrame, split: bool) -> DataFrame:
-    """A row for each block: its documents' ids, how many chunks each has, all their codes, and the block's distinct chunks by code."""
-
-    def row(block: int, ids: list, sizes: list[int], codes: list[int], table: _Codes) -> pa.RecordBatch:
-        kind = np.uint16 if len(table) <= 1 << 16 else np.uint32
-        columns = [[block], [ids], [sizes], [np.array(codes, kind).tobytes()], [list(table)]]
-        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "doc_ids", "sizes", "codes", "chunks"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 32, 0
-        ids, sizes, codes, table = [], [], [], _Codes()
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                if ids and held + len(text) > BLOCK_CHARS:
-                    yield row(block, ids, sizes, codes, table)
-                    block, held = block + 1, 0
-                    ids, sizes, codes, table = [], [], [], _Codes()
-                found = chunks_of(text, split)
-                codes += map(table.__getitem__, found)
-                sizes.append(len(found))
-                ids.append(doc)
-                held += len(text)
-        if ids:
-            yield row(block, ids, sizes, codes, table)
-
-    return documents.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, _CUTS)
-
-
 def segment(processor: sentencepiece.SentencePieceProcessor, chunks: list[str]) -> list[list[int]]:
     """The ids of each chunk. The processor sets the first marker itself, but not before an empty text."""
     found = processor.encode([c[1:] for c in chunks], num_threads=1)
@@ -103,47 +68,64 @@ def segment(processor: sentencepiece.SentencePieceProcessor, chunks: list[str])
     return [ids if len(c) > 1 else [alone] for ids, c in zip(found, chunks, strict=True)]
 
 
-def _joined(codes: np.ndarray, table: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def joined(codes: list[int], table: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all codes in a row, and where each code's ids begin (with the end)."""
-    sizes = np.array([len(x) for x in table], np.int64)
+    codes, sizes = np.array(codes, np.int64), np.fromiter(map(len, table), np.int64, len(table))
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.concatenate(table) if table else np.empty(0, np.uint32)
+    flat = np.fromiter(chain.from_iterable(table), np.uint32, starts[-1])
     n = sizes[codes]
     at = np.concatenate([[0], np.cumsum(n)])
     return flat[np.repeat(starts[:-1][codes] - at[:-1], n) + np.arange(at[-1])], at
 
 
+class Encoder:
+    """Encodes blocks of texts with one processor, and remembers chunks."""
+
+    def __init__(self, model: bytes, split: bool):
+        self.processor, self.split, self.known = load(model), split, {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, with the begin and end ids, as little-endian unsigned 32-bit integers."""
+        table, codes, ends = _Codes(), [], []
+        for text in texts:
+            codes += map(table.__getitem__, chunks_of(text, self.split))
+            ends.append(len(codes))
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        new = [c for c in table if c not in self.known]
+        self.known.update(zip(new, segment(self.processor, new), strict=True))
+        ids, at = joined(codes, [self.known[c] for c in table])
+        for c in new:
+            if len(c) > KNOWN_CHARS:
+                del self.known[c]
+        begin, end = (np.array([i], np.uint32) for i in (self.processor.bos_id(), self.processor.eos_id()))
+        stops = at[ends].tolist()
+        return [np.concatenate([begin, ids[a:b], end]).tobytes() for a, b in zip([0, *stops], stops)]
+
+
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id and ids, little-endian unsigned 32-bit integers with the begin and end ids.
 
     A null text counts as empty: only the begin and end ids. Repeated rows give repeated results; other columns
-    are not read. A task holds a block and its distinct chunks at most; a document is not split over blocks.
+    are not read. No shuffle; a task holds an Arrow batch, a block and what it knows of chunks. A document is
+    not split over blocks.
     """
-    spark = documents.sparkSession
     with open(path, "rb") as f:
         model = f.read()
-    processor = load(model)
-    shared, split = spark.sparkContext.broadcast(model), can_split(processor)
-    begin, end = np.array([processor.bos_id()], np.uint32), np.array([processor.eos_id()], np.uint32)
-
-    def look_up(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = segment(load(shared.value), batch.column(0).to_pylist())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, np.uint32).tobytes() for x in ids], pa.binary())], ["chunk", "ids"])
-
-    def put_back(key: tuple, cut: pa.Table, found: pa.Table) -> pa.Table:
-        table = [np.frombuffer(x, np.uint32) for x in found.sort_by("code").column("ids").to_pylist()]
-        row = cut.slice(0, 1).to_pylist()[0]
-        codes = np.frombuffer(row["codes"], np.uint16 if len(table) <= 1 << 16 else np.uint32).astype(np.int64)
-        ids, at = _joined(codes, table)
-        ends = at[np.cumsum(row["sizes"])].tolist()
-        out = [np.concatenate([begin, ids[a:b], end]).tobytes() for a, b in zip([0, *ends], ends)]
-        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": pa.array(out, pa.binary())})
-
-    cut = materialize(_cut(documents, split), "chunks")
-    places = cut.select("block", F.posexplode("chunks").alias("code", "chunk"))
-    ids = arrow_map(places.select("chunk").distinct(), look_up, _IDS)
-    found = places.join(ids, "chunk").select(F.col("block").alias("of"), "code", "ids")
-    return cut.drop("chunks").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(put_back, "doc_id long, ids binary")
+    shared, split = documents.sparkSession.sparkContext.broadcast(model), can_split(load(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value, split)
+        for batch in batches:
+            texts, sizes = batch.column(1), np.cumsum([len(t.as_py() or "") for t in batch.column(1)])
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + BLOCK_CHARS, "right")))
+                ids = encoder.encode([t.as_py() or "" for t in texts.slice(a, b - a)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                a = b
+
+    return documents.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
