@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -41,23 +42,23 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._specloom_path = path
-    for made in _scopes:
+    for made in _scopes.get():
         made.append(out)
     return out
 
 
-_scopes: list[list[DataFrame]] = []
+_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())  # each thread has its own
 
 
 @contextmanager
 def tables_made() -> Iterator[list[DataFrame]]:
     """Gathers the tables that :func:`materialize` makes inside, so that they can be released when their readers are done."""
     made: list[DataFrame] = []
-    _scopes.append(made)
+    before = _scopes.set((*_scopes.get(), made))
     try:
         yield made
     finally:
-        _scopes.remove(made)
+        _scopes.reset(before)
 
 
 def release(df: DataFrame | None) -> None:

@@ -3,7 +3,7 @@
 A text's blanks become markers, with one more marker in front. Where no piece of the vocabulary has a
 marker after another character, merging never crosses the border before a run of markers, so a text is
 the sequence of its chunks: a run of markers and what follows up to the next one. A task takes its
-documents in blocks of a few megabytes of text. A block is its distinct chunks and, for every document, the
+documents in blocks of about a megabyte of text. A block is its distinct chunks and, for every document, the
 codes of its chunks in order; every distinct chunk is segmented once, and its ids are joined back to the places
 where the chunk stands. What was segmented stays known for the task's next blocks.
 
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-BLOCK_CHARS = 4_000_000  # text of a block; a longer document is a block by itself
-KNOWN, KNOWN_CHARS = 500_000, 64  # chunks that a task remembers, and their length; beyond that number it begins anew with the next block
+BLOCK_CHARS = 1_000_000  # text of a block; a longer document is a block by itself
+KNOWN, KNOWN_CHARS = 200_000, 64  # chunks that a task remembers, and their length; beyond that number it begins anew with the next block
 PROBE = " a  bé ﬁ "  # a text that any normalisation but marking blanks would change
 
 

@@ -49,3 +49,14 @@ def test_stages_take_odd_and_empty_tables(spark, odd_documents, no_documents, na
 
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
+
+
+def test_results_of_stages_can_be_read_later(spark, tmp_path):
+    """A stage leaves alone what another stage's unread result needs, and a run what another run's result needs."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    a = corpus_pipeline.quality_stage(spark, docs, SMALL)
+    b = corpus_pipeline.packing_stage(spark, docs, SMALL)
+    first = corpus_pipeline.run(spark, SMALL)
+    second = corpus_pipeline.run(spark, SMALL)
+    assert 0 < a.count() < docs.count() and b.select("doc_id").distinct().count() == docs.count()
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect()))
