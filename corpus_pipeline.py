@@ -1,58 +1,35 @@
 """The corpus pipeline: quality rules, toxicity, SimHash near-duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again
-as the next stage's docs. All but the last return the columns of documents.
+as the next stage's docs. All but the last return the columns of documents. A stage's result reads tables that
+the stage has written for itself; they stay, since only the caller knows when the result has been read. ``run``
+writes each result and then deletes them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from specloom.llm import packing, pii, quality, queries, simhash, toxicity
 from specloom.llm.common import materialize, read, release, tables_made
 
-_before: list[DataFrame] = []  # what the stage before has written for itself
-
-
-def stage(make: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that first deletes the tables that the stage before wrote for itself: its result has been written by then."""
-
-    @wraps(make)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for table in _before:
-            release(table)
-        with tables_made() as made:
-            out = make(spark, docs, sf_dir)
-        _before[:] = made
-        return out
-
-    return run_stage
-
-
-@stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
-@stage
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
 
 
-@stage
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
-@stage
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.redact(docs)
 
 
-@stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, queries.TOKENIZER)
 
@@ -63,10 +40,14 @@ ORACLE_SQL = None  # toxicity, personal data and packing are beyond SQL; tests/l
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over ``documents``, each written once in the shared folder."""
+    """The stages one after another over ``documents``, each written once in the shared folder; what a stage has read or
+    written for itself is deleted as soon as its result is written. What the last result reads stays."""
     docs, last = read(spark, sf_dir, "documents"), None
     for name, one in STAGES[:-1]:
-        docs = materialize(one(spark, docs, sf_dir), f"stage-{name}")
-        release(last)
+        with tables_made() as made:
+            out = one(spark, docs, sf_dir)
+        docs = materialize(out, f"stage-{name}")
+        for table in (*made, last):
+            release(table)
         last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
