@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specloom.functions.vocabulary import Domain
+from specloom.operators import domains as D
+from specloom.operators.domains import Domains
 
 Model = Callable[[list[str]], list[str | None]]
 TYPES = ("Mandatory", "Prohibition", "Recommendation", "Permission")
@@ -103,10 +106,11 @@ def named_ids(replies: DataFrame) -> DataFrame:
     return items(replies, "string").select("doc_id", F.col("item").alias("id")).distinct()
 
 
-def model_terms(replies: DataFrame, actors: list[str]) -> DataFrame:
-    """doc_id, term, pos: terms of three letters or more that replies list, lower case, without actors, each at its first place."""
+def model_terms(replies: DataFrame, domain: Domain | Domains) -> DataFrame:
+    """doc_id, term, pos: terms of three letters or more that replies list, lower case, without the domain's actors, each at its first place."""
+    d = D.table(replies.sparkSession, domain)
     rows = items(replies, "string").select("doc_id", F.lower(F.trim("item")).alias("term"), F.struct("batch", "pos").alias("pos"))
-    return rows.filter((F.length("term") >= 3) & ~F.col("term").isin(actors)).groupBy("doc_id", "term").agg(F.min("pos").alias("pos"))
+    return d.without(d.assign(rows.filter(F.length("term") >= 3)), "actor", "term").groupBy("doc_id", "term").agg(F.min("pos").alias("pos"))
 
 
 def edge_changes(replies: DataFrame, allowed: tuple[str, ...] = ("REFERENCES", "IMPLEMENTS", "DEPENDS_ON", "SUPERSEDES")) -> DataFrame:

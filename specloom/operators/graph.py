@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from specloom.functions import text as T
 from specloom.functions.vocabulary import Domain
+from specloom.operators import domains as D
+from specloom.operators.domains import Domains
 
 TERM_EDGES = ("REFERENCES", "CONSTRAINS", "RECOMMENDS", "PERMITS")
 
@@ -66,14 +68,15 @@ def requirement_refs(rules: DataFrame) -> DataFrame:
     return refs.select("doc_id", F.col("id").alias("source"), "target", kind.alias("type"), "rule_ord", "pos")
 
 
-def conflicts(rules: DataFrame, mentions: DataFrame, domain: Domain) -> DataFrame:
+def conflicts(rules: DataFrame, mentions: DataFrame, domain: Domain | Domains) -> DataFrame:
     """doc_id, source, target, shared_term, term_ord, a, b: one pair of a mandatory and a prohibiting rule for the first term that both mention.
 
     The two kinds are split before they are joined, so pairs of one kind are never made; actors are left out first.
     By definition there are as many pairs as mandatory times prohibiting rules of a term inside a document.
     """
     kinds = rules.select("doc_id", "rule_ord", "constraint_type")
-    m = mentions.filter(~F.col("term").isin(list(domain.actors))).join(kinds, ["doc_id", "rule_ord"])
+    d = D.table(rules.sparkSession, domain)
+    m = d.without(d.assign(mentions), "actor", "term").drop("domain").join(kinds, ["doc_id", "rule_ord"])
     must = m.filter("constraint_type = 'Mandatory'").select("doc_id", "term", "term_ord", F.col("rule_ord").alias("x"))
     never = m.filter("constraint_type = 'Prohibition'").select("doc_id", "term", F.col("rule_ord").alias("y"))
     pairs = must.join(never, ["doc_id", "term"]).groupBy("doc_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(F.struct("term_ord", "term")).alias("t"))
@@ -83,7 +86,7 @@ def conflicts(rules: DataFrame, mentions: DataFrame, domain: Domain) -> DataFram
     return pairs.select("doc_id", "source", "target", F.col("t.term").alias("shared_term"), F.col("t.term_ord").alias("term_ord"), "a", "b")
 
 
-def edges(sections: DataFrame, rules: DataFrame, mentions: DataFrame, domain: Domain, pairs: DataFrame | None = None) -> DataFrame:
+def edges(sections: DataFrame, rules: DataFrame, mentions: DataFrame, domain: Domain | Domains, pairs: DataFrame | None = None) -> DataFrame:
     """doc_id, edge_ord, source, target, type, context, reason, shared_term: all edges in their order.
 
     First the sections' own, then rule by rule (container, terms, sections, requirements), then the conflicts.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specloom.functions import text as T
+from specloom.operators.domains import Domains
 
 EDGE = 3  # lines at either end of a page where page numbers and running headers are looked for
 
@@ -19,15 +20,22 @@ def explode_pages(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page_number", "line_idx", "n_lines", "raw")
 
 
-def clean_lines(lines: DataFrame, headers: Sequence[str] = ()) -> DataFrame:
-    """The lines without page numbers and running headers at page edges; headings always stay."""
+def clean_lines(lines: DataFrame, headers: Sequence[str] | Domains = ()) -> DataFrame:
+    """The lines without page numbers and running headers at page edges; headings always stay. Headers are given, or those of each document's domain."""
     line = T.strip(F.col("raw"))
     edge = (F.col("line_idx") < EDGE) | (F.col("line_idx") >= F.col("n_lines") - EDGE)
     header = F.lit(False)
-    for h in headers or T.DEFAULT_HEADERS:
-        header = header | F.contains(F.lower(line), F.lit(h.lower()))
+    if isinstance(headers, Domains):
+        # a domain's headers are few; they come to a line as one array
+        each = headers.assign(lines).join(headers.of_kind("header", "word").groupBy("domain").agg(F.collect_set("word").alias("_headers")), "domain", "left")
+        lines, columns = each, lines.columns
+        header = F.exists(F.coalesce("_headers", F.array(*map(F.lit, T.DEFAULT_HEADERS))), lambda h: F.contains(F.lower(line), h))
+    else:
+        columns = lines.columns
+        for h in headers or T.DEFAULT_HEADERS:
+            header = header | F.contains(F.lower(line), F.lit(h.lower()))
     dropped = (line != "") & ~line.rlike(T.HEADING) & edge & (line.rlike(T.PAGE_NUMBER) | header)
-    return lines.withColumn("line", line).filter(~dropped)
+    return lines.withColumn("line", line).filter(~dropped).select(*columns, "line")
 
 
 def classify_lines(lines: DataFrame, demoted: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 
 from specloom.functions import text as T
 from specloom.functions.vocabulary import Domain
+from specloom.operators import domains as D
+from specloom.operators.domains import Domains
 from specloom.operators.graph import TERM_EDGES
 from specloom.sources.artifacts import settled
 
@@ -17,28 +18,38 @@ TARGETS = 3
 SLOTS = {"target_requirements": "target", "structural_context": "section", "linked_rules": "requirement", "referenced_terms": "term", "potential_conflicts": "conflict"}
 
 
-def ask(nodes: DataFrame, questions: Sequence[str]) -> DataFrame:
-    """``nodes`` once for each question (a short list of literals)."""
-    return nodes.withColumn("query", F.explode(F.array(*[F.lit(q) for q in questions])))
+def each_asked(rows: DataFrame, questions: Sequence[str]) -> DataFrame:
+    """``rows`` once for each question; the questions are a short list of the caller's."""
+    return rows.withColumn("query", F.explode(F.array(*map(F.lit, dict.fromkeys(questions)))))
 
 
-def resolve(asked: DataFrame) -> DataFrame:
-    """doc_id, query, id, label, rank: the node that a question names as its id, its term or its section, in this order."""
+def resolve(nodes: DataFrame, questions: Sequence[str]) -> DataFrame:
+    """doc_id, query, id, label, rank: the node that a question names as its id, its term or its section, in this order.
+
+    A question has three names, which are joined with the nodes by equality.
+    """
     q = T.strip(F.col("query"))
-    priority = F.when(F.col("id") == F.upper(q), 0).when(F.col("id") == F.concat(F.lit("TERM-"), F.lower(q)), 1).when(F.col("id") == F.concat(F.lit("SEC-"), T.normal_section(q)), 2)
-    found = asked.withColumn("_p", priority).filter("_p IS NOT NULL")
+    names = F.array(F.upper(q), F.concat(F.lit("TERM-"), F.lower(q)), F.concat(F.lit("SEC-"), T.normal_section(q)))
+    named = D.local(nodes.sparkSession, [(q,) for q in dict.fromkeys(questions)], "query string").select("query", F.posexplode(names).alias("_p", "id"))
     first = F.row_number().over(Window.partitionBy("doc_id", "query").orderBy("_p", "node_ord"))
-    return found.withColumn("rank", first).filter("rank = 1").select("doc_id", "query", "id", "label", "rank")
+    return nodes.join(named, "id").withColumn("rank", first).filter("rank = 1").select("doc_id", "query", "id", "label", "rank")
 
 
-def query_tokens(q: Column, domain: Domain) -> Column:
-    parts = F.split(F.lower(T.strip(q)), r"[^a-zA-Z0-9_\-.]+")
-    return F.filter(parts, lambda t: (F.length(t) > 1) & ~t.isin(list(domain.stopwords)))
+def query_tokens(questions: Sequence[str], d: Domains) -> DataFrame:
+    """domain, tokens: the words of the questions that are no stop words of the domain, each as (query, token, times)."""
+    parts = F.split(F.lower(T.strip(F.col("query"))), r"[^a-zA-Z0-9_\-.]+")
+    words = each_asked(d.about.select("domain"), questions).select("domain", "query", F.explode(parts).alias("token")).filter("length(token) > 1")
+    rows = d.without(words, "stop", "token").groupBy("domain", "query", "token").agg(F.count("*").cast("double").alias("times"))
+    return rows.groupBy("domain").agg(F.collect_list(F.struct("query", "token", "times")).alias("tokens"))
 
 
-def score(asked: DataFrame, domain: Domain) -> DataFrame:
-    """``asked`` with score: 2 for each word that a requirement has; 4 for a section's number or 1.5 for its title; 3 for a term or 1 for a part of it."""
-    words = query_tokens(F.col("query"), domain)
+def score(nodes: DataFrame, questions: Sequence[str], domain: Domain | Domains) -> DataFrame:
+    """``nodes`` with query and score, for the questions that a node has a word of: 2 for each word that a requirement has; 4 for a section's
+    number or 1.5 for its title; 3 for a term or 1 for a part of it.
+
+    The nodes are read once for all questions, and only the pairs with a score are made.
+    """
+    d = D.table(nodes.sparkSession, domain)
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
 
     def point(t: Column) -> Column:
@@ -47,20 +58,22 @@ def score(asked: DataFrame, domain: Domain) -> DataFrame:
         term = F.when(low("name") == t, 3.0).when(F.contains(low("name"), t), 1.0).otherwise(0.0)
         return F.when(F.col("label") == "Requirement", requirement).when(F.col("label") == "Section", section).otherwise(term)
 
-    return asked.withColumn("score", F.aggregate(words, F.lit(0.0), lambda s, t: s + point(t)))
+    rows = d.assign(nodes).join(query_tokens(questions, d), "domain")
+    points = F.filter(F.transform("tokens", lambda t: F.struct(t["query"].alias("query"), (point(t["token"]) * t["times"]).alias("score"))), lambda p: p["score"] > 0)
+    found = rows.select("doc_id", "node_ord", "id", "label", F.inline(points))
+    return found.groupBy("doc_id", "query", "node_ord", "id", "label").agg(F.sum("score").alias("score"))
 
 
-def top(asked: DataFrame, domain: Domain, n: int = TARGETS) -> DataFrame:
+def top(nodes: DataFrame, questions: Sequence[str], domain: Domain | Domains, n: int = TARGETS) -> DataFrame:
     """doc_id, query, id, label, score, rank: the ``n`` best nodes with a score, in node order at a tie."""
     order = Window.partitionBy("doc_id", "query").orderBy(F.desc("score"), "node_ord")
-    return score(asked, domain).filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("doc_id", "query", "id", "label", "score", "rank")
+    return score(nodes, questions, domain).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("doc_id", "query", "id", "label", "score", "rank")
 
 
-def targets(nodes: DataFrame, questions: Sequence[str], domain: Domain) -> DataFrame:
+def targets(nodes: DataFrame, questions: Sequence[str], domain: Domain | Domains) -> DataFrame:
     """doc_id, query, id, label, rank: what a question names, or else what it finds."""
-    asked = ask(nodes, questions)
-    exact = resolve(asked)
-    others = top(asked, domain).drop("score").join(exact.select("doc_id", "query"), ["doc_id", "query"], "left_anti")
+    exact = resolve(nodes, questions)
+    others = top(nodes, questions, domain).drop("score").join(exact.select("doc_id", "query"), ["doc_id", "query"], "left_anti")
     return exact.unionByName(others)
 
 
@@ -139,7 +152,7 @@ def expand(nodes: DataFrame, edges: DataFrame, targets_: DataFrame, keep: bool =
     return rows.select(*key, "role", "pos", "id"), pairs.select(*key, "pos", "edge_ord")
 
 
-def payload(nodes: DataFrame, edges: DataFrame, questions: Sequence[str], domain: Domain) -> DataFrame:
+def payload(nodes: DataFrame, edges: DataFrame, questions: Sequence[str], domain: Domain | Domains) -> DataFrame:
     """doc_id, query, payload: the template filled with targets, structure, rules, terms and conflicts. Texts are put in literally."""
     key = ["doc_id", "query"]
     t = targets(nodes, questions, domain)
@@ -157,14 +170,17 @@ def payload(nodes: DataFrame, edges: DataFrame, questions: Sequence[str], domain
     rows = rows.unionByName(c.select(*key, F.lit("conflict").alias("part"), "pos", say("- Conflict between **%s** and **%s** on term **'%s'**:\n  *Reason: %s*", "source", "target", "shared_term", "reason").alias("line")))
     by = rows.groupBy(*key, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"]), "\n").alias("lines"))
     wide = by.groupBy(*key).pivot("part", ["target", "section", "requirement", "term", "conflict"]).agg(F.first("lines"))
-    info = f"ADDITIONAL DOMAIN INFORMATION\n{domain.info}\n" if domain.info else ""
+    d = D.table(nodes.sparkSession, domain)
     # What stands in a part without lines.
     nothing = {"target": "", "section": "No direct structural context linked.", "requirement": "No semantically or structurally linked requirements found.", "term": "No specific technical terms mapped.", "conflict": "No explicit conflicts detected in this context segment."}
-    slots = {"{role_description}": F.lit(domain.role), "{additional_domain_info_section}": F.lit(info)}
-    slots |= {f"{{{slot}}}": F.coalesce(F.col(part), F.lit(nothing[part])) for slot, part in SLOTS.items()}
-    # the template is cut once, so what is put in is never looked at again
-    pieces = re.split("(" + "|".join(map(re.escape, slots)) + ")", domain.template)
-    out = F.concat(*[slots[x] if x in slots else F.lit(x) for x in pieces])
-    every = ask(nodes.select("doc_id").distinct(), questions)
+    info = F.when(F.col("info") != "", F.concat(F.lit("ADDITIONAL DOMAIN INFORMATION\n"), "info", F.lit("\n"))).otherwise("")
+    slots = {"role_description": F.coalesce("role", F.lit("")), "additional_domain_info_section": info} | {slot: F.coalesce(F.col(part), F.lit(nothing[part])) for slot, part in SLOTS.items()}
+    # the template is cut at its slots once, so what is put in is never looked at again
+    named = "\\{(" + "|".join(slots) + ")\\}"
+    around, holes = F.split("template", named, -1), F.regexp_extract_all("template", F.lit(named), F.lit(1))
+    values = F.create_map(*[x for slot, v in slots.items() for x in (F.lit(slot), v)])
+    out = F.concat(F.array_join(F.zip_with(F.slice(around, 1, F.size(holes)), holes, lambda a, h: F.concat(a, values[h])), ""), F.element_at(around, -1))
+    wide = d.assign(wide).join(d.about, "domain")
+    every = each_asked(nodes.select("doc_id").distinct(), questions)
     failed = F.concat(F.lit("Error: No matching node found for query '"), "query", F.lit("' in the Knowledge Graph."))
     return every.join(wide.select(*key, out.alias("payload")), key, "left").select(*key, F.coalesce("payload", failed).alias("payload"))

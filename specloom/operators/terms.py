@@ -5,53 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.functions.text import B
-from specloom.functions.vocabulary import Domain, java
+from specloom.functions.vocabulary import Domain
+from specloom.operators import domains as D
+from specloom.operators.domains import Domains
 
 TOP = 20
 
 
-def tokens(rules: DataFrame, domain: Domain) -> DataFrame:
-    """doc_id, rule_ord, pos, term: whole ASCII words of three letters or more, lower case, without stop words."""
+def tokens(rules: DataFrame, domain: Domain | Domains) -> DataFrame:
+    """doc_id, rule_ord, pos, term, domain: whole ASCII words of three letters or more, lower case, without stop words."""
+    d = D.table(rules.sparkSession, domain)
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![A-Za-z0-9_])([a-z]{3,})(?![A-Za-z0-9_])"), F.lit(1))
-    rows = rules.select("doc_id", "rule_ord", F.posexplode(words).alias("pos", "term"))
-    return rows.filter(~F.col("term").isin(list(domain.stopwords)))
+    rows = d.assign(rules.select("doc_id", "rule_ord", "text")).select("doc_id", "rule_ord", "domain", F.posexplode(words).alias("pos", "term"))
+    return d.without(rows, "stop", "term")
 
 
-def frequencies(rules: DataFrame, domain: Domain) -> DataFrame:
-    """doc_id, term, freq, first: occurrences, and where a term comes first."""
-    return tokens(rules, domain).groupBy("doc_id", "term").agg(F.count("*").alias("freq"), F.min(F.struct("rule_ord", "pos")).alias("first"))
+def frequencies(rules: DataFrame, domain: Domain | Domains) -> DataFrame:
+    """doc_id, domain, term, freq, first: occurrences, and where a term comes first."""
+    return tokens(rules, domain).groupBy("doc_id", "domain", "term").agg(F.count("*").alias("freq"), F.min(F.struct("rule_ord", "pos")).alias("first"))
 
 
-def top_terms(rules: DataFrame, domain: Domain, n: int = TOP) -> DataFrame:
-    """doc_id, term, freq, rank: the ``n`` most frequent terms, the earlier one first at a tie."""
+def top_terms(rules: DataFrame, domain: Domain | Domains, n: int = TOP) -> DataFrame:
+    """doc_id, domain, term, freq, rank: the ``n`` most frequent terms, the earlier one first at a tie."""
     order = Window.partitionBy("doc_id").orderBy(F.desc("freq"), "first")
     return frequencies(rules, domain).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("first")
 
 
-def curated_matches(rules: DataFrame, domain: Domain) -> DataFrame:
-    """doc_id, rule_ord, term: the curated terms whose patterns a rule matches. The patterns are a short list, so no join."""
-    found = F.array_compact(F.array(*[F.when(F.col("text").rlike(java(p)), F.lit(t)) for t, p in domain.terms.items()]))
-    return rules.select("doc_id", "rule_ord", F.explode(found).alias("term"))
+def curated_matches(rules: DataFrame, domain: Domain | Domains) -> DataFrame:
+    """doc_id, rule_ord, term: the curated terms of its domain that a rule holds."""
+    return D.matches(rules, domain)
 
 
-def curated_frequencies(rules: DataFrame, domain: Domain) -> DataFrame:
-    """doc_id, term, freq, pos: rules that match each curated term; terms without a rule stay, with 0."""
-    every = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(t).alias("term")) for i, t in enumerate(domain.terms)])
-    all_terms = rules.select("doc_id").distinct().select("doc_id", F.inline(every))
-    n = curated_matches(rules, domain).groupBy("doc_id", "term").agg(F.count("*").alias("freq"))
+def curated_frequencies(rules: DataFrame, domain: Domain | Domains, found: DataFrame | None = None) -> DataFrame:
+    """doc_id, term, freq, pos: rules that hold each curated term; terms without a rule stay, with 0. ``found`` are the matches, if they are there already."""
+    d = D.table(rules.sparkSession, domain)
+    all_terms = d.assign(rules.select("doc_id").distinct()).join(d.terms, "domain").select("doc_id", "term", "pos")
+    n = (curated_matches(rules, d) if found is None else found).groupBy("doc_id", "term").agg(F.count("*").alias("freq"))
     return all_terms.join(n, ["doc_id", "term"], "left").select("doc_id", "term", F.coalesce("freq", F.lit(0)).cast("long").alias("freq"), "pos")
 
 
-def merged(rules: DataFrame, domain: Domain) -> DataFrame:
+def merged(rules: DataFrame, domain: Domain | Domains, found: DataFrame | None = None) -> DataFrame:
     """doc_id, term_ord, term, freq, curated: curated terms and the top ones that are not curated, by falling frequency."""
-    curated = curated_frequencies(rules, domain).select("doc_id", "term", "freq", F.lit(True).alias("curated"), "pos")
-    others = top_terms(rules, domain).filter(~F.col("term").isin(list(domain.terms))).select("doc_id", "term", "freq", F.lit(False).alias("curated"), F.col("rank").alias("pos"))
+    d = D.table(rules.sparkSession, domain)
+    curated = curated_frequencies(rules, d, found).select("doc_id", "term", "freq", F.lit(True).alias("curated"), "pos")
+    others = top_terms(rules, d).join(d.terms.select("domain", "term"), ["domain", "term"], "left_anti").select("doc_id", "term", "freq", F.lit(False).alias("curated"), F.col("rank").alias("pos"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("freq"), F.desc("curated"), "pos")
     return curated.unionByName(others).withColumn("term_ord", F.row_number().over(order)).drop("pos")
 
 
-def mentions(rules: DataFrame, terms: DataFrame, domain: Domain) -> DataFrame:
+def mentions(rules: DataFrame, terms: DataFrame, domain: Domain | Domains, found: DataFrame | None = None) -> DataFrame:
     """doc_id, rule_ord, term, term_ord: which rules mention which terms.
 
     A term that is not curated is one alphabetic word with or without an s, so it joins with the rules'
@@ -61,7 +63,7 @@ def mentions(rules: DataFrame, terms: DataFrame, domain: Domain) -> DataFrame:
     by_word = rules.select("doc_id", "rule_ord", F.explode(words).alias("word"))
     forms = terms.filter("NOT curated").select("doc_id", "term", F.explode(F.array("term", F.concat("term", F.lit("s")))).alias("word"))
     plain = by_word.join(forms, ["doc_id", "word"]).select("doc_id", "rule_ord", "term").distinct()
-    return plain.unionByName(curated_matches(rules, domain)).join(terms.select("doc_id", "term", "term_ord"), ["doc_id", "term"])
+    return plain.unionByName(curated_matches(rules, domain) if found is None else found).join(terms.select("doc_id", "term", "term_ord"), ["doc_id", "term"])
 
 
 def stride_sample(rules: DataFrame, most: int = 120) -> DataFrame:
@@ -74,11 +76,10 @@ def stride_sample(rules: DataFrame, most: int = 120) -> DataFrame:
 def named(rules: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(terms, mentions) for the terms of ``found`` (doc_id, term, pos), like :func:`merged` and :func:`mentions`.
 
-    freq counts the rules that hold a term, with or without an s. A document's terms are as many as one
-    reply lists, so each of its rules is held against all of them.
+    freq counts the rules that hold a term, with or without an s. Rules and terms are joined by document and first piece.
     """
-    word = F.concat(F.lit("(?i)" + B), F.regexp_replace("term", r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit("s?" + B))
-    held = rules.select("doc_id", "rule_ord", "text").join(found.select("doc_id", "term", word.alias("_word")), "doc_id").filter(F.regexp_like("text", F.col("_word"))).select("doc_id", "rule_ord", "term")
+    forms = found.select("doc_id", "term", F.inline(D.spelled(F.col("term"))))
+    held = D.held(rules.select("doc_id", "rule_ord", "text"), forms, "doc_id")
     n = held.groupBy("doc_id", "term").agg(F.count("*").alias("freq"))
     rows = found.join(n, ["doc_id", "term"], "left").withColumn("freq", F.coalesce("freq", F.lit(0)).cast("long"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("freq"), "pos")

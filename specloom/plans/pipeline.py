@@ -9,8 +9,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.functions.vocabulary import Domain, detect_domain, domain, inferred_domain
+from specloom.functions.vocabulary import ROLES, Domain, detect_domain, domain
 from specloom.operators import assist, blocks, graph, lines, rules, search
+from specloom.operators import domains as D
+from specloom.operators.domains import Domains
 from specloom.operators import terms as term_ops
 from specloom.sources.artifacts import settled
 
@@ -25,20 +27,25 @@ class Analysis:
     Blocks, rules and the graph's tables are each read several times, so each is written once in the
     shared folder. Everything is dealt out by doc_id, so a document is the largest unit of a task. models
     holds, for any of STEPS, a function from prompts to replies; a step without one is left out. Each step
-    is a method of the replies' validation in ``assist``, and what a reply gets wrong is passed over.
+    is a method of the replies' validation in ``assist``, and what a reply gets wrong is passed over. ``domain`` is
+    one domain for all documents, or the tables of any number of domains with each document's own.
     """
 
     pages: DataFrame
-    domain: Domain
+    domain: Domain | Domains
     models: Mapping[str, assist.Model] = field(default_factory=dict)
 
     def _replies(self, step: str, rows: DataFrame, size: int, columns: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
         asked = assist.batched(rows, size, order)
         return asked, settled(assist.ask(assist.prompts(asked, columns, order), self.models[step]))
 
+    @cached_property
+    def domains(self) -> Domains:
+        return D.table(self.pages.sparkSession, self.domain)
+
     @cached_property
     def lines(self) -> DataFrame:
-        clean = lines.clean_lines(lines.explode_pages(self.pages), self.domain.headers)
+        clean = lines.clean_lines(lines.explode_pages(self.pages), self.domain.headers if isinstance(self.domain, Domain) else self.domain)
         rows = lines.classify_lines(clean)
         if "headings" not in self.models:
             return rows
@@ -77,14 +84,15 @@ class Analysis:
     @cached_property
     def terms(self) -> tuple[DataFrame, DataFrame]:
         """(terms, mentions). Where a model names terms of a document, they take the place of its counted and curated ones."""
-        terms = term_ops.merged(self.rules, self.domain)
+        found = settled(term_ops.curated_matches(self.rules, self.domains))
+        terms = term_ops.merged(self.rules, self.domains, found)
         if "terms" not in self.models:
             terms = settled(terms)
-            return terms, settled(term_ops.mentions(self.rules, terms, self.domain))
+            return terms, settled(term_ops.mentions(self.rules, terms, self.domains, found))
         _, replies = self._replies("terms", term_ops.stride_sample(self.rules), assist.TERMS, ["id", "text"], ["rule_ord"])
-        named, by_name = (settled(x) for x in term_ops.named(self.rules, assist.model_terms(replies, list(self.domain.actors))))
+        named, by_name = (settled(x) for x in term_ops.named(self.rules, assist.model_terms(replies, self.domains)))
         others = settled(terms.join(named.select("doc_id").distinct(), "doc_id", "left_anti"))
-        return others.unionByName(named), settled(term_ops.mentions(self.rules, others, self.domain).unionByName(by_name))
+        return others.unionByName(named), settled(term_ops.mentions(self.rules, others, self.domains, found).unionByName(by_name))
 
     @cached_property
     def graph(self) -> dict[str, DataFrame]:
@@ -92,10 +100,10 @@ class Analysis:
         sections = settled(graph.section_nodes(self.blocks, self.rules))
         pairs = None
         if "conflicts" in self.models:
-            pairs = settled(graph.conflicts(self.rules, mentions, self.domain))
+            pairs = settled(graph.conflicts(self.rules, mentions, self.domains))
             _, replies = self._replies("conflicts", pairs, assist.CONFLICTS, ["source", "target", "shared_term"], ["term_ord", "a", "b"])
             pairs = assist.judged_conflicts(pairs, replies)
-        edges = settled(graph.edges(sections, self.rules, mentions, self.domain, pairs))
+        edges = settled(graph.edges(sections, self.rules, mentions, self.domains, pairs))
         if "edges" in self.models:
             _, replies = self._replies("edges", graph.refinable(edges), assist.EDGES, ["source", "target", "type"], ["edge_ord"])
             edges = settled(graph.refined(edges, assist.edge_changes(replies)))
@@ -115,7 +123,7 @@ class Analysis:
         return n.unionByName(self.edges.groupBy("doc_id", F.lit("edge").alias("kind"), F.col("type").alias("name")).agg(F.count("*").alias("n")))
 
     def audit(self, questions: list[str]) -> DataFrame:
-        return search.payload(self.nodes, self.edges, questions, self.domain)
+        return search.payload(self.nodes, self.edges, questions, self.domains)
 
 
 def domains_of(pages: DataFrame) -> DataFrame:
@@ -134,26 +142,20 @@ def parse_documents(pages: DataFrame, preset: str = "generic", models: Mapping[s
     return Analysis(pages, domain(preset, **more), models or {})
 
 
-def parse_each(pages: DataFrame, models: Mapping[str, assist.Model] | None = None, **more) -> dict[str, Analysis]:
-    """The tables of ``pages`` by domain, each document under its own: what the model of the step "domain" infers, else the detected preset.
+def parse_each(pages: DataFrame, models: Mapping[str, assist.Model] | None = None, **more) -> Analysis:
+    """The tables of ``pages``, each document under its own domain: what the model of the step "domain" infers, else the detected preset.
 
-    There are three presets. Inferred domains are gathered on the driver, so this is for collections with few
-    of them; documents with the same inferred domain are worked on together.
+    However many domains there are, it is one plan: domains are tables that are joined to the documents. ``more`` (terms,
+    stopwords, headers, actors, info) is added to every domain, actors only to the presets.
     """
-    models, base = dict(models or {}), settled(domains_of(pages))
+    models = dict(models or {})
     ask = models.pop("domain", None)
-    out: dict[str, Analysis] = {}
+    base = settled(domains_of(pages))
+    each = D.table(pages.sparkSession, {preset: domain(preset, **more) for preset in ROLES}, base.withColumnRenamed("preset", "domain"))
     if ask:
-        found = settled(inferred(pages, ask))
-        base = settled(base.join(found, "doc_id", "left_anti"))
-        for r in found.select("name", "terms", "headers", "role").distinct().orderBy("name", "role", "terms", "headers").collect():
-            own = found.filter((F.col("name") == r["name"]) & (F.col("role") == r["role"]) & (F.col("terms") == F.array(*map(F.lit, r["terms"])).cast("array<string>")) & (F.col("headers") == F.array(*map(F.lit, r["headers"])).cast("array<string>")))
-            name = r["name"] if r["name"] not in out else f"{r['name']} {len(out)}"
-            out[name] = Analysis(pages.join(own.select("doc_id"), "doc_id", "left_semi"), inferred_domain(r["name"], r["terms"], r["headers"], r["role"], **more), models)
-    for preset in sorted(r["preset"] for r in base.select("preset").distinct().collect()):  # three at most
-        own = base.filter(F.col("preset") == preset).select("doc_id")
-        out[preset] = Analysis(pages.join(own, "doc_id", "left_semi"), domain(preset, **more), models)
-    return out
+        own = Domain("more", {t: rf"\b{p}s?\b" for t, p in (more.get("terms") or {}).items()}, tuple(more.get("stopwords", ())), tuple(more.get("headers", ())), info=more.get("info", ""))
+        each = D.described(settled(inferred(pages, ask)), each, own)
+    return Analysis(pages, each, models)
 
 
 def audit(analysis: Analysis, query: str) -> DataFrame:

@@ -216,11 +216,11 @@ def refine_edges(spark, d):
 
 
 def resolve_exact(spark, d):
-    return search.resolve(search.ask(analysis(spark, d).nodes, NAMED)).select("doc_id", "query", "id")
+    return search.resolve(analysis(spark, d).nodes, NAMED).select("doc_id", "query", "id")
 
 
 def search_top3(spark, d):
-    return search.top(search.ask(analysis(spark, d).nodes, SEARCH), DOMAIN).select("doc_id", "query", "id", "score", "rank")
+    return search.top(analysis(spark, d).nodes, SEARCH, DOMAIN).select("doc_id", "query", "id", "score", "rank")
 
 
 def _context(questions: list[str]) -> Callable[[SparkSession, str], DataFrame]:
@@ -345,7 +345,7 @@ def _canned_terms(prompts: list[str]) -> list[str | None]:
 def model_terms(spark, d):
     r = analysis(spark, d).rules
     asked = assist.prompts(assist.batched(terms.stride_sample(r), assist.TERMS, ["rule_ord"]), ["id", "text"], ["rule_ord"])
-    found = terms.named(r, assist.model_terms(assist.ask(asked, _canned_terms), list(DOMAIN.actors)))[0]
+    found = terms.named(r, assist.model_terms(assist.ask(asked, _canned_terms), DOMAIN))[0]
     return found.select("doc_id", "term", "freq", "term_ord")
 
 

@@ -1,11 +1,17 @@
-"""Writing and reading what the pipeline makes."""
+"""Writing and reading what the pipeline makes, on any file system that Spark reads."""
 
 from __future__ import annotations
 
+import posixpath
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,31 +19,125 @@ GRAPH = "doc_id long, nodes array<struct<id:string,label:string,properties:map<s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder inside the one that the driver and all executors share; a temporary one only for a local master."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/') if base else 'file://' + tempfile.mkdtemp(prefix='specloom-')}/{uuid.uuid4().hex}"
+    """A new folder inside the one that the driver and all executors share; for a local master without one, in a temporary folder of the session."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("specloom.engine.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='specloom-')}"
+        spark.conf.set("specloom.engine.dir", base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written once in the shared folder and read again: its lineage ends there, and a lost executor costs nothing of it."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    for made in _scopes.get():
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def inside(base: str, target: str) -> Path:
-    """``target`` under ``base``; anything that leads outside is refused."""
-    root, path = Path(base).resolve(), (Path(base) / target).resolve()
-    if not path.is_relative_to(root):
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("engine_scopes", default=())
+
+
+@contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """Gathers the folders that :func:`settled` writes inside, so that :func:`released` can delete them when nothing reads them any more."""
+    made: list[str] = []
+    before = _scopes.set((*_scopes.get(), made))
+    try:
+        yield made
+    finally:
+        _scopes.reset(before)
+
+
+def released(spark: SparkSession, folders: list[str]) -> None:
+    for path in folders:
+        delete(spark, path)
+    folders.clear()
+
+
+def _path(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """The file system and the path in it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, found = _path(spark, path)
+    return fs.exists(found)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, found = _path(spark, path)
+    fs.delete(found, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    fs, found = _path(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(found)) if fs.exists(found) else []
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file so that a reader sees the old or the new one, never a part: it is renamed into its place."""
+    fs, found = _path(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(part)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark._sc._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(found.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(found), how)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    return spark.read.text(path, wholetext=True).first()["value"] if exists(spark, path) else None
+
+
+_URI = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*")
+
+
+def inside(base: str, target: str) -> str:
+    """``target`` under ``base`` as a URI; anything that leads outside is refused. A base without a scheme is a folder of this machine's file system."""
+    head = _URI.match(base)
+    if not head:
+        root, path = Path(base).resolve(), (Path(base) / target).resolve()
+        if not path.is_relative_to(root):
+            raise ValueError(f"{target} is outside {base}")
+        return f"file://{path}"
+    root = posixpath.normpath("/" + base[head.end() :].strip("/"))
+    own = _URI.match(target)
+    if own and own[0] != head[0]:
+        raise ValueError(f"{target} is outside {base}")
+    path = posixpath.normpath(target[own.end() :] if own else posixpath.join(root, target))
+    if path != root and not path.startswith(root.rstrip("/") + "/"):
         raise ValueError(f"{target} is outside {base}")
-    return path
+    return head[0] + path
+
 
+CURRENT = "current"
 
-def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+
+def write_tables(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> str:
+    """Write all tables in a new folder of versions under ``path`` and then switch to it; a failure leaves the version before. Older ones but that go."""
+    before = get_text(spark, f"{path}/{CURRENT}")
+    version = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.parquet(f"{path}/versions/{version}/{name}")
+    put_text(spark, f"{path}/{CURRENT}", version)
+    for old in children(spark, f"{path}/versions"):
+        if old not in (version, before):
+            delete(spark, f"{path}/versions/{old}")
+    return f"{path}/versions/{version}"
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the version that was switched to last."""
+    version = get_text(spark, f"{path}/{CURRENT}")
+    return version and f"{path}/versions/{version.strip()}"
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -78,15 +178,18 @@ def explorer_html(graph: str) -> str:
     )
 
 
-def write_text(rows: DataFrame, column: str, path: str) -> None:
-    """A text file for each document under path/doc_id=N."""
-    rows.select("doc_id", F.col(column).alias("value")).repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(path)
+def write_texts(rows: DataFrame, column: str, path: str, apart: bool = False) -> None:
+    """The documents' texts as JSON lines (doc_id, ``column``), many to a file; ``apart``: a text file for each document under path/doc_id=N."""
+    if apart:
+        rows.select("doc_id", F.col(column).alias("value")).repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(path)
+    else:
+        rows.select("doc_id", column).write.mode("overwrite").json(path)
 
 
-def write_payloads(payloads: DataFrame, path: str) -> None:
-    """Each query's payloads as text files, one for each document, in a folder with the query's safe name."""
+def write_payloads(payloads: DataFrame, path: str, apart: bool = False) -> None:
+    """Each query's payloads in a folder with the query's safe name."""
     for r in payloads.select("query").distinct().collect():  # the questions that were asked
-        write_text(payloads.filter(F.col("query") == r["query"]), "payload", f"{path}/{payload_name(r['query'])}")
+        write_texts(payloads.filter(F.col("query") == r["query"]), "payload", f"{path}/{payload_name(r['query'])}", apart)
 
 
 def html_pages(graphs: DataFrame) -> DataFrame:

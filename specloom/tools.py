@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from specloom.functions.vocabulary import domain as preset_of
 from specloom.operators import blocks, search
+from specloom.operators import domains as D
 from specloom.plans.pipeline import Analysis, parse_each
 from specloom.sources import artifacts
 from specloom.sources.corpus import read_pages
 
 OUTPUT = "./output_standard_parser"
 DOMAINS = ("auto", "generic", "smartGrid", "security")
-TABLES = ("blocks", "tree", "ledger", "nodes", "edges", "domains")
+TABLES = ("blocks", "tree", "ledger", "nodes", "edges")
 
 
 def _checked(**arguments) -> None:
@@ -30,61 +31,60 @@ def _checked(**arguments) -> None:
         raise ValueError("Invalid parameters: " + ", ".join(wrong))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+def standard_parse(spark: SparkSession, pages: DataFrame | str, output_dir: str = OUTPUT, domain: str = "auto", additional_domain_info: str | None = None, models=None, base: str = ".", kind: str = "parquet", apart: bool = False) -> str:
+    """Parse pages, write all tables and artefacts under ``output_dir`` (inside ``base``, on any file system), and say what was found.
 
-
-def standard_parse(spark: SparkSession, pages: DataFrame | str, output_dir: str = OUTPUT, domain: str = "auto", additional_domain_info: str | None = None, models=None, base: str = ".", kind: str = "parquet") -> str:
-    """Parse pages, write all tables and artefacts under ``output_dir`` (inside ``base``), and say what was found.
-
-    Written are the tables of TABLES as parquet, and for each document its cleaned text as markdown, its graph
-    as JSON and the explorer as HTML.
+    The tables of TABLES and the domains' are written as parquet in a new folder, which takes the place of the last one when
+    all are there. The first three are also written as JSON, like each document's graph, cleaned text and explorer; many
+    documents are packed in one file, or with ``apart`` the texts get a file each.
     """
     _checked(output_dir=output_dir, domain=domain)
     if domain not in DOMAINS:
         raise ValueError(f"Invalid parameters: domain: one of {', '.join(DOMAINS)} is expected")
     if isinstance(pages, str):
         _checked(pages=pages)
-        pages = read_pages(spark, str(artifacts.inside(base, pages)), kind)
-    out = f"file://{artifacts.inside(base, output_dir)}"
+        pages = read_pages(spark, artifacts.inside(base, pages), kind)
+    out = artifacts.inside(base, output_dir)
     info = additional_domain_info or ""
-    parts = parse_each(pages, models, info=info) if domain == "auto" else {domain: Analysis(pages, preset_of(domain, info=info), {k: v for k, v in (models or {}).items() if k != "domain"})}
-    if not parts:
-        raise ValueError("no page has a text")
-    each = list(parts.values())
-    nodes, edges = _union([a.nodes for a in each]), _union([a.edges for a in each])
-    described = _union([a.pages.select("doc_id").distinct().select("doc_id", *[F.lit(v).alias(k) for k, v in (("name", name), ("role", a.domain.role), ("info", a.domain.info), ("template", a.domain.template))], F.array(*map(F.lit, a.domain.stopwords)).cast("array<string>").alias("stopwords")) for name, a in parts.items()])
-    artifacts.write_tables({"blocks": _union([a.blocks for a in each]), "tree": _union([blocks.outline(a.plain_blocks) for a in each]), "ledger": _union([a.rules for a in each]), "nodes": nodes, "edges": edges, "domains": described}, out)
-    graphs = artifacts.graph_json(nodes, edges)
-    graphs.join(described.withColumnRenamed("name", "detected_domain"), "doc_id").write.mode("overwrite").json(f"{out}/knowledge_graph")
-    artifacts.write_text(_union([blocks.markdown(a.plain_blocks) for a in each]), "markdown", f"{out}/document_cleaned")
-    artifacts.write_text(artifacts.html_pages(graphs), "html", f"{out}/graph_explorer")
-    written = {t: spark.read.parquet(f"{out}/{t}") for t in TABLES}
-    lines = [f"Detected domains: {', '.join(parts)}", f"Outputs saved to: {out}", f"Parsed {written['blocks'].count()} layout blocks and mined {written['ledger'].count()} requirements.", "Nodes:"]
+    with artifacts.tables_made() as made:
+        a = parse_each(pages, models, info=info) if domain == "auto" else Analysis(pages, preset_of(domain, info=info), {k: v for k, v in (models or {}).items() if k != "domain"})
+        if a.lines.isEmpty():
+            raise ValueError("no page has a text")
+        tables = {"blocks": a.blocks, "tree": blocks.outline(a.plain_blocks), "ledger": a.rules, "nodes": a.nodes, "edges": a.edges} | D.tables_of(a.domains, a.pages)
+        folder = artifacts.write_tables(spark, tables, out)
+        markdown = blocks.markdown(a.plain_blocks)
+        artifacts.write_texts(markdown, "markdown", f"{out}/document_cleaned", apart)
+    written, d = {t: spark.read.parquet(f"{folder}/{t}") for t in TABLES}, D.read(spark, folder)
+    artifacts.released(spark, made)
+    for t in TABLES[:3]:
+        written[t].write.mode("overwrite").json(f"{out}/{t}_json")
+    graphs = artifacts.graph_json(written["nodes"], written["edges"])
+    about = d.assign(graphs.select("doc_id")).join(d.about, "domain").drop("domain").withColumnRenamed("name", "detected_domain")
+    graphs.join(about, "doc_id").write.mode("overwrite").json(f"{out}/knowledge_graph")
+    artifacts.write_texts(artifacts.html_pages(graphs), "html", f"{out}/graph_explorer", apart)
+    names = d.of.groupBy("domain").agg(F.count("*").alias("n")).join(d.about, "domain").orderBy(F.desc("n"), "name").limit(SHOWN + 1).collect()
+    lines = [f"Detected domains: {', '.join(r['name'] for r in names[:SHOWN])}{' and others' if len(names) > SHOWN else ''}", f"Outputs saved to: {out}", f"Parsed {written['blocks'].count()} layout blocks and mined {written['ledger'].count()} requirements.", "Nodes:"]
     lines += [f"  - {r['label']}: {r['n']}" for r in written["nodes"].groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()]
     lines += ["Edges:"] + [f"  - {r['type']}: {r['n']}" for r in written["edges"].groupBy("type").agg(F.count("*").alias("n")).orderBy("type").collect()]
     return "\n".join(lines)
 
 
-def standard_audit(spark: SparkSession, query: str, output_dir: str = OUTPUT, base: str = ".") -> DataFrame:
+SHOWN = 20  # of what the screen lists; all is written
+
+
+def standard_audit(spark: SparkSession, query: str, output_dir: str = OUTPUT, base: str = ".", apart: bool = False) -> DataFrame:
     """doc_id, query, payload for each document that :func:`standard_parse` wrote under ``output_dir``; the payloads are written there too."""
     _checked(query=query, output_dir=output_dir)
-    folder = artifacts.inside(base, output_dir)
-    if not (folder / "nodes").exists():
+    out = artifacts.inside(base, output_dir)
+    folder = artifacts.current(spark, out)
+    if not folder:
         raise ValueError(f"no graph is found in {output_dir}; parse the pages first")
-    out = f"file://{folder}"
-    nodes, edges, described = (spark.read.parquet(f"{out}/{t}") for t in ("nodes", "edges", "domains"))
-    parts = []
-    for r in described.select("name", "role", "info", "template", "stopwords").distinct().collect():  # a row for each domain
-        own = described.filter(F.col("name") == r["name"]).select("doc_id")
-        d = preset_of(r["name"], stopwords=r["stopwords"], info=r["info"])
-        d = type(d)(r["name"], d.terms, tuple(r["stopwords"]), role=r["role"], template=r["template"], info=r["info"])
-        parts.append(search.payload(nodes.join(own, "doc_id", "left_semi"), edges.join(own, "doc_id", "left_semi"), [query], d))
-    payloads = artifacts.settled(_union(parts))
-    artifacts.write_payloads(payloads, out)
+    nodes, edges = (spark.read.parquet(f"{folder}/{t}") for t in ("nodes", "edges"))
+    with artifacts.tables_made() as made:
+        payloads = artifacts.settled(search.payload(nodes, edges, [query], D.read(spark, folder)))
+        kept = made.pop()  # the result itself
+    artifacts.released(spark, [x for x in made if x != kept])
+    artifacts.write_payloads(payloads, out, apart)
     return payloads
 
 
@@ -104,7 +104,7 @@ def command(spark: SparkSession, line: str | list[str], base: str = ".") -> str:
     a = parser.parse_args(shlex.split(line) if isinstance(line, str) else line)
     if a.tool == "parse":
         return standard_parse(spark, a.pages, a.output, a.domain, a.info, base=base, kind=a.kind)
-    shown = standard_audit(spark, a.query, a.output, base).orderBy("doc_id").limit(20).collect()  # the screen shows 20; all are written
+    shown = standard_audit(spark, a.query, a.output, base).orderBy("doc_id").limit(SHOWN).collect()
     return "\n\n".join(f"Document {r['doc_id']}\n{r['payload']}" for r in shown)
 
 

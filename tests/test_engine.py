@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from specloom import tools
 from specloom.functions import text as T
-from specloom.functions.vocabulary import domain, java
+from specloom.functions.vocabulary import Domain, domain, forms_of, java
 from specloom.operators import assist, blocks, graph, lines, rules, terms
+from specloom.operators import domains as D
 from specloom.plans import registry
-from specloom.plans.pipeline import parse_documents, parse_each
+from specloom.plans.pipeline import Analysis, parse_documents, parse_each
 from specloom.sources import artifacts
 from specloom.sources.corpus import extract_pages, read_pages
 from specloom.streaming import ingest
@@ -192,29 +193,115 @@ def test_model_steps_of_the_pipeline(spark):
 def test_domains_are_inferred_or_detected(spark):
     pages = _rows(spark, "doc_id long, page_number int, text string", (1, 1, "1 Scope\nThe reactor shall cool. Coolants must flow."), (2, 1, "1 Scope\nVoltage and inverter telemetry shall be logged."))
     ask = lambda prompts: [json.dumps({"domainName": "nuclear", "curatedTerms": ["Reactor", "coolant", " "], "cleanHeaders": ["draft"], "roleDescription": "Judge safety."}) if "reactor" in p else "no" for p in prompts]
-    found = parse_each(pages, {"domain": ask}, info="Plant 3")
-    assert sorted(found) == ["nuclear", "smartGrid"] and found["nuclear"].domain.actors == () and found["nuclear"].domain.info == "Plant 3"
-    assert {r["name"]: r["frequency"] for r in found["nuclear"].nodes.filter("label = 'Term'").collect()}["coolant"] == 1
-    assert sorted(parse_each(pages)) == ["generic", "smartGrid"]
+    found = parse_each(pages, {"domain": ask}, info="Plant 3", terms={"flow": "flow"})
+    d = found.domains
+    about = {r["doc_id"]: r for r in d.assign(pages.select("doc_id")).join(d.about, "domain").collect()}
+    assert (about[1]["name"], about[2]["name"], about[1]["info"], about[1]["role"]) == ("nuclear", "smartGrid", "Plant 3", "Judge safety.")
+    assert d.assign(pages.select("doc_id")).join(d.of_kind("actor", "w"), "domain").select("doc_id").distinct().count() == 1  # an inferred domain has no actors
+    terms = {r["name"]: r["frequency"] for r in found.nodes.filter("label = 'Term' AND doc_id = 1").collect()}
+    assert (terms["coolant"], terms["reactor"], terms["flow"]) == (1, 1, 1)
+    assert "Judge safety." in {r["doc_id"]: r["payload"] for r in found.audit(["REQ-001"]).collect()}[1]
+    detected = parse_each(pages).domains
+    assert {r["doc_id"]: r["domain"] for r in detected.of.collect()} == {1: "generic", 2: "smartGrid"}
+
+
+MIXED = "1 Scope\nThe {0} shall log a timeout, and a policy or policies.\nieee std draft\nThe {0} process must not use overcapacity; processes may. The {1} shall verify the security access of client parameters.\n2 More\nClients should not {1} the response time. It is required that response times hold."
+
+
+def test_presets_as_tables_give_what_each_preset_gives(spark):
+    """Documents of three presets in one plan, against a run for each preset."""
+    names = ["generic", "smartGrid", "security"]
+    rows = [(k, 1, MIXED.format(["gateway", "token", "system"][k % 3], ["audit", "voltage", "interface"][k % 2])) for k in range(9)]
+    pages = _rows(spark, "doc_id long, page_number int, text string", *rows)
+    of = _rows(spark, "doc_id long, domain string", *[(k, names[k % 3]) for k in range(9)])
+    together = Analysis(pages, D.table(spark, {n: domain(n) for n in names}, of))
+    for n in names:
+        own = of.filter(F.col("domain") == n).select("doc_id")
+        alone = Analysis(pages.join(own, "doc_id", "left_semi"), domain(n))
+        for get in (lambda a: a.lines, lambda a: a.terms[0], lambda a: a.terms[1], lambda a: a.edges, lambda a: a.nodes, lambda a: a.audit(["REQ-001", "response access timeout"])):
+            want = sorted(map(str, get(alone).collect()))
+            got = get(together).join(own, "doc_id", "left_semi")
+            assert want and sorted(map(str, got.select(*get(alone).columns).collect())) == want
+
+
+def test_many_inferred_domains_are_one_plan(spark):
+    def ask(prompts):
+        number = lambda p: p.split("Plant ")[1].split(" ")[0]
+        return [json.dumps({"domainName": f"plant {number(p)}", "curatedTerms": [f"valve{number(p)}", "response time", f"c{number(p)}++"], "cleanHeaders": []}) for p in prompts]
+
+    def parse(n):
+        return parse_each(_rows(spark, "doc_id long, page_number int, text string", *[(k, 1, f"1 Plant {k} \nA valve{k} shall open; valve{k + 1} shall not. The response times of valve{k}s must hold. c{k}++x may, c{k}++ not.") for k in range(n)]), {"domain": ask})
+
+    few, many = parse(2), parse(60)
+    size = lambda a: len(terms.curated_matches(a.rules, a.domains)._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    assert size(few) == size(many) and many.domains.about.count() == 63
+    got = {(r["doc_id"], r["term"]): r["freq"] for r in many.terms[0].filter("curated").collect()}
+    assert len(got) == 180 and all(got[k, f"valve{k}"] == 2 and got[k, "response time"] == 1 and got[k, f"c{k}++"] == 1 for k in range(60))
+    plan = terms.named(many.rules, many.domains.assign(many.rules.select("doc_id").distinct()).join(many.domains.terms, "domain").select("doc_id", "term", "pos"))[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_like" not in plan.lower() and all(" RLIKE " not in line or "^[a-z0-9_]" in line for line in plan.split("\n"))
+
+
+@pytest.mark.parametrize(("pattern", "texts"), [
+    (r"\bfrequenc(?:y|ies)\b", ["frequency", "a Frequencies.", "frequencys"]), (r"\bcapacities|capacity\b", ["overcapacity", "capacitiesx", "capacity_", "Capacity"]), (r"\bprocesses?\b", ["process", "processe", "processes"]),
+    (r"\bresponse times?\b", ["the response time.", "response  time", "response times", "xresponse time", "response timesx", "response-time"]), (r"\bc\+\+s?\b", ["c++x", "c++ ", "c++", "a c++s b", "cc++x"]),
+])
+def test_forms_match_what_their_pattern_matches(spark, pattern, texts):
+    own = Domain("own", {"term": pattern})
+    rows = _rows(spark, "doc_id long, rule_ord int, text string", *[(1, i, t) for i, t in enumerate(texts)])
+    want = {r["rule_ord"] for r in rows.filter(F.col("text").rlike(java(pattern))).collect()}
+    assert forms_of(pattern) and {r["rule_ord"] for r in terms.curated_matches(rows, own).collect()} == want
+
+
+def test_patterns_without_forms_stay_patterns(spark):
+    assert [forms_of(p) for p in (r"\bx\d+\b", r"\ba[bc]\b", r"abc", r"\ba|b\b")] == [None] * 4
+    more = domain("generic", terms={"number": r"x\d+"})
+    rows = _rows(spark, "doc_id long, rule_ord int, text string", (1, 1, "an x12 here"), (1, 2, "xy"), (1, 3, "system"))
+    assert {(r["rule_ord"], r["term"]) for r in terms.curated_matches(rows, more).collect()} == {(1, "number"), (3, "system")}
 
 
-def test_tools_parse_and_audit(spark, tmp_path):
+@pytest.mark.parametrize("remote", [False, True])
+def test_tools_parse_and_audit(spark, tmp_path, remote):
     base = str(tmp_path)
+    if remote:  # a path that only Spark's file systems can open
+        spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.specloom.link./data", f"file://{tmp_path}")
+        base = "viewfs://specloom/data"
     _rows(spark, "doc_id long, page_number int, text string", (1, 1, "1 Scope\nThe gateway shall log a timeout.\nThe timeout must not pass."), (2, 1, "1 Other\nNothing </script> here may fail.")).write.parquet(f"{base}/pages in")
-    said = tools.command(spark, "parse 'pages in' out smartGrid --info 'About \"it\"'", base)
+    for _ in range(3):
+        said = tools.command(spark, "parse 'pages in' out smartGrid --info 'About \"it\"'", base)
     assert "Detected domains: smartGrid" in said and "mined 3 requirements" in said and "  - Requirement: 3" in said
     shown = tools.command(spark, ["audit", "REQ-001", "out"], base)
     assert "Document 1" in shown and "The gateway shall log a timeout." in shown and 'About "it"' in shown
-    files = {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("out/**/*") if p.is_file() and not p.name.startswith((".", "_"))}
-    assert any(f.startswith("out/document_cleaned/doc_id=1/") for f in files) and any(f.startswith("out/audit_payload_REQ-001.md/doc_id=2/") for f in files) and any(f.startswith("out/knowledge_graph/") for f in files)
-    html = next(tmp_path.glob("out/graph_explorer/doc_id=2/*.txt")).read_text()
+    out = f"{base}/out"
+    assert len(artifacts.children(spark, f"{out}/versions")) == 2 and artifacts.current(spark, out).startswith(out)
+    texts = {r["doc_id"]: r["markdown"] for r in spark.read.json(f"{out}/document_cleaned").collect()}
+    assert texts[1].startswith("# 1 Scope\n\nThe gateway") and spark.read.json(f"{out}/audit_payload_REQ-001.md").count() == 2
+    assert spark.read.json(f"{out}/ledger_json").count() == 3 and {r["detected_domain"] for r in spark.read.json(f"{out}/knowledge_graph").collect()} == {"smartGrid"}
+    html = {r["doc_id"]: r["html"] for r in spark.read.json(f"{out}/graph_explorer").collect()}[2]
     assert "\\u003c/script\\u003e" in html and html.count("</script>") == 1
-    assert next(tmp_path.glob("out/document_cleaned/doc_id=1/*.txt")).read_text().startswith("# 1 Scope\n\nThe gateway")
+    assert not [p for p in tmp_path.rglob("out/document_cleaned/*") if p.is_dir()]
     for line, what in (("parse '' out", "Invalid parameters: pages"), ("parse pages out tea", "domain"), ("parse ../x out", "outside"), ("audit '' out", "query"), ("audit REQ-001 nowhere", "parse the pages first")):
         with pytest.raises(ValueError, match=what):
             tools.command(spark, line, base)
 
 
+def test_a_failed_parse_leaves_the_tables_of_the_last(spark, tmp_path):
+    pages = _rows(spark, "doc_id long, page_number int, text string", (1, 1, "1 Scope\nIt shall log."))
+    tools.standard_parse(spark, pages, "out", "generic", base=str(tmp_path), apart=True)
+    assert next(tmp_path.glob("out/document_cleaned/doc_id=1/*.txt")).read_text().startswith("# 1 Scope")
+    before = artifacts.current(spark, f"file://{tmp_path}/out")
+    broken = pages.unionByName(pages.select("doc_id", F.lit(2).alias("page_number"), F.raise_error(F.lit("no")).cast("string").alias("text")))
+    with pytest.raises(Exception):  # noqa: B017
+        tools.standard_parse(spark, broken, "out", "generic", base=str(tmp_path))
+    assert artifacts.current(spark, f"file://{tmp_path}/out") == before and spark.read.parquet(f"{before}/ledger").count() == 1
+    left = spark.conf.get("specloom.engine.dir")
+    with artifacts.tables_made() as made:
+        artifacts.settled(pages)
+    assert made[0].startswith(left) and artifacts.exists(spark, made[0])
+    path = made[0]
+    artifacts.released(spark, made)
+    assert not artifacts.exists(spark, path)
+
+
 def test_unreadable_files_name_their_error(spark):
     def extract(content: bytes) -> list[str]:
         return content.decode().split("\f")
