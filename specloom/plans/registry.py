@@ -275,12 +275,12 @@ def domain_detect(spark, d):
 
 
 def stream_rules(spark, d):
-    """Pages are written as files by document and ingested as a stream."""
+    """Pages are written as files by their number, so a document comes in several batches, and ingested as a stream."""
     base = shared_folder(spark)
     pages = corpus_pages(spark, d)
-    pages.repartition(4, "doc_id").write.parquet(f"{base}/pages")
+    pages.repartition(3, "page_number").write.parquet(f"{base}/pages")
     ingest.ingest_rules(ingest.page_stream(spark, f"{base}/pages", 1), f"{base}/rules", f"{base}/state", DOMAIN).awaitTermination()
-    return spark.read.parquet(f"{base}/rules").groupBy("doc_id", "constraint_type").agg(F.count("*").alias("n_rules"))
+    return ingest.latest_rules(spark, f"{base}/rules").groupBy("doc_id", "constraint_type").agg(F.count("*").alias("n_rules"))
 
 
 def stream_events(spark, d):

@@ -1,13 +1,24 @@
-"""Incremental ingest of pages, and windowed counts of events with late data."""
+"""Ingest of pages as they arrive, and windowed counts of events with late data."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from specloom.functions.vocabulary import Domain
+from specloom.operators.domains import Domains
 from specloom.plans.pipeline import Analysis
+from specloom.sources import artifacts
+
+BUCKETS = 64  # parts of the store of pages, by document
+HOLD_MS, LATE_MS = 600_000, 30 * 86_400_000  # how long a quiet document's pages stay in the state, and after that its version
+_PAGES = "doc_id long, version int, restored boolean, page_number int, text string, fresh boolean"
 
 
 def page_stream(spark: SparkSession, path: str, per_trigger: int = 4) -> DataFrame:
@@ -15,23 +26,74 @@ def page_stream(spark: SparkSession, path: str, per_trigger: int = 4) -> DataFra
     return spark.readStream.schema("doc_id long, page_number int, text string").option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def ingest_rules(pages: DataFrame, out: str, checkpoint: str, domain: Domain) -> StreamingQuery:
-    """Mine each micro-batch's documents into ``out``, one folder for each batch id, so a batch that is run again replaces itself.
+def open_documents(pages: DataFrame, hold_ms: int = HOLD_MS, late_ms: int = LATE_MS) -> DataFrame:
+    """All known pages of each document that gets new ones, with the number of its version; a page that comes again takes the place of the first.
+
+    The state holds the pages of documents that are open. A document without new pages for ``hold_ms`` is closed: the
+    state keeps its version alone, and forgets that too after ``late_ms``. Late pages of a closed document come
+    by themselves with ``restored``, so that the older ones are fetched from where they were stored. Time is that of
+    arrival: it goes on when pages arrive.
+    """
 
-    A document arrives with all its pages in one batch: its ids are written beside ``out``, and a batch that
-    brings more pages of a document of an earlier one fails, rather than mining two halves.
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        version, closed, held = state.get if state.exists else (0, False, "{}")
+        if state.hasTimedOut:
+            if closed:
+                state.remove()
+            else:
+                state.update((version, True, "{}"))
+                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + late_ms)
+            return
+        new, now = {}, 0
+        for frame in frames:
+            now = max(now, int(frame["arrived_ms"].max()))
+            new |= {int(n): None if pd.isna(t) else t for n, t in zip(frame["page_number"], frame["text"], strict=True) if not pd.isna(n)}
+        known = new if closed else {int(n): t for n, t in json.loads(held).items()} | new
+        state.update((version + 1, closed, "{}" if closed else json.dumps(known)))
+        state.setTimeoutTimestamp(now + (late_ms if closed else hold_ms))
+        rows = [(key[0], version + 1, closed, n, t, n in new) for n, t in known.items()]
+        yield pd.DataFrame(rows, columns=["doc_id", "version", "restored", "page_number", "text", "fresh"])
+
+    rows = pages.filter("doc_id IS NOT NULL").select("doc_id", "page_number", "text", F.current_timestamp().alias("arrived")).withWatermark("arrived", "0 seconds")
+    rows = rows.withColumn("arrived_ms", F.unix_millis("arrived"))
+    return rows.groupBy("doc_id").applyInPandasWithState(step, _PAGES, "version int, closed boolean, pages string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ingest_rules(pages: DataFrame, out: str, checkpoint: str, domain: Domain | Domains, hold_ms: int = HOLD_MS, late_ms: int = LATE_MS, buckets: int = BUCKETS) -> StreamingQuery:
+    """Mine the documents of each micro-batch that got pages, as a whole, into ``out``, a folder for each batch; :func:`latest_rules` reads the last version of each.
+
+    Pages of a document may come in any number of batches. Those of each batch are stored beside ``out`` by bucket of the document, and
+    only the buckets of closed documents with late pages are read again. A batch that is run again replaces itself.
     """
-    spark, seen = pages.sparkSession, f"{out}-documents"
+    spark = pages.sparkSession
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        batch.select("doc_id").distinct().write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
-        ids = spark.read.schema("doc_id long, batch long").parquet(seen)
-        twice = ids.filter(F.col("batch") < batch_id).join(ids.filter(F.col("batch") == batch_id).select("doc_id"), "doc_id", "left_semi").first()
-        if twice:
-            raise ValueError(f"document {twice['doc_id']} came in batches {twice['batch']} and {batch_id}")
-        Analysis(batch, domain).mined.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        with artifacts.tables_made() as made:
+            rows = artifacts.settled(batch)  # the state is asked once
+            rows.filter("fresh").select("doc_id", "page_number", "text", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}-pages/batch={batch_id}")
+            versions = rows.groupBy("doc_id").agg(F.max("version").alias("version"))
+            whole = rows.select("doc_id", "page_number", "text")
+            late = rows.filter("restored").select("doc_id", bucket).distinct()
+            touched = [r["bucket"] for r in late.select("bucket").distinct().collect()]  # at most ``buckets``
+            if touched:
+                stored = spark.read.schema("doc_id long, page_number int, text string, batch long, bucket int").parquet(f"{out}-pages")
+                old = stored.filter(F.col("bucket").isin(touched) & (F.col("batch") < batch_id)).join(late.select("doc_id"), "doc_id", "left_semi")
+                old = old.groupBy("doc_id", "page_number").agg(F.max_by("text", "batch").alias("text"))
+                whole = whole.unionByName(old.join(whole, ["doc_id", "page_number"], "left_anti"))
+            mined = Analysis(whole, domain).mined
+            mined.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            versions.write.mode("overwrite").parquet(f"{out}-versions/batch={batch_id}")
+        artifacts.released(spark, made)
+
+    return open_documents(pages, hold_ms, late_ms).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_rules(spark: SparkSession, out: str) -> DataFrame:
+    """The rules of each document's last version, with version. A document without rules in its last version has none."""
+    versions = spark.read.schema("doc_id long, version int, batch long").parquet(f"{out}-versions")
+    last = versions.groupBy("doc_id").agg(F.max(F.struct("batch", "version")).alias("v")).select("doc_id", "v.batch", "v.version")
+    return spark.read.parquet(out).join(last, ["doc_id", "batch"]).drop("batch")
 
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
