@@ -15,24 +15,25 @@ def projected(nodes: DataFrame) -> DataFrame:
 
 
 def parents(edges: DataFrame) -> DataFrame:
-    """doc_id, id, parent: the section above each section; the last edge counts."""
+    """doc_id, id, parent, edge_ord: the section above each section; the last edge counts."""
     inside = edges.filter((F.col("type") == "CONTAINS") & F.startswith("source", F.lit("SEC-")) & F.startswith("target", F.lit("SEC-")))
-    return inside.groupBy("doc_id", F.col("target").alias("id")).agg(F.max_by("source", "edge_ord").alias("parent"))
+    return inside.groupBy("doc_id", F.col("target").alias("id")).agg(F.max_by(F.struct(F.col("source").alias("parent"), "edge_ord"), "edge_ord").alias("p")).select("doc_id", "id", "p.parent", "p.edge_ord")
 
 
-def ancestors(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """doc_id, id, step, section: the sections above ``start`` (doc_id, id, section), itself at step 0, nearest first."""
-    up = parents(edges).select("doc_id", F.col("id").alias("section"), "parent")
-    now = start.select("doc_id", "id", F.lit(0).alias("step"), "section")
-    out = now
-    for step in range(1, depth):
-        now = now.join(up, ["doc_id", "section"]).select("doc_id", "id", F.lit(step).alias("step"), F.col("parent").alias("section"))
-        out = out.unionByName(now)
-    return out
+def section_chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, section, chain: for each section itself and the sections above it, nearest first, each as (id, edge_ord of the edge into it).
 
-
-def depth(nodes: DataFrame) -> int:
-    return nodes.filter("label = 'Section'").agg(F.max(F.size(F.split("section_number", r"\.")))).first()[0] or 1
+    Containment follows section numbers, so what may stand above a section are the prefixes of its number: they are joined
+    once, for all depths together, and the chain goes as far as each prefix is the parent of the one before.
+    """
+    sections = nodes.filter("label = 'Section'").select("doc_id", F.col("id").alias("section"), F.split("section_number", r"\.").alias("_p"))
+    levels = F.transform(F.sequence(F.lit(1), F.size("_p")), lambda j: F.struct(j.alias("j"), F.concat(F.lit("SEC-"), F.array_join(F.slice("_p", 1, j), ".")).alias("id")))
+    rows = sections.select("doc_id", "section", F.inline(levels)).join(parents(edges), ["doc_id", "id"], "left")
+    up = F.array_sort(F.collect_list(F.struct((-F.col("j")).alias("j"), "id", "parent", "edge_ord")))
+    every = rows.groupBy("doc_id", "section").agg(up.alias("_up"))
+    linked = F.transform("_up", lambda x, i: F.coalesce(x["parent"] == F.get("_up", i + 1)["id"], F.lit(False)))
+    chain = F.slice("_up", 1, F.array_position(linked, False).cast("int"))  # the last one is never linked
+    return every.select("doc_id", "section", F.transform(chain, lambda x: F.struct(x["id"].alias("id"), x["edge_ord"].alias("edge_ord"))).alias("chain"))
 
 
 def first_sections(edges: DataFrame) -> DataFrame:
@@ -43,9 +44,8 @@ def first_sections(edges: DataFrame) -> DataFrame:
 
 def section_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id, id, path: from the root section down to each requirement's section, joined by " > "."""
-    rows = ancestors(edges, first_sections(edges), depth(nodes))
-    steps = F.array_sort(F.collect_list(F.struct((-F.col("step")).alias("s"), "section")))
-    return rows.groupBy("doc_id", "id").agg(F.array_join(F.transform(steps, lambda s: s["section"]), " > ").alias("path"))
+    rows = first_sections(edges).join(section_chains(nodes, edges), ["doc_id", "section"])
+    return rows.select("doc_id", "id", F.array_join(F.reverse(F.transform("chain", lambda x: x["id"])), " > ").alias("path"))
 
 
 def relationships(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -70,6 +70,14 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, chosen: DataFrame) -> DataF
     return rows.select("doc_id", "id", F.when(F.col("_own") == 1, "selected").when(F.col("_near") == 1, "near").otherwise("dimmed").alias("state"))
 
 
+def edge_states(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, edge_ord, state: edges that begin or end at ``chosen`` (doc_id, id) are highlighted, the rest dimmed."""
+    c = chosen.select("doc_id", "id").distinct()
+    ends = [c.select("doc_id", F.col("id").alias(end), F.lit(True).alias(f"_{end}")) for end in ("source", "target")]
+    rows = edges.select("doc_id", "edge_ord", "source", "target").join(ends[0], ["doc_id", "source"], "left").join(ends[1], ["doc_id", "target"], "left")
+    return rows.select("doc_id", "edge_ord", F.when(F.col("_source") | F.col("_target"), "highlighted").otherwise("dimmed").alias("state"))
+
+
 def children(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id, id, kind, child, pos: each section's subsections and requirements, in section or number order."""
     inside = edges.filter("type = 'CONTAINS'").select("doc_id", F.col("source").alias("id"), F.col("target").alias("child"))
@@ -99,9 +107,10 @@ def result_tree(nodes: DataFrame, edges: DataFrame, query: str) -> DataFrame:
     hits = containing(nodes, query).select("doc_id", "id")
     own = hits.filter(F.startswith("id", F.lit("SEC-"))).withColumn("section", F.col("id"))
     under = hits.join(first_sections(edges), ["doc_id", "id"])
-    above = ancestors(edges, own.unionByName(under), depth(nodes)).select("doc_id", F.col("section").alias("id")).distinct()
+    above = own.unionByName(under).select("doc_id", "section").distinct().join(section_chains(nodes, edges), ["doc_id", "section"])
+    above = above.select("doc_id", F.explode(F.transform("chain", lambda x: x["id"])).alias("id")).distinct()
     every = hits.unionByName(above).distinct()
-    up = parents(edges).unionByName(first_sections(edges).withColumnRenamed("section", "parent"))
+    up = parents(edges).drop("edge_ord").unionByName(first_sections(edges).withColumnRenamed("section", "parent"))
     rows = every.join(up, ["doc_id", "id"], "left").join(every.select("doc_id", F.col("id").alias("parent"), F.lit(True).alias("_in")), ["doc_id", "parent"], "left")
     rows = rows.join(hits.select("doc_id", "id", F.lit(True).alias("_hit")).distinct(), ["doc_id", "id"], "left")
     return rows.select("doc_id", "id", F.when(F.col("_in"), F.col("parent")).alias("parent"), F.coalesce("_hit", F.lit(False)).alias("matched"))

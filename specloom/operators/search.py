@@ -11,6 +11,7 @@ from specloom.functions import text as T
 from specloom.functions.vocabulary import Domain
 from specloom.operators import domains as D
 from specloom.operators.domains import Domains
+from specloom.operators.explore import section_chains
 from specloom.operators.graph import TERM_EDGES
 from specloom.sources.artifacts import settled
 
@@ -77,20 +78,17 @@ def targets(nodes: DataFrame, questions: Sequence[str], domain: Domain | Domains
     return exact.unionByName(others)
 
 
-def _paths_down(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, top, id, path (edge_ords from top down), through (the sections on the way, the last included): containment below every section.
+def below(targets_: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, query, rank, id, path (edge_ords from a target down), through (the nodes on the way, the last included): what stands below the target sections (doc_id, query, rank, me).
 
-    Containment follows section numbers, so their greatest depth bounds the rounds.
+    Every section knows the chain of sections above it, so those below a target are found by one join for all depths.
     """
-    contains = edges.filter("type = 'CONTAINS'").select("doc_id", F.col("source").alias("id"), F.col("target").alias("_to"), "edge_ord")
-    depth = nodes.filter("label = 'Section'").agg(F.max(F.size(F.split("section_number", r"\.")))).first()[0] or 0
-    step = nodes.filter("label = 'Section'").select("doc_id", F.col("id").alias("top"), "id", F.array().cast("array<int>").alias("path"), F.array().cast("array<string>").alias("through"))
-    out = None
-    for _ in range(depth):
-        step = step.join(contains, ["doc_id", "id"]).select("doc_id", "top", F.col("_to").alias("id"), F.concat("path", F.array("edge_ord")).alias("path"), F.concat("through", F.array("_to")).alias("through"))
-        out = step if out is None else out.unionByName(step)
-        step = step.filter(F.startswith("id", F.lit("SEC-")))
-    return out
+    chains = section_chains(nodes, edges).select("doc_id", "section", "chain", F.posexplode(F.transform("chain", lambda x: x["id"])).alias("_i", "me"))
+    down = lambda field: F.reverse(F.transform(F.slice("chain", 1, F.col("_i")), lambda x: x[field]))
+    sections = targets_.join(chains, ["doc_id", "me"]).select("doc_id", "query", "rank", F.col("section").alias("id"), down("edge_ord").alias("path"), down("id").alias("through"))
+    inside = edges.filter((F.col("type") == "CONTAINS") & F.startswith("target", F.lit("REQ-"))).select("doc_id", F.col("source").alias("id"), "target", "edge_ord")
+    rules = sections.join(inside, ["doc_id", "id"]).select("doc_id", "query", "rank", F.col("target").alias("id"), F.concat("path", F.array("edge_ord")).alias("path"), F.concat("through", F.array("target")).alias("through"))
+    return sections.filter(F.size("path") > 0).unionByName(rules)
 
 
 def expand(nodes: DataFrame, edges: DataFrame, targets_: DataFrame, keep: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -109,12 +107,12 @@ def expand(nodes: DataFrame, edges: DataFrame, targets_: DataFrame, keep: bool =
     labels = F.create_map(*[F.lit(x) for kv in role.items() for x in kv])
     visited = targets_.select(*key, "id").distinct()
     found, clashes = [], []
-    down = _paths_down(nodes, edges)
-    down = down if down is None else settled(down)
+    sections = targets_.filter("label = 'Section'").select(*key, F.col("id").alias("me"), "rank")
+    down = None if sections.isEmpty() else settled(below(sections, nodes, edges))
     tag = lambda *xs: F.array(*[x.cast("long") if isinstance(x, Column) else F.lit(x).cast("long") for x in xs])
     for rank in range(1, ranks + 1):
         t = targets_.filter(F.col("rank") == rank).select(*key, F.col("id").alias("me"), "label")
-        req, term, sec = (t.filter(F.col("label") == k).drop("label") for k in ("Requirement", "Term", "Section"))
+        req, term = (t.filter(F.col("label") == k).drop("label") for k in ("Requirement", "Term"))
         out = req.join(e, (req["doc_id"] == e["doc_id"]) & (req["me"] == e["source"])).select(req["doc_id"], "query", "me", "edge_ord", F.col("target").alias("id"), "type")
         into = req.join(e, (req["doc_id"] == e["doc_id"]) & (req["me"] == e["target"])).select(req["doc_id"], "query", "me", "edge_ord", F.col("source").alias("id"), "type")
         is_ = lambda prefix: F.startswith("id", F.lit(prefix))
@@ -136,9 +134,9 @@ def expand(nodes: DataFrame, edges: DataFrame, targets_: DataFrame, keep: bool =
         homes = new_users.join(e.filter("type = 'CONTAINS'").select("doc_id", F.col("target").alias("id"), "source", "edge_ord"), ["doc_id", "id"]).filter(F.startswith("source", F.lit("SEC-")))
         cands = cands.unionByName(homes.select(*key, F.col("source").alias("id"), tag(F.col("via"), F.col("edge_ord")).alias("tag")))
         if down is not None:
-            below = sec.join(down, (sec["doc_id"] == down["doc_id"]) & (sec["me"] == down["top"])).select(sec["doc_id"], "query", "id", F.concat(F.array(F.size("path").cast("long")), F.col("path").cast("array<long>")).alias("tag"), "through")
-            walls = below.select(*key, "id", "tag", F.explode("through").alias("wall")).join(visited.select(*key, F.col("id").alias("wall")), [*key, "wall"], "left_semi").select(*key, "id", "tag").distinct()
-            cands = cands.unionByName(below.drop("through").join(walls, [*key, "id", "tag"], "left_anti"))
+            inner = down.filter(F.col("rank") == rank).select(*key, "id", F.concat(F.array(F.size("path").cast("long")), F.col("path").cast("array<long>")).alias("tag"), "through")
+            walls = inner.select(*key, "id", "tag", F.explode("through").alias("wall")).join(visited.select(*key, F.col("id").alias("wall")), [*key, "wall"], "left_semi").select(*key, "id", "tag").distinct()
+            cands = cands.unionByName(inner.drop("through").join(walls, [*key, "id", "tag"], "left_anti"))
         new = cands.join(visited, [*key, "id"], "left_anti").join(known, ["doc_id", "id"]).groupBy(*key, "id", "label").agg(F.min("tag").alias("tag"))
         new = settled(new)
         found.append(new.withColumn("rank", F.lit(rank)))

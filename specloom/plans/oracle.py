@@ -219,6 +219,7 @@ UNION ALL SELECT w.doc_id, w.query, w.me, e.target, w.path || lpad(CAST(e.edge_o
         "term_by_section": "SELECT t.doc_id, t.target AS term, coalesce(h.section, 'unknown') AS section, count(DISTINCT t.source) AS n FROM term_links t LEFT JOIN homes h ON h.doc_id = t.doc_id AND h.id = t.source GROUP BY ALL",
         "substring_search": f"SELECT doc_id, id FROM nodes WHERE {hit}",
         "neighborhood": f", m AS (SELECT doc_id, id FROM nodes WHERE {hit}), near AS (SELECT e.doc_id, e.target AS id FROM edges e SEMI JOIN m ON m.doc_id = e.doc_id AND m.id = e.source UNION SELECT e.doc_id, e.source FROM edges e SEMI JOIN m ON m.doc_id = e.doc_id AND m.id = e.target) SELECT doc_id, id, CASE WHEN (doc_id, id) IN (FROM m) THEN 'selected' WHEN (doc_id, id) IN (FROM near) THEN 'near' ELSE 'dimmed' END AS state FROM nodes",
+        "edge_states": f", m AS (SELECT doc_id, id FROM nodes WHERE {hit}) SELECT doc_id, edge_ord, CASE WHEN (doc_id, source) IN (FROM m) OR (doc_id, target) IN (FROM m) THEN 'highlighted' ELSE 'dimmed' END AS state FROM edges",
         "search_tree": f", m AS (SELECT doc_id, id FROM nodes WHERE {hit}), links AS (SELECT * FROM up UNION ALL SELECT * FROM homes), tree AS (SELECT doc_id, id FROM m UNION SELECT t.doc_id, l.parent FROM tree t JOIN links l ON l.doc_id = t.doc_id AND l.id = t.id) SELECT t.doc_id, t.id, CASE WHEN (t.doc_id, l.parent) IN (SELECT (doc_id, id) FROM tree) THEN l.parent END AS parent, (t.doc_id, t.id) IN (SELECT (doc_id, id) FROM m) AS matched FROM tree t LEFT JOIN links l ON l.doc_id = t.doc_id AND l.id = t.id",
         "markdown": rf""", mdw AS (SELECT doc_id, sec_ord, section, title, lpad(CAST(sec_ord AS VARCHAR), 8, '0') AS path, 1 AS depth FROM ({{outline}}) WHERE parent_ord IS NULL
 UNION ALL SELECT o.doc_id, o.sec_ord, o.section, o.title, w.path || '.' || lpad(CAST(o.sec_ord AS VARCHAR), 8, '0'), w.depth + 1 FROM ({{outline}}) o JOIN mdw w ON o.doc_id = w.doc_id AND o.parent_ord = w.sec_ord),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from specloom import tools
 from specloom.functions import text as T
 from specloom.functions.vocabulary import Domain, domain, forms_of, java
-from specloom.operators import assist, blocks, graph, lines, rules, terms
+from specloom.operators import assist, blocks, explore, graph, lines, rules, search, terms
 from specloom.operators import domains as D
 from specloom.plans import incremental, registry
 from specloom.plans.pipeline import Analysis, parse_documents, parse_each
@@ -359,3 +359,20 @@ def test_unreadable_files_name_their_error(spark):
 
     rows = extract_pages(_rows(spark, "path string, content binary", ("a", bytearray(b"one\ftwo")), ("b", bytearray(b"\xff"))), extract).collect()
     assert sorted((r["page_number"], r["text"], (r["error"] or "")[:18]) for r in rows if r["text"]) == [(1, "one", ""), (2, "two", "")] and [r["error"][:18] for r in rows if not r["text"]] == ["UnicodeDecodeError"]
+
+
+def test_chains_stop_at_gaps_and_deep_sections_need_no_loop(spark):
+    page = "1 A\nIt shall a.\n1.1 B\nIt shall b.\n1.1.1 C\nIt shall c.\n1.1.1.1 D\nIt shall d.\n3 E\n3.1.1 F\nIt shall f.\n3.1.1.1 G\nIt shall g."
+    a = parse_documents(_rows(spark, "doc_id long, page_number int, text string", (1, 1, page)))
+    chains = {r["section"]: [x["id"] for x in r["chain"]] for r in explore.section_chains(a.nodes, a.edges).collect()}
+    assert chains["SEC-1.1.1.1"] == ["SEC-1.1.1.1", "SEC-1.1.1", "SEC-1.1", "SEC-1"] and chains["SEC-3.1.1.1"] == ["SEC-3.1.1.1", "SEC-3.1.1"] and chains["SEC-3"] == ["SEC-3"]
+    paths = {r["id"]: r["path"] for r in explore.section_paths(a.nodes, a.edges).collect()}
+    assert paths["REQ-004"] == "SEC-1 > SEC-1.1 > SEC-1.1.1 > SEC-1.1.1.1" and paths["REQ-005"] == "SEC-3.1.1"
+    context = search.expand(a.nodes, a.edges, search.targets(a.nodes, ["1.1"], domain("generic")))[0]
+    assert [r["id"] for r in context.filter("role = 'section'").orderBy("pos").collect()] == ["SEC-1.1.1", "SEC-1.1.1.1"]
+    assert [r["id"] for r in context.filter("role = 'requirement'").orderBy("pos").collect()] == ["REQ-002", "REQ-003", "REQ-004"]
+
+
+def test_ancestors_of_section_numbers(spark):
+    rows = _rows(spark, "a string, d string", ("1", "1.2"), ("1", "12.1"), ("1.2", "1.2"), ("A", "A.1.1"))
+    assert [r[0] for r in rows.select(T.is_ancestor(F.col("a"), F.col("d"))).collect()] == [True, False, False, True]
