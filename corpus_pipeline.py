@@ -8,12 +8,12 @@ writes each result and then deletes them.
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 
 from specloom.llm import packing, pii, quality, queries, simhash, toxicity
 from specloom.llm.common import materialize, read, release, tables_made
 
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
