@@ -74,11 +74,21 @@ def conflicts(rules: DataFrame, mentions: DataFrame, domain: Domain | Domains) -
     The two kinds are split before they are joined, so pairs of one kind are never made; actors are left out first.
     By definition there are as many pairs as mandatory times prohibiting rules of a term inside a document.
     """
-    kinds = rules.select("doc_id", "rule_ord", "constraint_type")
-    d = D.table(rules.sparkSession, domain)
-    m = d.without(d.assign(mentions), "actor", "term").drop("domain").join(kinds, ["doc_id", "rule_ord"])
+    m = disputed(rules, mentions, domain)
     must = m.filter("constraint_type = 'Mandatory'").select("doc_id", "term", "term_ord", F.col("rule_ord").alias("x"))
     never = m.filter("constraint_type = 'Prohibition'").select("doc_id", "term", F.col("rule_ord").alias("y"))
+    return _named_pairs(rules, must, never)
+
+
+def disputed(rules: DataFrame, mentions: DataFrame, domain: Domain | Domains) -> DataFrame:
+    """doc_id, rule_ord, constraint_type, term, term_ord: what mandatory and prohibiting rules mention, without actors."""
+    kinds = rules.filter("constraint_type IN ('Mandatory', 'Prohibition')").select("doc_id", "rule_ord", "constraint_type")
+    d = D.table(rules.sparkSession, domain)
+    return d.without(d.assign(mentions), "actor", "term").join(kinds, ["doc_id", "rule_ord"]).select("doc_id", "rule_ord", "constraint_type", "term", "term_ord")
+
+
+def _named_pairs(rules: DataFrame, must: DataFrame, never: DataFrame) -> DataFrame:
+    """The pairs of ``must`` (doc_id, term, term_ord, x) and ``never`` (doc_id, term, y) with their ids, each for its first shared term."""
     pairs = must.join(never, ["doc_id", "term"]).groupBy("doc_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(F.struct("term_ord", "term")).alias("t"))
     name = lambda c: F.format_string("REQ-%03d", c)
     ids = rules.select("doc_id", "rule_ord", "id")
@@ -86,12 +96,45 @@ def conflicts(rules: DataFrame, mentions: DataFrame, domain: Domain | Domains) -
     return pairs.select("doc_id", "source", "target", F.col("t.term").alias("shared_term"), F.col("t.term_ord").alias("term_ord"), "a", "b")
 
 
-def edges(sections: DataFrame, rules: DataFrame, mentions: DataFrame, domain: Domain | Domains, pairs: DataFrame | None = None) -> DataFrame:
-    """doc_id, edge_ord, source, target, type, context, reason, shared_term: all edges in their order.
+def conflict_sides(rules: DataFrame, mentions: DataFrame, domain: Domain | Domains) -> DataFrame:
+    """doc_id, constraint_type, terms (term_ord, term; in order), n: the mandatory and prohibiting rules that mention the same terms, counted.
 
-    First the sections' own, then rule by rule (container, terms, sections, requirements), then the conflicts.
-    ``pairs`` stands in for :func:`conflicts` when something else has judged them.
+    All rules of such a class conflict with the same rules for the same terms, so conflicts can be counted from classes without
+    their pairs. Classes are at most as many as rules, and never more than the sets of terms that occur.
+    """
+    terms = F.array_sort(F.collect_set(F.struct("term_ord", "term"))).alias("terms")
+    rows = disputed(rules, mentions, domain).groupBy("doc_id", "rule_ord", "constraint_type").agg(terms)
+    return rows.groupBy("doc_id", "constraint_type", "terms").agg(F.count("*").alias("n"))
+
+
+def conflict_totals(rules: DataFrame, mentions: DataFrame, domain: Domain | Domains) -> DataFrame:
+    """doc_id, term, term_ord, n_mandatory, n_prohibiting, n_pairs: for each term that rules of both kinds mention, how many do, and how
+    many of the pairs of :func:`conflicts` have it as their shared term (0 where an earlier term takes them all).
+
+    No pair is made: two classes share their first common term, and stand for the product of their sizes.
     """
+    sides = conflict_sides(rules, mentions, domain).withColumn("t", F.explode("terms"))
+    side = lambda kind, n, terms: sides.filter(F.col("constraint_type") == kind).select("doc_id", "t", F.col("n").alias(n), F.col("terms").alias(terms))
+    must, never = side("Mandatory", "x", "_a"), side("Prohibition", "y", "_b")
+    first = F.array_min(F.array_intersect("_a", "_b")) == F.col("t")
+    pairs = must.join(never, ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.sum(F.when(first, F.col("x") * F.col("y")).otherwise(0)).alias("n_pairs"))
+    count = lambda rows, n, name: rows.groupBy("doc_id", "t").agg(F.sum(n).alias(name))
+    rows = count(must, "x", "n_mandatory").join(count(never, "y", "n_prohibiting"), ["doc_id", "t"]).join(pairs, ["doc_id", "t"])
+    return rows.select("doc_id", "t.term", "t.term_ord", "n_mandatory", "n_prohibiting", "n_pairs")
+
+
+def conflicts_of(rules: DataFrame, mentions: DataFrame, domain: Domain | Domains, asked: DataFrame) -> DataFrame:
+    """The rows of :func:`conflicts` that a rule of ``asked`` (doc_id, id) is in; only the pairs of those rules are made."""
+    m = disputed(rules, mentions, domain)
+    own = m.join(rules.join(asked.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_semi").select("doc_id", "rule_ord"), ["doc_id", "rule_ord"], "left_semi")
+    must = lambda rows: rows.filter("constraint_type = 'Mandatory'").select("doc_id", "term", "term_ord", F.col("rule_ord").alias("x"))
+    never = lambda rows: rows.filter("constraint_type = 'Prohibition'").select("doc_id", "term", F.col("rule_ord").alias("y"))
+    found = _named_pairs(rules, must(own), never(m)).unionByName(_named_pairs(rules, must(m), never(own)))
+    return found.distinct()
+
+
+def _plain_edges(sections: DataFrame, rules: DataFrame, mentions: DataFrame) -> DataFrame:
+    """All edges but the conflicts, with the keys p, q, r, s of their order."""
     def row(df: DataFrame, phase: int, a: Column, sub: int, b: Column, kind: Column, context: str) -> DataFrame:
         return df.select("doc_id", F.lit(phase).alias("p"), a.cast("long").alias("q"), F.lit(sub).cast("long").alias("r"), b.cast("long").alias("s"), "source", "target", kind.alias("type"), F.lit(context).alias("context"))
 
@@ -100,7 +143,16 @@ def edges(sections: DataFrame, rules: DataFrame, mentions: DataFrame, domain: Do
     rows = rows.unionByName(row(rule_contains(sections, rules), 1, F.col("rule_ord"), 0, zero, contains, "hierarchy"))
     rows = rows.unionByName(row(term_edges(rules, mentions), 1, F.col("rule_ord"), 1, F.col("pos"), kind, "text_mention"))
     rows = rows.unionByName(row(section_refs(rules, sections), 1, F.col("rule_ord"), 2, F.col("pos"), kind, "explicit_section_ref"))
-    rows = rows.unionByName(row(requirement_refs(rules), 1, F.col("rule_ord"), 3, F.col("pos"), kind, "explicit_requirement_ref"))
+    return rows.unionByName(row(requirement_refs(rules), 1, F.col("rule_ord"), 3, F.col("pos"), kind, "explicit_requirement_ref"))
+
+
+def edges(sections: DataFrame, rules: DataFrame, mentions: DataFrame, domain: Domain | Domains, pairs: DataFrame | None = None) -> DataFrame:
+    """doc_id, edge_ord, source, target, type, context, reason, shared_term: all edges in their order.
+
+    First the sections' own, then rule by rule (container, terms, sections, requirements), then the conflicts.
+    ``pairs`` stands in for :func:`conflicts` when something else has judged them.
+    """
+    rows = _plain_edges(sections, rules, mentions)
     found = pairs if pairs is not None else conflicts(rules, mentions, domain)
     reason = F.concat(F.lit("Opposing constraints on '"), "shared_term", F.lit("'"))
     last = found.select("doc_id", F.lit(2).alias("p"), F.col("term_ord").cast("long").alias("q"), F.col("a").cast("long").alias("r"), F.col("b").cast("long").alias("s"), "source", "target", F.lit("CONFLICTS_WITH").alias("type"), F.lit("conflict").alias("context"), reason.alias("reason"), "shared_term")
@@ -108,6 +160,13 @@ def edges(sections: DataFrame, rules: DataFrame, mentions: DataFrame, domain: Do
     return rows.withColumn("edge_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("p", "q", "r", "s"))).select("doc_id", "edge_ord", "source", "target", "type", "context", "reason", "shared_term")
 
 
+def edge_totals(sections: DataFrame, rules: DataFrame, mentions: DataFrame, domain: Domain | Domains) -> DataFrame:
+    """doc_id, type, n: how many edges of each type :func:`edges` has, with conflicts counted by :func:`conflict_totals`."""
+    n = _plain_edges(sections, rules, mentions).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
+    c = conflict_totals(rules, mentions, domain).groupBy("doc_id", F.lit("CONFLICTS_WITH").alias("type")).agg(F.sum("n_pairs").alias("n"))
+    return n.unionByName(c)
+
+
 def nodes(sections: DataFrame, rules: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, node_ord, id, label, name, frequency, section_number, title, text, constraint_type, page_number: terms, sections, requirements."""
     t = terms.select("doc_id", F.lit(0).alias("p"), F.col("term_ord").alias("q"), F.concat(F.lit("TERM-"), "term").alias("id"), F.lit("Term").alias("label"), F.col("term").alias("name"), F.col("freq").alias("frequency"))

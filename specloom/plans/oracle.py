@@ -203,6 +203,9 @@ UNION ALL SELECT w.doc_id, w.query, w.me, e.target, w.path || lpad(CAST(e.edge_o
         "term_edges": "SELECT doc_id, source, target, type FROM termedge",
         "section_refs": "SELECT doc_id, source, target, type, CAST(pos AS INT) AS pos FROM secref",
         "req_refs": "SELECT doc_id, source, target, type, CAST(pos AS INT) AS pos FROM reqref",
+        "edge_totals": "SELECT doc_id, type, count(*) AS n FROM edges GROUP BY ALL",
+        "conflict_totals": "SELECT s.doc_id, s.term, n_mandatory, n_prohibiting, count(p.source) AS n_pairs FROM (SELECT doc_id, term, count(*) FILTER (constraint_type = 'Mandatory') AS n_mandatory, count(*) FILTER (constraint_type = 'Prohibition') AS n_prohibiting FROM mentions WHERE term NOT IN (" + listed(d.actors) + ") GROUP BY ALL) s LEFT JOIN pairs p ON p.doc_id = s.doc_id AND p.shared_term = s.term WHERE n_mandatory > 0 AND n_prohibiting > 0 GROUP BY ALL",
+        "conflicts_of_rule": f"SELECT doc_id, source, target, shared_term FROM pairs WHERE '{req}' IN (source, target)",
         "conflict_pairs": "SELECT doc_id, source, target, shared_term FROM pairs",
         "graph_edges": "SELECT doc_id, edge_ord, source, target, type FROM edges",
         "node_counts": "SELECT doc_id, label, count(*) AS n FROM nodes GROUP BY ALL",

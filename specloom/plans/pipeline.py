@@ -94,10 +94,18 @@ class Analysis:
         others = settled(terms.join(named.select("doc_id").distinct(), "doc_id", "left_anti"))
         return others.unionByName(named), settled(term_ops.mentions(self.rules, others, self.domains, found).unionByName(by_name))
 
+    @cached_property
+    def sections(self) -> DataFrame:
+        return settled(graph.section_nodes(self.blocks, self.rules))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return settled(graph.nodes(self.sections, self.rules, self.terms[0]))
+
     @cached_property
     def graph(self) -> dict[str, DataFrame]:
         terms, mentions = self.terms
-        sections = settled(graph.section_nodes(self.blocks, self.rules))
+        sections = self.sections
         pairs = None
         if "conflicts" in self.models:
             pairs = settled(graph.conflicts(self.rules, mentions, self.domains))
@@ -107,20 +115,30 @@ class Analysis:
         if "edges" in self.models:
             _, replies = self._replies("edges", graph.refinable(edges), assist.EDGES, ["source", "target", "type"], ["edge_ord"])
             edges = settled(graph.refined(edges, assist.edge_changes(replies)))
-        return {"terms": terms, "mentions": mentions, "sections": sections, "nodes": settled(graph.nodes(sections, self.rules, terms)), "edges": edges}
-
-    @property
-    def nodes(self) -> DataFrame:
-        return self.graph["nodes"]
+        return {"terms": terms, "mentions": mentions, "sections": sections, "nodes": self.nodes, "edges": edges}
 
     @property
     def edges(self) -> DataFrame:
         return self.graph["edges"]
 
+    def edge_totals(self) -> DataFrame:
+        """doc_id, type, n: edges by type; no pair of conflicting rules is made for it, unless a model judges pairs or changes types."""
+        if {"conflicts", "edges"} & set(self.models):
+            return self.edges.groupBy("doc_id", "type").agg(F.count("*").alias("n"))
+        return graph.edge_totals(self.sections, self.rules, self.terms[1], self.domains)
+
+    def conflict_totals(self) -> DataFrame:
+        """doc_id, term, term_ord, n_mandatory, n_prohibiting, n_pairs, before any model's judgement."""
+        return graph.conflict_totals(self.rules, self.terms[1], self.domains)
+
+    def conflicts_of(self, asked: DataFrame) -> DataFrame:
+        """The conflicting pairs of the rules ``asked`` (doc_id, id), before any model's judgement."""
+        return graph.conflicts_of(self.rules, self.terms[1], self.domains, asked)
+
     def summary(self) -> DataFrame:
         """doc_id, kind, name, n: nodes by label and edges by type."""
         n = self.nodes.groupBy("doc_id", F.lit("node").alias("kind"), F.col("label").alias("name")).agg(F.count("*").alias("n"))
-        return n.unionByName(self.edges.groupBy("doc_id", F.lit("edge").alias("kind"), F.col("type").alias("name")).agg(F.count("*").alias("n")))
+        return n.unionByName(self.edge_totals().select("doc_id", F.lit("edge").alias("kind"), F.col("type").alias("name"), "n"))
 
     def audit(self, questions: list[str]) -> DataFrame:
         return search.payload(self.nodes, self.edges, questions, self.domains)

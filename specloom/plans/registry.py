@@ -204,6 +204,19 @@ def edge_counts(spark, d):
     return analysis(spark, d).edges.groupBy("doc_id", "type").agg(F.count("*").alias("n"))
 
 
+def edge_totals(spark, d):
+    return analysis(spark, d).edge_totals()
+
+
+def conflict_totals(spark, d):
+    return analysis(spark, d).conflict_totals().select("doc_id", "term", "n_mandatory", "n_prohibiting", "n_pairs")
+
+
+def conflicts_of_rule(spark, d):
+    a = analysis(spark, d)
+    return a.conflicts_of(a.rules.filter(F.col("id") == REQUIREMENT)).select("doc_id", "source", "target", "shared_term")
+
+
 def _canned_edges(prompts: list[str]) -> list[str | None]:
     return [json.dumps([{"source": x["source"], "target": x["target"], "type": "REFERENCES"} for x in json.loads(p) if x["type"] == "IMPLEMENTS"]) for p in prompts]
 
@@ -361,7 +374,7 @@ def node_projection(spark, d):
 _FUNCTIONS = (
     line_kinds, page_edge_clean, section_normalise, block_islands, block_text, section_propagation, heading_hierarchy, outline_tree, markdown, sentence_split, rule_types, rule_ledger, rollup_constraints,
     implicit_candidates, llm_reply_validate, boilerplate_filter, term_frequency, top_terms, curated_frequency, term_merge, stride_sample, section_nodes, section_contains, requirement_contains, term_edges,
-    section_refs, req_refs, conflict_pairs, graph_edges, node_counts, edge_counts, refine_edges, resolve_exact, search_top3, audit_payload, section_path, relationship_buckets, section_children,
+    section_refs, req_refs, conflict_pairs, graph_edges, node_counts, edge_counts, edge_totals, conflict_totals, conflicts_of_rule, refine_edges, resolve_exact, search_top3, audit_payload, section_path, relationship_buckets, section_children,
     generic_terms, security_terms, heading_candidates, heading_demotion, tabular_rules, conflict_validation, model_terms, node_projection, term_by_section, substring_search, neighborhood, edge_states, search_tree, domain_detect, stream_rules, stream_events,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _FUNCTIONS} | {

@@ -241,6 +241,49 @@ def test_model_steps_of_the_pipeline(spark):
     assert terms["heartbeat"] == 1 and set(terms) == {"heartbeat", "log"} and a.edges.filter("type = 'CONFLICTS_WITH'").isEmpty()
 
 
+def test_conflicts_are_counted_without_their_pairs(spark):
+    """Totals, and the pairs of chosen rules, against all pairs made one by one."""
+    rng = random.Random(5)
+    kinds = ["Mandatory", "Prohibition", "Permission"]
+    ledger = [(d, o, f"REQ-{o:03d}", rng.choice(kinds)) for d in (1, 2) for o in range(1, 60)]
+    said = [(d, o, t, "abcdef".index(t) + 1) for d, o, _, _ in ledger for t in rng.sample("abcdef", rng.randint(0, 4))]
+    r = _rows(spark, "doc_id long, rule_ord int, id string, constraint_type string", *ledger, (3, 1, "REQ-001", "Mandatory"), (4, 1, "REQ-001", None))
+    m = _rows(spark, "doc_id long, rule_ord int, term string, term_ord int", *said, *said[:5], (3, 1, "a", 1), (4, 1, "a", 1))
+    d = Domain("x", {}, actors=("f",))
+    kind, terms_of = {(a, b): k for a, b, _, k in ledger}, {}
+    for doc, o, t, _ in said:
+        terms_of.setdefault((doc, o), set()).add(t)
+    want = {}
+    for doc in (1, 2):
+        for x in range(1, 60):
+            for y in range(x + 1, 60):
+                shared = (terms_of.get((doc, x), set()) & terms_of.get((doc, y), set())) - {"f"}
+                if shared and {kind[doc, x], kind[doc, y]} == {"Mandatory", "Prohibition"}:
+                    want[doc, x, y] = min(shared)
+    pairs = {(p["doc_id"], p["a"], p["b"]): p["shared_term"] for p in graph.conflicts(r, m, d).collect()}
+    assert pairs == want
+    totals = {(t["doc_id"], t["term"]): (t["n_mandatory"], t["n_prohibiting"], t["n_pairs"]) for t in graph.conflict_totals(r, m, d).collect()}
+    side = lambda doc, t, k: sum(t in terms_of.get(key, ()) for key in kind if key[0] == doc and kind[key] == k)
+    assert totals == {(doc, t): (side(doc, t, "Mandatory"), side(doc, t, "Prohibition"), sum(v == t for k, v in want.items() if k[0] == doc)) for doc in (1, 2) for t in "abcde"}
+    x, (y, z) = next(k[1] for k in sorted(want) if k[0] == 1), next(k[1:] for k in sorted(want) if k[0] == 2)
+    asked = _rows(spark, "doc_id long, id string", (1, f"REQ-{x:03d}"), (2, f"REQ-{y:03d}"), (2, f"REQ-{z:03d}"), (2, f"REQ-{z:03d}"), (9, "REQ-001"))
+    got = graph.conflicts_of(r, m, d, asked).collect()
+    few = {k: v for k, v in want.items() if (k[0] == 1 and x in k[1:]) or (k[0] == 2 and {y, z} & set(k[1:]))}
+    assert few and {(p["doc_id"], p["a"], p["b"]): p["shared_term"] for p in got} == few and len(got) == len(few)
+    assert graph.conflict_totals(r.limit(0), m, d).isEmpty() and graph.conflicts_of(r, m.limit(0), d, asked).isEmpty()
+
+
+def test_a_term_of_very_many_rules_is_counted(spark):
+    """100,000 mandatory and 100,000 prohibiting rules of one term are ten thousand million pairs."""
+    r = spark.range(200_000).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") + 1).cast("int").alias("rule_ord"), F.format_string("REQ-%03d", F.col("id") + 1).alias("id"), F.when(F.col("id") % 2 == 0, "Mandatory").otherwise("Prohibition").alias("constraint_type"))
+    m = r.select("doc_id", "rule_ord", F.lit("log").alias("term"), F.lit(2).alias("term_ord"))
+    m = m.unionByName(r.filter("rule_ord <= 20").select("doc_id", "rule_ord", F.lit("key").alias("term"), F.lit(1).alias("term_ord")))
+    got = {t["term"]: (t["n_mandatory"], t["n_prohibiting"], t["n_pairs"]) for t in graph.conflict_totals(r, m, Domain("x", {})).collect()}
+    assert got == {"key": (10, 10, 100), "log": (100_000, 100_000, 10**10 - 100)}
+    one = graph.conflicts_of(r, m, Domain("x", {}), _rows(spark, "doc_id long, id string", (1, "REQ-001")))
+    assert one.count() == 100_000 and one.filter("shared_term = 'key'").count() == 10
+
+
 def test_domains_are_inferred_or_detected(spark):
     pages = _rows(spark, "doc_id long, page_number int, text string", (1, 1, "1 Scope\nThe reactor shall cool. Coolants must flow."), (2, 1, "1 Scope\nVoltage and inverter telemetry shall be logged."))
     ask = lambda prompts: [json.dumps({"domainName": "nuclear", "curatedTerms": ["Reactor", "coolant", " "], "cleanHeaders": ["draft"], "roleDescription": "Judge safety."}) if "reactor" in p else "no" for p in prompts]
