@@ -192,6 +192,7 @@ UNION ALL SELECT w.doc_id, w.query, w.me, e.target, w.path || lpad(CAST(e.edge_o
         "implicit_candidates": r"SELECT doc_id, id, text FROM blk b WHERE type IN ('paragraph', 'list_item') AND regexp_matches(text, '(?i)\b(required|mandatory|ensure|strictly|necessary|obligation|responsible|is\s+to|are\s+to|has\s+to|have\s+to)\b') AND NOT EXISTS (FROM ledger r WHERE r.doc_id = b.doc_id AND r.source_block_id = b.id)",
         "llm_reply_validate": rf"SELECT doc_id, CAST(rule_ord AS INT) AS rule_ord, format('REQ-{{:03d}}', rule_ord) AS id, section_number, constraint_type, text, source_block_id FROM (SELECT c.doc_id, m.last + row_number() OVER (PARTITION BY c.doc_id ORDER BY c.block_no) AS rule_ord, section_number, 'Mandatory' AS constraint_type, text, id AS source_block_id FROM (SELECT *, {last_of} - 1 AS i FROM placed b WHERE type IN ('paragraph', 'list_item') AND regexp_matches(text, '(?i)\b(ensure|necessary|are\s+to)\b') AND NOT EXISTS (FROM ledger r WHERE r.doc_id = b.doc_id AND r.source_block_id = b.id)) c JOIN (SELECT doc_id, max(rule_ord) AS last FROM ledger GROUP BY doc_id) m USING (doc_id) WHERE i % 8 % 2 = 0)",
         "boilerplate_filter": "SELECT doc_id, id, text FROM ledger WHERE id NOT LIKE '%0'",
+        "stored_replies": "SELECT doc_id, id, text FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY rule_ord) - 1) // 10 AS batch FROM ledger) l WHERE NOT CASE WHEN EXISTS (FROM (SELECT doc_id, id, (row_number() OVER (PARTITION BY doc_id ORDER BY rule_ord) - 1) // 10 AS batch FROM ledger) o WHERE o.doc_id = l.doc_id AND o.batch = l.batch AND o.id IN ('REQ-002', 'REQ-011')) THEN ends_with(id, '0') ELSE ends_with(id, '5') END",
         "term_frequency": "SELECT doc_id, term, freq FROM freq",
         "top_terms": "SELECT doc_id, term, freq, CAST(rank AS INT) AS rank FROM ranked",
         "curated_frequency": "SELECT doc_id, term, freq FROM curfreq",

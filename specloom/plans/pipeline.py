@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -15,7 +15,7 @@ from specloom.operators import domains as D
 from specloom.operators.domains import Domains
 from specloom.operators import terms as term_ops
 from specloom.sources.artifacts import settled
-
+from specloom.sources.replies import ReplyStore
 
 STEPS = ("headings", "implicit", "tabular", "boilerplate", "terms", "edges", "conflicts")
 
@@ -28,16 +28,20 @@ class Analysis:
     shared folder. Everything is dealt out by doc_id, so a document is the largest unit of a task. models
     holds, for any of STEPS, a function from prompts to replies; a step without one is left out. Each step
     is a method of the replies' validation in ``assist``, and what a reply gets wrong is passed over. ``domain`` is
-    one domain for all documents, or the tables of any number of domains with each document's own.
+    one domain for all documents, or the tables of any number of domains with each document's own. With a ``store`` a
+    step may have several models, the next one for what the one before fails at, and stored replies are not asked for again;
+    a failure leaves the batch without a reply.
     """
 
     pages: DataFrame
     domain: Domain | Domains
-    models: Mapping[str, assist.Model] = field(default_factory=dict)
+    models: Mapping[str, assist.Model | Sequence[assist.Model]] = field(default_factory=dict)
+    store: ReplyStore | None = None
 
     def _replies(self, step: str, rows: DataFrame, size: int, columns: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
         asked = assist.batched(rows, size, order)
-        return asked, settled(assist.ask(assist.prompts(asked, columns, order), self.models[step]))
+        written, model = assist.prompts(asked, columns, order), self.models[step]
+        return asked, settled(self.store.ask(written, step, model) if self.store else assist.ask(written, model))
 
     @cached_property
     def domains(self) -> Domains:
@@ -149,18 +153,18 @@ def domains_of(pages: DataFrame) -> DataFrame:
     return lines.sample_text(pages).select("doc_id", detect_domain(F.col("sample")).alias("preset"))
 
 
-def inferred(pages: DataFrame, model: assist.Model) -> DataFrame:
+def inferred(pages: DataFrame, model: assist.Model | Sequence[assist.Model], store: ReplyStore | None = None) -> DataFrame:
     """doc_id, name, terms, headers, role: what a model takes each document's domain to be, from its first pages."""
     asked = lines.sample_text(pages).select("doc_id", F.lit(0).alias("batch"), F.col("sample").alias("prompt"))
-    return assist.inferred_domains(assist.ask(asked, model))
+    return assist.inferred_domains(store.ask(asked, "domain", model) if store else assist.ask(asked, model))
 
 
-def parse_documents(pages: DataFrame, preset: str = "generic", models: Mapping[str, assist.Model] | None = None, **more) -> Analysis:
+def parse_documents(pages: DataFrame, preset: str = "generic", models: Mapping[str, assist.Model] | None = None, store: ReplyStore | None = None, **more) -> Analysis:
     """The tables of ``pages`` under a preset with additions (terms, stopwords, headers, actors, info)."""
-    return Analysis(pages, domain(preset, **more), models or {})
+    return Analysis(pages, domain(preset, **more), models or {}, store)
 
 
-def parse_each(pages: DataFrame, models: Mapping[str, assist.Model] | None = None, **more) -> Analysis:
+def parse_each(pages: DataFrame, models: Mapping[str, assist.Model] | None = None, store: ReplyStore | None = None, **more) -> Analysis:
     """The tables of ``pages``, each document under its own domain: what the model of the step "domain" infers, else the detected preset.
 
     However many domains there are, it is one plan: domains are tables that are joined to the documents. ``more`` (terms,
@@ -172,8 +176,8 @@ def parse_each(pages: DataFrame, models: Mapping[str, assist.Model] | None = Non
     each = D.table(pages.sparkSession, {preset: domain(preset, **more) for preset in ROLES}, base.withColumnRenamed("preset", "domain"))
     if ask:
         own = Domain("more", {t: rf"\b{p}s?\b" for t, p in (more.get("terms") or {}).items()}, tuple(more.get("stopwords", ())), tuple(more.get("headers", ())), info=more.get("info", ""))
-        each = D.described(settled(inferred(pages, ask)), each, own)
-    return Analysis(pages, each, models)
+        each = D.described(settled(inferred(pages, ask, store)), each, own)
+    return Analysis(pages, each, models, store)
 
 
 def audit(analysis: Analysis, query: str) -> DataFrame:

@@ -16,6 +16,7 @@ from specloom.plans import oracle
 from specloom.plans.pipeline import Analysis
 from specloom.sources.corpus import corpus_pages, document_pages
 from specloom.sources.artifacts import shared_folder
+from specloom.sources.replies import ReplyStore
 from specloom.streaming import ingest
 
 DOMAIN = domain("smartGrid")
@@ -356,6 +357,22 @@ def conflict_validation(spark, d):
     return assist.judged_conflicts(pairs, assist.ask(assist.prompts(asked, ["source", "target", "shared_term"], ["term_ord", "a", "b"]), _canned_conflicts)).select("doc_id", "source", "target", "shared_term")
 
 
+def _failing(prompts: list[str]) -> list[str | None]:
+    """A stand-in model that fails at every prompt with REQ-002 in it, and has nothing to say to those with REQ-011."""
+    if any('"REQ-002"' in p for p in prompts):
+        raise ConnectionError("no route")
+    return [None if '"REQ-011"' in p else json.dumps([x["id"] for x in json.loads(p) if x["id"].endswith("5")]) for p in prompts]
+
+
+def stored_replies(spark, d):
+    """Boilerplate as the first model names it, else the second, from the store that the first run has filled."""
+    r = analysis(spark, d).rules
+    asked = assist.prompts(assist.batched(r, 10, ["rule_ord"]), ["id", "text"], ["rule_ord"])
+    store = ReplyStore(shared_folder(spark))
+    store.ask(asked, "boilerplate", [_failing, _canned_ids])
+    return rules.without(r, assist.named_ids(store.ask(asked, "boilerplate", None))).select("doc_id", "id", "text")
+
+
 def _canned_terms(prompts: list[str]) -> list[str | None]:
     return ["```\n" + json.dumps(["Payload", "response time", "client", "ms", "Heartbeat ", "timeout", "payload"]) + "\n```" if "REQ-001" in p else "[]" for p in prompts]
 
@@ -373,7 +390,7 @@ def node_projection(spark, d):
 
 _FUNCTIONS = (
     line_kinds, page_edge_clean, section_normalise, block_islands, block_text, section_propagation, heading_hierarchy, outline_tree, markdown, sentence_split, rule_types, rule_ledger, rollup_constraints,
-    implicit_candidates, llm_reply_validate, boilerplate_filter, term_frequency, top_terms, curated_frequency, term_merge, stride_sample, section_nodes, section_contains, requirement_contains, term_edges,
+    implicit_candidates, llm_reply_validate, boilerplate_filter, stored_replies, term_frequency, top_terms, curated_frequency, term_merge, stride_sample, section_nodes, section_contains, requirement_contains, term_edges,
     section_refs, req_refs, conflict_pairs, graph_edges, node_counts, edge_counts, edge_totals, conflict_totals, conflicts_of_rule, refine_edges, resolve_exact, search_top3, audit_payload, section_path, relationship_buckets, section_children,
     generic_terms, security_terms, heading_candidates, heading_demotion, tabular_rules, conflict_validation, model_terms, node_projection, term_by_section, substring_search, neighborhood, edge_states, search_tree, domain_detect, stream_rules, stream_events,
 )

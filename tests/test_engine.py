@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from specloom.plans import incremental, registry
 from specloom.plans.pipeline import Analysis, parse_documents, parse_each
 from specloom.sources import artifacts
 from specloom.sources.corpus import extract_pages, read_pages
+from specloom.sources.replies import ReplyStore
 from specloom.streaming import ingest
 from tests.compare import database, difference
 
@@ -241,6 +243,63 @@ def test_model_steps_of_the_pipeline(spark):
     assert terms["heartbeat"] == 1 and set(terms) == {"heartbeat", "log"} and a.edges.filter("type = 'CONFLICTS_WITH'").isEmpty()
 
 
+def _counting(folder, name, answer):
+    """A model that leaves a file for each prompt it gets, as it runs in other processes."""
+    def model(prompts):
+        for p in prompts:
+            (folder / f"{name}-{uuid.uuid4().hex}").write_text(p)
+        return answer(prompts)
+
+    return model
+
+
+def _calls(folder):
+    return sorted((f.name.split("-")[0], f.read_text()) for f in folder.iterdir())
+
+
+def test_stored_replies_are_asked_once(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def bad(prompts):
+        if any(p in ("b", "c") for p in prompts):
+            raise ConnectionError("no route")
+        return [None if p == "d" else f"first {p}" for p in prompts]
+
+    def good(prompts):
+        if "c" in prompts:
+            raise TimeoutError("late")
+        return [f"second {p}" for p in prompts]
+
+    one, two = _counting(seen, "one", bad), _counting(seen, "two", good)
+    asked = _rows(spark, "doc_id long, batch int, prompt string", (1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (2, 1, "c"), (3, 0, "d"), (3, 0, None))
+    store = ReplyStore(f"file://{tmp_path}/store", tries=2, size=1)
+    rows = lambda out: sorted((r["doc_id"], r["batch"], r["prompt"] or "", r["reply"], r["provider"], r["error"]) for r in out.collect())
+    got = rows(store.ask(asked, "s", [one, two]))
+    assert got == [(1, 0, "a", "first a", 0, None), (1, 1, "b", "second b", 1, None), (2, 0, "a", "first a", 0, None), (2, 1, "c", None, None, "TimeoutError: late"), (3, 0, "", "first ", 0, None), (3, 0, "d", "second d", 1, None)]
+    calls = _calls(seen)
+    assert [p for n, p in calls if n == "one"] == ["", "a", "b", "b", "b", "c", "c", "c", "d"] and [p for n, p in calls if n == "two"] == ["b", "c", "c", "c", "d"]
+    assert rows(store.ask(asked, "s", None)) == [(*r[:5], None) for r in got] and len(_calls(seen)) == len(calls)
+    again = rows(store.ask(asked, "s", lambda prompts: [f"third {p}" for p in prompts]))  # only the failed one is asked again
+    assert [r[3] for r in again] == ["first a", "second b", "first a", "third c", "first ", "second d"]
+    assert rows(store.ask(asked, "other", None)) == [(*r[:3], None, None, None) for r in got]  # replies belong to their step
+    assert rows(store.ask(asked.limit(0), "s", one)) == [] and len(_calls(seen)) == len(calls)
+    wrong = store.ask(_rows(spark, "doc_id long, batch int, prompt string", (1, 0, "x")), "w", lambda prompts: [])
+    assert rows(wrong)[0][5].startswith("ValueError")
+
+
+def test_a_second_run_of_the_pipeline_asks_nothing(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    pages = _rows(spark, "doc_id long, page_number int, text string", *[(k, 1, f"1 Scope\nUnit {k} shall log. Unit {k} shall stop.\n2 More\nThe unit shall not log.") for k in range(5)])
+    model = _counting(seen, "m", lambda prompts: [json.dumps(["REQ-002"]) for _ in prompts])
+    store = ReplyStore(f"file://{tmp_path}/store")
+    run = lambda m: sorted((r["doc_id"], r["id"]) for r in parse_documents(pages, "generic", {"boilerplate": m}, store).rules.collect())
+    first = run(model)
+    assert len(_calls(seen)) == 5 and (0, "REQ-002") not in first and (0, "REQ-001") in first
+    assert run([model]) == first and len(_calls(seen)) == 5
+
+
 def test_conflicts_are_counted_without_their_pairs(spark):
     """Totals, and the pairs of chosen rules, against all pairs made one by one."""
     rng = random.Random(5)
