@@ -6,24 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specloom.functions import text as T
+from specloom.operators.scans import LAST, PREVIOUS, SUM, in_cells, scan
 
 ROOT = "Document Root"
 
 
-def block_lines(lines: DataFrame) -> DataFrame:
+def block_lines(lines: DataFrame, long: bool = False) -> DataFrame:
     """The non-empty lines with block_no: whether a line opens a block depends on its kind and the line before it."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    before = F.lag("kind").over(order)
+    place = ["doc_id"], ["line_no"]
+    cell = in_cells("line_no") if long else None
+    lines = scan(lines, *place, {"_before": (PREVIOUS, F.col("kind"))}, cell)
+    before = F.col("_before")
     opens = F.col("kind").isin("heading", "list_item") | ((F.col("kind") == "table_row") & ~before.eqNullSafe(F.lit("table_row")))
     opens = opens | ((F.col("kind") == "text") & F.coalesce(before.isin("empty", "heading", "table_row"), F.lit(True)))
-    return lines.withColumn("_opens", opens.cast("int")).withColumn("block_no", F.sum("_opens").over(order).cast("int")).filter("kind <> 'empty'").drop("_opens")
+    rows = scan(lines, *place, {"block_no": (SUM, opens.cast("int"))}, cell)
+    return rows.withColumn("block_no", F.col("block_no").cast("int")).filter("kind <> 'empty'").drop("_before")
 
 
-def assemble(lines: DataFrame) -> DataFrame:
+def assemble(lines: DataFrame, long: bool = False) -> DataFrame:
     """doc_id, block_no, id, type, text, page_number, prefix, rows, number, title."""
     line = F.when(F.col("kind") == "heading", F.concat_ws(" ", "g1", "g2")).when(F.col("kind") == "list_item", F.col("g2")).otherwise(F.col("line"))
     parts = F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("n"), line.alias("t"))))
-    rows = block_lines(lines).groupBy("doc_id", "block_no").agg(
+    rows = block_lines(lines, long).groupBy("doc_id", "block_no").agg(
         F.min_by(F.struct("kind", "page_number", "g1", "g2"), "line_no").alias("f"), F.transform(parts, lambda p: p["t"]).alias("parts"))
     kind = F.when(F.col("f.kind") == "table_row", "table").when(F.col("f.kind") == "text", "paragraph").otherwise(F.col("f.kind"))
     text = F.when(kind == "table", F.array_join("parts", "\n")).when(kind == "heading", F.array_join("parts", " ")).otherwise(T.squeeze(F.array_join("parts", " ")))
@@ -40,37 +44,36 @@ def headings(blocks: DataFrame) -> DataFrame:
     return h.withColumn("depth", F.size(F.split("norm", r"\.")))
 
 
-def _prefixes(h: DataFrame) -> DataFrame:
+def _prefixes(h: DataFrame, long: bool = False) -> DataFrame:
     """One row for each heading and prefix of its number: level, prefix, and the same level of the heading before it."""
     parts = F.split("norm", r"\.")
     h = h.withColumn("_all", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda j: F.array_join(F.slice(parts, 1, j), ".")))
-    h = h.withColumn("_before", F.lag("_all").over(Window.partitionBy("doc_id").orderBy("block_no")))
+    h = scan(h, ["doc_id"], ["block_no"], {"_before": (PREVIOUS, F.struct("_all"))}, in_cells("block_no") if long else None).withColumn("_before", F.col("_before._all"))
     rows = h.select("*", F.posexplode("_all").alias("_j", "prefix"))
     return rows.withColumn("level", F.col("_j") + 1).withColumn("_fresh", F.coalesce(F.get("_before", F.col("_j")) != F.col("prefix"), F.lit(True)).cast("int")).drop("_all", "_before", "_j")
 
 
-def hierarchy(blocks: DataFrame) -> DataFrame:
+def hierarchy(blocks: DataFrame, long: bool = False) -> DataFrame:
     """doc_id, block_no, parents, context of every heading: the numbers and titles of its active ancestors; context ends with its own title.
 
     An ancestor is active while all headings since it stand at or below it: they share its prefix, so
     they form one unbroken run at its level.
     """
     h = headings(blocks)
-    rows = _prefixes(h)
-    rows = rows.withColumn("_run", F.sum("_fresh").over(Window.partitionBy("doc_id", "level").orderBy("block_no")))
-    so_far = Window.partitionBy("doc_id", "level", "_run").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_active", F.last(F.when(F.col("depth") == F.col("level"), F.struct("number", "title")), ignorenulls=True).over(so_far))
+    cell = in_cells("block_no") if long else None
+    rows = scan(_prefixes(h, long), ["doc_id", "level"], ["block_no"], {"_run": (SUM, F.col("_fresh"))}, cell)
+    own = F.when(F.col("depth") == F.col("level"), F.struct("number", "title"))
+    rows = scan(rows, ["doc_id", "level", "_run"], ["block_no"], {"_active": (PREVIOUS, own)}, cell)
     kept = F.array_sort(F.collect_list(F.when((F.col("level") < F.col("depth")) & F.col("_active").isNotNull(), F.struct("level", "_active"))))
     out = rows.groupBy("doc_id", "block_no").agg(kept.alias("_k"), F.first("title").alias("_t"))
     return out.select("doc_id", "block_no", F.transform("_k", lambda k: k["_active"]["number"]).alias("parents"), F.concat(F.transform("_k", lambda k: k["_active"]["title"]), F.array("_t")).alias("context"))
 
 
-def with_sections(blocks: DataFrame) -> DataFrame:
+def with_sections(blocks: DataFrame, long: bool = False) -> DataFrame:
     """``blocks`` with section_number, parent_hierarchy, heading_context and heading_no, carried forward from the last heading."""
-    joined = blocks.join(hierarchy(blocks), ["doc_id", "block_no"], "left")
-    order = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.last(F.when(F.col("type") == "heading", F.struct("number", "parents", "context", "block_no")), ignorenulls=True).over(order)
-    joined = joined.withColumn("_s", last)
+    joined = blocks.join(hierarchy(blocks, long), ["doc_id", "block_no"], "left")
+    heading = F.when(F.col("type") == "heading", F.struct("number", "parents", "context", "block_no"))
+    joined = scan(joined, ["doc_id"], ["block_no"], {"_s": (LAST, heading)}, in_cells("block_no") if long else None)
     return joined.select(
         *blocks.columns, F.coalesce("_s.number", F.lit("0.0")).alias("section_number"), F.coalesce("_s.parents", F.array().cast("array<string>")).alias("parent_hierarchy"),
         F.coalesce("_s.context", F.array(F.lit(ROOT))).alias("heading_context"), F.col("_s.block_no").alias("heading_no"),

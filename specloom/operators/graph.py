@@ -9,6 +9,7 @@ from specloom.functions import text as T
 from specloom.functions.vocabulary import Domain
 from specloom.operators import domains as D
 from specloom.operators.domains import Domains
+from specloom.operators.scans import SUM, in_cells, scan
 
 TERM_EDGES = ("REFERENCES", "CONSTRAINS", "RECOMMENDS", "PERMITS")
 
@@ -146,7 +147,7 @@ def _plain_edges(sections: DataFrame, rules: DataFrame, mentions: DataFrame) ->
     return rows.unionByName(row(requirement_refs(rules), 1, F.col("rule_ord"), 3, F.col("pos"), kind, "explicit_requirement_ref"))
 
 
-def edges(sections: DataFrame, rules: DataFrame, mentions: DataFrame, domain: Domain | Domains, pairs: DataFrame | None = None) -> DataFrame:
+def edges(sections: DataFrame, rules: DataFrame, mentions: DataFrame, domain: Domain | Domains, pairs: DataFrame | None = None, long: bool = False) -> DataFrame:
     """doc_id, edge_ord, source, target, type, context, reason, shared_term: all edges in their order.
 
     First the sections' own, then rule by rule (container, terms, sections, requirements), then the conflicts.
@@ -157,7 +158,10 @@ def edges(sections: DataFrame, rules: DataFrame, mentions: DataFrame, domain: Do
     reason = F.concat(F.lit("Opposing constraints on '"), "shared_term", F.lit("'"))
     last = found.select("doc_id", F.lit(2).alias("p"), F.col("term_ord").cast("long").alias("q"), F.col("a").cast("long").alias("r"), F.col("b").cast("long").alias("s"), "source", "target", F.lit("CONFLICTS_WITH").alias("type"), F.lit("conflict").alias("context"), reason.alias("reason"), "shared_term")
     rows = rows.unionByName(last, allowMissingColumns=True)
-    return rows.withColumn("edge_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("p", "q", "r", "s"))).select("doc_id", "edge_ord", "source", "target", "type", "context", "reason", "shared_term")
+    # a term's conflicts are cut at every rule, other edges at ranges of sections or rules
+    cell = F.struct("p", F.when(F.col("p") == 2, F.col("q")).otherwise(in_cells("q")), F.when(F.col("p") == 2, F.col("r"))) if long else None
+    rows = scan(rows, ["doc_id"], ["p", "q", "r", "s"], {"edge_ord": (SUM, F.lit(1))}, cell).withColumn("edge_ord", F.col("edge_ord").cast("int"))
+    return rows.select("doc_id", "edge_ord", "source", "target", "type", "context", "reason", "shared_term")
 
 
 def edge_totals(sections: DataFrame, rules: DataFrame, mentions: DataFrame, domain: Domain | Domains) -> DataFrame:
@@ -167,13 +171,14 @@ def edge_totals(sections: DataFrame, rules: DataFrame, mentions: DataFrame, doma
     return n.unionByName(c)
 
 
-def nodes(sections: DataFrame, rules: DataFrame, terms: DataFrame) -> DataFrame:
+def nodes(sections: DataFrame, rules: DataFrame, terms: DataFrame, long: bool = False) -> DataFrame:
     """doc_id, node_ord, id, label, name, frequency, section_number, title, text, constraint_type, page_number: terms, sections, requirements."""
     t = terms.select("doc_id", F.lit(0).alias("p"), F.col("term_ord").alias("q"), F.concat(F.lit("TERM-"), "term").alias("id"), F.lit("Term").alias("label"), F.col("term").alias("name"), F.col("freq").alias("frequency"))
     s = sections.select("doc_id", F.lit(1).alias("p"), F.col("sec_ord").alias("q"), "id", F.lit("Section").alias("label"), F.col("section").alias("section_number"), "title")
     r = rules.select("doc_id", F.lit(2).alias("p"), F.col("rule_ord").alias("q"), "id", F.lit("Requirement").alias("label"), "section_number", "text", "constraint_type", "page_number")
     rows = t.unionByName(s, allowMissingColumns=True).unionByName(r, allowMissingColumns=True)
-    return rows.withColumn("node_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("p", "q"))).drop("p", "q")
+    rows = scan(rows, ["doc_id"], ["p", "q"], {"node_ord": (SUM, F.lit(1))}, F.struct("p", in_cells("q")) if long else None)
+    return rows.withColumn("node_ord", F.col("node_ord").cast("int")).drop("p", "q")
 
 
 def refinable(edges_: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from specloom.functions import text as T
 from specloom.operators.domains import Domains
+from specloom.operators.scans import SUM, in_cells, scan
 
 EDGE = 3  # lines at either end of a page where page numbers and running headers are looked for
 
@@ -38,17 +39,17 @@ def clean_lines(lines: DataFrame, headers: Sequence[str] | Domains = ()) -> Data
     return lines.withColumn("line", line).filter(~dropped).select(*columns, "line")
 
 
-def classify_lines(lines: DataFrame, demoted: DataFrame | None = None) -> DataFrame:
+def classify_lines(lines: DataFrame, demoted: DataFrame | None = None, long: bool = False) -> DataFrame:
     """doc_id, page_number, line_idx, line, kind, g1, g2, cid, line_no.
 
     cid numbers the heading candidates of a document from 1; ``demoted`` (doc_id, cid) turns some of them
-    into table rows or text. line_no numbers a document's lines from 1.
+    into table rows or text. line_no numbers a document's lines from 1. long: documents are scanned by cells of a page.
     """
-    order = Window.partitionBy("doc_id").orderBy("page_number", "line_idx")
     rows = lines.withColumn("kind", T.line_kind(F.col("line")))
-    rows = rows.withColumn("line_no", F.row_number().over(order).cast("long"))
     is_heading = F.col("kind") == "heading"
-    rows = rows.withColumn("cid", F.when(is_heading, F.sum(is_heading.cast("int")).over(order)).otherwise(0).cast("int"))
+    counts = {"line_no": (SUM, F.lit(1).cast("long")), "cid": (SUM, is_heading.cast("int"))}
+    rows = scan(rows, ["doc_id"], ["page_number", "line_idx"], counts, F.struct("page_number", in_cells("line_idx")) if long else None)
+    rows = rows.withColumn("cid", F.when(is_heading, F.col("cid")).otherwise(0).cast("int"))
     if demoted is not None:
         wrong = demoted.select("doc_id", "cid", F.lit(True).alias("_wrong")).distinct()
         other = F.when(T.is_table_row(F.col("line")), "table_row").otherwise("text")

@@ -13,6 +13,7 @@ from specloom.functions.vocabulary import ROLES, Domain, detect_domain, domain
 from specloom.operators import assist, blocks, graph, lines, rules, search
 from specloom.operators import domains as D
 from specloom.operators.domains import Domains
+from specloom.operators.scans import LONG, any_long
 from specloom.operators import terms as term_ops
 from specloom.sources.artifacts import settled
 from specloom.sources.replies import ReplyStore
@@ -37,6 +38,12 @@ class Analysis:
     domain: Domain | Domains
     models: Mapping[str, assist.Model | Sequence[assist.Model]] = field(default_factory=dict)
     store: ReplyStore | None = None
+    long_from: int = LONG
+
+    @cached_property
+    def long(self) -> bool:
+        """Whether a document is too long for one task; then documents are scanned by cells (:mod:`specloom.operators.scans`)."""
+        return any_long(self.pages, self.long_from)
 
     def _replies(self, step: str, rows: DataFrame, size: int, columns: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
         asked = assist.batched(rows, size, order)
@@ -50,24 +57,24 @@ class Analysis:
     @cached_property
     def lines(self) -> DataFrame:
         clean = lines.clean_lines(lines.explode_pages(self.pages), self.domain.headers if isinstance(self.domain, Domain) else self.domain)
-        rows = lines.classify_lines(clean)
+        rows = lines.classify_lines(clean, long=self.long)
         if "headings" not in self.models:
             return rows
         candidates = rows.filter("kind = 'heading'").select("doc_id", F.col("cid").alias("id"), "line")
         _, replies = self._replies("headings", candidates, assist.HEADINGS, ["id", "line"], ["id"])
-        return lines.classify_lines(clean, assist.false_headings(replies))
+        return lines.classify_lines(clean, assist.false_headings(replies), self.long)
 
     @cached_property
     def plain_blocks(self) -> DataFrame:
-        return settled(blocks.assemble(self.lines))
+        return settled(blocks.assemble(self.lines, self.long))
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return settled(blocks.with_sections(self.plain_blocks))
+        return settled(blocks.with_sections(self.plain_blocks, self.long))
 
     @cached_property
     def mined(self) -> DataFrame:
-        return rules.mine(self.blocks)
+        return rules.mine(self.blocks, self.long)
 
     @cached_property
     def rules(self) -> DataFrame:
@@ -104,7 +111,7 @@ class Analysis:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return settled(graph.nodes(self.sections, self.rules, self.terms[0]))
+        return settled(graph.nodes(self.sections, self.rules, self.terms[0], self.long))
 
     @cached_property
     def graph(self) -> dict[str, DataFrame]:
@@ -115,7 +122,7 @@ class Analysis:
             pairs = settled(graph.conflicts(self.rules, mentions, self.domains))
             _, replies = self._replies("conflicts", pairs, assist.CONFLICTS, ["source", "target", "shared_term"], ["term_ord", "a", "b"])
             pairs = assist.judged_conflicts(pairs, replies)
-        edges = settled(graph.edges(sections, self.rules, mentions, self.domains, pairs))
+        edges = settled(graph.edges(sections, self.rules, mentions, self.domains, pairs, self.long))
         if "edges" in self.models:
             _, replies = self._replies("edges", graph.refinable(edges), assist.EDGES, ["source", "target", "type"], ["edge_ord"])
             edges = settled(graph.refined(edges, assist.edge_changes(replies)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from specloom import tools
 from specloom.functions import text as T
 from specloom.functions.vocabulary import Domain, domain, forms_of, java
-from specloom.operators import assist, blocks, explore, graph, lines, rules, search, terms
+from specloom.operators import assist, blocks, explore, graph, lines, rules, scans, search, terms
 from specloom.operators import domains as D
 from specloom.plans import incremental, registry
 from specloom.plans.pipeline import Analysis, parse_documents, parse_each
@@ -243,6 +243,36 @@ def test_model_steps_of_the_pipeline(spark):
     assert terms["heartbeat"] == 1 and set(terms) == {"heartbeat", "log"} and a.edges.filter("type = 'CONFLICTS_WITH'").isEmpty()
 
 
+def test_long_documents_are_scanned_by_cells(spark, monkeypatch):
+    """All tables made by cells of a few rows, against those of whole documents."""
+    monkeypatch.setattr(scans, "CELL", 3)
+    rng = random.Random(2)
+    said = ["{0}.{1} Part {2}", "{0} Chapter", "{0}.{1}.{2} Small", "a | b", "", "- The log {1} shall hold. It shall not stop.", "The unit must log {2}.", "Units may stop the log, see Section {0}.{1}.", "lower words", "Annex A Rest"]
+    pages = [(d, p, "\n".join(rng.choice(said).format(*(rng.randint(1, 3) for _ in range(3))) for _ in range(rng.randint(0, 25)))) for d in range(4) for p in range(1, 5)]
+    pages = _rows(spark, "doc_id long, page_number int, text string", *pages, (9, 1, None), (10, 1, "The unit shall log."))
+    whole, cells = Analysis(pages, domain("generic")), Analysis(pages, domain("generic"), long_from=5)
+    assert cells.long and not whole.long
+    for get in (lambda a: a.lines, lambda a: a.plain_blocks, lambda a: a.blocks, lambda a: a.rules, lambda a: a.nodes, lambda a: a.edges):
+        want, got = get(whole), get(cells)
+        assert want.schema.simpleString() == got.schema.simpleString()
+        assert sorted(map(str, want.collect())) == sorted(map(str, got.collect())) and not want.isEmpty()
+    empty = Analysis(pages.limit(0), domain("generic"), long_from=-1)
+    assert empty.long and empty.edges.isEmpty()
+
+
+def test_a_document_of_a_million_lines_takes_several_tasks(spark):
+    line = F.concat(F.when(F.col("id") % 50 == 0, F.concat(F.col("id") / 50 + 1, F.lit(" Part"))).otherwise(F.concat(F.lit("word "), F.col("id"))))
+    rows = spark.range(1_000_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(1).alias("page_number"), F.col("id").cast("int").alias("line_idx"), F.lit(1_000_000).alias("n_lines"), line.alias("raw"), line.alias("line"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = lines.classify_lines(rows, long=True)
+        sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) > 1 and sum(sizes) == 1_000_000 and max(sizes) < 400_000
+        assert got.filter("line_no <> line_idx + 1").isEmpty() and got.agg(F.max("cid")).first()[0] == got.filter("kind = 'heading'").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def _counting(folder, name, answer):
     """A model that leaves a file for each prompt it gets, as it runs in other processes."""
     def model(prompts):
