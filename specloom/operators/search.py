@@ -36,9 +36,13 @@ def resolve(nodes: DataFrame, questions: Sequence[str]) -> DataFrame:
     return nodes.join(named, "id").withColumn("rank", first).filter("rank = 1").select("doc_id", "query", "id", "label", "rank")
 
 
+def question_words(question: Column) -> Column:
+    return F.split(F.lower(question), r"[^a-zA-Z0-9_\-.]+")
+
+
 def query_tokens(questions: Sequence[str], d: Domains) -> DataFrame:
     """domain, tokens: the words of the questions that are no stop words of the domain, each as (query, token, times)."""
-    parts = F.split(F.lower(T.strip(F.col("query"))), r"[^a-zA-Z0-9_\-.]+")
+    parts = question_words(T.strip(F.col("query")))
     words = each_asked(d.about.select("domain"), questions).select("domain", "query", F.explode(parts).alias("token")).filter("length(token) > 1")
     rows = d.without(words, "stop", "token").groupBy("domain", "query", "token").agg(F.count("*").cast("double").alias("times"))
     return rows.groupBy("domain").agg(F.collect_list(F.struct("query", "token", "times")).alias("tokens"))

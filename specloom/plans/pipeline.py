@@ -13,9 +13,10 @@ from specloom.functions.vocabulary import ROLES, Domain, detect_domain, domain
 from specloom.operators import assist, blocks, graph, lines, rules, search
 from specloom.operators import domains as D
 from specloom.operators.domains import Domains
+from specloom.operators.index import NodeIndex
 from specloom.operators.scans import LONG, any_long
 from specloom.operators import terms as term_ops
-from specloom.sources.artifacts import settled
+from specloom.sources.artifacts import settled, shared_folder
 from specloom.sources.replies import ReplyStore
 
 STEPS = ("headings", "implicit", "tabular", "boilerplate", "terms", "edges", "conflicts")
@@ -151,6 +152,11 @@ class Analysis:
         n = self.nodes.groupBy("doc_id", F.lit("node").alias("kind"), F.col("label").alias("name")).agg(F.count("*").alias("n"))
         return n.unionByName(self.edge_totals().select("doc_id", F.lit("edge").alias("kind"), F.col("type").alias("name"), "n"))
 
+    @cached_property
+    def index(self) -> NodeIndex:
+        """The nodes' index, for many searches on the same tables."""
+        return NodeIndex.build(self.nodes, shared_folder(self.pages.sparkSession))
+
     def audit(self, questions: list[str]) -> DataFrame:
         return search.payload(self.nodes, self.edges, questions, self.domains)
 

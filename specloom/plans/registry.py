@@ -272,6 +272,14 @@ def substring_search(spark, d):
     return explore.containing(analysis(spark, d).nodes, TEXT).select("doc_id", "id")
 
 
+def substring_indexed(spark, d):
+    return analysis(spark, d).index.containing(TEXT).select("doc_id", "id")
+
+
+def top3_indexed(spark, d):
+    return analysis(spark, d).index.top(SEARCH, DOMAIN).select("doc_id", "query", "id", "score", "rank")
+
+
 def neighborhood(spark, d):
     a = analysis(spark, d)
     return explore.neighborhood(a.nodes, a.edges, explore.containing(a.nodes, TEXT))
@@ -392,7 +400,7 @@ _FUNCTIONS = (
     line_kinds, page_edge_clean, section_normalise, block_islands, block_text, section_propagation, heading_hierarchy, outline_tree, markdown, sentence_split, rule_types, rule_ledger, rollup_constraints,
     implicit_candidates, llm_reply_validate, boilerplate_filter, stored_replies, term_frequency, top_terms, curated_frequency, term_merge, stride_sample, section_nodes, section_contains, requirement_contains, term_edges,
     section_refs, req_refs, conflict_pairs, graph_edges, node_counts, edge_counts, edge_totals, conflict_totals, conflicts_of_rule, refine_edges, resolve_exact, search_top3, audit_payload, section_path, relationship_buckets, section_children,
-    generic_terms, security_terms, heading_candidates, heading_demotion, tabular_rules, conflict_validation, model_terms, node_projection, term_by_section, substring_search, neighborhood, edge_states, search_tree, domain_detect, stream_rules, stream_events,
+    generic_terms, security_terms, heading_candidates, heading_demotion, tabular_rules, conflict_validation, model_terms, node_projection, term_by_section, substring_search, substring_indexed, top3_indexed, neighborhood, edge_states, search_tree, domain_detect, stream_rules, stream_events,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _FUNCTIONS} | {
     "context_requirement": _context([REQUIREMENT]), "context_term": _context([TERM]), "context_section": _context(SECTIONS), "context_blend": _context(SEARCH),

@@ -12,6 +12,7 @@ from specloom.functions import text as T
 from specloom.functions.vocabulary import Domain, domain, forms_of, java
 from specloom.operators import assist, blocks, explore, graph, lines, rules, scans, search, terms
 from specloom.operators import domains as D
+from specloom.operators.index import NodeIndex
 from specloom.plans import incremental, registry
 from specloom.plans.pipeline import Analysis, parse_documents, parse_each
 from specloom.sources import artifacts
@@ -243,6 +244,27 @@ def test_model_steps_of_the_pipeline(spark):
     assert terms["heartbeat"] == 1 and set(terms) == {"heartbeat", "log"} and a.edges.filter("type = 'CONFLICTS_WITH'").isEmpty()
 
 
+def test_index_finds_what_a_scan_finds(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["timeout", "time", "out", "Log", "x", "ab", "é😀x", "😀", "the", "1.0", "A.1", "payload", "pay", "unit"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
+    rows = [(d, o, f"REQ-{o:03d}", "Requirement", None, None, text(8) or None, "1.0") if o % 3 else (d, o, f"SEC-{o}", "Section", None, text(3), None, "A.1") if o % 2 else (d, o, f"TERM-{o}", "Term", text(1), None, None, None) for d in range(12) for o in range(1, 30)]
+    nodes = _rows(spark, "doc_id long, node_ord int, id string, label string, name string, title string, text string, section_number string", *rows)
+    found = NodeIndex.build(nodes, f"file://{tmp_path}/index", 5)
+    ids = lambda df: sorted((r["doc_id"], r["id"]) for r in df.collect())
+    for q in ["timeout", "time out", "TIME", "out log", "x", "ab", "b", "é😀", "😀", "😀x", "d-0", "-", " ", "", "nothing", "eout", "1.0", "q", "log the unit pay"]:
+        assert ids(found.containing(q)) == ids(explore.containing(nodes, q)), q
+    asked = ["the timeout of a unit", "pay ab", "1.0", "zzz", "", "Log the payload x", "of the"]
+    for d in (domain("generic"), Domain("x", {}, ("the", "unit"))):
+        want = sorted(map(str, search.top(nodes, asked, d).collect()))
+        assert want and sorted(map(str, found.top(asked, d).collect())) == want
+    plan = found.candidates(["timeout"])._jdf.queryExecution().executedPlan().toString()
+    assert "In(piece" in plan
+    assert ids(NodeIndex(spark, found.folder).containing("pay")) == ids(explore.containing(nodes, "pay"))  # opened again
+    empty = NodeIndex.build(nodes.limit(0), f"file://{tmp_path}/empty")
+    assert empty.candidates(["timeout", "x"]).isEmpty() and empty.containing("").isEmpty() and empty.top(asked, domain("generic")).isEmpty()
+
+
 def test_long_documents_are_scanned_by_cells(spark, monkeypatch):
     """All tables made by cells of a few rows, against those of whole documents."""
     monkeypatch.setattr(scans, "CELL", 3)
