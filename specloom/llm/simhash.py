@@ -293,8 +293,8 @@ def simhash_components(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that stay when each component keeps the document with its smallest id.
 
-    Of rows with that id in one component, the one whose text has the smallest hash stays, and one of those equal
-    in id and text; of a component in which no document has an id, likewise. An id that stands on rows of several
+    Of rows with that id in one component, the one whose text has the smallest hash stays, and of those equal
+    in id and text the one that is least as JSON, whatever task it comes from; of a component in which no document has an id, likewise. An id that stands on rows of several
     components is kept once for each. The choice is made on ids and hashes; the rows themselves are shuffled once.
     """
     docs, by_fp, named = _components(documents)
@@ -311,4 +311,4 @@ def keep_one(documents: DataFrame) -> DataFrame:
     if kept.filter("_n > 1").isEmpty():
         return out
     several = join_by_class(rows, kept.filter("_n > 1"), keys, "_n")
-    return out.unionByName(several.groupBy(*keys).agg(F.first("_row").alias("_row")).select("_row.*"))
+    return out.unionByName(several.groupBy(*keys).agg(F.min_by("_row", F.to_json("_row", {"ignoreNullFields": "false"})).alias("_row")).select("_row.*"))

@@ -526,6 +526,13 @@ def test_simhash_keeps_one_of_each_component_when_ids_repeat(spark):
         assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
 
 
+def test_simhash_keeps_the_same_of_equal_texts(spark):
+    rows = [(5, "one two three", "b", 2), (5, "one two three", "a", 9), (5, "one two three", None, 1), (5, "one two three", "a", 10)]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        kept = simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string, source string, n long").repartition(3)).collect()
+        assert [tuple(r) for r in kept] == [(5, "one two three", "a", 10)]
+
+
 def test_simhash_deals_out_a_large_close_family(spark):
     spread = [0, 5, 11, 16, 22, 27, 33, 38, 44, 49, 55, 60]
     fps = [sum((i >> k & 1) << b for k, b in enumerate(spread)) for i in range(0, 4096, 2)]
