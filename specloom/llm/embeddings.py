@@ -3,10 +3,14 @@
 For unit vectors cosine >= c means a squared distance of at most 2 - 2c. The vectors are turned by one
 fixed random rotation and cut into blocks of ``BLOCK_DIMS`` dimensions; a pair within the squared distance D
 is within D * (size of the block / all dimensions) in at least one block. Each block is range-joined under
-that budget: the vectors of a label stand together, or, where they are many, in a grid over as many of the
-block's dimensions as it takes, with cells twice as wide as the block's radius. A vector goes to its own cell
-and to every upper neighbour that its radius reaches, so any two vectors in range meet in exactly one cell,
-the larger of their cells in every dimension.
+that budget: the vectors of a label stand together, or, where they are more than one task should hold, in a
+grid over as many of the block's dimensions as it takes, with cells of four radii, and of two when all
+dimensions are taken. A vector goes to its own cell and to every upper neighbour that its radius reaches, so
+any two vectors in range meet in exactly one cell, the larger of their cells in every dimension.
+
+Inside a cell nothing is copied. Its vectors are split at medians into small groups, and a group is compared
+only with the groups, and in them only with the vectors, that lie within the block's radius of its bounding
+box, by all dimensions of the block. The larger a label, the smaller a part of its pairs is compared.
 
 The join moves ids and the block's coordinates only. Vectors are fetched for the members of a cell that have
 another one within the block's budget, and for no others; these few are verified exactly, and each pair is
@@ -27,11 +31,12 @@ from pyspark.sql import functions as F
 from specloom.llm.common import connected_components, group_bounds, join_by_class, materialize, merge_labels, release, sorted_groups
 
 COSINE = 0.98
-BLOCK_DIMS, GRID_DIMS, CELL_RADII = 8, 4, 2.0
-TILE_ROWS = 8192  # members of a cell from which it is dealt out in pairs of chunks
-SHRINK = 3.0  # a grid dimension more for each time that a label has so many times TILE_ROWS vectors
+BLOCK_DIMS, GRID_DIMS = 8, 8
+WIDE, NARROW = 4.0, 2.0  # widths of a grid's cells in radii: at first, and in as many dimensions as are taken again
+TILE_ROWS = 131_072  # members of a cell from which it is dealt out in pairs of chunks, some 100 bytes each
+SHRINK = 1.4  # a step of the grid more for each time that a label has so many times TILE_ROWS vectors
+LEAF = 32  # vectors at most in a group of those that are compared together
 FEW_FULL = 100_000  # full cells up to which they are broadcast (40 bytes each)
-SIDE = 512  # rows and columns of the tables of distances inside a cell
 SLACK = 1e-9  # widens the ranges beyond rounding errors; verification is exact
 SINGLE = 1e-5  # the same for squared distances in single precision
 
@@ -104,20 +109,21 @@ def _cells(cosine: float):
             for d in np.unique(dims):
                 part = pa.Table.from_batches([batch]).filter(pa.array(dims == d))
                 x = rotated_units(_matrix(part.column("vec"), int(d)))
-                used = np.arange(GRID_DIMS)[None] < part.column("grid").to_numpy()[:, None]
+                steps = part.column("grid").to_numpy()[:, None] - np.arange(GRID_DIMS)[None]
+                used, radii = steps > 0, np.where(steps > GRID_DIMS, NARROW, WIDE)
                 rows, cells, homes, blocks, coords = [], [], [], [], []
                 for b, cut in enumerate(blocks_of(int(d))):
                     y = np.zeros((len(x), GRID_DIMS))
                     own = x[:, cut]
                     y[:, : own.shape[1]] = own[:, :GRID_DIMS]
                     radius = np.sqrt(budget(cut, int(d), cosine)) + SLACK
-                    low = np.where(used, np.floor(y / (CELL_RADII * radius)), 0).astype(np.int64)
-                    high = np.where(used, np.floor((y + radius) / (CELL_RADII * radius)), 0).astype(np.int64)
+                    low, high = (np.where(used, np.clip(np.floor(z / (radii * radius)), -EDGE, EDGE), 0).astype(np.int64) for z in (y, y + radius))
                     home = _pack(low)
                     raw = np.ascontiguousarray(own, "<f4")
                     raw = [r.tobytes() for r in raw]
-                    for up in product((0, 1), repeat=GRID_DIMS):
-                        there = np.flatnonzero(((high > low) | (np.array(up) == 0)).all(1))
+                    reach = high > low
+                    for up in product(*((0, 1) if any_there else (0,) for any_there in reach.any(0))):
+                        there = np.flatnonzero((reach | (np.array(up) == 0)).all(1))
                         rows.append(there)
                         cells.append(_pack(low[there] + np.array(up)))
                         homes.append(home[there])
@@ -131,44 +137,73 @@ def _cells(cosine: float):
     return run
 
 
+EDGE = 126  # cells beyond it, on either side, are one with it: coordinates of 8 bits keep their order
+
+
 def _pack(cells: np.ndarray) -> np.ndarray:
-    """Grid coordinates, 16 bits each, as one long. Units' coordinates stay well within the range."""
+    """Grid coordinates, 8 bits each, as one long."""
     out = np.zeros(len(cells), np.int64)
     for k in range(cells.shape[1]):
-        out = (out << 16) | (cells[:, k] + 32768)
+        out = (out << 8) | (cells[:, k] + 128)
     return out
 
 
 def _unpack(packed: np.ndarray, k: int) -> np.ndarray:
-    return np.stack([(packed >> (16 * (k - 1 - i))) & 0xFFFF for i in range(k)], 1)
-
-
-def near_members(x: np.ndarray, chunk: np.ndarray, crossing: bool, within: float) -> tuple[np.ndarray, int]:
-    """Which rows of x have another one at a squared distance of at most ``within``, and the number of such pairs.
-
-    Rows are taken in the order of their first coordinate, and tables of distances whose rows and columns lie
-    further apart in it than the radius are left out. ``crossing``: only pairs of different chunks count.
+    return np.stack([(packed >> (8 * (k - 1 - i))) & 0xFF for i in range(k)], 1)
+
+
+def median_groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows of x, and the starts of the groups in it, of LEAF rows or fewer: rows are halved at the median of their widest coordinate."""
+    order, parts = np.arange(len(x)), [(0, len(x))]
+    starts = []
+    while parts:
+        a, b = parts.pop()
+        if b - a <= LEAF:
+            starts.append(a)
+            continue
+        own = x[order[a:b]]
+        half = (b - a) // 2
+        order[a:b] = order[a:b][np.argpartition(own[:, np.ptp(own, 0).argmax()], half)]
+        parts += [(a, a + half), (a + half, b)]
+    return order, np.sort(np.array(starts))
+
+
+def close_tables(x: np.ndarray, within: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, columns) of the tables that hold every pair of rows of x at a squared distance of at most ``within``.
+
+    Rows are a group and columns what lies near its bounding box. A pair stands in one table; of two rows of one
+    group the table has both (i, j) and (j, i), so the first rows of the columns are the group itself.
+    """
+    order, starts = median_groups(x)
+    y, ends = x[order], np.append(starts[1:], len(x))
+    low, high = np.minimum.reduceat(y, starts), np.maximum.reduceat(y, starts)
+    for g, (a, b) in enumerate(zip(starts, ends, strict=True)):
+        gap = np.maximum(np.maximum(low[g + 1 :] - high[g], low[g] - high[g + 1 :]), 0)
+        near = g + 1 + np.flatnonzero(np.einsum("ij,ij->i", gap, gap) <= within)
+        sizes = ends[near] - starts[near]
+        others = np.repeat(starts[near] - np.append(0, np.cumsum(sizes)[:-1])[: len(near)], sizes) + np.arange(sizes.sum())
+        gap = np.maximum(np.maximum(y[others] - high[g], low[g] - y[others]), 0)
+        others = others[np.einsum("ij,ij->i", gap, gap) <= within]
+        yield order[a:b], np.append(order[a:b], order[others])
+
+
+def near_members(x: np.ndarray, chunk: np.ndarray, crossing: bool, within: float) -> tuple[np.ndarray, int, int]:
+    """Which rows of x have another one at a squared distance of at most ``within``, the number of such pairs, and of the pairs compared.
+
+    ``crossing``: only pairs of different chunks count.
     """
-    order = np.argsort(x[:, 0], kind="stable")
-    x, chunk = x[order], chunk[order]
-    squares, found, pairs = np.einsum("ij,ij->i", x, x), np.zeros(len(x), bool), 0
-    last = np.searchsorted(x[:, 0], x[:, 0] + np.float32(np.sqrt(within)), side="right")
-    for a in range(0, len(x), SIDE):
-        rows = slice(a, a + SIDE)
-        for b in range(a, int(last[rows][-1]), SIDE):
-            columns = slice(b, b + SIDE)
-            near = squares[rows, None] + squares[None, columns] - 2 * (x[rows] @ x[columns].T) <= within
-            if a == b:
-                near = np.triu(near, 1)
-            if crossing:
-                near &= chunk[rows, None] != chunk[None, columns]
-            if near.any():
-                pairs += int(near.sum())
-                found[rows] |= near.any(1)
-                found[columns] |= near.any(0)
-    out = np.zeros(len(x), bool)
-    out[order] = found
-    return out, pairs
+    squares, found, pairs, compared = np.einsum("ij,ij->i", x, x), np.zeros(len(x), bool), 0, 0
+    for rows, columns in close_tables(x, within):
+        near = squares[rows, None] + squares[None, columns] - 2 * (x[rows] @ x[columns].T) <= within
+        near[:, : len(rows)] = np.triu(near[:, : len(rows)], 1)
+        compared += near.size
+        if crossing:
+            near &= chunk[rows, None] != chunk[None, columns]
+        if near.any():
+            pairs += int(near.sum())
+            found[rows] |= near.any(1)
+            found[columns] |= near.any(0)
+    return found, pairs, compared
 
 
 TILE = ["label", "dims", "block", "cell", "low", "high"]
@@ -201,28 +236,28 @@ def cell_links(vec: np.ndarray, home: np.ndarray, chunk: np.ndarray, block: int,
     A pair counts here if it is linked, within this block's budget, not within any earlier block's, and
     this is the cell in which it meets. ``crossing``: only pairs of different chunks count.
     """
-    n, d = vec.shape
+    d = vec.shape[1]
     cuts = blocks_of(d)
     limits = [budget(cut, d, cosine) + SLACK for cut in cuts]
     norm = np.sqrt(np.einsum("ij,ij->i", vec, vec))
     unit, turned = vec / norm[:, None], rotated_units(vec)
     homes, here = _unpack(home, GRID_DIMS), _unpack(np.array([cell]), GRID_DIMS)[0]
-    for a in range(0, n, 1024):
-        for b in range(a, n, 1024):
-            near = unit[a : a + 1024] @ unit[b : b + 1024].T >= cosine - SLACK
-            i, j = np.nonzero(near)
-            i, j = i + a, j + b
-            ok = (j > i) & ((chunk[i] != chunk[j]) if crossing else True)
-            i, j = i[ok], j[ok]
-            for at in range(0, len(i), 65536):
-                p, q = i[at : at + 65536], j[at : at + 65536]
-                ok = np.einsum("ij,ij->i", vec[p], vec[q]) / (norm[p] * norm[q]) >= cosine
-                ok &= (np.maximum(homes[p], homes[q]) == here).all(1)
-                gap = (turned[p] - turned[q]) ** 2
-                for e, cut in enumerate(cuts[: block + 1]):
-                    within = gap[:, cut].sum(1) <= limits[e]
-                    ok &= within if e == block else ~within
-                yield p[ok], q[ok]
+    for rows, columns in close_tables(turned[:, cuts[block]], limits[block]):
+        near = unit[rows] @ unit[columns].T >= cosine - SLACK
+        near[:, : len(rows)] = np.triu(near[:, : len(rows)], 1)
+        if crossing:
+            near &= chunk[rows, None] != chunk[None, columns]
+        i, j = np.nonzero(near)
+        i, j = rows[i], columns[j]
+        for at in range(0, len(i), 65536):
+            p, q = i[at : at + 65536], j[at : at + 65536]
+            ok = np.einsum("ij,ij->i", vec[p], vec[q]) / (norm[p] * norm[q]) >= cosine
+            ok &= (np.maximum(homes[p], homes[q]) == here).all(1)
+            gap = (turned[p] - turned[q]) ** 2
+            for e, cut in enumerate(cuts[: block + 1]):
+                within = gap[:, cut].sum(1) <= limits[e]
+                ok &= within if e == block else ~within
+            yield p[ok], q[ok]
 
 
 def _verify(cosine: float):
@@ -260,8 +295,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tile_rows: in
     vec_id as component; a null id gives a null component and kept false. Repeated ids are vectors of
     their own that share a name.
 
-    A label of many vectors takes the finer a grid, the more it has; a cell that still has more than
-    ``tile_rows`` members is dealt out as pairs of chunks, so no task holds it whole.
+    A label of more than ``tile_rows`` vectors takes the finer a grid, the more it has; a cell that still has
+    more members is dealt out as pairs of chunks, so no task holds it whole.
     """
     rows = vectors(embeddings)
     ids = materialize(rows.select("vec_id", "label", "vkey"), "vectors")
@@ -291,11 +326,13 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tile_rows: in
 def tiled(classes: DataFrame, cosine: float, tile_rows: int) -> DataFrame:
     """Every class of ``classes`` under the tiles in which it is compared, with its coordinates in the tile's block."""
     size = F.log(F.col("n") / tile_rows) / float(np.log(SHRINK))
-    grids = classes.groupBy("label", "dims").agg(F.count("*").alias("n")).select("label", "dims", F.least(F.greatest(F.ceil(size), F.lit(0)), F.lit(GRID_DIMS)).cast("int").alias("grid"), "n")
-    placed = join_by_class(classes.select("label", "node", "dims", "vec"), grids, ["label", "dims"], "n").select("label", "node", "dims", "grid", "vec")
-    placed = placed.mapInArrow(_cells(cosine), "label long, node long, dims int, block int, cell long, home long, coords binary")
+    grids = classes.groupBy("label", "dims").agg(F.count("*").alias("n")).select("label", "dims", F.least(F.greatest(F.ceil(size), F.lit(0)), F.lit(2 * GRID_DIMS)).cast("int").alias("grid"), "n")
+    sized = join_by_class(classes.select("label", "node", "dims", "vec"), grids, ["label", "dims"], "n").select("label", "node", "dims", "grid", "vec")
+    place = lambda rows: rows.mapInArrow(_cells(cosine), "label long, node long, dims int, block int, cell long, home long, coords binary")
+    placed = place(sized)
     cell = ["label", "dims", "block", "cell"]
-    full = placed.groupBy(*cell).agg(F.count("*").alias("n")).filter(F.col("n") > tile_rows).select(*cell, F.ceil(F.col("n") / tile_rows).cast("int").alias("chunks"))
+    # only labels in a grid have more than tile_rows vectors, so the others' cells need no count
+    full = place(sized.filter("grid > 0")).groupBy(*cell).agg(F.count("*").alias("n")).filter(F.col("n") > tile_rows).select(*cell, F.ceil(F.col("n") / tile_rows).cast("int").alias("chunks"))
     full = materialize(full, "full")
     full = F.broadcast(full) if full.count() <= FEW_FULL else full
     out = placed.join(full, cell, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))

@@ -209,10 +209,21 @@ def test_near_members_by_brute_force():
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     for crossing in (False, True):
         near = np.triu((d <= 0.05) & ((chunk[:, None] != chunk[None]) | (not crossing)), 1)
-        mask, pairs = embeddings.near_members(x, chunk, crossing, 0.05)
+        mask, pairs, _ = embeddings.near_members(x, chunk, crossing, 0.05)
         assert pairs == pytest.approx(near.sum(), abs=3) and (mask != (near.any(0) | near.any(1))).sum() <= 3
 
 
+def test_larger_labels_compare_a_smaller_part_of_their_pairs():
+    """One label of the test table's shape, made larger by noise of its own spread: pairs compared in two of the eight blocks, times four, of all pairs."""
+    x = embeddings.rotated_units(np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist()))
+    rng, shares = np.random.default_rng(9), []
+    for n in (20_000, 100_000):
+        y = embeddings.rotated_units(x[rng.integers(0, len(x), n)] + rng.normal(size=(n, x.shape[1])) * x.std(0))
+        compared = sum(embeddings.near_members(np.ascontiguousarray(y[:, cut], "f4"), np.zeros(n), False, embeddings.budget(cut, y.shape[1], 0.98) + embeddings.SINGLE)[2] for cut in embeddings.blocks_of(y.shape[1])[:2])
+        shares.append(4 * compared / (n * (n - 1) / 2))
+    assert shares[1] < shares[0] and shares[1] < 0.1, shares
+
+
 def test_embeddings_in_grids_and_tiles(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 24))
@@ -220,7 +231,7 @@ def test_embeddings_in_grids_and_tiles(spark):
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     want = sorted(map(tuple, embeddings.near_duplicates(df).collect()))
     assert sum(r[1] for r in want) > 100
-    for rows in (4, 30):  # four and two grid dimensions, with cells that are dealt out
+    for rows in (4, 30):  # twelve and six steps of the grid, with cells that are dealt out
         assert sorted(map(tuple, embeddings.near_duplicates(df, tile_rows=rows).collect())) == want
 
 
