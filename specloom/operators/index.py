@@ -94,6 +94,11 @@ class NodeIndex:
         """What :func:`search.top` finds among all nodes."""
         return search.top(self._of(self._words(questions)), questions, domain, n)
 
+    def targets(self, questions: Sequence[str], domain: Domain | Domains) -> DataFrame:
+        """What :func:`search.targets` finds among all nodes: what a question names or, by its words, what it finds."""
+        names = search.names_of(self.spark, questions).select(F.lower("id").alias("id")).filter("id <> ''").distinct()
+        return search.targets(self._of(self._words(questions) + [r["id"] for r in names.collect()]), questions, domain)
+
     def _words(self, questions: Sequence[str]) -> list[str]:
         """The words of the questions, stop words of some domain included, as they may be none in another."""
         asked = D.local(self.spark, [(q,) for q in dict.fromkeys(questions)], "query string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specloom.functions import text as T
@@ -24,14 +24,19 @@ def each_asked(rows: DataFrame, questions: Sequence[str]) -> DataFrame:
     return rows.withColumn("query", F.explode(F.array(*map(F.lit, dict.fromkeys(questions)))))
 
 
+def names_of(spark: SparkSession, questions: Sequence[str]) -> DataFrame:
+    """query, _p, id: the three ids that a question may stand for, in the order in which they count."""
+    q = T.strip(F.col("query"))
+    names = F.array(F.upper(q), F.concat(F.lit("TERM-"), F.lower(q)), F.concat(F.lit("SEC-"), T.normal_section(q)))
+    return D.local(spark, [(q,) for q in dict.fromkeys(questions)], "query string").select("query", F.posexplode(names).alias("_p", "id"))
+
+
 def resolve(nodes: DataFrame, questions: Sequence[str]) -> DataFrame:
     """doc_id, query, id, label, rank: the node that a question names as its id, its term or its section, in this order.
 
     A question has three names, which are joined with the nodes by equality.
     """
-    q = T.strip(F.col("query"))
-    names = F.array(F.upper(q), F.concat(F.lit("TERM-"), F.lower(q)), F.concat(F.lit("SEC-"), T.normal_section(q)))
-    named = D.local(nodes.sparkSession, [(q,) for q in dict.fromkeys(questions)], "query string").select("query", F.posexplode(names).alias("_p", "id"))
+    named = names_of(nodes.sparkSession, questions)
     first = F.row_number().over(Window.partitionBy("doc_id", "query").orderBy("_p", "node_ord"))
     return nodes.join(named, "id").withColumn("rank", first).filter("rank = 1").select("doc_id", "query", "id", "label", "rank")
 
@@ -154,10 +159,13 @@ def expand(nodes: DataFrame, edges: DataFrame, targets_: DataFrame, keep: bool =
     return rows.select(*key, "role", "pos", "id"), pairs.select(*key, "pos", "edge_ord")
 
 
-def payload(nodes: DataFrame, edges: DataFrame, questions: Sequence[str], domain: Domain | Domains) -> DataFrame:
-    """doc_id, query, payload: the template filled with targets, structure, rules, terms and conflicts. Texts are put in literally."""
+def payload(nodes: DataFrame, edges: DataFrame, questions: Sequence[str], domain: Domain | Domains, found: DataFrame | None = None) -> DataFrame:
+    """doc_id, query, payload: the template filled with targets, structure, rules, terms and conflicts. Texts are put in literally.
+
+    ``found`` stands in for :func:`targets` where they are known. Of the conflicts, only those of target requirements are looked at.
+    """
     key = ["doc_id", "query"]
-    t = targets(nodes, questions, domain)
+    t = found if found is not None else targets(nodes, questions, domain)
     context, clash = expand(nodes, edges, t)
     text = nodes.select("doc_id", "id", "label", "name", "frequency", "section_number", "title", "text", "constraint_type", "page_number")
     say = F.format_string

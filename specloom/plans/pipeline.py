@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,7 +158,15 @@ class Analysis:
         return NodeIndex.build(self.nodes, shared_folder(self.pages.sparkSession))
 
     def audit(self, questions: list[str]) -> DataFrame:
-        return search.payload(self.nodes, self.edges, questions, self.domains)
+        """doc_id, query, payload. Only the conflicts of the requirements that are found are made, unless all edges are there or a model
+        judges pairs or changes types; a node index that is there is searched instead of the nodes."""
+        indexed = self.__dict__.get("index")
+        found = settled((indexed.targets if indexed else partial(search.targets, self.nodes))(questions, self.domains))
+        if "graph" in self.__dict__ or {"conflicts", "edges"} & set(self.models):
+            return search.payload(self.nodes, self.edges, questions, self.domains, found)
+        own = settled(self.conflicts_of(found.filter("label = 'Requirement'")))
+        edges = settled(graph.edges(self.sections, self.rules, self.terms[1], self.domains, own, self.long))
+        return search.payload(self.nodes, edges, questions, self.domains, found)
 
 
 def domains_of(pages: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from specloom.functions.vocabulary import domain as preset_of
 from specloom.operators import blocks, search
 from specloom.operators import domains as D
+from specloom.operators.index import NodeIndex
 from specloom.plans.pipeline import Analysis, parse_each
 from specloom.sources import artifacts
 from specloom.sources.corpus import read_pages
@@ -23,6 +24,7 @@ from specloom.sources.corpus import read_pages
 OUTPUT = "./output_standard_parser"
 DOMAINS = ("auto", "generic", "smartGrid", "security")
 TABLES = ("blocks", "tree", "ledger", "nodes", "edges")
+INDEX = "index"
 
 
 def _checked(**arguments) -> None:
@@ -56,6 +58,7 @@ def standard_parse(spark: SparkSession, pages: DataFrame | str, output_dir: str
         artifacts.write_texts(markdown, "markdown", f"{out}/document_cleaned", apart)
     written, d = {t: spark.read.parquet(f"{folder}/{t}") for t in TABLES}, D.read(spark, folder)
     artifacts.released(spark, made)
+    NodeIndex.build(written["nodes"], f"{folder}/{INDEX}")
     for t in TABLES[:3]:
         written[t].write.mode("overwrite").json(f"{out}/{t}_json")
     graphs = artifacts.graph_json(written["nodes"], written["edges"])
@@ -80,8 +83,12 @@ def standard_audit(spark: SparkSession, query: str, output_dir: str = OUTPUT, ba
     if not folder:
         raise ValueError(f"no graph is found in {output_dir}; parse the pages first")
     nodes, edges = (spark.read.parquet(f"{folder}/{t}") for t in ("nodes", "edges"))
+    d = D.read(spark, folder)
     with artifacts.tables_made() as made:
-        payloads = artifacts.settled(search.payload(nodes, edges, [query], D.read(spark, folder)))
+        found = None  # an index is written last, so a parse that was ended before has none
+        if artifacts.exists(spark, f"{folder}/{INDEX}/counts/_SUCCESS"):
+            found = artifacts.settled(NodeIndex(spark, f"{folder}/{INDEX}", nodes.withColumn("bucket", F.lit(0)).schema).targets([query], d))
+        payloads = artifacts.settled(search.payload(nodes, edges, [query], d, found))
         kept = made.pop()  # the result itself
     artifacts.released(spark, [x for x in made if x != kept])
     artifacts.write_payloads(payloads, out, apart)

@@ -258,6 +258,8 @@ def test_index_finds_what_a_scan_finds(spark, tmp_path):
     for d in (domain("generic"), Domain("x", {}, ("the", "unit"))):
         want = sorted(map(str, search.top(nodes, asked, d).collect()))
         assert want and sorted(map(str, found.top(asked, d).collect())) == want
+        named = [*asked, "req-001", " REQ-002 ", "a.1", "SEC-5", "timeout", "Log", "x", "é😀x", "REQ-999"]
+        assert sorted(map(str, found.targets(named, d).collect())) == sorted(map(str, search.targets(nodes, named, d).collect()))
     plan = found.candidates(["timeout"])._jdf.queryExecution().executedPlan().toString()
     assert "In(piece" in plan
     assert ids(NodeIndex(spark, found.folder).containing("pay")) == ids(explore.containing(nodes, "pay"))  # opened again
@@ -265,6 +267,22 @@ def test_index_finds_what_a_scan_finds(spark, tmp_path):
     assert empty.candidates(["timeout", "x"]).isEmpty() and empty.containing("").isEmpty() and empty.top(asked, domain("generic")).isEmpty()
 
 
+def test_audit_makes_only_the_conflicts_of_what_it_finds(spark):
+    """Payloads made with a few pairs, and with the index, against those over all edges."""
+    said = ["The gateway {} log a timeout within ten seconds.", "The payload {} reach the gateway, see Section 1.", "The interface {} keep the payload and the timeout."]
+    text = "\n".join(["1 Scope", *[said[i % 3].format(["shall", "shall not", "may", "must", "must not"][i % 5]) for i in range(15)], "2 Rest", "Nothing else shall fail. See REQ-002."])
+    pages = _rows(spark, "doc_id long, page_number int, text string", (1, 1, text), (2, 1, "1 Other\nThe gateway shall stop."), (3, 1, None), (4, 1, text))
+    asked = ["REQ-001", "req-004", "gateway timeout payload", "TERM", "1", "Rest", "zzz", ""]
+    a, b = parse_documents(pages, "smartGrid"), parse_documents(pages, "smartGrid")
+    got = sorted(map(str, a.audit(asked).collect()))
+    assert "graph" not in a.__dict__
+    assert b.index and sorted(map(str, b.audit(asked).collect())) == got
+    want = sorted(map(str, search.payload(a.nodes, a.edges, asked, a.domains).collect()))
+    assert got == want == sorted(map(str, a.audit(asked).collect())) and any("Conflict between" in x for x in want)
+    few = a.conflicts_of(search.targets(a.nodes, ["REQ-001"], a.domains)).count()
+    assert 0 < few < a.edges.filter("type = 'CONFLICTS_WITH'").count() / 2
+
+
 def test_long_documents_are_scanned_by_cells(spark, monkeypatch):
     """All tables made by cells of a few rows, against those of whole documents."""
     monkeypatch.setattr(scans, "CELL", 3)
