@@ -29,6 +29,7 @@ LABELS = ("O", *(f"{at}-{kind}" for kind in KINDS for at in "BI"))
 MAX_ROWS = 2_000  # labelled rows that are learnt from: the first by row_id
 ROUNDS, RATE, DECAY, MIN_COUNT = 120, 0.12, 1e-3, 3
 CHARS = 1_000_000  # texts are worked on in runs of so many characters; a longer text by itself
+ROWS = 128  # rows that are redacted at once
 
 # --- base spans: each pattern starts at the start of a run, so it never rescans one ---
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -496,6 +497,17 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
+def redacted_batches(batches: Iterator[pa.RecordBatch], at: int, field: Field) -> Iterator[pa.RecordBatch]:
+    """The batches with column ``at`` redacted, ROWS rows at a time, so that a batch's texts are not all held a second and third time."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(start, ROWS)
+            texts = batch.column(at).to_pylist()
+            found = spans_of([t or "" for t in texts], field)
+            new = [t if t is None else redacted(t, spans) for t, (_, spans) in zip(texts, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+
 def redact(documents: DataFrame, field: Field | None = None) -> DataFrame:
     """``documents`` with all spans in ``text`` replaced, and n_chars (where there is such a column) counted anew.
 
@@ -505,11 +517,7 @@ def redact(documents: DataFrame, field: Field | None = None) -> DataFrame:
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            found = spans_of([t or "" for t in texts], shared.value)
-            new = [t if t is None else redacted(t, spans) for t, (_, spans) in zip(texts, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+        return redacted_batches(batches, at, shared.value)
 
     out = documents.mapInArrow(run, documents.schema)
     if "n_chars" in documents.columns:

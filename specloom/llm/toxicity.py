@@ -43,6 +43,7 @@ GROUP = 128  # documents that are compared at once
 SLACK = 1e-4  # above the rounding errors of a cosine in single precision
 WIDE = 1_000  # a word of more than one in so many documents is known to every task, so no join has a hot word
 FLUSH = 200_000  # words that a task counts before it hands the counts on
+PART = 1 << 18  # postings that are handled at once while an index is made: a bound of what is held beside it
 MAX_CALIBRATION = 4_096  # examples whose votes the curve is fitted to: the bound of that sample, every k-th
 FEW_TOXIC = 1_000_000  # keys of rejected rows (16 bytes each) up to which they are broadcast; more are joined by a shuffle
 WORD = re.compile(r"\w+")
@@ -117,7 +118,7 @@ class Index:
     def __init__(self, terms: np.ndarray, factor: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
         self.terms, self.factor, self.ready = terms, factor, False
         self._fill(examples)
-        common = np.argsort(-np.bincount(self.term, minlength=len(terms)), kind="stable")[:256]
+        common = np.argsort(-self._holders(), kind="stable")[:256]
         column = np.full(len(terms), -1)
         column[common] = np.arange(len(common))
         x = np.zeros((len(examples), len(common)), np.float32)
@@ -141,27 +142,40 @@ class Index:
             squares += np.bincount(row, weight * weight, len(examples))
         self.lengths = np.where(squares > 0, np.sqrt(squares), 1.0)
 
-    def _parts(self, step: int = 1_024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Rows, terms and weights of the postings, ``step`` examples at a time, so that little is held beside the index."""
-        for a in range(0, len(self.sizes), step):
-            sizes = self.sizes[a : a + step]
-            part = slice(self.starts[a], self.starts[a + len(sizes)])
-            row = np.repeat(np.arange(a, a + len(sizes)), sizes)
+    def _parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, terms and weights of the postings, ``PART`` of them or one example at a time, so that little is held beside the index."""
+        a = 0
+        while a < len(self.sizes):
+            b = max(a + 1, int(np.searchsorted(self.starts, self.starts[a] + PART, "right")) - 1)
+            part = slice(self.starts[a], self.starts[b])
+            row = np.repeat(np.arange(a, b), self.sizes[a:b])
             yield row, self.term[part], self._raw(self.term[part], self.n[part]) / self.lengths[row]
+            a = b
+
+    def _holders(self) -> np.ndarray:
+        """How many examples hold each term; counted in parts, as a count makes a wider copy of what it counts."""
+        out = np.zeros(len(self.terms), np.int64)
+        for a in range(0, len(self.term), PART):
+            out += np.bincount(self.term[a : a + PART], minlength=len(out))
+        return out
 
     def __getstate__(self) -> dict:
-        """What is broadcast: postings by example, as compressed differences; the rest is made anew in each process."""
+        """What is broadcast: postings by example, as compressed differences in parts; the rest is made anew in each process."""
         own = {k: getattr(self, k) for k in ("terms", "factor", "ids", "labels", "sizes", "starts", "lengths")}
-        return own | {"term": _packed(np.diff(self.term, prepend=np.int32(0))), "n": (self.n.dtype.str, _packed(self.n))}
+        cuts = range(0, len(self.term), PART)
+        return own | {"term": [_packed(np.diff(self.term[a : a + PART], prepend=np.int32(0))) for a in cuts], "n": (self.n.dtype.str, [_packed(self.n[a : a + PART]) for a in cuts])}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.term = np.cumsum(_unpacked(state["term"], np.int32), dtype=np.int32)
-        self.n, self.ready = _unpacked(state["n"][1], state["n"][0]), False
+        kind, counts = state["n"]
+        self.term, self.n, self.ready = np.empty(self.starts[-1], np.int32), np.empty(self.starts[-1], kind), False
+        for a, term, n in zip(range(0, len(self.term), PART), state["term"], counts, strict=True):
+            np.cumsum(_unpacked(term, np.int32), dtype=np.int32, out=self.term[a : a + PART])
+            self.n[a : a + PART] = _unpacked(n, kind)
 
     def open(self) -> None:
         """Make postings by term, dense blocks of the common words, and block maxima."""
-        holders = np.bincount(self.term, minlength=len(self.terms))
+        holders = self._holders()
         common = np.argsort(-holders, kind="stable")[:COMMON]
         self.column = np.full(len(self.terms), -1, np.int32)
         self.column[common] = np.arange(len(common))

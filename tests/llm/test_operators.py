@@ -6,10 +6,12 @@ import pickle
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -401,6 +403,18 @@ def test_pii_rows(odd_documents, no_documents, spark):
     assert len(pii.train(pii.labelled_table(spark)).weights) == len(pii.COLUMNS)
 
 
+def test_pii_redacts_a_batch_in_slices(monkeypatch):
+    """No more than ROWS rows are held at once, and all rows come out in their order."""
+    field, given = pii.train(), [None if i % 50 == 7 else f"{t[:300]} write to ann{i}@example.org" for i, t in enumerate(texts(2 * pii.ROWS + 9))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(given))), pa.array(given, pa.string())], ["doc_id", "text"])
+    sizes, plain = [], pii.spans_of
+    monkeypatch.setattr(pii, "spans_of", lambda some, field: sizes.append(len(some)) or plain(some, field))
+    out = pa.Table.from_batches(pii.redacted_batches(iter([batch, batch.slice(0, 0)]), 1, field))
+    assert sum(sizes) == len(given) and max(sizes) <= pii.ROWS
+    assert out["doc_id"].to_pylist() == list(range(len(given)))
+    assert out["text"].to_pylist() == [t if t is None else pii.redacted(t, plain([t], field)[0][1]) for t in given]
+
+
 def test_toxicity_search_is_exact():
     rng = np.random.default_rng(9)
     often = np.array([*range(40)] * 12 + [*range(40, 2_000)])
@@ -436,6 +450,47 @@ def test_toxicity_skips_blocks_of_other_words():
     assert scored < 0.3
 
 
+def test_toxicity_index_is_made_with_little_beside_it():
+    """A task opens the broadcast index beside another one: what is held for a while does not grow with the postings."""
+    rng, n_terms = np.random.default_rng(3), 20_000
+    examples = [(i, i % 2, np.flatnonzero(rng.random(n_terms) < 0.05).astype(np.int32), None) for i in range(3_000)]
+    examples = [(i, y, at, rng.integers(1, 9, len(at)).astype(np.uint16)) for i, y, at, _ in examples]
+    whole = toxicity.Index(np.arange(n_terms, dtype=np.uint64), np.ones(n_terms), examples)
+    raw = pickle.dumps(whole)
+    assert len(whole.term) > 10 * toxicity.PART
+    tracemalloc.start()
+    try:
+        index = pickle.loads(raw)
+        kept, most = tracemalloc.get_traced_memory()
+        assert most - kept < 2 * len(raw)
+        tracemalloc.reset_peak()
+        index.open()
+        kept, most = tracemalloc.get_traced_memory()
+        assert most - kept < 8 * len(whole.term)  # a whole count of the terms takes a copy of eight bytes each
+    finally:
+        tracemalloc.stop()
+    assert (index.term == whole.term).all() and (index.n == whole.n).all() and (index.starts == whole.starts).all()
+    assert (index._holders() == np.bincount(whole.term, minlength=n_terms)).all()
+    whole.open()
+    for name in ("row", "weight", "dense", "most", "first"):
+        assert (getattr(index, name) == getattr(whole, name)).all(), name
+
+
+def test_toxicity_index_in_parts_of_one_posting(monkeypatch):
+    """Parts smaller than an example, and examples without words, give the index of one part."""
+    rng = np.random.default_rng(4)
+    ends = [(i, i % 2, np.sort(rng.choice(700, i % 7, False)).astype(np.int32), rng.integers(1, 9, i % 7).astype(np.uint16)) for i in range(200)]
+    made = []
+    for part in (toxicity.PART, 5, 1):
+        monkeypatch.setattr(toxicity, "PART", part)
+        index = pickle.loads(pickle.dumps(toxicity.Index(np.arange(700, dtype=np.uint64), np.ones(700), ends)))
+        index.open()
+        made.append(index)
+    for other in made[1:]:
+        for name in ("ids", "labels", "term", "n", "lengths", "row", "weight", "dense", "most", "first"):
+            assert (getattr(made[0], name) == getattr(other, name)).all(), name
+
+
 def test_toxicity_rows(spark, odd_documents, no_documents, labels):
     rows = toxicity.toxicity(odd_documents, labels).collect()
     assert len(rows) == odd_documents.count() and all(0 <= r["score"] <= 1 for r in rows)
