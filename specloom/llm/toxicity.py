@@ -47,6 +47,8 @@ PART = 1 << 18  # postings that are handled at once while an index is made: a bo
 MAX_CALIBRATION = 4_096  # examples whose votes the curve is fitted to: the bound of that sample, every k-th
 FEW_TOXIC = 1_000_000  # keys of rejected rows (16 bytes each) up to which they are broadcast; more are joined by a shuffle
 WORD = re.compile(r"\w+")
+APART = bytes(b if b > 127 or chr(b).isalnum() or b == ord("_") else 32 for b in range(256))  # a space for each ASCII character of no word
+POSTING = np.dtype([("row", np.int32), ("weight", np.float32)])
 DAMPED = 1 + np.log(np.maximum(1, np.arange(4_096)))  # 1 + ln n of the usual counts
 
 
@@ -55,8 +57,34 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _pieces(text: str | None) -> list[bytes]:
+    """The lower-cased text in UTF-8, cut at the characters of ASCII that are of no word."""
+    return (text or "").lower().encode().translate(APART).split()
+
+
+def _uncut(pieces, text: str | None) -> list[str]:
+    """The pieces that are not words: some of their characters beyond ASCII are of no word, or they hold a ``_`` beside such ones."""
+    mixed = [] if not text or text.isascii() else [p for p in pieces if not p.isascii()]
+    return [p for p in b" ".join(mixed).decode().split(" ") if not p.isalnum()] if mixed else []
+
+
 def words_of(text: str | None) -> Counter:
-    return Counter(WORD.findall((text or "").lower()))
+    """The matches of ``WORD`` in the lower-cased text, in UTF-8, and how often each is there."""
+    found = Counter(_pieces(text))
+    for piece in _uncut(found, text):
+        n = found.pop(piece.encode())
+        for w in WORD.findall(piece):
+            found[w.encode()] += n
+    return found
+
+
+def distinct_words(text: str | None) -> set[bytes]:
+    """The same words, without a count."""
+    found = set(_pieces(text))
+    for piece in _uncut(found, text):
+        found.remove(piece.encode())
+        found.update(w.encode() for w in WORD.findall(piece))
+    return found
 
 
 def hashed(found: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +98,9 @@ def hashed(found: Counter) -> tuple[np.ndarray, np.ndarray]:
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions of all runs, one run after another."""
     ends = np.cumsum(sizes)
-    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.repeat(starts - ends + sizes, sizes)
+    out += np.arange(len(out))
+    return out
 
 
 def _runs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -149,7 +179,7 @@ class Index:
             b = max(a + 1, int(np.searchsorted(self.starts, self.starts[a] + PART, "right")) - 1)
             part = slice(self.starts[a], self.starts[b])
             row = np.repeat(np.arange(a, b), self.sizes[a:b])
-            yield row, self.term[part], self._raw(self.term[part], self.n[part]) / self.lengths[row]
+            yield row, self.term[part], self.weights(self.term[part], self.n[part]) / self.lengths[row]
             a = b
 
     def _holders(self) -> np.ndarray:
@@ -183,8 +213,8 @@ class Index:
         self.dense = np.zeros((self.blocks, len(common), BLOCK), np.float32)
         holders[common] = 0
         self.first = np.append(0, np.cumsum(holders))
-        self.row = np.zeros(self.first[-1], np.uint16 if len(self.ids) <= 1 << 16 else np.int32)
-        self.weight = np.zeros(self.first[-1], np.float32)
+        self.posting = np.zeros(self.first[-1], POSTING)  # row and weight are fetched together
+        self.row, self.weight = self.posting["row"], self.posting["weight"]
         free = self.first[:-1].copy()  # where each term's next posting goes
         for row, term, weight in self._parts():
             column = self.column[term]
@@ -197,10 +227,11 @@ class Index:
             self.row[at], self.weight[at] = row[order], weight[order]
             free[held] += sizes
         self.most = np.ascontiguousarray(self.dense.max(2).T) if self.blocks else np.zeros((len(common), 0), np.float32)
-        self.scratch = np.zeros(len(self.terms))
+        self.scratch, self.asked = np.zeros(len(self.terms)), np.zeros(len(self.terms), bool)
         self.ready = True
 
-    def _raw(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def weights(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Weights of terms by their counts, not yet divided by the vector's length."""
         return damped(n) * self.factor[at]
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -210,15 +241,22 @@ class Index:
         at = np.searchsorted(self.terms, h).clip(max=len(self.terms) - 1)
         return np.where(self.terms[at] == h, at, -1)
 
-    def raw(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Terms and weights of the known words, not yet divided by the vector's length; and which words are known."""
-        at = self.find(h)
-        known = at >= 0
-        return at[known], self._raw(at[known], n[known]), known
+    def raw(self, found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text's hashes and counts: terms and weights of the known words, not yet divided by the vector's
+        length; hashes and counts of the others. Words are looked up in the order of their hashes, for all texts at once."""
+        every = np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in found]])
+        order = np.argsort(every)
+        places = np.empty(len(every), np.int64)
+        places[order] = self.find(every[order])
+        end = 0
+        for h, n in found:
+            at, end = places[end : end + len(h)], end + len(h)
+            known = at >= 0
+            yield at[known], self.weights(at[known], n[known]), h[~known], n[~known]
 
     def unit(self, row: int) -> tuple[np.ndarray, np.ndarray]:
         part = slice(self.starts[row], self.starts[row + 1])
-        return self.term[part], self._raw(self.term[part], self.n[part]) / self.lengths[row]
+        return self.term[part], self.weights(self.term[part], self.n[part]) / self.lengths[row]
 
     def _rough(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cosines in single precision of each query with the examples of the blocks that it needs, else minus
@@ -227,14 +265,18 @@ class Index:
         rare = np.zeros((len(queries), width), np.float32)
         q = np.zeros((len(queries), self.dense.shape[1]), np.float32)
         for i, (at, weight) in enumerate(queries):
-            column = self.column[at]
+            column, weight = self.column[at], weight.astype(np.float32)
             often = column >= 0
             q[i, column[often]] = weight[often]
             at, weight = at[~often], weight[~often]
             sizes = self.first[at + 1] - self.first[at]
             posted = _spans(self.first[at], sizes)
             if len(posted):
-                rare[i] = np.bincount(self.row.take(posted), np.repeat(weight, sizes) * self.weight.take(posted), width)
+                # every position is valid; "clip" spares the copy that take makes for the checks of "raise"
+                posted = self.posting.view(np.int64).take(posted, mode="clip").view(POSTING)
+                products = np.repeat(weight, sizes)
+                products *= posted["weight"]
+                rare[i] = np.bincount(posted["row"], products, width)
             if skip[i] is not None:
                 rare[i, skip[i]] = -np.inf
         rare = rare.reshape(len(queries), self.blocks, BLOCK)
@@ -261,16 +303,20 @@ class Index:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
         if not self.ready:
             self.open()
-        found, q = [], self.scratch
+        found, q, asked = [], self.scratch, self.asked
         for (at, weight), own, least in zip(queries, *self._rough(queries, k, skip or [None] * len(queries)), strict=True):
-            rows = np.flatnonzero((own >= least - SLACK) & (own > 0))
+            rows = np.flatnonzero(own >= max(np.float32(least - SLACK), np.nextafter(np.float32(0), np.float32(1))))
             if len(rows) > k:
                 rough = own[rows]
                 rows = rows[rough >= np.partition(rough, -k)[-k] - SLACK]
             starts, sizes = self.starts[rows], self.sizes[rows]
             q[at] = weight * self.factor[at]  # the factors of both vectors
-            products = q.take(_runs(self.term, starts, starts + sizes)) * damped(_runs(self.n, starts, starts + sizes))
-            q[at] = 0
+            asked[at] = True
+            term, n = _runs(self.term, starts, starts + sizes), _runs(self.n, starts, starts + sizes)
+            shared = np.flatnonzero(asked.take(term, mode="clip"))  # the others' products are 0
+            products = np.zeros(len(term))
+            products[shared] = q[term[shared]] * damped(n[shared])
+            q[at], asked[at] = 0, False
             cosines = np.add.reduceat(products, np.cumsum(sizes) - sizes) / self.lengths[rows] if len(rows) else np.zeros(0)
             best = np.lexsort((self.ids[rows], -cosines.round(12)))[:k]
             found.append((rows[best], cosines[best]))
@@ -309,7 +355,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                n.update(set(WORD.findall((text.as_py() or "").lower())))
+                n.update(distinct_words(text.as_py()))
                 rows += 1
                 if len(n) > FLUSH:
                     yield handed()
@@ -450,14 +496,13 @@ def _neighbours(documents: DataFrame, labels: DataFrame, max_examples: int, own:
             for start in range(0, whole.num_rows, GROUP):
                 batch = whole.slice(start, GROUP)
                 vectors, squares, others, times = [], [], [], []
-                for text in batch.column(0) if place is None else batch.column(0).field(place):
-                    h, n = hashed(words_of(text.as_py()))
-                    at, weight, known = index.raw(h, n)
+                texts = batch.column(0) if place is None else batch.column(0).field(place)
+                for at, weight, unknown, n in index.raw([hashed(words_of(text.as_py())) for text in texts]):
                     square = float((weight * weight).sum())
                     vectors.append((at, weight / (np.sqrt(square) or 1.0)))
                     squares.append(square)
-                    others.append(h[~known].view(np.int64))
-                    times.append(n[~known].astype(np.int32))
+                    others.append(unknown.view(np.int64))
+                    times.append(n.astype(np.int32))
                 near = index.search(vectors, NEIGHBOURS)
                 # sums of squared products, with the document's vector still at its own length
                 sums = [s * float(c @ c) for s, (_, c) in zip(squares, near, strict=True)]

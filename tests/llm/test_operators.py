@@ -491,6 +491,41 @@ def test_toxicity_index_in_parts_of_one_posting(monkeypatch):
             assert (getattr(made[0], name) == getattr(other, name)).all(), name
 
 
+def test_toxicity_words_are_those_of_the_pattern(monkeypatch):
+    """Words are cut without the pattern where a text allows it, and are its matches in every text."""
+    rng, kinds = random.Random(5), ["a", "Z", "7", "_", " ", "\n", "\x00", "\x1c", "'", "é", "İ", "ß", "Σ", "’", "–", "\u00a0", "\u0301", "界", "٣", "½", "😀", "\u2028"]
+    texts = [None, "", "_", "é_", "_ a_b", "it’s It's", "ΑΣ ΑΣ’", *("".join(rng.choices(kinds, k=rng.randrange(1, 60))) for _ in range(3_000))]
+    texts += ["a" + chr(i) + "b" + chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for text in texts:
+        want = Counter(w.encode() for w in re.findall(r"\w+", (text or "").lower()))
+        assert toxicity.words_of(text) == want and toxicity.distinct_words(text) == want.keys(), text
+    asked = []
+    monkeypatch.setattr(toxicity, "WORD", type("Asked", (), {"findall": lambda self, text: asked.append(text) or re.findall(r"\w+", text)})())
+    found = toxicity.words_of("Plain, plain text_1. Größe der Straße: it’s")
+    assert found == Counter({w.encode(): 1 for w in ("text_1", "größe", "der", "straße", "it", "s")}) + Counter({b"plain": 2})
+    assert asked == ["it’s"]
+
+
+def test_toxicity_looks_up_a_group_at_once(monkeypatch):
+    """One ascending lookup for the words of many texts; exact cosines weigh only the terms that both texts hold."""
+    rng = np.random.default_rng(6)
+    examples = [(i, i % 2, np.sort(rng.choice(4_000, 400, False)).astype(np.int32), np.ones(400, np.uint16)) for i in range(300)]
+    index = toxicity.Index(np.arange(0, 40_000, 10, dtype=np.uint64), np.ones(4_000), examples)
+    index.open()
+    texts = [(np.sort(rng.choice(40_000, n, False)).astype(np.uint64), rng.integers(1, 9, n)) for n in (0, 50, 500, 1)]
+    asked, weighed, find, damped = [], [], toxicity.Index.find, toxicity.damped
+    monkeypatch.setattr(toxicity.Index, "find", lambda self, h: asked.append(h) or find(self, h))
+    found = list(index.raw(texts))
+    assert len(asked) == 1 and (np.diff(asked[0].astype(np.int64)) >= 0).all()
+    for (h, n), (at, weight, other, times) in zip(texts, found, strict=True):
+        known = h % 10 == 0
+        assert (at == h[known] // 10).all() and (weight == damped(n[known])).all() and (other == h[~known]).all() and (times == n[~known]).all()
+    assert list(index.raw([])) == []
+    monkeypatch.setattr(toxicity, "damped", lambda n: weighed.append(len(n)) or damped(n))
+    rows, cosines = index.search([(found[2][0], found[2][1] / np.linalg.norm(found[2][1]))], 15)[0]
+    assert len(rows) == 15 and (np.diff(cosines) <= 0).all() and sum(weighed) < 15 * 400 / 4
+
+
 def test_toxicity_rows(spark, odd_documents, no_documents, labels):
     rows = toxicity.toxicity(odd_documents, labels).collect()
     assert len(rows) == odd_documents.count() and all(0 <= r["score"] <= 1 for r in rows)
