@@ -92,11 +92,11 @@ def held(rows: DataFrame, forms: DataFrame, by: str) -> DataFrame:
 
 
 def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table of the driver's own values, whose size Spark knows."""
+    """A small table of the driver's own values, which is broadcast wherever it is joined."""
     kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
     fields = [f.split(" ") for f in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-    return spark.createDataFrame(pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)}))
+    return F.broadcast(spark.createDataFrame(pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})))
 
 
 def table(spark: SparkSession, domains: Domain | Domains | Mapping[str, Domain], of: DataFrame | None = None) -> Domains:

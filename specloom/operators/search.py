@@ -68,7 +68,8 @@ def score(nodes: DataFrame, questions: Sequence[str], domain: Domain | Domains)
         term = F.when(low("name") == t, 3.0).when(F.contains(low("name"), t), 1.0).otherwise(0.0)
         return F.when(F.col("label") == "Requirement", requirement).when(F.col("label") == "Section", section).otherwise(term)
 
-    rows = d.assign(nodes).join(query_tokens(questions, d), "domain")
+    tokens = query_tokens(questions, d)
+    rows = d.assign(nodes).join(F.broadcast(tokens) if d.of is None else tokens, "domain")  # one row for the only domain
     points = F.filter(F.transform("tokens", lambda t: F.struct(t["query"].alias("query"), (point(t["token"]) * t["times"]).alias("score"))), lambda p: p["score"] > 0)
     found = rows.select("doc_id", "node_ord", "id", "label", F.inline(points))
     return found.groupBy("doc_id", "query", "node_ord", "id", "label").agg(F.sum("score").alias("score"))

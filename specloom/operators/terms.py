@@ -81,7 +81,7 @@ def named(rules: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     forms = found.select("doc_id", "term", F.inline(D.spelled(F.col("term"))))
     held = D.held(rules.select("doc_id", "rule_ord", "text"), forms, "doc_id")
     n = held.groupBy("doc_id", "term").agg(F.count("*").alias("freq"))
-    rows = found.join(n, ["doc_id", "term"], "left").withColumn("freq", F.coalesce("freq", F.lit(0)).cast("long"))
+    rows = found.join(n.hint("merge"), ["doc_id", "term"], "left").withColumn("freq", F.coalesce("freq", F.lit(0)).cast("long"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("freq"), "pos")
     terms = rows.select("doc_id", "term", "freq", F.lit(False).alias("curated"), F.row_number().over(order).alias("term_ord"))
     return terms, held.join(terms.select("doc_id", "term", "term_ord"), ["doc_id", "term"])

@@ -30,12 +30,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written once in the shared folder and read again: its lineage ends there, and a lost executor costs nothing of it."""
+    """``df`` written once in the shared folder and read again: its lineage ends there, and a lost executor costs nothing of it.
+
+    It is joined by sorting: Spark takes the size of its compressed files for that of its rows, also of those that are exploded from
+    them, and would send far more than it counts on through the driver. A union or a join above it needs the hint anew.
+    """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     for made in _scopes.get():
         made.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("engine_scopes", default=())

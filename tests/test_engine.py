@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 import random
 import uuid
@@ -276,6 +278,24 @@ def test_index_finds_what_a_scan_finds(spark, tmp_path):
     assert empty.candidates(["timeout", "x"]).isEmpty() and empty.containing("").isEmpty() and empty.top(asked, domain("generic")).isEmpty()
 
 
+def _sent_from_files(df) -> list[str]:
+    """The files' scans that stand below a broadcast in the plan of ``df``: what goes through the driver by the size of its files alone."""
+    out, found, depth = io.StringIO(), [], None
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    for line in out.getvalue().splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        depth = None if depth is not None and at <= depth else depth
+        if depth is None and "BroadcastExchange" in line:
+            depth = at
+        found += [line] if depth is not None and "FileScan" in line else []
+    return found
+
+
+def test_model_terms_sends_no_table_through_the_driver(spark):
+    assert _sent_from_files(registry.model_terms(spark, SMALL)) == []
+
+
 def test_audit_makes_only_the_conflicts_of_what_it_finds(spark):
     """Payloads made with a few pairs, and with the index, against those over all edges."""
     said = ["The gateway {} log a timeout within ten seconds.", "The payload {} reach the gateway, see Section 1.", "The interface {} keep the payload and the timeout."]
