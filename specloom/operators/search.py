@@ -84,7 +84,7 @@ def top(nodes: DataFrame, questions: Sequence[str], domain: Domain | Domains, n:
 def targets(nodes: DataFrame, questions: Sequence[str], domain: Domain | Domains) -> DataFrame:
     """doc_id, query, id, label, rank: what a question names, or else what it finds."""
     exact = resolve(nodes, questions)
-    others = top(nodes, questions, domain).drop("score").join(exact.select("doc_id", "query"), ["doc_id", "query"], "left_anti")
+    others = top(nodes, questions, domain).drop("score").join(exact.select("doc_id", "query").hint("merge"), ["doc_id", "query"], "left_anti")
     return exact.unionByName(others)
 
 
@@ -150,7 +150,7 @@ def expand(nodes: DataFrame, edges: DataFrame, targets_: DataFrame, keep: bool =
         new = cands.join(visited, [*key, "id"], "left_anti").join(known, ["doc_id", "id"]).groupBy(*key, "id", "label").agg(F.min("tag").alias("tag"))
         new = settled(new)
         found.append(new.withColumn("rank", F.lit(rank)))
-        visited = visited.unionByName(new.select(*key, "id"))
+        visited = visited.unionByName(new.select(*key, "id")).hint("merge")
     rows, pairs = found[0], clashes[0]
     for x, y in zip(found[1:], clashes[1:], strict=True):
         rows, pairs = rows.unionByName(x), pairs.unionByName(y)

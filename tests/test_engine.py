@@ -296,6 +296,14 @@ def test_model_terms_sends_no_table_through_the_driver(spark):
     assert _sent_from_files(registry.model_terms(spark, SMALL)) == []
 
 
+def test_context_sends_no_table_through_the_driver(spark, monkeypatch):
+    a = registry.analysis(spark, SMALL)
+    found, sent = search.targets(a.nodes, registry.SEARCH, registry.DOMAIN), []
+    monkeypatch.setattr(search, "settled", lambda df: (sent.extend(_sent_from_files(df)), artifacts.settled(df))[1])
+    made = search.expand(a.nodes, a.edges, found)
+    assert sent == [] and [_sent_from_files(x) for x in made] == [[], []]
+
+
 def test_audit_makes_only_the_conflicts_of_what_it_finds(spark):
     """Payloads made with a few pairs, and with the index, against those over all edges."""
     said = ["The gateway {} log a timeout within ten seconds.", "The payload {} reach the gateway, see Section 1.", "The interface {} keep the payload and the timeout."]
