@@ -90,7 +90,7 @@ def disputed(rules: DataFrame, mentions: DataFrame, domain: Domain | Domains) ->
 
 def _named_pairs(rules: DataFrame, must: DataFrame, never: DataFrame) -> DataFrame:
     """The pairs of ``must`` (doc_id, term, term_ord, x) and ``never`` (doc_id, term, y) with their ids, each for its first shared term."""
-    pairs = must.join(never, ["doc_id", "term"]).groupBy("doc_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(F.struct("term_ord", "term")).alias("t"))
+    pairs = must.join(never.hint("merge"), ["doc_id", "term"]).groupBy("doc_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(F.struct("term_ord", "term")).alias("t"))
     name = lambda c: F.format_string("REQ-%03d", c)
     ids = rules.select("doc_id", "rule_ord", "id")
     pairs = pairs.join(ids.select("doc_id", F.col("rule_ord").alias("a"), F.col("id").alias("source")), ["doc_id", "a"]).join(ids.select("doc_id", F.col("rule_ord").alias("b"), F.col("id").alias("target")), ["doc_id", "b"])
@@ -127,7 +127,7 @@ def conflict_totals(rules: DataFrame, mentions: DataFrame, domain: Domain | Doma
 def conflicts_of(rules: DataFrame, mentions: DataFrame, domain: Domain | Domains, asked: DataFrame) -> DataFrame:
     """The rows of :func:`conflicts` that a rule of ``asked`` (doc_id, id) is in; only the pairs of those rules are made."""
     m = disputed(rules, mentions, domain)
-    own = m.join(rules.join(asked.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_semi").select("doc_id", "rule_ord"), ["doc_id", "rule_ord"], "left_semi")
+    own = m.join(rules.join(asked.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_semi").select("doc_id", "rule_ord").hint("merge"), ["doc_id", "rule_ord"], "left_semi")
     must = lambda rows: rows.filter("constraint_type = 'Mandatory'").select("doc_id", "term", "term_ord", F.col("rule_ord").alias("x"))
     never = lambda rows: rows.filter("constraint_type = 'Prohibition'").select("doc_id", "term", F.col("rule_ord").alias("y"))
     found = _named_pairs(rules, must(own), never(m)).unionByName(_named_pairs(rules, must(m), never(own)))

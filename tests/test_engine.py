@@ -16,7 +16,7 @@ from specloom.functions.vocabulary import Domain, domain, forms_of, java
 from specloom.operators import assist, blocks, explore, graph, lines, rules, scans, search, terms
 from specloom.operators import domains as D
 from specloom.operators.index import NodeIndex
-from specloom.plans import incremental, registry
+from specloom.plans import incremental, pipeline, registry
 from specloom.plans.pipeline import Analysis, parse_documents, parse_each
 from specloom.sources import artifacts
 from specloom.sources.corpus import extract_pages, read_pages
@@ -296,6 +296,17 @@ def test_model_terms_sends_no_table_through_the_driver(spark):
     assert _sent_from_files(registry.model_terms(spark, SMALL)) == []
 
 
+def test_audit_sends_no_table_through_the_driver(spark, monkeypatch):
+    a = Analysis(registry.corpus_pages(spark, SMALL), registry.DOMAIN)
+    assert a.nodes.columns and a.terms
+    sent = []
+    keep = lambda df: (sent.extend(_sent_from_files(df)), artifacts.settled(df))[1]
+    monkeypatch.setattr(pipeline, "settled", keep)
+    monkeypatch.setattr(search, "settled", keep)
+    made = a.audit(registry.AUDITED)
+    assert sent == [] and _sent_from_files(made) == []
+
+
 def test_context_sends_no_table_through_the_driver(spark, monkeypatch):
     a = registry.analysis(spark, SMALL)
     found, sent = search.targets(a.nodes, registry.SEARCH, registry.DOMAIN), []
